@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "packing", "mixing"]
+MODULES = ["chat", "quality_rules", "packing", "langid", "quality_model", "mixing"]
 
 
 def tables() -> tuple[dict, dict]:
