@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["chat", "quality_rules", "packing", "langid", "quality_model", "mixing"]
+MODULES = ["chat", "toxicity", "quality_rules", "packing", "langid", "quality_model", "mixing"]
 
 
 def tables() -> tuple[dict, dict]:
