@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["chat", "toxicity", "quality_rules", "packing", "langid", "quality_model", "mixing", "near_dedup"]
+MODULES = ["chat", "toxicity", "quality_rules", "packing", "langid", "quality_model", "mixing", "lm_scoring", "near_dedup"]
 
 
 def tables() -> tuple[dict, dict]:
