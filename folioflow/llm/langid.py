@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -164,20 +164,32 @@ def infer(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray,
     return pred, score, sets
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
-    """(doc_id, lang_pred, score, languages map) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages float32
+def language_column(model: Model, text: Column, spark: SparkSession, block: int = 256) -> Column:
+    """struct<lang_pred, score, languages> of a text column."""
+    shared = spark.sparkContext.broadcast(model)  # SLOTS x languages float32
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double, languages map<string,double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            for at in range(0, len(b), block):
-                part = b.iloc[at : at + block]
-                pred, score, sets = infer(part["text"].tolist(), m)
-                yield pd.DataFrame({"doc_id": part["id"].to_numpy(), "lang_pred": pred, "score": score, "languages": sets})
+            texts = b.tolist()
+            parts = [infer(texts[at : at + block], m) for at in range(0, len(texts), block)]
+            yield pd.DataFrame({"lang_pred": [x for p in parts for x in p[0]], "score": np.concatenate([p[1] for p in parts]) if parts else [], "languages": [x for p in parts for x in p[2]]})
+
+    return run(text)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, languages map<string,double>")
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score, languages map) for every row."""
+    found = docs.select(F.col(id_col).alias("doc_id"), language_column(model, F.col(text_col), docs.sparkSession).alias("_l"))
+    return found.select("doc_id", "_l.lang_pred", "_l.score", "_l.languages")
+
+
+def with_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows of no language or of none that makes up ``least`` of the text."""
+    model = fit(docs.where(~held_out("doc_id", 4, 2)))
+    found = docs.withColumn("_l", language_column(model, F.col("text"), docs.sparkSession))
+    return found.where((F.col("_l.lang_pred") != UNKNOWN) & (F.col("_l.score") >= least)).drop("_l")
 
 
 def op6_language_mixture(spark, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ full shingle sets or known to be connected.
 At the threshold of 0.8 a linked pair shares no table with probability 2 * 0.36**TABLES,
 0.0002 here; pairs above 0.85 are missed with less than 0.00002.
 
-Handling: null and blank texts have no shingles and link with nothing; rows that share an
-id count as one document; repeated rows stay rows; an empty table gives an empty result;
+Handling: null and blank texts have no shingles and link with nothing, nor do rows with a
+null id, which are kept; rows that share an id count as one document; repeated rows stay rows; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -188,14 +188,20 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int = PERCEN
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row."""
     sig = cut(signatures(docs, width, id_col, text_col), "dedup-signatures")
-    some = sig.where("n_shingles > 0")
+    some = sig.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
     classes = cut(classes.select(F.col("m.doc_id").alias("cid"), F.col("n_shingles").alias("n"), "d1", "d2", F.col("m.sig").alias("sig")), "dedup-classes")
     labels = links(classes.select("cid", "n", "sig"), docs, width, percent, id_col, text_col)
     named = classes.select("cid", F.col("n").alias("n_shingles"), "d1", "d2").join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left")
     out = sig.drop("sig").join(named, ["n_shingles", "d1", "d2"], "left")
-    comp = F.coalesce("label", "cid", "doc_id")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "cid", "doc_id"))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id; rows without an id stay."""
+    ids = cut(near_duplicates(docs, width, percent).where("kept and doc_id is not null").select("doc_id").distinct(), "dedup-kept")
+    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def op10_tensored_minhash(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, held_out
@@ -136,18 +136,28 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     return model
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def score_column(model: Model | None, text: Column) -> Column:
+    """Score of a text column; 0 without a model."""
     if model is None:
-        return docs.select(F.col(id_col).alias("doc_id"), F.lit(0.0).alias("score"))
+        return F.lit(0.0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            x = np.array([model.features(split_words(t)) for t in b["text"].tolist()]).reshape(len(b), 6)
-            yield pd.DataFrame({"doc_id": b["id"], "score": model.score(x)})
+            x = np.array([model.features(split_words(t)) for t in b.tolist()]).reshape(len(b), 6)
+            yield pd.Series(model.score(x))
+
+    return run(text)
+
+
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of every row."""
+    return docs.select(F.col(id_col).alias("doc_id"), score_column(model, F.col(text_col)).alias("score"))
+
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, score double")
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows predicted toxic by a model of the labelled ones."""
+    return docs.where(score_column(fit(docs, labels), F.col("text")) < threshold)
 
 
 def op2_compression_toxicity(spark, sf_dir: str) -> DataFrame:
