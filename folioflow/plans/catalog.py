@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_queries", "linkage_queries", "resolution_queries", "review_queries", "revision_queries", "log_queries"]
+MODULES = ["text_queries", "linkage_queries", "resolution_queries", "review_queries", "revision_queries", "integrity_queries", "log_queries"]
 
 
 def tables() -> tuple[dict, dict]:

@@ -108,4 +108,6 @@ def with_views(sql: str) -> str:
     if not head:
         return sql
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head}, {body[15:]}"
     return f"with {head}, {body[5:]}" if body.lower().startswith("with ") else f"with {head} {body}"
