@@ -131,3 +131,26 @@ def rebuild(paragraphs: DataFrame, changed: DataFrame, keys: list[str]) -> DataF
 def evidence_anchors(spans: DataFrame, chosen: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
     """A10: offsets and hashes of at most three chosen spans."""
     return spans.join(chosen.where(F.col("place") <= most), [*keys, "span_id"])
+
+
+def content_present(items: DataFrame, docs: DataFrame, width: int = 6) -> DataFrame:
+    """Items (item_id, text) that occur, case and white space aside, in some document.
+
+    An item's first words are its key; documents offer the keys of all their word windows,
+    so an item meets only documents that hold its beginning, and is then looked up whole.
+    """
+    low = lambda c: F.lower(normalize_text(c))
+    n = F.least(F.lit(width), F.size("_w"))
+    i = items.select("item_id", low(F.col("text")).alias("_t")).withColumn("_w", F.split("_t", " ")).withColumn("key", F.xxhash64(F.slice("_w", F.lit(1), n))).where("_t <> '' and size(_w) >= 6").select("item_id", "_t", "key")
+    d = docs.select(low(F.col("text")).alias("_d")).withColumn("_v", F.split("_d", " ")).where(F.size("_v") >= width)
+    windows = F.transform(F.sequence(F.lit(1), F.size("_v") - width + 1), lambda k: F.xxhash64(F.slice("_v", k, width)))
+    d = d.select("_d", F.explode(F.array_distinct(windows)).alias("key"))
+    return i.join(d, "key").where(F.contains("_d", "_t")).select("item_id").distinct()
+
+
+def eval_table(parts: list[DataFrame], key: str = "paper_id") -> DataFrame:
+    """One row per paper over all reports; a report without a paper leaves nulls."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, key, "full_outer")
+    return out

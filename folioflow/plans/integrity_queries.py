@@ -8,7 +8,9 @@ from folioflow.functions import segmentation as seg
 from folioflow.functions.text import text_sha256
 from folioflow.operators import integrity as ig
 from folioflow.operators import markers as mk
+from folioflow.operators import review as rw
 from folioflow.operators import revisions as rv
+from folioflow.sources import shredding as sh
 
 from .registry import Registry
 from .text_queries import TITLE_SQL, norm_sql
@@ -29,8 +31,8 @@ add("v04_new_reference_complete", lambda t: ig.incomplete_additions(t("v_refs").
 add("v05_identity_invariant", lambda t: ig.identity_broken(t("v_refs").select("reference_id", F.when(F.col("part_key") % 50 == 0, None).otherwise(F.col("reference_id")).alias("csl_id")), "reference_id", "csl_id").select("reference_id"), "select reference_id from v_refs where part_key % 50 = 0")
 add("v09_referential_checks", lambda t: ig.dangling(t("v_state_log").select("proposal_id", "paper_id", F.col("base_revision").alias("revision_number")), t("v_revisions"), ["paper_id", "revision_number"]), "select proposal_id, s.paper_id, base_revision as revision_number from v_state_log s where not exists (select 1 from v_revisions r where r.paper_id = s.paper_id and r.revision_number = s.base_revision)")
 add("v11_citation_warnings", lambda t: rv.removed_keys(t("v_items"), t("v_items").where("printed_order % 7 > 2"), ["citation_id"]).select(rv.warning_id(F.lit("CITATION_REMOVED"), F.array("citation_id"), F.lit("h")).alias("warning_id"), "citation_id"), "select 'warn_' || substr(sha256('{\"code\":\"CITATION_REMOVED\",\"hash\":\"h\",\"subjects\":[\"' || citation_id || '\"]}'), 1, 32) as warning_id, citation_id from (select citation_id from v_items except select citation_id from v_items where printed_order % 7 > 2)")
-VERDICT = F.when(F.col("part_key") % 9 == 0, "CONTRADICTED").when(F.col("part_key") % 4 == 0, "UNVERIFIABLE").otherwise("SUPPORTED")
-add("v13_attachment_status", lambda t: ig.support_status(t("v_refs").select("paper_id", VERDICT.alias("verdict")), "paper_id"), "select *, case when contradicted > 0 then 'BLOCKED' when verified < affected then 'WARNED' else 'PASSED' end as status from (select paper_id, count(*) as affected, count(*) filter (part_key % 9 > 0 and part_key % 4 > 0) as verified, count(*) filter (part_key % 9 = 0) as contradicted, count(*) filter (part_key % 9 > 0 and part_key % 4 = 0) as unverifiable from v_refs group by 1)")
+VERDICT = lambda: F.when(F.col("part_key") % 9 == 0, "CONTRADICTED").when(F.col("part_key") % 4 == 0, "UNVERIFIABLE").otherwise("SUPPORTED")
+add("v13_attachment_status", lambda t: ig.support_status(t("v_refs").select("paper_id", VERDICT().alias("verdict")), "paper_id"), "select *, case when contradicted > 0 then 'BLOCKED' when verified < affected then 'WARNED' else 'PASSED' end as status from (select paper_id, count(*) as affected, count(*) filter (part_key % 9 > 0 and part_key % 4 > 0) as verified, count(*) filter (part_key % 9 = 0) as contradicted, count(*) filter (part_key % 9 > 0 and part_key % 4 = 0) as unverifiable from v_refs group by 1)")
 add("v15_acknowledgement_gap", lambda t: t("v_state_log").select("proposal_id", F.array_join(ig.acknowledgement_gap(F.array(F.lit("b"), F.lit("a"), "kind"), F.array(F.lit("b"), F.when(F.col("proposal_id") % 2 == 0, F.col("kind")).otherwise(""))), ",").alias("gap")), "select proposal_id, case when proposal_id % 2 = 0 then 'a' else array_to_string(list_sort(['a', kind]), ',') end as gap from v_state_log")
 add("v17_hash_integrity", lambda t: ig.hash_broken(t("v_paragraphs").withColumn("stored", text_sha256(F.when(F.col("par_no") % 9 == 0, F.concat("text", F.lit("!"))).otherwise(F.concat("text", F.lit("  "))))), "text", "stored").select("doc_id", "par_no"), "select doc_id, par_no from v_paragraphs where par_no % 9 = 0")
 add("v18_export_preflight", lambda t: ig.preflight(t("orders").select(F.col("o_orderkey").alias("paper_id"), F.when(F.col("o_orderkey") % 5 > 0, "IEEE").alias("style"), (F.col("o_orderkey") % 7).alias("paragraphs"), (F.col("o_orderkey") % 2).alias("unrenderable"), (F.col("o_custkey") % 2).alias("partial"), (F.col("o_custkey") % 3).alias("raw_only"), (F.col("o_custkey") % 5).alias("uncited"))), "select o_orderkey as paper_id, array_to_string(list_filter([case when o_orderkey % 5 = 0 then 'NO_STYLE' end, case when o_orderkey % 7 = 0 then 'EMPTY_DOCUMENT' end, case when o_orderkey % 2 > 0 then 'UNRENDERABLE_BLOCK' end], lambda x: x is not null), ',') as blockers, array_to_string(list_filter([case when o_custkey % 2 > 0 then 'PARTIAL_MODIFIERS' end, case when o_custkey % 3 > 0 then 'RAW_ONLY' end, case when o_custkey % 5 > 0 then 'RETAINED_UNCITED' end], lambda x: x is not null), ',') as warnings from orders")
@@ -54,4 +56,19 @@ def _hosts(t, other: bool):
 
 
 add("d08_changed_contexts", lambda t: _hosts(t, False).join(_hosts(t, True).withColumnRenamed("host", "host2"), ["doc_id", "sent_no"]).where(text_sha256(F.col("host")) != text_sha256(F.col("host2"))).select("doc_id", "sent_no"), "select doc_id, par_no as sent_no from v_paragraphs where par_no % 4 = 0")
+add("v12_new_support_check", lambda t: ig.support_status(t("v_items").where("printed_order % 2 = 0").select("citation_id", F.when(F.col("reference_id").isNull(), "UNVERIFIABLE").otherwise("SUPPORTED").alias("verdict")), "citation_id").groupBy("status").agg(F.count(F.lit(1)).alias("n")), "select case when s then 'WARNED' else 'PASSED' end as status, count(*) as n from (select citation_id, bool_or(reference_id is null) as s from v_items where printed_order % 2 = 0 group by 1) group by 1")
+add("v14_block_mutation", lambda t: rv.hash_changes(t("part"), t("part").where("p_partkey % 50 > 0"), "p_partkey", "p_name", "BLOCK").groupBy("kind").agg(F.count(F.lit(1)).alias("blockers")), "select 'BLOCK_REMOVED' as kind, count(*) as blockers from part where p_partkey % 50 = 0")
+add("v21_content_present", lambda t: ig.content_present(t("benchmark"), t("documents")), f"select item_id from benchmark b where len(string_split({norm_sql('b.text')}, ' ')) >= 6 and exists (select 1 from documents d where contains(lower({norm_sql('d.text')}), lower({norm_sql('b.text')})))")
+add("x09_eval_table", lambda t: ig.eval_table([t("v_refs").groupBy("paper_id").agg(F.count(F.lit(1)).alias("entries")), t("v_items").where("reference_id is null").groupBy("paper_id").agg(F.count(F.lit(1)).alias("unlinked")), t("v_items").where("marker_fragment = 'ibid'").groupBy("paper_id").agg(F.count(F.lit(1)).alias("unread"))]), "select r.paper_id, r.n as entries, u.n as unlinked, i.n as unread from (select paper_id, count(*) as n from v_refs group by 1) r left join (select paper_id, count(*) as n from v_items where reference_id is null group by 1) u using (paper_id) left join (select paper_id, count(*) as n from v_items where marker_fragment = 'ibid' group by 1) i using (paper_id)")
+JSON_A = lambda: F.to_json(F.struct(F.concat(F.lit("https://openalex.org/W"), "p_partkey").alias("id"), F.concat(F.lit("https://doi.org/10.1000/P"), "p_partkey").alias("doi"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("title"), F.col("p_brand").alias("display_name"), F.when(F.col("p_partkey") % 3 == 0, "book-chapter").otherwise("unknown").alias("type"), F.struct(F.lit("1").alias("first_page"), F.when(F.col("p_partkey") % 5 > 0, "9").alias("last_page")).alias("biblio")))
+add("s03_works_from_openalex", lambda t: sh.works_from_openalex(t("part").select(JSON_A().alias("json"))).select("external_id", "title", "doi", "pages", "work_type"), "select 'W' || p_partkey as external_id, case when p_partkey % 2 = 0 then p_name else p_brand end as title, '10.1000/p' || p_partkey as doi, case when p_partkey % 5 > 0 then '1-9' else '1' end as pages, case when p_partkey % 3 = 0 then 'chapter' else 'document' end as work_type from part")
+JSON_B = lambda: F.to_json(F.struct(F.concat(F.lit("S"), "p_partkey").alias("paperId"), F.struct(F.concat(F.lit("10.1/X"), "p_partkey").alias("DOI")).alias("externalIds"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_type")).alias("venue"), F.array(F.lit("Odd"), F.when(F.col("p_partkey") % 3 == 0, "Conference").otherwise("Other"), F.lit("Review")).alias("publicationTypes")))
+add("s04_works_from_s2", lambda t: sh.works_from_s2(t("part").select(JSON_B().alias("json"))).select("external_id", "title", "doi", "venue", "work_type"), "select 'S' || p_partkey as external_id, p_name as title, '10.1/x' || p_partkey as doi, case when p_partkey % 2 = 1 then p_type end as venue, case when p_partkey % 3 = 0 then 'paper-conference' else 'article-journal' end as work_type from part")
+
+
+def _overlap(b):
+    return (b["na"] / b["nb"]).clip(0, 1)
+
+
+add("u01_judge", lambda t: rw.judge(t("v_refs").select("reference_id", F.length("title").alias("na"), F.length("raw_text").alias("nb")), _overlap, "reference_id string, na int, nb int").select("reference_id", F.round("judgement", 9).alias("judgement"), "provider", "model"), "select reference_id, round(length(title)::double / length(raw_text), 9) as judgement, 'local' as provider, 'lexical' as model from v_refs")
 QUERIES, ORACLE = R.QUERIES, R.ORACLE

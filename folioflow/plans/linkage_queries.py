@@ -30,10 +30,10 @@ R.add(
     lambda t: t("v_refs").select("reference_id", mk.marker_mode(F.when(F.col("part_key") % 3 == 0, F.concat(F.lit("("), F.coalesce("year", F.lit(1999)), F.lit(")"))).when(F.col("part_key") % 3 == 1, F.concat("family", F.lit(" ("), F.coalesce("year", F.lit(1999)), F.lit(")"))).otherwise(F.lit("[3]"))).alias("mode")),
     "select reference_id, case part_key % 3 when 0 then 'SUPPRESS_AUTHOR' when 1 then 'AUTHOR_IN_TEXT' else 'NORMAL' end as mode from v_refs",
 )
-LOC = F.concat(F.lit("["), "bibliography_order", F.when(F.col("part_key") % 3 == 0, F.concat(F.lit(", pp. "), "part_key", F.lit(" - "), F.col("part_key") + 5)).when(F.col("part_key") % 3 == 1, F.lit(", Chap. 4")).otherwise(""), F.lit("]"))
+LOC = lambda: F.concat(F.lit("["), "bibliography_order", F.when(F.col("part_key") % 3 == 0, F.concat(F.lit(", pp. "), "part_key", F.lit(" - "), F.col("part_key") + 5)).when(F.col("part_key") % 3 == 1, F.lit(", Chap. 4")).otherwise(""), F.lit("]"))
 R.add(
     "c04_extract_locator",
-    lambda t: t("v_refs").withColumn("l", mk.extract_locator(LOC)).select("reference_id", F.col("l.label").alias("label"), F.col("l.value").alias("value")),
+    lambda t: t("v_refs").withColumn("l", mk.extract_locator(LOC())).select("reference_id", F.col("l.label").alias("label"), F.col("l.value").alias("value")),
     "select reference_id, case part_key % 3 when 0 then 'page' when 1 then 'chapter' end as label, case part_key % 3 when 0 then part_key || ' - ' || (part_key + 5) when 1 then '4' end as value from v_refs",
 )
 R.add(
@@ -72,16 +72,16 @@ R.add(
     lambda t: t("part").select("p_partkey", mk.block_status(F.when(F.col("p_partkey") % 3 == 0, "FIGURE").when(F.col("p_partkey") % 3 == 1, "TABLE").otherwise("FORMULA"), F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0).alias("status")),
     "select p_partkey, case when p_partkey % 3 = 0 and p_size % 2 <> 0 then 'UNRENDERABLE' when p_partkey % 3 = 1 and p_size % 3 <> 0 then 'CONVERTED' else 'PRESERVED' end as status from part",
 )
-BOX = F.concat_ws(";", F.concat(F.lit("1,2,"), "p_size", F.lit(",4,5")), F.concat(F.lit("1,2,"), "p_size", F.lit(",4,5")), F.lit("0,1,1,1,1"), F.lit("x,1,1,1,1"), F.concat(F.col("p_partkey") % 2 + 1, F.lit(",0,0,"), F.col("p_partkey") % 3, F.lit(",7")))
+BOX = lambda: F.concat_ws(";", F.concat(F.lit("1,2,"), "p_size", F.lit(",4,5")), F.concat(F.lit("1,2,"), "p_size", F.lit(",4,5")), F.lit("0,1,1,1,1"), F.lit("x,1,1,1,1"), F.concat(F.col("p_partkey") % 2 + 1, F.lit(",0,0,"), F.col("p_partkey") % 3, F.lit(",7")))
 R.add(
     "c10_source_boxes",
-    lambda t: t("part").select("p_partkey", F.explode(mk.source_boxes(BOX)).alias("b")).select("p_partkey", "b.page", "b.x", "b.y", "b.width", "b.height"),
+    lambda t: t("part").select("p_partkey", F.explode(mk.source_boxes(BOX())).alias("b")).select("p_partkey", "b.page", "b.x", "b.y", "b.width", "b.height"),
     """select p_partkey, 1 as page, 2.0::double as x, p_size::double as y, 4.0::double as width, 5.0::double as height from part
     union all select p_partkey, (p_partkey % 2 + 1)::int, 0, 0, p_partkey % 3, 7 from part where p_partkey % 3 > 0""",
 )
 R.add(
     "c11_union_box",
-    lambda t: mk.union_box(t("part").select("p_partkey", F.explode(mk.source_boxes(BOX)).alias("b")).select("p_partkey", "b.*"), "p_partkey"),
+    lambda t: mk.union_box(t("part").select("p_partkey", F.explode(mk.source_boxes(BOX())).alias("b")).select("p_partkey", "b.*"), "p_partkey"),
     """select p_partkey, 1 as page, case when p_partkey % 3 > 0 then 0.0 else 2.0 end::double as x, case when p_partkey % 3 > 0 then least(0.0, p_size) else p_size end::double as y,
     6.0::double as "right", case when p_partkey % 3 > 0 then greatest(7.0, p_size + 5) else p_size + 5 end::double as bottom from part where p_partkey % 3 = 0 or p_partkey % 2 = 0""",
 )

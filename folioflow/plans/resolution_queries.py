@@ -62,7 +62,7 @@ RUNS = lambda t: t("v_refs").select("paper_id", F.concat("paper_id", F.lit("_"),
 add("r19_persist_resolutions", lambda t: rs.persist_resolutions(RUNS(t)), "select paper_id, paper_id || '_' || (part_key % 3) as reference_id, max(bibliography_order) as run_id, 'DOI' as method, arg_max(case when part_key % 2 = 0 then 'CERTAIN' else 'UNCERTAIN' end, bibliography_order) as confidence, case when arg_max(part_key, bibliography_order) % 2 = 0 then arg_max(part_key, bibliography_order)::varchar end as external_id from v_refs group by paper_id, part_key % 3")
 add("r20_record_lookup_fallback", lambda t: rs.record_lookup_fallback(t("v_refs").select("paper_id", "reference_id", F.when(F.col("part_key") % 3 == 0, F.col("part_key").cast("string")).alias("want_record"), F.when(F.col("part_key") % 3 == 1, F.concat(F.lit("d"), "part_key")).alias("want_doi"), F.concat(F.lit("e"), F.col("part_key") % 5).alias("want_external")), t("v_refs").where("part_key % 2 = 0").select("paper_id", F.col("part_key").cast("string").alias("record_id"), F.concat(F.lit("d"), "part_key").alias("doi"), F.concat(F.lit("e"), F.col("part_key") % 5).alias("external_id"))), "select r.paper_id, r.reference_id, case when part_key % 2 = 0 and part_key % 3 < 2 then part_key::varchar else (select min(part_key::varchar) from v_refs y where y.paper_id = r.paper_id and y.part_key % 2 = 0 and y.part_key % 5 = r.part_key % 5) end as record_id from v_refs r")
 add("r21_display_resolution", lambda t: rs.display_resolution(t("v_refs").select("reference_id", F.lit("OLD").alias("method"), F.lit("PROBABLE").alias("confidence")), t("v_refs").where("part_key % 2 = 0").select("reference_id", F.lit("DOI").alias("method"), F.lit(None).cast("string").alias("confidence"))), "select reference_id, case when part_key % 2 = 0 then 'DOI' else 'OLD' end as method, case when part_key % 2 = 0 then null else 'PROBABLE' end as confidence from v_refs")
-IDS = F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("DOI").alias("kind"), F.concat(F.lit("doi:10.1/X"), "part_key").alias("value")), F.struct(F.lit(1).alias("pos"), F.when(F.col("part_key") % 2 == 0, "DOI").otherwise("ARXIV").alias("kind"), F.when(F.col("part_key") % 2 == 0, "10.2/y").otherwise("arXiv:1706.03762v3").alias("value")), F.struct(F.lit(2).alias("pos"), F.when(F.col("part_key") % 3 == 0, "URL").otherwise("TARGET").alias("kind"), F.concat(F.lit("http://u.org/"), "part_key").alias("value"))))
-add("r22_identifier_pivot", lambda t: rs.identifier_pivot(t("v_refs").select("reference_id", "part_key", IDS.alias("x")).select("reference_id", "x.*")), "select reference_id, case when part_key % 2 = 0 then '10.2/y' else '10.1/x' || part_key end as doi, case when part_key % 2 = 1 then '1706.03762' end as arxiv, 'http://u.org/' || part_key as url from v_refs")
+IDS = lambda: F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("DOI").alias("kind"), F.concat(F.lit("doi:10.1/X"), "part_key").alias("value")), F.struct(F.lit(1).alias("pos"), F.when(F.col("part_key") % 2 == 0, "DOI").otherwise("ARXIV").alias("kind"), F.when(F.col("part_key") % 2 == 0, "10.2/y").otherwise("arXiv:1706.03762v3").alias("value")), F.struct(F.lit(2).alias("pos"), F.when(F.col("part_key") % 3 == 0, "URL").otherwise("TARGET").alias("kind"), F.concat(F.lit("http://u.org/"), "part_key").alias("value"))))
+add("r22_identifier_pivot", lambda t: rs.identifier_pivot(t("v_refs").select("reference_id", "part_key", IDS().alias("x")).select("reference_id", "x.*")), "select reference_id, case when part_key % 2 = 0 then '10.2/y' else '10.1/x' || part_key end as doi, case when part_key % 2 = 1 then '1706.03762' end as arxiv, 'http://u.org/' || part_key as url from v_refs")
 add("r23_merge_ranked", lambda t: rs.merge_ranked(t("v_refs").select("paper_id", (F.col("bibliography_order") % 5).alias("claim_no"), F.col("bibliography_order").alias("rank"), (F.col("part_key") % 9).cast("string").alias("key"))), "select paper_id, printf('cand_%03d', row_number() over (partition by paper_id order by f, key) - 1) as candidate_id, key from (select paper_id, (part_key % 9)::varchar as key, min((bibliography_order % 5) * 1000 + bibliography_order) as f from v_refs where bibliography_order % 5 < 4 group by 1, 2)")
 QUERIES, ORACLE = R.QUERIES, R.ORACLE

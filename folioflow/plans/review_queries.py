@@ -20,10 +20,10 @@ R = Registry()
 add = R.add
 PARS = lambda t: t("v_paragraphs").select("doc_id", "par_no", (F.length("text") % 5).cast("long").alias("citations"))
 add("a01_paragraphs_by_density", lambda t: rw.paragraphs_by_density(PARS(t), 4).select("doc_id", "par_no", "place"), "select * from (select doc_id, par_no, row_number() over (partition by doc_id order by length(text) % 5 desc, par_no) as place from v_paragraphs) where place <= 4")
-TITLE = F.when(F.col("par_no") % 5 == 0, "Introduction").when(F.col("par_no") % 5 == 1, "Methods").when(F.col("par_no") % 5 == 2, "Results and discussion").otherwise("Other")
+TITLE = lambda: F.when(F.col("par_no") % 5 == 0, "Introduction").when(F.col("par_no") % 5 == 1, "Methods").when(F.col("par_no") % 5 == 2, "Results and discussion").otherwise("Other")
 PRIO = "case par_no % 5 when 0 then 0 when 1 then 3 when 2 then 1 else 2 end"
-add("a02_section_priority", lambda t: t("v_paragraphs").select("doc_id", "par_no", rw.section_priority(TITLE).alias("priority")), f"select doc_id, par_no, {PRIO} as priority from v_paragraphs")
-CLAIMS = lambda t: t("v_paragraphs").select("doc_id", "par_no", F.lit(0).alias("claim_no"), rw.section_priority(TITLE).alias("priority"), (F.length("text") % 4 == 0).alias("rejected"))
+add("a02_section_priority", lambda t: t("v_paragraphs").select("doc_id", "par_no", rw.section_priority(TITLE()).alias("priority")), f"select doc_id, par_no, {PRIO} as priority from v_paragraphs")
+CLAIMS = lambda t: t("v_paragraphs").select("doc_id", "par_no", F.lit(0).alias("claim_no"), rw.section_priority(TITLE()).alias("priority"), (F.length("text") % 4 == 0).alias("rejected"))
 add("a03_budgeted_claims", lambda t: rw.budgeted_claims(CLAIMS(t)).select("doc_id", "par_no", "place"), f"select * from (select doc_id, par_no, row_number() over (partition by doc_id order by {PRIO}, par_no) as place from v_paragraphs where length(text) % 4 <> 0) where place <= 12")
 OFFERED = lambda t: t("v_refs").select("paper_id", F.col("reference_id").alias("offered_id"))
 ANSWERS = lambda t: t("v_items").where("reference_id is not null").select("paper_id", "citation_id", F.col("reference_id").alias("offered_id"))
@@ -56,8 +56,8 @@ add("a19_stale_runs", lambda t: rw.stale_runs(t("v_state_log").select("paper_id"
 add("a20_findings_by_paper", lambda t: _findings(t).groupBy("paper_id").agg(F.array_join(F.sort_array(F.collect_list("kind")), ",").alias("kinds"), F.count(F.lit(1)).alias("n")), f"with {FIND} select paper_id, string_agg(kind, ',' order by kind) as kinds, count(*) as n from fn group by 1")
 add("a22_parse_quality", lambda t: mk.parse_status(t("v_items")).groupBy("paper_id").agg(F.count(F.lit(1)).alias("citations"), F.count_if(F.col("parse_status") == "RAW_ONLY").alias("raw_only"), F.count_if(F.col("items") > 1).alias("clusters")), "select paper_id, count(*) as citations, count(*) filter (s) as raw_only, count(*) filter (n > 1) as clusters from (select paper_id, citation_id, bool_or(reference_id is null) as s, count(*) as n from v_items group by 1, 2) group by 1")
 add("a23_counts_with_zero", lambda t: rw.with_vocabulary(_findings(t).groupBy("paper_id", "kind").agg(F.count(F.lit(1)).alias("n")), "kind", ["MISSING_WORK", "UNLINKED_CITATION", "UNRESOLVED_REFERENCE"], ["paper_id"]), f"with {FIND}, g as (select paper_id, kind, count(*) as n from fn group by 1, 2) select p.paper_id, v.kind, coalesce(n, 0) as n from (select distinct paper_id from fn) p, (select unnest(['MISSING_WORK', 'UNLINKED_CITATION', 'UNRESOLVED_REFERENCE']) as kind) v left join g on p.paper_id = g.paper_id and v.kind = g.kind")
-VERD = F.element_at(F.array(*map(F.lit, rw.VERDICTS)), (F.col("part_key") % 4 + 1).cast("int"))
-add("a24_severity_worst", lambda t: rw.severity_worst(t("v_refs").select("paper_id", F.col("bibliography_order").alias("place"), VERD.alias("verdict")), "paper_id"), "select paper_id, (['SUPPORTED', 'PARTIALLY_SUPPORTED', 'NOT_SUPPORTED', 'CONTRADICTED'])[max(part_key % 4) + 1] as verdict from v_refs group by 1")
+VERD = lambda: F.element_at(F.array(*map(F.lit, rw.VERDICTS)), (F.col("part_key") % 4 + 1).cast("int"))
+add("a24_severity_worst", lambda t: rw.severity_worst(t("v_refs").select("paper_id", F.col("bibliography_order").alias("place"), VERD().alias("verdict")), "paper_id"), "select paper_id, (['SUPPORTED', 'PARTIALLY_SUPPORTED', 'NOT_SUPPORTED', 'CONTRADICTED'])[max(part_key % 4) + 1] as verdict from v_refs group by 1")
 add("a25_paper_detail", lambda t: t("customer").select(F.col("c_custkey").alias("paper_id")).join(t("v_revisions").groupBy("paper_id").agg(F.count(F.lit(1)).alias("revisions"), F.min_by("revision_id", "revision_number").alias("first_id")), "paper_id", "left").na.fill(0, ["revisions"]), "select c_custkey as paper_id, coalesce(revisions, 0) as revisions, first_id from customer left join (select paper_id, count(*) as revisions, arg_min(revision_id, revision_number) as first_id from v_revisions group by 1) on c_custkey = paper_id")
 add("u02_lexical_rank", lambda t: rw.lexical_rank(t("v_refs").where("paper_id % 50 = 0 and title <> ''").select(F.col("reference_id").alias("id"), title_tokens(F.col("title")).alias("tokens")), t("v_works").where("work_key % 20 = 0 and provider = 'OPENALEX'").select(F.col("external_id").alias("id"), title_tokens(F.col("title")).alias("tokens")), 3).groupBy("rank").agg(F.count(F.lit(1)).alias("n")))
 add("u03_claim_candidates", lambda t: rw.claim_candidates(t("v_paragraphs").select("doc_id", F.col("par_no").alias("sent_no"), "text"), ["doc_id"]).select("doc_id", "sent_no", "place"), "select * from (select doc_id, par_no as sent_no, row_number() over (partition by doc_id order by regexp_matches(text, '\\d') desc, length(text) desc, par_no) as place from v_paragraphs) where place <= 3")

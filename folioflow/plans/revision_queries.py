@@ -14,11 +14,11 @@ from .text_queries import WS, norm_sql, words_sql
 R = Registry()
 add = R.add
 #: before: every paragraph with a token; after: some gone, some rewritten, some with another token, some new
-CITE1 = F.concat("text", F.lit(" [[CITE:c"), "par_no", F.lit("]]."))
-CITE2 = F.when(F.col("par_no") % 4 == 1, F.concat(F.lit("Now 42. "), "text", F.lit(" [[CITE:c"), "par_no", F.lit("]]."))).when(F.col("par_no") % 4 == 2, F.concat("text", F.lit(" [[CITE:d"), "par_no", F.lit("]]."))).otherwise(F.concat("text", F.lit("  [[CITE:c"), "par_no", F.lit("]].")))
-PAR = F.concat(F.lit("p_"), "par_no")
-before = lambda t: t("v_paragraphs").where("par_no % 7 <> 6").select("doc_id", PAR.alias("par_id"), CITE1.alias("text"))
-after = lambda t: t("v_paragraphs").where("par_no % 5 <> 0").select("doc_id", PAR.alias("par_id"), CITE2.alias("text"))
+CITE1 = lambda: F.concat("text", F.lit(" [[CITE:c"), "par_no", F.lit("]]."))
+CITE2 = lambda: F.when(F.col("par_no") % 4 == 1, F.concat(F.lit("Now 42. "), "text", F.lit(" [[CITE:c"), "par_no", F.lit("]]."))).when(F.col("par_no") % 4 == 2, F.concat("text", F.lit(" [[CITE:d"), "par_no", F.lit("]]."))).otherwise(F.concat("text", F.lit("  [[CITE:c"), "par_no", F.lit("]].")))
+PAR = lambda: F.concat(F.lit("p_"), "par_no")
+before = lambda t: t("v_paragraphs").where("par_no % 7 <> 6").select("doc_id", PAR().alias("par_id"), CITE1().alias("text"))
+after = lambda t: t("v_paragraphs").where("par_no % 5 <> 0").select("doc_id", PAR().alias("par_id"), CITE2().alias("text"))
 REV = """bf as (select doc_id, 'p_' || par_no as par_id, text || ' [[CITE:c' || par_no || ']].' as text from v_paragraphs where par_no % 7 <> 6),
 af as (select doc_id, 'p_' || par_no as par_id, case par_no % 4 when 1 then 'Now 42. ' || text || ' [[CITE:c' || par_no || ']].' when 2 then text || ' [[CITE:d' || par_no || ']].' else text || '  [[CITE:c' || par_no || ']].' end as text from v_paragraphs where par_no % 5 <> 0)"""
 CHG = f"""{REV}, pc as (select coalesce(bf.doc_id, af.doc_id) as doc_id, coalesce(bf.par_id, af.par_id) as par_id, case when af.text is null then 'PARAGRAPH_REMOVED' when bf.text is null then 'PARAGRAPH_ADDED' when {norm_sql('bf.text')} <> {norm_sql('af.text')} then 'PARAGRAPH_TEXT_CHANGED' end as kind,
@@ -29,10 +29,10 @@ add("d01_section_changes", lambda t: rv.removed_keys(before(t), after(t).where("
 add("d02_paragraph_changes", lambda t: rv.paragraph_changes(before(t), after(t)), f"with {CHG} select * from pk")
 SIG = lambda t, r: t("v_items").groupBy("citation_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("item_index", F.lit(":"), r))), ";").alias("signature"))
 SIG_SQL = "select citation_id, string_agg(item_index || ':' || {}, ';' order by item_index) as signature from v_items group by 1"
-NUM = F.regexp_extract("citation_id", r"_(\d+)$", 1).cast("long")
+NUM = lambda: F.regexp_extract("citation_id", r"_(\d+)$", 1).cast("long")
 add(
     "d03_citation_changes",
-    lambda t: rv.citation_changes(SIG(t, F.coalesce("reference_id", F.lit("-"))).where(NUM % 7 != 3).withColumn("home", F.concat(F.lit("p"), NUM % 4)), SIG(t, F.when(F.col("printed_order") % 5 == 0, "x").otherwise(F.coalesce("reference_id", F.lit("-")))).where(NUM % 5 != 4).withColumn("home", F.when(NUM % 6 == 5, None).otherwise(F.concat(F.lit("p"), NUM % 3)))),
+    lambda t: rv.citation_changes(SIG(t, F.coalesce("reference_id", F.lit("-"))).where(NUM() % 7 != 3).withColumn("home", F.concat(F.lit("p"), NUM() % 4)), SIG(t, F.when(F.col("printed_order") % 5 == 0, "x").otherwise(F.coalesce("reference_id", F.lit("-")))).where(NUM() % 5 != 4).withColumn("home", F.when(NUM() % 6 == 5, None).otherwise(F.concat(F.lit("p"), NUM() % 3)))),
     f"""with n as (select *, regexp_extract(citation_id, '_(\\d+)$', 1)::bigint as k from ({SIG_SQL.format("coalesce(reference_id, '-')")})), m as (select *, regexp_extract(citation_id, '_(\\d+)$', 1)::bigint as k from ({SIG_SQL.format("case when printed_order % 5 = 0 then 'x' else coalesce(reference_id, '-') end")})),
     a as (select citation_id, signature as s1, 'p' || (k % 4) as p1 from n where k % 7 <> 3), b as (select citation_id, signature as s2, case when k % 6 <> 5 then 'p' || (k % 3) end as p2 from m where k % 5 <> 4), j as (select * from a full join b using (citation_id))
     select citation_id, 'CITATION_REMOVED' as kind from j where s1 is not null and (s2 is null or p2 is null) union all select citation_id, 'CITATION_ITEM_CHANGED' from j where s1 <> s2 and p2 is not null
