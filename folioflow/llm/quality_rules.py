@@ -26,6 +26,8 @@ COMMON_WORDS = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al"],
 }
 SLOTS = 20
+LETTERS = "abcdefghijklmnopqrst"
+TABLE = 214
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.30
 MIN_CHARS = 200
@@ -33,6 +35,20 @@ MIN_WORDS = 100
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist"]
 
 
+def _slots(lang: str) -> dict[int, str]:
+    """Slot of each common word in a table of ``TABLE``, checked to be free of clashes."""
+    from xxhash import xxh64_intdigest
+
+    at: dict[int, str] = {}
+    for w in COMMON_WORDS[lang]:
+        h = xxh64_intdigest(w.encode(), seed=42)
+        h = h - 2**64 if h >= 2**63 else h
+        at.setdefault(h % TABLE, w)
+    if len(at) != len(COMMON_WORDS[lang]):
+        raise ValueError(f"common words of {lang} clash in a table of {TABLE} slots")
+    return at
+
+
 def base_features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Add the base counts and both histograms to ``docs``; everything stays within the row, nothing is shuffled."""
     d = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_w", words(F.col("_t")))
@@ -63,14 +79,22 @@ def base_features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     d = d.withColumn("_space", F.col("_chars") - F.col("word_chars"))
     rest = F.col("_chars") - F.col("_space") - F.col("_lower") - F.col("_upper") - F.col("_digit") - F.col("_letter")
     d = d.withColumn("char_hist", F.array("_lower", "_upper", "_digit", "_letter", "_space", "n_symbols", rest - F.col("n_symbols")))
-    listed = F.lit(None).cast("array<bigint>")
+    # one table of slots per language: a word's hash is compared once, with the listed word of its slot
+    table, names = F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<string>")
     for lang, common in COMMON_WORDS.items():
-        listed = F.when(F.col(lang_col) == lang, F.array(*[F.xxhash64(F.lit(w)) for w in common])).otherwise(listed)
-    d = d.withColumn("_list", listed)
-    counts = [(F.col("n_words") - F.size(F.array_remove(F.col("_h"), F.get(F.col("_list"), k)))).cast("long") for k in range(SLOTS)]
-    d = d.withColumn("_counts", F.when(F.col("_list").isNotNull(), F.array(*counts)))
+        at = _slots(lang)
+        hashes = F.array(*[F.xxhash64(F.lit(at[k])) if k in at else F.lit(None).cast("bigint") for k in range(TABLE)])
+        table = F.when(F.col(lang_col) == lang, hashes).otherwise(table)
+        letters = {w: LETTERS[i] for i, w in enumerate(common)}
+        names = F.when(F.col(lang_col) == lang, F.array(*[F.lit(letters[at[k]] if k in at else None).cast("string") for k in range(TABLE)])).otherwise(names)
+    d = d.withColumns({"_table": table, "_names": names})
+    slot = lambda x: F.pmod(x, F.lit(TABLE)).cast("int")
+    listed = F.filter("_h", lambda x: F.get(F.col("_table"), slot(x)) == x)
+    d = d.withColumn("_found", F.array_join(F.transform(listed, lambda x: F.get(F.col("_names"), slot(x))), ""))
+    counts = [(F.length("_found") - F.length(F.replace(F.col("_found"), F.lit(LETTERS[k]), F.lit("")))).cast("long") for k in range(SLOTS)]
+    d = d.withColumn("_counts", F.when(F.col("_table").isNotNull(), F.array(*counts)))
     d = d.withColumn("word_hist", F.concat("_counts", F.array(F.col("n_words") - F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x))))
-    return d.drop("_t", "_w", "_h", "_win", "_sorted", "_pos", "_lines", "_lower", "_upper", "_digit", "_letter", "_chars", "_space", "_list", "_counts")
+    return d.drop("_t", "_w", "_h", "_win", "_sorted", "_pos", "_lines", "_lower", "_upper", "_digit", "_letter", "_chars", "_space", "_table", "_names", "_found", "_counts")
 
 
 def js_distance(p: Column, q: Column) -> Column:
