@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,8 +31,9 @@ from .common import cut
 
 TABLES, ROWS = 9, 2
 PERCENT = 80
-CACHE_ENTRIES = 400_000
-PIVOTS = (1, 8, 64, 512)
+CACHE_ENTRIES = 200_000
+PIVOTS = (32, 512, 4096)
+BITMAP = 16  # longs
 
 
 class _WordHashes(dict):
@@ -100,15 +101,21 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
 
 
 def shingle_sets(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, shingles array<long>)."""
+    """(doc_id, shingles array<long>, bits array<long>): ``bits`` marks the slots that shingles fall into."""
+
+    def bitmap(s: np.ndarray) -> np.ndarray:
+        slots = np.zeros(64 * BITMAP, np.uint8)
+        slots[s % np.uint64(64 * BITMAP)] = 1
+        return np.packbits(slots).view(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["id"], "shingles": [shingles(t, width, hashes).view(np.int64) for t in batch["text"].tolist()]})
+            each = [shingles(t, width, hashes) for t in batch["text"].tolist()]
+            yield pd.DataFrame({"doc_id": batch["id"], "shingles": [s.view(np.int64) for s in each], "bits": [bitmap(s) for s in each]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, shingles array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, shingles array<long>, bits array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -153,36 +160,62 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int = PERCEN
         both = cand.join(x, "a").join(y, "b").withColumn("_common", F.size(F.array_intersect("sa", "sb")).cast("long"))
         return both.where(100 * F.col("_common") >= percent * (F.size("sa") + F.size("sb") - F.col("_common"))).select("a", "b")
 
-    fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    tested = edges = labels = None
-    rounds = 0
-    while True:
-        if labels is None:
-            now = active.withColumn("label", F.col("cid"))
-        else:
-            now = active.join(labels.withColumnRenamed("label", "_l"), active["cid"] == labels["id"], "left").select("key", "cid", "n", F.coalesce("_l", "cid").alias("label"))
-            # what is one component, or alone, needs no comparison
-            mixed = now.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("key")
-            now = cut(now.join(mixed, "key", "left_semi"), "dedup-round")
-            if now.isEmpty():
-                return labels
-        width_now = PIVOTS[min(rounds, len(PIVOTS) - 1)]
-        rounds += 1
-        rank = F.row_number().over(W.partitionBy("key").orderBy("cid"))
-        pivots = now.withColumn("_r", rank).where(F.col("_r") <= width_now).select("key", F.col("cid").alias("a"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-        cand = now.join(pivots, "key").where((F.col("cid") > F.col("a")) & (F.col("label") != F.col("l2")) & fits).select("a", F.col("cid").alias("b"))
-        if labels is None:
-            # one link is enough to join a group: each class is first compared with its smallest pivot
-            cand = cand.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        else:
-            cand = cand.distinct().join(tested, ["a", "b"], "left_anti")
-            done = pivots.select("key", F.col("a").alias("cid"))
-            active = cut(now.select("key", "cid", "n").join(done, ["key", "cid"], "left_anti"), "dedup-buckets")
-        cand = cut(cand, "dedup-candidates")
-        found = cut(verify(cand), "dedup-links")
-        tested = cand if tested is None else tested.unionByName(cand)
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
+    # no link can have more common shingles than either side shares with any other class
+    most = F.least("e", "e2")
+    fits = 100 * most >= percent * (F.col("n") + F.col("n2") - most)
+    # slots marked on one side only bound the difference of two sets from below
+    apart = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"o{i}"))) for i in range(BITMAP)), F.lit(0))
+    close = apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n2"))
+    bits = [f"m{i}" for i in range(BITMAP)]
+    rank = F.row_number().over(W.partitionBy("key").orderBy("cid"))
+
+    def candidates(now: DataFrame, pivots: DataFrame, also: Column | None) -> DataFrame:
+        may = (F.col("cid") > F.col("a")) & (F.col("label") != F.col("l2")) & fits
+        return now.join(pivots, "key").where(may if also is None else may & also).select("a", F.col("cid").alias("b"))
+
+    def as_pivots(rows: DataFrame, *more: Column) -> DataFrame:
+        return rows.select("key", F.col("cid").alias("a"), F.col("n").alias("n2"), F.col("e").alias("e2"), F.col("label").alias("l2"), *more)
+
+    # one link is enough to join a group: each class is first compared with its smallest pivot alone
+    now = active.withColumns({"e": F.col("n"), "label": F.col("cid")})
+    first = candidates(now, as_pivots(now.withColumn("_r", rank).where("_r = 1")), None).groupBy("b").agg(F.min("a").alias("a"))
+    edges = cut(verify(first), "dedup-links")
+    labels = components(edges)
+    active = _mixed_buckets(now.drop("label"), labels).drop("label")
+    active = _shared_sizes(cut(active, "dedup-buckets"), sets).where(100 * F.col("e") >= percent * F.col("n"))
+    for width_now in (*PIVOTS, *[PIVOTS[-1]] * 10_000):
+        now = cut(_mixed_buckets(active, labels).withColumn("_r", rank), "dedup-round")
+        if now.isEmpty():
+            return labels
+        pivots = as_pivots(now.where(F.col("_r") <= width_now), *[F.col(m).alias(f"o{m[1:]}") for m in bits])
+        found = cut(verify(candidates(now, pivots, close).distinct()), "dedup-links")
+        active = now.where(F.col("_r") > width_now).drop("_r", "label")
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            labels = components(edges)
+    return labels
+
+
+def _mixed_buckets(active: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bucket rows with their component label, without the buckets that lie in one component."""
+    now = active.join(labels.withColumnRenamed("label", "_l"), active["cid"] == labels["id"], "left").withColumn("label", F.coalesce("_l", "cid")).drop("id", "_l")
+    mixed = now.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("key")
+    return now.join(mixed, "key", "left_semi")
+
+
+def _shared_sizes(now: DataFrame, sets: DataFrame) -> DataFrame:
+    """``now`` with its bitmap and ``e``: how many of its shingles a class shares with any other class left.
+
+    Links among what is left can only rest on these, so a class below the threshold in
+    them is out, as texts are that have only a frequent passage in common with others.
+    """
+    rows = now.select("key", "cid", "n")
+    slots = sets.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cid"), *[F.get("bits", F.lit(i)).alias(f"m{i}") for i in range(BITMAP)])
+    ids = rows.select(F.col("cid").alias("doc_id")).distinct()
+    each = sets.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("shingles").alias("s"))
+    alone = each.groupBy("s").agg(F.count(F.lit(1)).alias("_c"), F.min("doc_id").alias("cid")).where("_c = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("_u"))
+    e = F.col("n") - F.coalesce("_u", F.lit(0))
+    return rows.join(alone, "cid", "left").withColumn("e", e).drop("_u").join(slots, "cid")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
