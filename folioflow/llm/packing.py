@@ -30,7 +30,7 @@ from .common import cut
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 SLICES_PER_LENGTH = 16
 
 
@@ -55,12 +55,14 @@ def _encoder(path: str):
 
     pattern = regex.compile(public_tokenizers.PATTERN)
     bpe = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole = Tokenizer.from_file(path)
+    whole: list[Tokenizer] = []  # loaded for the rare text that holds a special token
     cache: dict[str, bytes] = {}
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special):
-            return np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if not whole:
+                whole.append(Tokenizer.from_file(path))
+            return np.asarray(whole[0].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         found = pattern.findall(text)
         try:
             return b"".join([cache[w] for w in found])
