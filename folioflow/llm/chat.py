@@ -60,13 +60,15 @@ def tree_paths(messages: DataFrame, most: int = 64) -> DataFrame:
     paths = n.join(up, known, "left").select("tree_id", "node_id", F.col("p_id").alias("next_id"), F.array("node_id").alias("path"), F.col("score").alias("path_score"))
     paths = cut(paths, "chat-paths")
     for _ in range(most):
-        if paths.where(F.col("next_id").isNotNull()).isEmpty():
+        open_ = F.col("next_id").isNotNull()
+        if paths.where(open_).isEmpty():
             break
-        a, b = paths.alias("a"), paths.alias("b")
+        # only paths that have not reached their root are joined again
+        a, b = paths.where(open_).alias("a"), paths.alias("b")
         joined = a.join(b, F.col("a.tree_id").eqNullSafe(F.col("b.tree_id")) & (F.col("a.next_id") == F.col("b.node_id")), "left")
         none = F.array().cast(paths.schema["path"].dataType)
-        paths = joined.select("a.tree_id", "a.node_id", F.col("b.next_id").alias("next_id"), F.concat(F.coalesce("b.path", none), "a.path").alias("path"), (F.coalesce("b.path_score", F.lit(0.0)) + F.col("a.path_score")).alias("path_score"))
-        paths = cut(paths, "chat-paths")
+        longer = joined.select("a.tree_id", "a.node_id", F.col("b.next_id").alias("next_id"), F.concat(F.coalesce("b.path", none), "a.path").alias("path"), (F.coalesce("b.path_score", F.lit(0.0)) + F.col("a.path_score")).alias("path_score"))
+        paths = cut(paths.where(~open_).unionByName(longer), "chat-paths")
     inner = n.where(F.col("parent_id").isNotNull()).select(F.col("tree_id").alias("p_tree"), F.col("parent_id").alias("p_id"))
     leaf = F.col("tree_id").eqNullSafe(F.col("p_tree")) & (F.col("node_id") == F.col("p_id"))
     return paths.join(inner, leaf, "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), "path", "path_score")
