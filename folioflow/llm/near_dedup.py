@@ -147,7 +147,7 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int = PERCEN
     alive = cut(_alive(first).join(_alive(second), "cid", "left_semi"), "dedup-alive")
     live = classes.join(alive, "cid", "left_semi")
     pairs = F.flatten(F.transform(F.slice("sig", 1, TABLES), lambda x, i: F.transform(F.slice("sig", TABLES + 1, TABLES), lambda y, j: F.xxhash64(i * TABLES + j, x, y))))
-    keys = cut(live.select("cid", "n", F.explode(pairs).alias("key")), "dedup-keys")
+    keys = cut(live.select("cid", "n", F.posexplode(pairs).alias("place", "key")), "dedup-keys")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
     active = cut(keys.join(shared, "key", "left_semi"), "dedup-buckets")
     wanted = active.select("cid").distinct()
@@ -167,6 +167,14 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int = PERCEN
     apart = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"o{i}"))) for i in range(BITMAP)), F.lit(0))
     close = apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n2"))
     bits = [f"m{i}" for i in range(BITMAP)]
+
+    def first_equal(shift: int) -> Column:
+        """Place of the first signature that two classes share in the collection kept at ``shift``."""
+        same = lambda k: F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}").bitwiseXOR(F.col(f"z{k}")), shift), 32) == 0
+        return F.coalesce(*[F.when(same(k), k) for k in range(TABLES)])
+
+    # a pair is made in the first table that its classes share, and in no other
+    once = F.col("place") == first_equal(0) * TABLES + first_equal(32)
     rank = F.row_number().over(W.partitionBy("key").orderBy("cid"))
 
     def candidates(now: DataFrame, pivots: DataFrame, also: Column | None) -> DataFrame:
@@ -182,13 +190,13 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int = PERCEN
     edges = cut(verify(first), "dedup-links")
     labels = components(edges)
     active = _mixed_buckets(now.drop("label"), labels).drop("label")
-    active = _shared_sizes(cut(active, "dedup-buckets"), sets).where(100 * F.col("e") >= percent * F.col("n"))
+    active = _shared_sizes(cut(active, "dedup-buckets"), sets, live).where(100 * F.col("e") >= percent * F.col("n"))
     for width_now in (*PIVOTS, *[PIVOTS[-1]] * 10_000):
         now = cut(_mixed_buckets(active, labels).withColumn("_r", rank), "dedup-round")
         if now.isEmpty():
             return labels
-        pivots = as_pivots(now.where(F.col("_r") <= width_now), *[F.col(m).alias(f"o{m[1:]}") for m in bits])
-        found = cut(verify(candidates(now, pivots, close).distinct()), "dedup-links")
+        pivots = as_pivots(now.where(F.col("_r") <= width_now), *[F.col(m).alias(f"o{m[1:]}") for m in bits], *[F.col(f"s{k}").alias(f"z{k}") for k in range(TABLES)])
+        found = cut(verify(candidates(now, pivots, close & once).distinct()), "dedup-links")
         active = now.where(F.col("_r") > width_now).drop("_r", "label")
         if not found.isEmpty():
             edges = edges.unionByName(found)
@@ -203,19 +211,21 @@ def _mixed_buckets(active: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(mixed, "key", "left_semi")
 
 
-def _shared_sizes(now: DataFrame, sets: DataFrame) -> DataFrame:
-    """``now`` with its bitmap and ``e``: how many of its shingles a class shares with any other class left.
+def _shared_sizes(now: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``now`` with its bitmap, its signatures (32 bits of each) and ``e``: how many of its shingles a class shares with any other class left.
 
     Links among what is left can only rest on these, so a class below the threshold in
     them is out, as texts are that have only a frequent passage in common with others.
     """
-    rows = now.select("key", "cid", "n")
+    rows = now.select("key", "place", "cid", "n")
+    low = lambda i: F.get("sig", F.lit(i)).bitwiseAND(F.lit(0xFFFFFFFF))
+    kept = classes.select("cid", *[low(k).bitwiseOR(F.shiftleft(low(k + TABLES), 32)).alias(f"s{k}") for k in range(TABLES)])
     slots = sets.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cid"), *[F.get("bits", F.lit(i)).alias(f"m{i}") for i in range(BITMAP)])
     ids = rows.select(F.col("cid").alias("doc_id")).distinct()
     each = sets.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("shingles").alias("s"))
     alone = each.groupBy("s").agg(F.count(F.lit(1)).alias("_c"), F.min("doc_id").alias("cid")).where("_c = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("_u"))
     e = F.col("n") - F.coalesce("_u", F.lit(0))
-    return rows.join(alone, "cid", "left").withColumn("e", e).drop("_u").join(slots, "cid")
+    return rows.join(alone, "cid", "left").withColumn("e", e).drop("_u").join(slots, "cid").join(kept, "cid")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
