@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on ordinary and on toxic text.  A text is cut
+Two zstandard dictionaries are made, of ordinary and of toxic text.  A text is cut
 into windows of ``WINDOW`` words; a window is suspicious when the toxic dictionary
-compresses it into fewer bytes than the ordinary one does.  Both dictionaries share the
-content and entropy tables trained on ordinary text, so that what they differ by is the
-toxic text alone: words of toxic documents that no ordinary document of the sample has
-and that follow several different words, which keeps out passages that copies share.
+compresses it into fewer bytes than the ordinary one does.  Only the ordinary one is
+trained by zstandard: the toxic one is the same bytes and up to ``TOXIC_BYTES`` of words,
+beginnings of words and pairs of words that have at least ``RATIO`` times as large a share
+of the toxic documents as of the ordinary ones and follow several different words, which
+keeps out passages that copies share.  README has the figures of truly trained ones.
 Thresholds are calibrated on sampled documents that the dictionaries have not seen.
 
 The model is fitted on at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled documents
@@ -18,7 +19,8 @@ are scored one by one; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +38,7 @@ LEVEL = 3
 ORDINARY_BYTES, TOXIC_BYTES = 49_152, 8_192
 SAMPLES = 40_000
 CONTEXTS, CONTEXT_SHARE = 3, 0.005
+RATIO = 20
 BEGINNINGS = (4, 5, 6)  # bytes of word beginnings that count like words
 THRESHOLD = 0.3
 
@@ -72,6 +75,36 @@ class Model:
         return 1 / (1 + np.exp(-(self.weights[0] + (rows - self.mean) / self.scale @ self.weights[1:])))
 
 
+def units(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """(word before, unit) of every word, word beginning and pair of words; words and pairs end in a space."""
+    for first, a, b in zip([b"", b"", *words], [b"", *words], words):
+        yield a, b + b" "
+        for n in BEGINNINGS:
+            if n <= len(b):
+                yield a, b[:n]
+        if a:
+            yield first, a + b" " + b + b" "
+
+
+def toxic_units(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """Units in at least ``RATIO`` times as large a share of toxic as of ordinary documents, after enough different words; the most varied last."""
+    least = max(CONTEXTS, round(CONTEXT_SHARE * len(toxic)))
+    slots = np.zeros(1 << 20, np.int64)  # of hashed units; a unit is counted itself only where its slot has enough documents
+    for words in toxic:
+        slots[list({zlib.crc32(u) & 0xFFFFF for _, u in units(words)})] += 1
+    before: dict[bytes, set[bytes]] = defaultdict(set)
+    here, there = Counter(), Counter()
+    for words in toxic:
+        own = [(a, u) for a, u in units(words) if slots[zlib.crc32(u) & 0xFFFFF] >= least]
+        here.update({u for _, u in own})
+        for a, u in own:
+            before[u].add(a)
+    found = {u: len(v) for u, v in before.items() if len(v) >= least and here[u] >= least}
+    for words in ordinary:
+        there.update({u for _, u in units(words) if u in found})
+    return sorted((u for u in found if here[u] * len(ordinary) >= RATIO * there[u] * len(toxic)), key=lambda u: (found[u], u))
+
+
 def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary bytes from the words of labelled documents."""
     base = [w for words in ordinary for w in windows(words)]
@@ -80,17 +113,7 @@ def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes,
         plain = zstandard.train_dictionary(ORDINARY_BYTES, base, k=64, d=8, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their text is the dictionary
         plain = (b" " * 64 + b"".join(base))[-ORDINARY_BYTES:]
-    known = {w[:n] for words in ordinary for w in set(words) for n in (*BEGINNINGS, None)}
-    before: dict[bytes, set[bytes]] = defaultdict(set)
-    for words in toxic:
-        for a, b in zip([b"", *words], words):
-            if b not in known:
-                for n in (*BEGINNINGS, None):
-                    if b[:n] not in known:
-                        before[b[:n]].add(a)
-    least = max(CONTEXTS, round(CONTEXT_SHARE * len(toxic)))
-    chosen = sorted((len(v), w) for w, v in before.items() if len(v) >= least)
-    content = b" ".join(w for _, w in chosen)[-TOXIC_BYTES:]
+    content = b" ".join(reversed(dict.fromkeys(u.strip() for u in reversed(toxic_units(toxic, ordinary)))))[-TOXIC_BYTES:]
     return plain, plain + b" " + content + b" "
 
 
