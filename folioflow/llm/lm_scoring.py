@@ -5,7 +5,8 @@ maximum-likelihood estimates of the bigram, the unigram and a uniform word, with
 weights that depend on how often the context was seen; expectation-maximisation learns
 them on counts of a tenth of the training documents, deleted from the estimates meanwhile.
 
-Counting.  Documents are dealt to chunks by id.  Where a text is read, the distinct
+Counting.  Each partition's rows are cut into chunks of ``CHUNK_DOCS`` in their order and
+written with their chunk, so that no id makes a chunk larger and both passes see the same.  Where a text is read, the distinct
 unigram and bigram keys of its chunk are counted; packed by key range they are shuffled
 once, totalled per range, and the totals go back to each chunk as counts in the order of
 the chunk's own sorted keys, which the chunk can compute again, so keys travel one way
@@ -27,7 +28,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import cut, fold
 
@@ -95,18 +95,14 @@ def _unpack(data: bytes) -> np.ndarray:
 def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
     """(doc_id, text, train, chunk) and the bits of the key range.  Chunks 2 k + 1 hold held-out training documents."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    number = isinstance(d.schema["doc_id"].dataType, T.IntegralType)
-    r = d.agg(F.count(F.lit(1)).alias("n"), *([F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")] if number else [])).first()
-    chunks = max(1, -(-r["n"] // CHUNK_DOCS))
-    if number and r["lo"] is not None:
-        wide = max(1, -(-(r["hi"] - r["lo"] + 1) // chunks))
-        at = F.floor((F.coalesce(F.col("doc_id"), F.lit(r["lo"])) - F.lit(r["lo"])) / wide)
-    else:
-        at = F.pmod(F.xxhash64("doc_id"), F.lit(chunks))
     train = F.coalesce(fold("doc_id", 10) != 0, F.lit(False))
     kept = train & (F.crc32(F.concat(F.lit("held"), F.col("doc_id").cast("string")).cast("binary")) % 10 == 0)
+    row = F.monotonically_increasing_id()  # partition in the upper bits, row of the partition in the lower 33
+    at = F.shiftright(row, 33) * (1 << 23) + F.floor(row.bitwiseAND((1 << 33) - 1) / CHUNK_DOCS)
+    d = cut(d.withColumn("train", train).withColumn("chunk", at.cast("long") * 2 + F.coalesce(kept, F.lit(False)).cast("long")), "lm-rows", compression="zstd")
+    chunks = max(1, -(-d.count() // CHUNK_DOCS))
     bits = min(15, max(4, int(np.ceil(np.log2(chunks / 2 + 1)))))
-    return d.withColumn("train", train).withColumn("chunk", at.cast("long") * 2 + F.coalesce(kept, F.lit(False)).cast("long")), bits
+    return d, bits
 
 
 def count_keys(docs: DataFrame, bits: int) -> DataFrame:
