@@ -43,7 +43,7 @@ add("r13_identity_mismatch", lambda t: rs.identity_mismatch(t("v_works").withCol
 
 
 def _lists(t):
-    w = t("v_works").where("work_key < 2000").withColumn("query_id", F.floor(F.col("work_key") / 7).cast("long"))
+    w = t("v_works").withColumn("query_id", F.floor(F.col("work_key") / 7).cast("long"))
     return w.withColumn("rank", F.col("work_key") % 7 * 2 + F.when(F.col("provider") == "OPENALEX", 0).otherwise(1))
 
 

@@ -1,0 +1,11 @@
+"""Whole jobs on inputs that the queries once cut short."""
+
+from pyspark.sql import functions as F
+
+from folioflow.plans import resolution_queries
+
+
+def test_lists_hold_every_work(spark):
+    works = spark.range(4990).select(F.col("id").alias("work_key"), F.lit("OPENALEX").alias("provider"))
+    got = resolution_queries._lists(lambda name: works)
+    assert got.count() == 4990 and got.groupBy("query_id").count().agg(F.max("count")).first()[0] == 7
