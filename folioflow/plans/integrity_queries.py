@@ -17,10 +17,9 @@ from .text_queries import TITLE_SQL, norm_sql
 
 R = Registry()
 add = R.add
-SOME = lambda t: t("v_works").where("work_key < 700")
 add(
     "r15_dedupe_works_components",
-    lambda t: ig.dedupe_works_components(SOME(t).select("provider", "external_id", "title", "doi", "arxiv_id")),
+    lambda t: ig.dedupe_works_components(t("v_works").select("provider", "external_id", "title", "doi", "arxiv_id")),
     f"""with recursive w as (select provider || ':' || external_id as id, lower(doi) as d, lower(arxiv_id) as x, {TITLE_SQL.format("title")} as k from v_works where work_key < 700),
     e as (select a.id as a, b.id as b from w a join w b on a.d = b.d or a.x = b.x or (100 * len(list_intersect(a.k, b.k)) >= 72 * len(list_distinct(list_concat(a.k, b.k))) and len(a.k) > 0)),
     r as (select id as id, id as c from w union select e.b, r.c from r join e on r.id = e.a) select id, min(c) as component from r group by 1""",
