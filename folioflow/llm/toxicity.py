@@ -1,20 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made, of ordinary and of toxic text.  A text is cut
-into windows of ``WINDOW`` words; a window is suspicious when the toxic dictionary
-compresses it into fewer bytes than the ordinary one does.  Only the ordinary one is
-trained by zstandard: the toxic one is the same bytes and up to ``TOXIC_BYTES`` of words,
-beginnings of words and pairs of words that have at least ``RATIO`` times as large a share
-of the toxic documents as of the ordinary ones and follow several different words, which
-keeps out passages that copies share.  README has the figures of truly trained ones.
-Thresholds are calibrated on sampled documents that the dictionaries have not seen.
+zstandard trains two dictionaries, one on windows of ordinary documents and one on telling
+snippets of toxic documents.  A text is cut into windows of ``WINDOW`` words; a window is
+suspicious when the ordinary and the toxic dictionary together compress it into fewer bytes
+than the ordinary one alone does.  Snippets are the occurrences of words and pairs of words
+that are, or begin with, a unit with at least ``RATIO`` times as large a share of the toxic
+documents as of the ordinary ones, and that follows several different words, which keeps out
+passages that copies share.  A toxic dictionary of whole windows tells far less, as toxic
+documents are ordinary text for the most part; README has the figures.  Thresholds are
+calibrated on sampled documents that the dictionaries have not seen.
 
 The model is fitted on at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled documents
 (smallest seeded id hash first), the only bound; every whole text is scored.
 
 Handling: null and blank texts have one empty window and are scored like any other;
-null labels are not learned from; with no toxic label every score is 0; repeated rows
-are scored one by one; an empty table gives an empty result.
+null labels are not learned from; with no toxic label every score is 0; of training rows
+with one id one counts; repeated rows are scored one by one; an empty table gives an empty
+result; other columns are carried or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -105,16 +107,30 @@ def toxic_units(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[b
     return sorted((u for u in found if here[u] * len(ordinary) >= RATIO * there[u] * len(toxic)), key=lambda u: (found[u], u))
 
 
+def snippets(words: list[bytes], telling: set[bytes]) -> Iterator[bytes]:
+    """The words and pairs of a text that are, or begin with, a telling unit."""
+    for a, b in zip([b"", *words], words):
+        if b + b" " in telling or any(b[:n] in telling for n in BEGINNINGS):
+            yield b" " + b + b" "
+        if a and a + b" " + b + b" " in telling:
+            yield b" " + a + b" " + b + b" "
+
+
+def dictionary(size: int, samples: list[bytes]) -> bytes:
+    """Trained dictionary bytes; the end of the samples' own text where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=64, d=8, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return (b" " * 64 + b"".join(samples))[-size:]
+
+
 def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionary bytes from the words of labelled documents."""
+    """Bytes of the ordinary dictionary, and of both together, from the words of labelled documents."""
     base = [w for words in ordinary for w in windows(words)]
     base = [base[i] for i in np.random.RandomState(7).permutation(len(base))[:SAMPLES]]
-    try:
-        plain = zstandard.train_dictionary(ORDINARY_BYTES, base, k=64, d=8, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: their text is the dictionary
-        plain = (b" " * 64 + b"".join(base))[-ORDINARY_BYTES:]
-    content = b" ".join(reversed(dict.fromkeys(u.strip() for u in reversed(toxic_units(toxic, ordinary)))))[-TOXIC_BYTES:]
-    return plain, plain + b" " + content + b" "
+    telling = set(toxic_units(toxic, ordinary))
+    plain = dictionary(ORDINARY_BYTES, base)
+    return plain, plain + dictionary(TOXIC_BYTES, [x for words in toxic for x in snippets(words, telling)])
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = bounded_sample(known.where("toxic = 1"), "doc_id", toxic_rows).unionByName(bounded_sample(known.where("toxic = 0"), "doc_id", ordinary_rows))
     # at most toxic_rows + ordinary_rows ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("x"))
+    rows = rows.select("doc_id", "x.text", "x.toxic").orderBy("doc_id").toPandas()
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if not len(rows) or not share or share == 1:
         return None
