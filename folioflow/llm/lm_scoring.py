@@ -5,14 +5,16 @@ maximum-likelihood estimates of the bigram, the unigram and a uniform word, with
 weights that depend on how often the context was seen; expectation-maximisation learns
 them on counts of a tenth of the training documents, deleted from the estimates meanwhile.
 
-Counting.  Each partition's rows are cut into chunks of ``CHUNK_DOCS`` in their order and
-written with their chunk, so that no id makes a chunk larger and both passes see the same.  Where a text is read, the distinct
+Counting.  Each partition's rows are cut into chunks in their order, of ``CHUNK_DOCS`` rows or
+``CHUNK_BYTES`` of text at most (a longer text is a chunk of its own), and written with their
+chunk, so that neither ids nor long texts make a chunk larger and both passes see the same.  Where a text is read, the distinct
 unigram and bigram keys of its chunk are counted; packed by key range they are shuffled
 once, totalled per range, and the totals go back to each chunk as counts in the order of
 the chunk's own sorted keys, which the chunk can compute again, so keys travel one way
 only.  A frequent key is one entry a chunk, whatever its frequency.
 
-Keys are hashes of 48 bits within ranges whose number grows with the input.
+Keys are hashes of 48 bits or more, within ranges whose number grows with the input; counts
+take eight bytes wherever one is beyond four.
 
 Handling: null text is empty and has the end token alone; a null id is scored but not
 learned from; repeated rows count and are scored one by one; with no training tokens the
@@ -25,13 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fold
 
-CHUNK_DOCS = 2_000
+CHUNK_DOCS, CHUNK_BYTES = 2_000, 8 << 20
+MOST_BITS = 40  # of the key range
 FLUSH_TOKENS = 2_000_000
 CACHE_ENTRIES = 200_000
 BUCKETS = 24
@@ -58,6 +64,11 @@ def tokenise(text: str | None, hashes: _WordHashes) -> list[int]:
     return out
 
 
+def _shift(bits: int) -> np.uint64:
+    """Bits of a key below its range: 48, or what more than 16 range bits leave of 64."""
+    return np.uint64(min(48, 64 - bits))
+
+
 def keys(tokens: np.ndarray, starts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Sortable unigram and bigram keys of documents laid end to end; a document's first context is the end token."""
     before = np.empty_like(tokens)
@@ -68,9 +79,11 @@ def keys(tokens: np.ndarray, starts: np.ndarray, bits: int) -> tuple[np.ndarray,
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
 
+    at = _shift(bits)
+    low = (np.uint64(1) << at) - np.uint64(2)
+
     def key(h: np.ndarray, kind: int) -> np.ndarray:
-        top = h >> np.uint64(64 - bits) << np.uint64(48)
-        return top | (h & LOW48 & ~np.uint64(1)) | np.uint64(kind)
+        return h >> np.uint64(64 - bits) << at | (h & low) | np.uint64(kind)
 
     return key(tokens, 0), key(x, 1)
 
@@ -92,16 +105,44 @@ def _unpack(data: bytes) -> np.ndarray:
     return x.view("<u8").ravel()
 
 
-def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+def _put(counts: np.ndarray) -> bytes:
+    """Counts as bytes, four each or eight where one is beyond four; the first byte says which."""
+    wide = len(counts) and counts.max() >= 1 << 32
+    return (b"\x08" if wide else b"\x04") + counts.astype("<u8" if wide else "<u4").tobytes()
+
+
+def _take(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u8" if data[:1] == b"\x08" else "<u4", offset=1).astype(np.int64)
+
+
+def _chunked(most_rows: int, most_bytes: int):
+    """Task function that adds ``chunk`` to rows with ``text`` and ``kept``: unique to the task, by rows and bytes in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 24
+        chunk = rows = size = 0
+        for b in batches:
+            out = np.zeros(b.num_rows, np.int64)
+            for i, n in enumerate(pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()):
+                if rows and (rows >= most_rows or size + n > most_bytes):
+                    chunk, rows, size = chunk + 1, 0, 0
+                out[i], rows, size = first + chunk, rows + 1, size + n
+            out = 2 * out + b.column("kept").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), b.column("train"), pa.array(out)], names=["doc_id", "text", "train", "chunk"])
+
+    return run
+
+
+def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int | None = None, size: int | None = None) -> tuple[DataFrame, int]:
     """(doc_id, text, train, chunk) and the bits of the key range.  Chunks 2 k + 1 hold held-out training documents."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     train = F.coalesce(fold("doc_id", 10) != 0, F.lit(False))
     kept = train & (F.crc32(F.concat(F.lit("held"), F.col("doc_id").cast("string")).cast("binary")) % 10 == 0)
-    row = F.monotonically_increasing_id()  # partition in the upper bits, row of the partition in the lower 33
-    at = F.shiftright(row, 33) * (1 << 23) + F.floor(row.bitwiseAND((1 << 33) - 1) / CHUNK_DOCS)
-    d = cut(d.withColumn("train", train).withColumn("chunk", at.cast("long") * 2 + F.coalesce(kept, F.lit(False)).cast("long")), "lm-rows", compression="zstd")
-    chunks = max(1, -(-d.count() // CHUNK_DOCS))
-    bits = min(15, max(4, int(np.ceil(np.log2(chunks / 2 + 1)))))
+    d = d.withColumns({"train": train, "kept": F.coalesce(kept, F.lit(False))})
+    kind = docs.schema[id_col].dataType.simpleString()
+    d = cut(d.mapInArrow(_chunked(rows or CHUNK_DOCS, size or CHUNK_BYTES), f"doc_id {kind}, text string, train boolean, chunk long"), "lm-rows", compression="zstd")
+    chunks = max(1, d.agg(F.count_distinct(F.floor(F.col("chunk") / 2))).first()[0])
+    bits = min(MOST_BITS, max(4, int(np.ceil(np.log2(chunks / 2 + 1)))))
     return d, bits
 
 
@@ -116,9 +157,11 @@ def count_keys(docs: DataFrame, bits: int) -> DataFrame:
         def flush() -> Iterator[pd.DataFrame]:
             for chunk, parts in held.items():
                 k, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                n = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(k)).astype("<u4")
-                edge = np.searchsorted(k >> np.uint64(48), np.arange((1 << bits) + 1, dtype=np.uint64))
-                rows = [(r, chunk, _pack(k[a:b]), n[a:b].tobytes()) for r, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
+                n = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(k)).astype(np.int64)
+                at, low = _shift(bits), (np.uint64(1) << _shift(bits)) - np.uint64(1)
+                names, starts = np.unique(k >> at, return_index=True)
+                ends = np.append(starts[1:], len(k))
+                rows = [(r, chunk, _pack(k[a:b] & low), _put(n[a:b])) for r, a, b in zip(names.astype(np.int64), starts, ends)]
                 yield pd.DataFrame(rows, columns=["range", "chunk", "keys", "counts"])
             held.clear()
 
@@ -135,7 +178,7 @@ def count_keys(docs: DataFrame, bits: int) -> DataFrame:
                 tokens_held = 0
         yield from flush()
 
-    return docs.select("chunk", "train", "text").mapInPandas(run, "range int, chunk long, keys binary, counts binary")
+    return docs.select("chunk", "train", "text").mapInPandas(run, "range long, chunk long, keys binary, counts binary")
 
 
 def total_keys(counted: DataFrame) -> DataFrame:
@@ -149,19 +192,20 @@ def total_keys(counted: DataFrame) -> DataFrame:
         k, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         owner = np.repeat(pdf["chunk"].to_numpy(), sizes)
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]]).astype(np.float64)
-        total = np.bincount(inverse, n, len(k)).astype("<u4")
-        held = np.bincount(inverse, n * (owner % 2 == 1), len(k)).astype("<u4")
+        n = np.concatenate([_take(x) for x in pdf["counts"]]).astype(np.float64)
+        # sums of doubles are exact to 2**53
+        total = np.bincount(inverse, n, len(k)).astype(np.int64)
+        held = np.bincount(inverse, n * (owner % 2 == 1), len(k)).astype(np.int64)
         where, rows, at = int(pdf["range"].iloc[0]), [], np.concatenate([[0], np.cumsum(sizes)])
         for chunk, group in pd.Series(range(len(parts))).groupby(pdf["chunk"].to_numpy()):
             mine = np.unique(np.concatenate([inverse[at[i] : at[i + 1]] for i in group]))
-            rows.append((chunk, where, total[mine].tobytes(), held[mine].tobytes() if chunk % 2 else b""))
+            rows.append((chunk, where, _put(total[mine]), _put(held[mine]) if chunk % 2 else b""))
         words = k % np.uint64(2) == 0
-        t, h = total[words].astype(np.int64), held[words].astype(np.int64)
+        t, h = total[words], held[words]
         rows.append((-1, where, np.array([t.sum(), (t > 0).sum(), (t - h).sum(), (t > h).sum()], "<i8").tobytes(), b""))
         return pd.DataFrame(rows, columns=["chunk", "range", "total", "deleted"])
 
-    return counted.groupBy("range").applyInPandas(run, "chunk long, range int, total binary, deleted binary")
+    return counted.groupBy("range").applyInPandas(run, "chunk long, range long, total binary, deleted binary")
 
 
 def _chunk_counts(docs: pd.DataFrame, table: pd.DataFrame, bits: int, column: str = "total"):
@@ -173,7 +217,7 @@ def _chunk_counts(docs: pd.DataFrame, table: pd.DataFrame, bits: int, column: st
     order = table.sort_values("range")
     out = []
     for name in [column] if column == "total" else ["total", column]:
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in order[name]]).astype(np.int64)
+        n = np.concatenate([_take(x) for x in order[name]])
         if len(n) != len(k):
             raise ValueError(f"{len(n)} counts came back for {len(k)} keys of a chunk")
         uni, bi = n[inverse[: len(tokens)]], n[inverse[len(tokens) :]]
@@ -230,9 +274,9 @@ def learn_weights(docs: DataFrame, table: DataFrame, bits: int, tokens: int, wor
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
-    d, bits = prepare(docs, id_col, text_col)
+    d, bits = prepare(docs, id_col, text_col, chunk_rows)
     table = cut(total_keys(count_keys(d, bits)), "lm-table")
     # one row per key range
     facts = [np.frombuffer(bytes(r["total"]), "<i8") for r in table.where("chunk = -1").select("total").collect()]
