@@ -14,9 +14,11 @@ SPACE_CHARS = " \t\n\u000b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a fresh local one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a fresh local one only for a local session without it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-folioflow-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

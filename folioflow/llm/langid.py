@@ -2,31 +2,32 @@
 
 Each word is a draw from one of the document's languages.  A language's word
 likelihood is the geometric mean over hashed character n-grams of smoothed
-frequencies learned from labelled texts (at most ``TRAIN_ROWS`` a language, smallest
-seeded id hash first, the only bound).  Expectation-maximisation estimates the
+frequencies learned from labelled texts (of at most ``TRAIN_ROWS`` ids a language, smallest
+seeded id hash first, one text an id, the only bound).  Expectation-maximisation estimates the
 proportions of all languages in a document; languages are then taken away one by one,
 the least first, while the likelihood lost stays below the penalty of one parameter,
 and the proportions are estimated again on the set that is left.
 
-Handling: a text that is null or has no letter is ``und`` with score 0; null languages
-are not learned from; with nothing learned every text is ``und``; ties go to the
+Handling: a text that is null or has no letter (Unicode category L) is ``und`` with score 0;
+null languages, texts and ids are not learned from; other columns are carried or ignored,
+whatever their names; with nothing learned every text is ``und``; ties go to the
 language that sorts first; repeated rows are predicted one by one; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import broadcast_if_small, cut, held_out
 
 TRAIN_ROWS = 2_000
 SLOTS = 1 << 16
@@ -34,8 +35,7 @@ SMOOTH = 0.5
 ROUNDS = 8
 PENALTY = 0.5  # times log of the number of words, for each language of the set
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_NON_LETTERS = re.compile(r"[\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def gram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ def gram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def tokens(text: str) -> Counter:
     """Counts of the lower-case letter runs of a whole text."""
-    return Counter(_NON_LETTERS.sub(" ", text.lower()).split())
+    return Counter(_LETTERS.findall(text.lower()))
 
 
 class Model:
@@ -73,11 +73,16 @@ class Model:
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from at most ``rows`` documents of each language; n-grams are counted where the texts are read."""
-    first = F.row_number().over(W.partitionBy(lang_col).orderBy(F.xxhash64(F.lit(17), F.col(id_col)), id_col))
-    # ids are picked first, so that no text is sorted or moved for the choice
-    chosen = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("c_id"), F.col(lang_col), F.col(id_col))
-    chosen = chosen.withColumn("_n", first).where(F.col("_n") <= rows).select("c_id").distinct()
-    picked = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).join(chosen, F.col(id_col) == F.col("c_id"), "left_semi")
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null and text is not null")
+    each = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    each = cut(each, "lang-counts")
+    # about twice the wanted rows of a language are ranked, whatever its share; only ids move, no text
+    draw = F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 30)) / (1 << 30)
+    some = known.select("id", "lang").join(broadcast_if_small(each, each.count()), "lang").where(draw < 2 * rows / F.col("_n"))
+    first = F.row_number().over(W.partitionBy("lang").orderBy(draw, "id"))
+    chosen = cut(some.select("id", "lang").distinct().withColumn("_r", first).where(F.col("_r") <= rows).select("id").distinct(), "lang-ids")
+    picked = known.join(broadcast_if_small(chosen, chosen.count(), 500_000), "id", "left_semi")
+    picked = picked.groupBy("id").agg(F.min_by(F.struct("lang", "text"), F.xxhash64("lang", "text")).alias("x")).select("x.lang", "x.text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -94,7 +99,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_co
             own = np.flatnonzero(slot)
             yield pd.DataFrame({"lang": lang, "slot": own, "n": slot[own]})
 
-    parts = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(count, "lang string, slot int, n double")
+    parts = picked.mapInPandas(count, "lang string, slot int, n double")
     # at most SLOTS rows a language
     got = parts.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
@@ -126,7 +131,7 @@ def infer(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray,
     rows, n, doc, starts, owners = [], [], [], [], []
     index: dict[str, int] = {}
     for i, t in enumerate(texts):
-        if t is None or not _LETTER.search(t):
+        if t is None:
             continue
         c = tokens(t)
         if not c:
@@ -188,8 +193,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def with_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without the rows of no language or of none that makes up ``least`` of the text."""
     model = fit(docs.where(~held_out("doc_id", 4, 2)))
-    found = docs.withColumn("_l", language_column(model, F.col("text"), docs.sparkSession))
-    return found.where((F.col("_l.lang_pred") != UNKNOWN) & (F.col("_l.score") >= least)).drop("_l")
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    found = docs.select(row, language_column(model, F.col("text"), docs.sparkSession).alias("found"))
+    return found.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least)).select("row.*")
 
 
 def op6_language_mixture(spark, sf_dir: str) -> DataFrame:
