@@ -1,16 +1,17 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment (DataFrame functions only).
 
-Words are handed out in equal blocks.  Sources first receive whole blocks by
+Words are handed out in equal blocks of at most ``BLOCK`` words, smaller ones where a
+source's target would hold fewer than ``LEAST_BLOCKS``.  Sources first receive whole blocks by
 highest quotients ``target / (2 k - 1)``, then each source's quota is apportioned
 the same way to its shards, which are slices of a source with about equal words.
 In a shard the documents lie in seeded order on a ring; a seeded draw picks the
-first block and the quota's blocks follow, so a document is taken a whole number
-of times plus at most one part of it.
+first block and the quota's blocks follow it (a contiguous run of documents in seeded
+order), so a document is taken a whole number of times plus at most one part of it.
 
 Handling: null text or size counts 0 words; a null source is a source of its own
 that comes last; repeated rows and ids are rows of their own; an empty table gives
-an empty result; extra columns pass through, except that columns with the names
-this operator adds are replaced.
+an empty result; extra columns pass through, whatever their names, except that
+:func:`mix` replaces columns with the names it adds; :func:`mixed_documents` keeps them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, words
 
 SEED = "mix-1"
-BLOCK = 64
+BLOCK, LEAST_BLOCKS = 64, 16
 WEIGHTS = (5, 2, 1)
 CAP = 3
 ADDED = ["source_size", "target", "taken", "whole_passes", "part_from", "part_words", "head_words"]
@@ -99,27 +100,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     """
     from .common import cut
 
-    docs = docs.drop(*[c for c in ADDED if c in docs.columns])
-    rows = docs.withColumns({"_src": F.col(source_col), "_size": F.coalesce(F.col(size_col), F.lit(0)).cast("long")})
+    kept = [c for c in docs.columns if c not in ADDED]
+    row = F.struct(*[F.col(c) for c in kept]).alias("_row")
+    rows = docs.select(row, F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("_size"))
     sizes = rows.groupBy(F.col("_src").alias("source")).agg(F.sum("_size").alias("source_size"))
     t = source_targets(cut(sizes, "mix-sizes"), weights, cap)
     every = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     total = F.sum("source_size").over(every)
     # slices: about 2000 over the corpus, between 50,000 and 5 million words each
     t = t.withColumn("slices", F.greatest(F.lit(1), F.round(F.col("source_size") / F.greatest(F.lit(50_000), F.least(F.lit(5_000_000), total / 2000)))).cast("long"))
-    t = t.withColumn("seats", F.round(F.sum("target").over(every) / block))
-    s = apportion(t.select("source", "source_size", "target", "slices", "seats"), [], "target", F.col("seats"), F.ceil(F.col("source_size") * cap / block))
-    s = cut(s.withColumnRenamed("quota", "source_quota"), "mix-sources")
-    rows = rows.join(s.select("source", "source_size", "target", "slices", "source_quota"), F.col("_src").eqNullSafe(F.col("source")) if source_col != "source" else F.col("_src").eqNullSafe(s["source"]), "left").drop(s["source"])
-    rows = rows.withColumn("_slice", F.pmod(seeded(F.col(id_col)), F.col("slices")))
-    cells = rows.groupBy("_src", "_slice").agg(F.sum("_size").alias("_cell"), F.max("source_quota").alias("_quota"))
-    cells = cells.select("_src", "_slice", "_cell", "_quota")
-    cells = apportion(cells, ["_src"], "_cell", F.col("_quota"), F.ceil(F.col("_cell") * cap / block))
-    cells = cells.withColumn("_take", F.least(F.col("quota") * block, F.col("_cell") * cap))
-    cells = cells.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("_cell") / block)).cast("long"))
-    cells = cells.withColumn("_from", F.pmod(seeded(F.lit("start"), F.col("_src"), F.col("_slice")), F.col("_blocks")) * block)
+    t = t.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(every) / LEAST_BLOCKS))).cast("long"))
+    t = t.withColumn("block", F.coalesce("block", F.lit(1)))
+    t = t.withColumn("seats", F.round(F.sum("target").over(every) / F.col("block")))
+    s = apportion(t, [], "target", F.col("seats"), F.ceil(F.col("source_size") * cap / F.col("block")))
+    s = cut(s.select(F.col("source").alias("s_src"), "source_size", "target", F.col("slices").alias("_slices"), F.col("quota").alias("_quota"), F.col("block").alias("_block")), "mix-sources")
+    rows = rows.join(s, F.col("_src").eqNullSafe(F.col("s_src")), "left").drop("s_src")
+    rows = rows.withColumn("_slice", F.pmod(seeded(F.col("_id")), F.col("_slices")))
+    cells = rows.groupBy("_src", "_slice").agg(F.sum("_size").alias("_cell"), F.max("_quota").alias("_quota"), F.max("_block").alias("_block"))
+    cells = apportion(cells, ["_src"], "_cell", F.col("_quota"), F.ceil(F.col("_cell") * cap / F.col("_block")))
+    cells = cells.withColumn("_take", F.least(F.col("quota") * F.col("_block"), F.col("_cell") * cap))
+    cells = cells.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("_cell") / F.col("_block"))).cast("long"))
+    cells = cells.withColumn("_from", F.pmod(seeded(F.lit("start"), F.col("_src"), F.col("_slice")), F.col("_blocks")) * F.col("_block"))
     cells = cut(cells.select(F.col("_src").alias("c_src"), F.col("_slice").alias("c_slice"), "_cell", "_take", "_from"), "mix-cells")
-    order = W.partitionBy("_src", "_slice").orderBy(seeded(F.lit("order"), F.col(id_col)), F.col(id_col), F.col("_size")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("_src", "_slice").orderBy(seeded(F.lit("order"), F.col("_id")), F.col("_id"), F.col("_size")).rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("_at", F.sum("_size").over(order) - F.col("_size"))
     rows = rows.join(cells, F.col("_src").eqNullSafe(F.col("c_src")) & (F.col("_slice") == F.col("c_slice")), "left")
     passes = F.when(F.col("_cell") > 0, F.floor(F.col("_take") / F.col("_cell"))).otherwise(0).cast("long")
@@ -133,24 +136,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     second = meets(F.col("_from") - F.col("_cell"), F.col("_from") - F.col("_cell") + F.col("_rest"))
     rows = rows.withColumns({"whole_passes": F.col("_passes"), "part_words": first, "head_words": second, "part_from": F.greatest(F.lit(0), F.col("_from") - F.col("_at")).cast("long")})
     rows = rows.withColumn("taken", F.col("_passes") * F.col("_size") + F.col("part_words") + F.col("head_words"))
-    return rows.select(*docs.columns, *ADDED)
+    return rows.select("_row.*", *ADDED)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: one row per whole pass and one per part taken; columns of ``docs``, ``n_chars`` renewed."""
-    m = mix(docs.withColumn("_mix_size", text_size(F.col("text"))), size_col="_mix_size")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    m = mix(docs.select(row.alias("doc"), F.col("doc_id").alias("id"), F.col("source").alias("src"), text_size(F.col("text")).alias("words")), "id", "src", "words")
+    text, size = F.col("doc.text"), F.col("words")
     # texts are cut between words and keep the white space that follows each word
-    piece = F.when((F.col("part_words") > 0) & (F.col("part_words") < F.col("_mix_size")), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+" + SPACE[:-1] + "*"), F.lit(0)))
-    m = m.withColumn("_w", F.when(F.col("head_words") > 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+" + SPACE[:-1] + "*"), F.lit(0))).otherwise(piece))
-    whole = F.when(F.col("whole_passes") > 0, F.array_repeat("text", F.col("whole_passes").cast("int"))).otherwise(F.array().cast("array<string>"))
-    part = F.when(F.col("part_words") >= F.col("_mix_size"), F.array("text")).when(F.col("part_words") > 0, F.array(F.array_join(F.slice("_w", (F.col("part_from") + 1).cast("int"), F.col("part_words").cast("int")), "")))
-    part = F.when(F.col("_mix_size") > 0, part)
-    head = F.when((F.col("head_words") > 0) & (F.col("_mix_size") > 0), F.array(F.array_join(F.slice("_w", 1, F.col("head_words").cast("int")), "")))
+    pieces = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+" + SPACE[:-1] + "*"), F.lit(0))
+    parted = ((F.col("part_words") > 0) & (F.col("part_words") < size)) | (F.col("head_words") > 0)
+    m = m.withColumn("pieces", F.when(parted, pieces))
+    whole = F.when(F.col("whole_passes") > 0, F.array_repeat(text, F.col("whole_passes").cast("int"))).otherwise(F.array().cast("array<string>"))
+    part = F.when(F.col("part_words") >= size, F.array(text)).when(F.col("part_words") > 0, F.array(F.array_join(F.slice("pieces", (F.col("part_from") + 1).cast("int"), F.col("part_words").cast("int")), "")))
+    part = F.when(size > 0, part)
+    head = F.when((F.col("head_words") > 0) & (size > 0), F.array(F.array_join(F.slice("pieces", 1, F.col("head_words").cast("int")), "")))
     none = F.array().cast("array<string>")
-    out = m.withColumn("text", F.explode(F.concat(whole, F.coalesce(part, none), F.coalesce(head, none))))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = m.select("doc", F.explode(F.concat(whole, F.coalesce(part, none), F.coalesce(head, none))).alias("piece"))
+    new = {"text": F.col("piece"), "n_chars": F.length("piece").cast("long")}
+    return out.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_sainte_lague_mix(spark, sf_dir: str) -> DataFrame:
@@ -180,16 +185,17 @@ s2 as (select *, row_number() over o as place, (sum(source_size) over ())::bigin
 s3 as (select *, left_words * weight <= cap_words * left_weight as fits from s2),
 lv as (select place as f, left_words as lw, left_weight as lg from s3 where fits order by place limit 1),
 t as (select source, source_size, case when place < f then cap_words::double else weight * lw::double / lg end as target from s3, lv),
-t1 as (select *, greatest(1, round(source_size / greatest(50000, least(5000000, sum(source_size) over () / 2000)))::bigint) as slices, round(sum(target) over () / {BLOCK})::bigint as seats from t),
-q1 as (select source, seats, target / (2 * k - 1) as q, k from t1, unnest(range(1, ceil(source_size * 3 / {BLOCK})::bigint + 1)) as u(k) where target > 0),
+t0 as (select *, coalesce(greatest(1, least({BLOCK}, floor(min(target) filter (target > 0) over () / {LEAST_BLOCKS}))), 1)::bigint as block from t),
+t1 as (select *, greatest(1, round(source_size / greatest(50000, least(5000000, sum(source_size) over () / 2000)))::bigint) as slices, round(sum(target) over () / block)::bigint as seats from t0),
+q1 as (select source, seats, target / (2 * k - 1) as q, k from t1, unnest(range(1, ceil(source_size * 3 / block)::bigint + 1)) as u(k) where target > 0),
 w1 as (select source, count(*) as quota from (select *, row_number() over (order by q desc, encode(source) nulls last, k) as r from q1) where r <= seats group by source),
 s as (select t1.*, coalesce(w1.quota, 0) as quota from t1 left join w1 on t1.source is not distinct from w1.source),
-r0 as (select d.*, s.source_size, s.target, s.quota, {_seeded_sql("doc_id")} % s.slices as slice from d join s on d.source is not distinct from s.source),
-c0 as (select source, slice, sum(size)::bigint as cell, max(quota) as quota from r0 group by all),
-q2 as (select source, slice, quota, cell / (2 * k - 1) as q, k from c0, unnest(range(1, ceil(cell * 3 / {BLOCK})::bigint + 1)) as u(k) where cell > 0),
+r0 as (select d.*, s.source_size, s.target, s.quota, s.block, {_seeded_sql("doc_id")} % s.slices as slice from d join s on d.source is not distinct from s.source),
+c0 as (select source, slice, sum(size)::bigint as cell, max(quota) as quota, max(block) as block from r0 group by source, slice),
+q2 as (select source, slice, quota, cell / (2 * k - 1) as q, k from c0, unnest(range(1, ceil(cell * 3 / block)::bigint + 1)) as u(k) where cell > 0),
 w2 as (select source, slice, count(*) as n from (select *, row_number() over (partition by source order by q desc, slice, k) as r from q2) where r <= quota group by all),
-c as (select c0.source, c0.slice, cell, least(coalesce(n, 0) * {BLOCK}, cell * 3) as take,
-      ({_seeded_sql("'start'", "c0.source", "c0.slice")} % greatest(1, ceil(cell / {BLOCK})::bigint)) * {BLOCK} as frm
+c as (select c0.source, c0.slice, cell, least(coalesce(n, 0) * block, cell * 3) as take,
+      ({_seeded_sql("'start'", "c0.source", "c0.slice")} % greatest(1, ceil(cell / block)::bigint)) * block as frm
       from c0 left join w2 on c0.source is not distinct from w2.source and c0.slice = w2.slice),
 r as (select r0.*, sum(size) over (partition by source, slice order by {_seeded_sql("'order'", "doc_id")}, doc_id, size rows between unbounded preceding and current row)::bigint - size as pos from r0),
 x as (select r.*, cell, frm, take, case when cell > 0 then take // cell else 0 end as passes from r join c on r.source is not distinct from c.source and r.slice = c.slice),
