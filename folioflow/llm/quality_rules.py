@@ -8,7 +8,9 @@ documents of the language; a language without a common-word list, or null, uses
 the character reference alone.
 
 Handling: null text has no words and fails the base rules; blank text likewise;
-repeated rows are rows of their own; an empty table gives an empty result.
+repeated rows are rows of their own; an empty table gives an empty result; extra columns
+pass through, whatever their names, except that those with the names of the result's own
+columns (``ADDED``) are replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ MAX_WORD_DISTANCE = 0.30
 MIN_CHARS = 200
 MIN_WORDS = 100
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist"]
+ADDED = [*FEATURES, "char_distance", "word_distance", "base_failed", "kept"]
 
 
 def _slots(lang: str) -> dict[int, str]:
@@ -49,9 +52,9 @@ def _slots(lang: str) -> dict[int, str]:
     return at
 
 
-def base_features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Add the base counts and both histograms to ``docs``; everything stays within the row, nothing is shuffled."""
-    d = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_w", words(F.col("_t")))
+def base_features(docs: DataFrame) -> DataFrame:
+    """Add the base counts and both histograms to (row, text, lang); everything stays within the row, nothing is shuffled."""
+    d = docs.select("row", "lang", F.coalesce("text", F.lit("")).alias("_t")).withColumn("_w", words(F.col("_t")))
     d = d.withColumn("n_words", F.size("_w").cast("long")).withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: F.trim(x, F.lit(" \t\u000b\f\r")) != "")
     d = d.withColumn("_lines", lines)
@@ -84,9 +87,9 @@ def base_features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     for lang, common in COMMON_WORDS.items():
         at = _slots(lang)
         hashes = F.array(*[F.xxhash64(F.lit(at[k])) if k in at else F.lit(None).cast("bigint") for k in range(TABLE)])
-        table = F.when(F.col(lang_col) == lang, hashes).otherwise(table)
+        table = F.when(F.col("lang") == lang, hashes).otherwise(table)
         letters = {w: LETTERS[i] for i, w in enumerate(common)}
-        names = F.when(F.col(lang_col) == lang, F.array(*[F.lit(letters[at[k]] if k in at else None).cast("string") for k in range(TABLE)])).otherwise(names)
+        names = F.when(F.col("lang") == lang, F.array(*[F.lit(letters[at[k]] if k in at else None).cast("string") for k in range(TABLE)])).otherwise(names)
     d = d.withColumns({"_table": table, "_names": names})
     slot = lambda x: F.pmod(x, F.lit(TABLE)).cast("int")
     listed = F.filter("_h", lambda x: F.get(F.col("_table"), slot(x)) == x)
@@ -94,7 +97,7 @@ def base_features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     counts = [(F.length("_found") - F.length(F.replace(F.col("_found"), F.lit(LETTERS[k]), F.lit("")))).cast("long") for k in range(SLOTS)]
     d = d.withColumn("_counts", F.when(F.col("_table").isNotNull(), F.array(*counts)))
     d = d.withColumn("word_hist", F.concat("_counts", F.array(F.col("n_words") - F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x))))
-    return d.drop("_t", "_w", "_h", "_win", "_sorted", "_pos", "_lines", "_lower", "_upper", "_digit", "_letter", "_chars", "_space", "_table", "_names", "_found", "_counts")
+    return d.select("row", "lang", *FEATURES)
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -110,27 +113,28 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(F.lit(0.0), total / 2)))
 
 
-def language_references(features: DataFrame, lang_col: str = "lang") -> DataFrame:
+def language_references(features: DataFrame) -> DataFrame:
     """One row per language: sums of both histograms over all its documents."""
     n_chars = 7
     sums = [F.sum(F.get(F.col("char_hist"), i)).alias(f"c{i}") for i in range(n_chars)] + [F.sum(F.get(F.col("word_hist"), i)).alias(f"w{i}") for i in range(SLOTS + 1)]
-    r = features.groupBy(F.col(lang_col).alias("ref_lang")).agg(*sums)
+    r = features.groupBy(F.col("lang").alias("ref_lang")).agg(*sums)
     return r.select("ref_lang", F.array(*[f"c{i}" for i in range(n_chars)]).alias("ref_chars"), F.when(F.col("w0").isNotNull(), F.array(*[f"w{i}" for i in range(SLOTS + 1)])).alias("ref_words"))
 
 
 def apply_rules(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, keep: list[str] | None = None) -> DataFrame:
     """Features, distances and verdict of every row; ``keep`` names the input columns to carry (default all)."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in FEATURES]
-    cols = list(dict.fromkeys([*keep, lang_col]))
-    f = cut(base_features(docs, text_col, lang_col).select(*cols, *FEATURES), "quality-features")
-    refs = cut(language_references(f, lang_col), "quality-references")
-    out = f.join(broadcast_if_small(refs, refs.count()), F.col(lang_col).eqNullSafe(F.col("ref_lang")), "left")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
+    row = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(None).alias("none"))
+    f = base_features(docs.select(row.alias("row"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
+    f = cut(f, "quality-features")
+    refs = cut(language_references(f), "quality-references")
+    out = f.join(broadcast_if_small(refs, refs.count()), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     chars = F.aggregate("char_hist", F.lit(0).cast("long"), lambda a, x: a + x)
     out = out.withColumn("char_distance", F.when(chars >= min_chars, js_distance(F.col("char_hist"), F.col("ref_chars"))))
     out = out.withColumn("word_distance", F.when(F.col("n_words") >= min_words, js_distance(F.col("word_hist"), F.col("ref_words"))))
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > max_char) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word)
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).select(*cols, *FEATURES, "char_distance", "word_distance", "base_failed", "kept")
+    return out.withColumn("kept", ~F.col("base_failed") & ~far).select(*([F.col("row").getField(c).alias(c) for c in keep]), *ADDED)
 
 
 def op3_distribution_divergence(spark, sf_dir: str) -> DataFrame:
