@@ -1,18 +1,21 @@
 """Chat formatting of reply trees.
 
-Messages form trees by ``parent_id``.  Self-joins that double the reach of every
-path in each round enumerate the root-to-leaf paths, so a tree of depth d takes
-about log2(d) joins.  Paths of a tree are ranked by the sum of their messages'
-scores and the best are formatted, each as one conversation.
+Messages form trees by ``parent_id``.  Self-joins double the reach of every message's
+link to its ancestors in each round, and with it that of the paths, which are built from
+the leaves alone; a tree of depth d takes about log2(d) rounds and holds one row for each
+message of each root-to-leaf path, no more.  Paths of a tree are ranked by the sum of their
+messages' scores and the best are formatted, each as one conversation.
 
 A turn is ``<|im_start|>role\\n text <|im_end|>\\n``.  Control strings inside roles
 and texts get a backslash after their first character (one more, if backslashes are
 there already), which :func:`unescape` takes back exactly.
 
 Handling: null text and null role are empty; null score is 0; a parent that does not
-exist makes its child a root; null tree ids form one tree of their own; ties in score
-go to the smaller leaf id; repeated (tree, node) rows keep the one that sorts first;
-an empty table gives an empty result; columns of other names are ignored.
+exist makes its child a root; of parents that form a circle (or a message that is its own
+parent) the smallest node id becomes a root; null tree ids form one tree of their own; rows
+without a node id are left out; ties in score go to the smaller leaf id; repeated (tree,
+node) rows keep the one that sorts first; an empty table gives an empty result; columns of
+other names are ignored.
 """
 
 from __future__ import annotations
@@ -47,31 +50,61 @@ def read_role(c: Column) -> Column:
     return F.array_join(F.transform(F.split(raw, r"\\\\", -1), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
-def tree_paths(messages: DataFrame, most: int = 64) -> DataFrame:
-    """(tree_id, leaf_id, path, path_score): ``path`` lists node ids from the root.
+def _key(left: str, right: str) -> Column:
+    """Equal (tree, node) of two aliased sides, null trees included."""
+    return F.col(f"{left}.tree_id").eqNullSafe(F.col(f"{right}.tree_id")) & (F.col(f"{left}.up") == F.col(f"{right}.node_id"))
 
-    ``messages`` needs tree_id, node_id, parent_id and score; at most ``most`` doublings
-    are made, enough for any tree of 2**most levels.
+
+def without_circles(links: DataFrame) -> DataFrame:
+    """``links`` (tree_id, node_id, up) of which some never end: the smallest node of each circle loses its parent.
+
+    ``least`` is the smallest id among the next 2**k ancestors, so that of a node of the
+    circle is the circle's once the reach exceeds the tree.
+    """
+    most = links.groupBy("tree_id").count().agg(F.max("count")).first()[0]
+    far = links.withColumn("least", F.coalesce("up", "node_id"))
+    reach = 1
+    while reach <= most:
+        a, b = far.alias("a"), far.alias("b")
+        step = a.join(b, _key("a", "b"), "left").select("a.tree_id", "a.node_id", F.col("b.up").alias("up"), F.least("a.least", F.coalesce("b.least", "a.least")).alias("least"))
+        far, reach = cut(step, "chat-circles"), 2 * reach
+    # the links that are left lead into circles; where they arrive is on one
+    on = far.where("up is not null").select("tree_id", F.col("up").alias("node_id")).distinct().alias("o")
+    f = far.alias("f")
+    same = F.col("o.tree_id").eqNullSafe(F.col("f.tree_id")) & (F.col("o.node_id") == F.col("f.node_id"))
+    first = on.join(f, same).where(F.col("f.least") == F.col("o.node_id")).select(F.col("o.tree_id").alias("c_tree"), F.col("o.node_id").alias("c_node"))
+    own = F.col("tree_id").eqNullSafe(F.col("c_tree")) & (F.col("node_id") == F.col("c_node"))
+    return cut(links.join(first, own, "left").select("tree_id", "node_id", F.when(F.col("c_node").isNull(), F.col("up")).alias("up")), "chat-links")
+
+
+def tree_paths(messages: DataFrame) -> DataFrame:
+    """(tree_id, leaf_id, above, node_id): a row for each message of each root-to-leaf path, ``above`` the leaf by so many steps.
+
+    ``messages`` needs tree_id, node_id (distinct in its tree) and parent_id.
     """
-    n = messages.select("tree_id", "node_id", "parent_id", F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("score"))
-    n = cut(n, "chat-nodes")
-    up = n.select(F.col("tree_id").alias("p_tree"), F.col("node_id").alias("p_id"))
+    n = messages.select("tree_id", "node_id", "parent_id").where("node_id is not null")
     known = F.col("tree_id").eqNullSafe(F.col("p_tree")) & (F.col("parent_id") == F.col("p_id"))
-    paths = n.join(up, known, "left").select("tree_id", "node_id", F.col("p_id").alias("next_id"), F.array("node_id").alias("path"), F.col("score").alias("path_score"))
-    paths = cut(paths, "chat-paths")
-    for _ in range(most):
-        open_ = F.col("next_id").isNotNull()
-        if paths.where(open_).isEmpty():
-            break
-        # only paths that have not reached their root are joined again
-        a, b = paths.where(open_).alias("a"), paths.alias("b")
-        joined = a.join(b, F.col("a.tree_id").eqNullSafe(F.col("b.tree_id")) & (F.col("a.next_id") == F.col("b.node_id")), "left")
-        none = F.array().cast(paths.schema["path"].dataType)
-        longer = joined.select("a.tree_id", "a.node_id", F.col("b.next_id").alias("next_id"), F.concat(F.coalesce("b.path", none), "a.path").alias("path"), (F.coalesce("b.path_score", F.lit(0.0)) + F.col("a.path_score")).alias("path_score"))
-        paths = cut(paths.where(~open_).unionByName(longer), "chat-paths")
-    inner = n.where(F.col("parent_id").isNotNull()).select(F.col("tree_id").alias("p_tree"), F.col("parent_id").alias("p_id"))
-    leaf = F.col("tree_id").eqNullSafe(F.col("p_tree")) & (F.col("node_id") == F.col("p_id"))
-    return paths.join(inner, leaf, "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), "path", "path_score")
+    links = cut(n.join(n.select(F.col("tree_id").alias("p_tree"), F.col("node_id").alias("p_id")), known, "left").select("tree_id", "node_id", F.col("p_id").alias("up")), "chat-links")
+    most = links.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
+
+    def start(links: DataFrame) -> DataFrame:
+        parents = links.where("up is not null").select("tree_id", "up").distinct().alias("p")
+        leaf = F.col("p.tree_id").eqNullSafe(F.col("l.tree_id")) & (F.col("p.up") == F.col("l.node_id"))
+        return links.alias("l").join(parents, leaf, "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), F.lit(0).cast("long").alias("above"), "node_id")
+
+    whole, far, reach = links, links, 1
+    paths = start(links)
+    while not far.where("up is not null").isEmpty():
+        if reach > most:  # longer than any path: some parents form circles
+            whole = far = without_circles(whole)
+            paths, reach = start(whole), 1
+        # every message so far leads to the one ``reach`` steps above it
+        further = paths.alias("x").join(far.where("up is not null").alias("f"), F.col("x.tree_id").eqNullSafe(F.col("f.tree_id")) & (F.col("x.node_id") == F.col("f.node_id")))
+        paths = cut(paths.unionByName(further.select("x.tree_id", "x.leaf_id", (F.col("x.above") + reach).alias("above"), F.col("f.up").alias("node_id"))), "chat-paths")
+        a, b = far.where("up is not null").alias("a"), far.where("up is not null").alias("b")
+        far = cut(a.join(b, _key("a", "b")).select("a.tree_id", "a.node_id", F.col("b.up").alias("up")), "chat-links")
+        reach *= 2
+    return paths
 
 
 def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:
@@ -81,13 +114,19 @@ def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:
     (start, length) in code points of each assistant text within ``formatted``.
     """
     first = F.row_number().over(W.partitionBy("tree_id", "node_id").orderBy("role", "text", "parent_id", "score"))
-    msgs = messages.select("tree_id", "node_id", "parent_id", "role", "text", "score").withColumn("_n", first).where("_n = 1").drop("_n")
-    paths = tree_paths(msgs)
+    msgs = messages.select("tree_id", "node_id", "parent_id", "role", "text", F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("score"))
+    msgs = msgs.where("node_id is not null").withColumn("_n", first).where("_n = 1").drop("_n")
+    nodes = cut(msgs.select("tree_id", "node_id", "parent_id", "score"), "chat-nodes")
+    steps = tree_paths(nodes)
+    s = nodes.select(F.col("tree_id").alias("m_tree"), F.col("node_id").alias("m_id"), "score")
+    own = F.col("tree_id").eqNullSafe(F.col("m_tree")) & (F.col("node_id") == F.col("m_id"))
+    paths = steps.join(s, own).groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("path_score"))
     best = F.row_number().over(W.partitionBy("tree_id").orderBy(F.col("path_score").desc(), "leaf_id"))
     paths = paths.withColumn("branch", best)
     if branches is not None:
         paths = paths.where(F.col("branch") <= branches)
-    steps = paths.select("tree_id", "leaf_id", "branch", "path_score", F.posexplode("path").alias("place", "step"))
+    p = paths.select(F.col("tree_id").alias("b_tree"), F.col("leaf_id").alias("b_leaf"), "branch", "path_score")
+    steps = steps.join(p, F.col("tree_id").eqNullSafe(F.col("b_tree")) & (F.col("leaf_id") == F.col("b_leaf"))).select("tree_id", "leaf_id", "branch", "path_score", (-F.col("above")).alias("place"), F.col("node_id").alias("step"))
     m = msgs.select(F.col("tree_id").alias("m_tree"), F.col("node_id").alias("m_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turn = F.concat(F.lit(OPEN), role_line(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(CLOSE + "\n"))
     body = F.length(escape(F.col("text"))).cast("long")
