@@ -9,8 +9,13 @@ combination of the lengths left, and the combination is removed as many times as
 the counts allow.  Pieces then take their places by their rank among equal lengths,
 ranked in slices so that no length gathers in one task.
 
+Ids are those of the ``tokenizers`` file.  A byte-level BPE works word by word, so ``tiktoken``
+encodes each distinct word once, with the file's own vocabulary as ranks; texts that hold a
+special token go to ``tokenizers`` itself.  Tests hold both against each other on odd strings.
+
 Handling: null text is empty and still packs its closing id; repeated rows are
-pieces of their own; an empty table gives an empty result; other columns are ignored.
+pieces of their own; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -81,26 +86,31 @@ def _encoder(path: str):
     return encode
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32), one row per piece; texts stay in their task."""
+def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, row_col: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32), one row per piece; texts stay in their task.
+
+    ``row_col`` names a long column that tells rows of one id apart; it comes along as ``row_id``.
+    """
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["row_id"] * (row_col is not None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = _encoder(tokenizer), np.asarray([END_ID], "<u4").tobytes()
         for b in batches:
             rows = []
-            for doc, text in zip(b["id"].tolist(), b["text"].tolist()):
+            own = b["row_id"].tolist() if row_col else [None] * len(b)
+            for doc, text, row in zip(b["id"].tolist(), b["text"].tolist(), own):
                 ids = encode(text or "") + end
                 n = len(ids) // 4
                 at, piece = 0, 0
                 size = n % capacity or min(n, capacity)
                 while at < n:
-                    rows.append((doc, piece, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+                    rows.append((doc, piece, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), row)[: len(columns)])
                     at, piece, size = at + size, piece + 1, capacity
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"piece": "int32"})
+            yield pd.DataFrame(rows, columns=columns).astype({"piece": "int32"})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(row_col).cast("long").alias("row_id")] if row_col else []))
+    return src.mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", row_id long" * (row_col is not None))
 
 
 def fullest(room: int, counts: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
