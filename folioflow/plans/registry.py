@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioflow.sources.scratch import written
 from folioflow.sources.tables import load_views, with_views
 
 
@@ -14,12 +15,17 @@ class Registry:
         self.QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.ORACLE: dict[str, str] = {}
 
-    def add(self, name: str, build: Callable[[Callable[[str], DataFrame]], DataFrame], sql: str | None = None) -> None:
-        """``build`` gets a function that returns a table or view by name."""
+    def add(self, name: str, build: Callable[[Callable[[str], DataFrame]], DataFrame], sql: str | None = None, once: tuple[str, ...] = ()) -> None:
+        """``build`` gets a function that returns a table or view by name.
+
+        Views named in ``once`` are written first and read from there at each use, so that a
+        query that needs one several times scans and joins its tables a single time.
+        """
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             load_views(spark, sf_dir)
-            return build(spark.table)
+            kept = {view: written(spark.table(view), view) for view in once}
+            return build(lambda view: kept[view] if view in kept else spark.table(view))
 
         run.__name__ = name
         self.QUERIES[name] = run
