@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import arxiv_in, doi_in, normalise_arxiv, normalise_doi, title_tokens
+from folioflow.sources.scratch import written
 
 PERCENT = 72
 PROVIDERS = ["OPENALEX", "SEMANTIC_SCHOLAR"]
@@ -49,36 +50,57 @@ def title_container(article: Column, journal: Column, book: Column) -> Column:
 
 
 def csl_projection(works: DataFrame) -> DataFrame:
-    """Works as CSL structs in JSON, without empty fields."""
-    doc = F.to_json(F.struct(F.col("external_id").alias("id"), F.lit("article").alias("type"), F.nullif("title", F.lit("")).alias("title"), F.col("doi").alias("DOI"), F.col("url").alias("URL"), F.col("year")))
-    return works.select("provider", "external_id", doc.alias("csl"))
+    """Works as CSL items in JSON; empty fields are left out, a work without a title is described by its raw text.
 
+    works have provider, external_id, work_type, title, raw_text, authors (names), year, venue, doi, url, volume, issue, pages and arxiv_id.
+    """
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    names = F.when(F.size("authors") > 0, F.transform("authors", lambda a: F.struct(a.alias("literal"))))
+    issued = F.when(F.col("year").isNotNull(), F.struct(F.array(F.array("year")).alias("date-parts")))
+    custom = F.struct("provider", "external_id", full("arxiv_id").alias("arxiv_id"))
+    doc = F.struct(
+        F.col("external_id").alias("id"), F.coalesce(full("work_type"), F.lit("document")).alias("type"), F.coalesce(full("title"), F.substring(full("raw_text"), 1, 160)).alias("title"), names.alias("author"), issued.alias("issued"),
+        full("venue").alias("container-title"), full("doi").alias("DOI"), full("url").alias("URL"), full("volume").alias("volume"), full("issue").alias("issue"), full("pages").alias("page"), custom.alias("custom"),
+    )
+    return works.select("provider", "external_id", F.to_json(doc).alias("csl"))
 
-def similar_pairs(left: DataFrame, right: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, similarity) of pairs with Jaccard of ``tokens`` at least ``percent``; inputs have id and tokens.
+
+def token_sets(df: DataFrame, name: str, *more: str) -> DataFrame:
+    """(``name``, ``more``, h, tokens) of rows with id and tokens, without empty token sets; h names the set."""
+    return df.where(F.size("tokens") > 0).select(F.col("id").alias(name), *more, F.array_sort("tokens").alias("tokens")).withColumn("h", F.xxhash64("tokens"))
+
+
+def similar_sets(left: DataFrame, right: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(ha, hb, similarity) of distinct token sets (h, tokens) with Jaccard of at least ``percent``.
 
     Exact: two sets that similar share a token among the rarest ``n - ceil(p n) + 1`` of either.
-    Equal token sets are joined once per set, so repeated titles do not multiply the work.
     """
-    def sets(df: DataFrame, name: str) -> DataFrame:
-        d = df.where(F.size("tokens") > 0).select(F.col("id").alias(name), F.array_sort("tokens").alias("tokens"))
-        return d.withColumn("h", F.xxhash64("tokens"))
-
-    l, r = sets(left, "a"), sets(right, "b")
-    distinct = lambda d: d.groupBy("h").agg(F.first("tokens").alias("tokens"))
-    dl, dr = distinct(l), distinct(r)
-    df = dl.unionByName(dr).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = left.unionByName(right).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(d: DataFrame, h: str, n: str) -> DataFrame:
         ranked = d.select("h", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(df, "token").groupBy("h", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-        keep = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
+        keep = F.least(F.col("n"), F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1)
         return ranked.select(F.col("h").alias(h), F.col("n").alias(n), F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["token"])).alias("token"))
 
-    hits = prefix(dl, "ha", "na").join(prefix(dr, "hb", "nb"), "token").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("ha", "hb").distinct()
-    both = hits.join(dl.select(F.col("h").alias("ha"), F.col("tokens").alias("ta")), "ha").join(dr.select(F.col("h").alias("hb"), F.col("tokens").alias("tb")), "hb")
-    common = F.size(F.array_intersect("ta", "tb"))
-    union = F.size("ta") + F.size("tb") - common
-    good = both.withColumn("_c", common).withColumn("_u", union).where(100 * F.col("_c") >= percent * F.col("_u")).select("ha", "hb", (F.col("_c") / F.col("_u")).alias("similarity"))
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    hits = prefix(left, "ha", "na").join(prefix(right, "hb", "nb"), "token").where(sizes).select("ha", "hb").distinct()
+    both = hits.join(left.select(F.col("h").alias("ha"), F.col("tokens").alias("ta")), "ha").join(right.select(F.col("h").alias("hb"), F.col("tokens").alias("tb")), "hb")
+    both = both.withColumn("_c", F.size(F.array_intersect("ta", "tb"))).withColumn("_u", F.size("ta") + F.size("tb") - F.col("_c"))
+    return both.where(100 * F.col("_c") >= percent * F.col("_u")).select("ha", "hb", (F.col("_c") / F.col("_u")).alias("similarity"))
+
+
+def distinct_sets(df: DataFrame) -> DataFrame:
+    """(h, tokens) once each."""
+    return df.groupBy("h").agg(F.first("tokens").alias("tokens"))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, similarity) of all pairs with Jaccard of ``tokens`` at least ``percent``; inputs have id and tokens.
+
+    Equal token sets are compared once, so repeated titles do not multiply the work.
+    """
+    l, r = written(token_sets(left, "a"), "titles-a"), written(token_sets(right, "b"), "titles-b")
+    good = similar_sets(distinct_sets(l), distinct_sets(r), percent)
     return good.join(l.select("a", F.col("h").alias("ha")), "ha").join(r.select("b", F.col("h").alias("hb")), "hb").select("a", "b", "similarity")
 
 
@@ -97,17 +119,29 @@ def resolve_by_identifier(refs: DataFrame, works: DataFrame) -> DataFrame:
     return best.select("reference_id", F.when(F.col("m.rung") == 0, "DOI").otherwise("ARXIV").alias("method"), F.lit("CERTAIN").alias("confidence"), F.col("m.w.provider").alias("provider"), F.col("m.w.external_id").alias("external_id"))
 
 
+def _ref_titles(refs: DataFrame) -> DataFrame:
+    return refs.where(~blank(F.col("title"))).select(F.col("reference_id").alias("id"), title_tokens(F.col("title")).alias("tokens"))
+
+
 def title_candidates(refs: DataFrame, works: DataFrame, percent: int = PERCENT) -> DataFrame:
-    a = refs.where(~blank(F.col("title"))).select(F.col("reference_id").alias("id"), title_tokens(F.col("title")).alias("tokens"))
+    """Every work whose title is similar to a reference's."""
     b = works.select(work_id().alias("id"), title_tokens(F.col("title")).alias("tokens"))
-    return similar_pairs(a, b, percent).select(F.col("a").alias("reference_id"), F.col("b").alias("work_id"), "similarity")
+    return similar_pairs(_ref_titles(refs), b, percent).select(F.col("a").alias("reference_id"), F.col("b").alias("work_id"), "similarity")
 
 
-def best_title_match(cand: DataFrame, works: DataFrame) -> DataFrame:
-    """The most similar work; ties go to the first provider, then the smaller id."""
-    w = works.select(work_id().alias("work_id"), "provider", "external_id", "year", "family")
-    order = F.struct((-F.col("similarity")).alias("s"), provider_rank(F.col("provider")).alias("p"), F.col("external_id"), F.col("provider"), F.col("similarity"), F.col("year"), F.col("family"))
-    return cand.join(w, "work_id").groupBy("reference_id").agg(F.min(order).alias("m")).select("reference_id", "m.provider", "m.external_id", "m.similarity", "m.year", "m.family")
+def best_title_match(refs: DataFrame, works: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Each reference's most similar work; ties go to the first provider, then the smaller id.
+
+    Of works with one token set only the first can win, and references with one token set
+    have one winner, so it is found per pair of sets and handed to the references at the end.
+    """
+    l = written(token_sets(_ref_titles(refs), "reference_id"), "titles-refs")
+    order = F.struct(provider_rank(F.col("provider")).alias("p"), "external_id", "provider", "year", "family")
+    w = works.select(work_id().alias("id"), title_tokens(F.col("title")).alias("tokens"), order.alias("w"))
+    r = written(token_sets(w, "id", "w").groupBy("h").agg(F.first("tokens").alias("tokens"), F.min("w").alias("w")), "titles-works")
+    good = similar_sets(distinct_sets(l), r.select("h", "tokens"), percent).join(r.select(F.col("h").alias("hb"), "w"), "hb")
+    best = good.groupBy("ha").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "w", "similarity")).alias("m"))
+    return l.join(best, F.col("h") == F.col("ha")).select("reference_id", "m.w.provider", "m.w.external_id", "m.similarity", "m.w.year", "m.w.family")
 
 
 def corroborate(best: DataFrame, refs: DataFrame) -> DataFrame:
@@ -120,9 +154,9 @@ def corroborate(best: DataFrame, refs: DataFrame) -> DataFrame:
 
 def resolution_ladder(refs: DataFrame, works: DataFrame) -> DataFrame:
     """Every reference with the method and confidence that resolved it, or UNRESOLVED."""
-    exact = resolve_by_identifier(refs, works)
+    exact = written(resolve_by_identifier(refs, works), "ladder-exact")
     rest = refs.join(exact.select("reference_id"), "reference_id", "left_anti")
-    fuzzy = corroborate(best_title_match(title_candidates(rest, works), works), rest)
+    fuzzy = corroborate(best_title_match(rest, works), rest)
     found = exact.unionByName(fuzzy)
     return refs.select("paper_id", "reference_id").join(found, "reference_id", "left").select("paper_id", "reference_id", F.coalesce("method", F.lit("UNRESOLVED")).alias("method"), F.coalesce("confidence", F.lit("NONE")).alias("confidence"), "provider", "external_id")
 
@@ -147,12 +181,14 @@ def identity_mismatch(rows: DataFrame) -> DataFrame:
 def dedupe_greedy(cand: DataFrame, key: str, percent: int = PERCENT) -> DataFrame:
     """Works of a group in order of ``rank``, each dropped if an accepted one shares a key or a similar title.
 
-    The fate of a row depends on which rows stayed, so a fold over the ordered group decides; groups are
-    at most ``DEDUPE_GROUP`` long, which the search step guarantees.
+    The fate of a row depends on which rows stayed, so a fold over the ordered group decides.  Groups are
+    results of one search, at most ``DEDUPE_GROUP`` long; a longer one is an error.
     """
     c = cand.withColumn("_t", title_tokens(F.col("title"))).withColumn("_k", F.filter(F.array(F.concat(F.lit("doi:"), F.lower("doi")), F.concat(F.lit("arxiv:"), F.lower("arxiv_id")), F.lower(work_id())), lambda x: x.isNotNull()))
     g = c.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "provider", "external_id", "_t", "_k"))).alias("rows"))
     kind = g.schema["rows"].dataType.simpleString()
+    long = F.raise_error(F.lit(f"a group of more than {DEDUPE_GROUP} works")).cast(kind)
+    g = g.withColumn("rows", F.when(F.size("rows") > DEDUPE_GROUP, long).otherwise(F.col("rows")))
 
     def clash(x: Column, y: Column) -> Column:
         common = F.size(F.array_intersect(x["_t"], y["_t"]))
@@ -163,25 +199,50 @@ def dedupe_greedy(cand: DataFrame, key: str, percent: int = PERCENT) -> DataFram
     return g.select(key, F.explode(kept).alias("w")).select(key, "w.rank", "w.provider", "w.external_id")
 
 
-def candidate_set(deduped: DataFrame, works: DataFrame, key: str, most: int = MAX_CANDIDATES) -> DataFrame:
-    """Complete works only, the first ``most`` numbered ``cand_000`` onwards."""
-    w = deduped.join(works.select("provider", "external_id", "title", "family", "year"), ["provider", "external_id"]).where(complete_for_insertion(F.col("title"), F.col("family"), F.col("year")))
-    n = F.row_number().over(W.partitionBy(key).orderBy("rank"))
-    return w.withColumn("n", n).where(F.col("n") <= most).select(key, F.format_string("cand_%03d", F.col("n") - 1).alias("candidate_id"), "provider", "external_id")
+def candidate_set(cand: DataFrame, key: str, most: int = MAX_CANDIDATES) -> tuple[DataFrame, DataFrame]:
+    """The union of all providers' works of a group, without repeats (R14) and without incomplete ones.
 
+    Returns the first ``most``, numbered ``cand_000`` onwards, and the count of incomplete ones per group.
+    """
+    full = dedupe_greedy(cand, key).join(cand, [key, "rank", "provider", "external_id"])
+    ok = complete_for_insertion(F.col("title"), F.col("family"), F.col("year"))
+    n = F.row_number().over(W.partitionBy(key).orderBy("rank", "provider", "external_id"))
+    first = full.where(ok).withColumn("n", n).where(F.col("n") <= most).select(key, F.format_string("cand_%03d", F.col("n") - 1).alias("candidate_id"), "provider", "external_id")
+    return first, full.groupBy(key).agg(F.count_if(~ok).alias("incomplete"))
 
-def bibliography_keys(refs: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Identity keys of everything a paper already cites."""
+
+def bibliography_keys(refs: DataFrame, resolutions: DataFrame, works: DataFrame) -> DataFrame:
+    """Identity keys of everything a paper already cites: its entries' DOIs, and ids and DOIs of the records they link to."""
     own = refs.select("paper_id", F.concat(F.lit("doi:"), normalise_doi(F.col("doi"))).alias("key"))
-    linked = resolutions.where("external_id is not null").select("paper_id", F.lower(work_id()).alias("key"))
-    return own.unionByName(linked).where("key is not null").distinct()
+    linked = resolutions.where("external_id is not null").select("paper_id", "provider", "external_id")
+    ids = linked.select("paper_id", F.lower(work_id()).alias("key"))
+    dois = linked.join(works.select("provider", "external_id", "doi"), ["provider", "external_id"]).select("paper_id", F.concat(F.lit("doi:"), F.lower("doi")).alias("key"))
+    return own.unionByName(ids).unionByName(dois).where("key is not null").distinct()
+
+
+def bibliography_titles(papers: DataFrame, refs: DataFrame, resolutions: DataFrame, works: DataFrame) -> DataFrame:
+    """Titles a paper already holds: its own, its entries' and those of the records they link to."""
+    linked = resolutions.where("external_id is not null").select("paper_id", "provider", "external_id").join(works.select("provider", "external_id", "title"), ["provider", "external_id"])
+    parts = [d.select("paper_id", "title") for d in (papers, refs, linked)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(~blank(F.col("title"))).distinct()
 
 
-def not_in_bibliography(cand: DataFrame, keys: DataFrame) -> DataFrame:
-    """R18, first half: candidates (paper_id, key columns) none of whose keys the paper cites."""
-    k = cand.select("paper_id", "provider", "external_id", F.explode(F.filter(F.array(F.concat(F.lit("doi:"), F.lower("doi")), F.lower(work_id())), lambda x: x.isNotNull())).alias("key"))
-    known = k.join(keys, ["paper_id", "key"], "left_semi").select("paper_id", "provider", "external_id").distinct()
-    return cand.join(known, ["paper_id", "provider", "external_id"], "left_anti")
+def not_in_bibliography(cand: DataFrame, keys: DataFrame, titles: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Candidates (paper_id, provider, external_id, doi, arxiv_id, title) that the paper does not hold yet.
+
+    Neither by an identity key nor by a similar title.  Titles are compared once per pair of
+    distinct token sets, whatever the number of papers that hold them.
+    """
+    me = ["paper_id", "provider", "external_id"]
+    forms = F.array(F.concat(F.lit("doi:"), F.lower("doi")), F.concat(F.lit("arxiv:"), F.lower("arxiv_id")), F.lower(work_id()))
+    by_key = cand.select(*me, F.explode(F.filter(forms, lambda x: x.isNotNull())).alias("key")).join(keys, ["paper_id", "key"], "left_semi").select(*me)
+    c = cand.select(F.struct(*me).alias("id"), title_tokens(F.col("title")).alias("tokens"))
+    h = titles.select(F.col("paper_id").alias("id"), title_tokens(F.col("title")).alias("tokens"))
+    l, r = written(token_sets(c, "me"), "offered-titles"), written(token_sets(h, "paper_id"), "held-titles")
+    close = similar_sets(distinct_sets(l), distinct_sets(r), percent).select("ha", "hb")
+    near = l.select("me.*", F.col("h").alias("ha")).join(close, "ha")
+    by_title = near.join(r.select("paper_id", F.col("h").alias("hb")), ["paper_id", "hb"], "left_semi").select(*me)
+    return cand.join(by_key.unionByName(by_title).distinct(), me, "left_anti")
 
 
 def persist_resolutions(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import title_tokens
 from folioflow.operators import resolution as rs
+from folioflow.sources.scratch import written
 
 from .registry import Registry
 from .text_queries import DOI_SQL, TITLE_SQL, arxiv_sql
@@ -16,7 +17,26 @@ add("r01_normalization_status", lambda t: t("v_refs").select("reference_id", rs.
 add("r02_complete_for_insertion", lambda t: t("v_refs").groupBy("paper_id").agg(F.count_if(rs.complete_for_insertion(F.col("title"), F.col("author"), F.col("year"))).alias("complete")), "select paper_id, count(*) filter (title <> '' and year is not null) as complete from v_refs group by 1")
 add("r03_csl_type", lambda t: t("part").select("p_partkey", rs.csl_type(F.when(F.col("p_partkey") % 3 == 0, "j").when(F.col("p_partkey") % 3 == 1, "m"), F.col("p_size") % 2 == 0, F.col("p_partkey") % 7 == 0).alias("kind")), "select p_partkey, case when p_partkey % 7 = 0 then 'paper-conference' when p_partkey % 3 = 0 then 'article-journal' when p_partkey % 3 = 1 and p_size % 2 = 0 then 'chapter' when p_partkey % 3 = 1 then 'book' else 'document' end as kind from part")
 add("r04_title_container", lambda t: t("part").withColumn("x", rs.title_container(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")), F.col("p_brand"))).select("p_partkey", "x.title", "x.container"), "select p_partkey, case when p_partkey % 2 = 0 then p_name when p_partkey % 3 = 0 then p_type else p_brand end as title, case when p_partkey % 2 = 0 then case when p_partkey % 3 = 0 then p_type else p_brand end end as container from part")
-add("r05_csl_projection", lambda t: rs.csl_projection(t("v_works")))
+
+
+def _full_works(t):
+    k = F.col("work_key")
+    none = F.lit(None).cast("string")
+    return t("v_works").select(
+        "provider", "external_id", F.when(k % 3 == 0, "chapter").when(k % 3 == 1, "article-journal").alias("work_type"), F.when(k % 5 > 0, F.col("title")).alias("title"), F.concat(F.lit("raw "), "title").alias("raw_text"),
+        F.when(k % 2 == 0, F.array("family", F.lit("Group"))).otherwise(F.array().cast("array<string>")).alias("authors"), F.when(k % 7 > 0, F.col("year")).alias("year"), F.when(k % 4 == 0, "Venue").otherwise("").alias("venue"),
+        "doi", "url", F.when(k % 6 == 0, k.cast("string")).alias("volume"), none.alias("issue"), F.when(k % 8 == 0, "1-9").alias("pages"), "arxiv_id",
+    )
+
+
+add(
+    "r05_csl_projection",
+    lambda t: rs.csl_projection(_full_works(t)),
+    """select provider, external_id, '{"id":"' || external_id || '","type":"' || case work_key % 3 when 0 then 'chapter' when 1 then 'article-journal' else 'document' end || '","title":"' || case when work_key % 5 > 0 then title else substr('raw ' || title, 1, 160) end || '"'
+    || case when work_key % 2 = 0 then ',"author":[{"literal":"' || family || '"},{"literal":"Group"}]' else '' end || case when work_key % 7 > 0 then ',"issued":{"date-parts":[[' || year || ']]}' else '' end || case when work_key % 4 = 0 then ',"container-title":"Venue"' else '' end
+    || coalesce(',"DOI":"' || doi || '"', '') || coalesce(',"URL":"' || url || '"', '') || case when work_key % 6 = 0 then ',"volume":"' || work_key || '"' else '' end || case when work_key % 8 = 0 then ',"page":"1-9"' else '' end
+    || ',"custom":{"provider":"' || provider || '","external_id":"' || external_id || '"' || coalesce(',"arxiv_id":"' || arxiv_id || '"', '') || '}}' as csl from v_works""",
+)
 EXACT = f"""ek as (select reference_id, coalesce({DOI_SQL.format("doi")}, {DOI_SQL.format("nullif(regexp_extract(raw_text, '(10\\.\\d{4,9}/[^\\s\"<>]+)', 1), '')".replace("{", "{{").replace("}", "}}")).replace("{{", "{").replace("}}", "}")}) as kd,
   {arxiv_sql("nullif(regexp_extract(raw_text, '(?i)arxiv[:\\s/]*(\\d{4}\\.\\d{4,5}(v\\d+)?)', 1), '')")} as ka from v_refs),
 wk as (select *, case provider when 'OPENALEX' then 0 else 1 end as pr from v_works),
@@ -24,19 +44,44 @@ eh as (select reference_id, 0 as rung, pr, provider, external_id from ek join wk
 ex as (select reference_id, case rung when 0 then 'DOI' else 'ARXIV' end as method, 'CERTAIN' as confidence, provider, external_id from (select *, row_number() over (partition by reference_id order by rung, pr, external_id) as r from eh) where r = 1)"""
 PAIRS = f"""tr as (select reference_id, title, {TITLE_SQL.format("title")} as ta from v_refs where title <> '' and reference_id not in (select reference_id from ex)),
 td as (select title, any_value(ta) as ta from tr group by 1), tw as (select provider || ':' || external_id as work_id, {TITLE_SQL.format("title")} as tb, provider, external_id, pr, year, family from wk),
-xa as (select title, unnest(ta) as w from td), xb as (select work_id, unnest(tb) as w from tw),
-ov as (select title, work_id, count(*) as c from xa join xb using (w) where w not in (select w from xb group by 1 having count(*) > 4000) group by 1, 2),
-sv as (select ov.title, ov.work_id, ta, tb from ov join td using (title) join tw using (work_id)),
-sp as (select title, work_id, len(list_intersect(ta, tb))::double / len(list_distinct(list_concat(ta, tb))) as similarity from sv where 100 * len(list_intersect(ta, tb)) >= 72 * len(list_distinct(list_concat(ta, tb)))),
+xa as (select title, len(ta) as na, unnest(ta) as w from td), xb as (select work_id, len(tb) as nb, unnest(tb) as w from tw),
+ov as (select title, work_id, na, nb, count(*) as c from xa join xb using (w) group by all),
+sp as (select title, work_id, c::double / (na + nb - c) as similarity from ov where 100 * c >= 72 * (na + nb - c)),
 cd as (select reference_id, work_id, similarity from tr join sp using (title))"""
 BEST = "bs as (select * from (select cd.reference_id, tw.provider, tw.external_id, similarity, tw.year, tw.family, row_number() over (partition by cd.reference_id order by similarity desc, pr, tw.external_id) as r from cd join tw using (work_id)) where r = 1)"
 LADDER = f"{EXACT}, {PAIRS}, {BEST}, cb as (select b.reference_id, coalesce(b.year = r.year or lower(b.family) = lower(r.family), false) as ok, b.provider, b.external_id from bs b join v_refs r using (reference_id)), fd as (select * from ex union all select reference_id, case when ok then 'TITLE_AUTHOR_YEAR' else 'TITLE_ONLY' end, case when ok then 'PROBABLE' else 'UNCERTAIN' end, provider, external_id from cb), ld as (select r.paper_id, r.reference_id, coalesce(method, 'UNRESOLVED') as method, coalesce(confidence, 'NONE') as confidence, provider, external_id from v_refs r left join fd using (reference_id))"
-rest = lambda t: t("v_refs").join(rs.resolve_by_identifier(t("v_refs"), t("v_works")).select("reference_id"), "reference_id", "left_anti")
+REFS_WORKS = ("v_refs", "v_works")
+
+
+def rest(t):
+    return t("v_refs").join(rs.resolve_by_identifier(t("v_refs"), t("v_works")).select("reference_id"), "reference_id", "left_anti")
+
+
+def ladder(t):
+    """The ladder's result, written once for all that follows."""
+    return written(rs.resolution_ladder(t("v_refs"), t("v_works")), "ladder")
+
+
 add("r06_resolve_by_identifier", lambda t: rs.resolve_by_identifier(t("v_refs"), t("v_works")), f"with {EXACT} select * from ex")
-add("r07_title_candidates", lambda t: rs.title_candidates(rest(t), t("v_works")).select("reference_id", "work_id", F.round("similarity", 9).alias("similarity")), f"with {EXACT}, {PAIRS} select reference_id, work_id, round(similarity, 9) as similarity from cd")
-add("r08_best_title_match", lambda t: rs.best_title_match(rs.title_candidates(rest(t), t("v_works")), t("v_works")).select("reference_id", "provider", "external_id"), f"with {EXACT}, {PAIRS}, {BEST} select reference_id, provider, external_id from bs")
-add("r09_corroborate", lambda t: rs.corroborate(rs.best_title_match(rs.title_candidates(rest(t), t("v_works")), t("v_works")), rest(t)).groupBy("method", "confidence").agg(F.count(F.lit(1)).alias("n")), f"with {LADDER} select method, confidence, count(*) as n from ld where method like 'TITLE%' group by 1, 2")
-add("r10_resolution_ladder", lambda t: rs.resolution_ladder(t("v_refs"), t("v_works")), f"with {LADDER} select * from ld")
+add(
+    "r07_title_candidates",
+    lambda t: rs.title_candidates(rest(t), t("v_works")).select("reference_id", "work_id", F.round("similarity", 9).alias("similarity")),
+    f"with {EXACT}, {PAIRS} select reference_id, work_id, round(similarity, 9) as similarity from cd",
+    REFS_WORKS,
+)
+add(
+    "r08_best_title_match",
+    lambda t: rs.best_title_match(rest(t), t("v_works")).select("reference_id", "provider", "external_id"),
+    f"with {EXACT}, {PAIRS}, {BEST} select reference_id, provider, external_id from bs",
+    REFS_WORKS,
+)
+add(
+    "r09_corroborate",
+    lambda t: rs.corroborate(rs.best_title_match(rest(t), t("v_works")), rest(t)).groupBy("method", "confidence").agg(F.count(F.lit(1)).alias("n")),
+    f"with {LADDER} select method, confidence, count(*) as n from ld where method like 'TITLE%' group by 1, 2",
+    REFS_WORKS,
+)
+add("r10_resolution_ladder", lambda t: rs.resolution_ladder(t("v_refs"), t("v_works")), f"with {LADDER} select * from ld", REFS_WORKS)
 add("r11_backfill_abstract", lambda t: rs.backfill_abstract(t("v_works")), "select w.provider, w.external_id, coalesce(nullif(trim(w.abstract), ''), o.abstract) as abstract from v_works w left join (select lower(doi) as k, arg_min(abstract, case provider when 'OPENALEX' then 0 else 1 end) as abstract from v_works where abstract is not null and doi is not null group by 1) o on lower(w.doi) = o.k")
 add("r12_upsert_source_records", lambda t: rs.upsert_source_records(t("v_refs").select("paper_id", F.lit("OPENALEX").alias("provider"), (F.col("part_key") % 4).cast("string").alias("external_id"), "title", F.when(F.col("part_key") % 3 == 0, F.col("raw_text")).alias("abstract"), "bibliography_order"), "bibliography_order"), "select paper_id, 'OPENALEX' as provider, (part_key % 4)::varchar as external_id, arg_min(title, bibliography_order) as title, arg_min(raw_text, bibliography_order) filter (part_key % 3 = 0) as abstract from v_refs group by 1, 2, 3")
 add("r13_identity_mismatch", lambda t: rs.identity_mismatch(t("v_works").withColumns({"asked_doi": F.when(F.col("work_key") % 2 == 0, F.concat(F.lit("https://doi.org/10.1000/P"), "work_key")).otherwise("10.1000/other"), "asked_arxiv": F.lit(None).cast("string")})).select("provider", "external_id"), "select provider, external_id from v_works where doi is not null and work_key % 2 = 1")
@@ -48,16 +93,52 @@ def _lists(t):
 
 
 add("r14_dedupe_greedy", lambda t: rs.dedupe_greedy(_lists(t), "query_id"))
-add("r16_candidate_set", lambda t: rs.candidate_set(_lists(t).where("provider = 'OPENALEX'").select("query_id", "rank", "provider", "external_id"), t("v_works"), "query_id", 5), "select query_id, printf('cand_%03d', n - 1) as candidate_id, provider, external_id from (select floor(work_key / 7)::bigint as query_id, provider, external_id, row_number() over (partition by floor(work_key / 7) order by work_key) as n from v_works where work_key < 2000 and provider = 'OPENALEX') where n <= 5")
-KEYS = f"bk as (select distinct paper_id, key from (select paper_id, 'doi:' || {DOI_SQL.format('doi')} as key from v_refs union all select paper_id, lower(provider || ':' || external_id) from ld where external_id is not null) where key is not null)"
-add("r17_bibliography_keys", lambda t: rs.bibliography_keys(t("v_refs"), rs.resolution_ladder(t("v_refs"), t("v_works"))), f"with {LADDER}, {KEYS} select * from bk")
+add("r16_candidate_set", lambda t: rs.candidate_set(_lists(t), "query_id", 5)[0])
+add("r16_incomplete", lambda t: rs.candidate_set(_lists(t), "query_id", 5)[1])
+KEYS = f"""bk as (select distinct paper_id, key from (select paper_id, 'doi:' || {DOI_SQL.format('doi')} as key from v_refs
+  union all select paper_id, lower(provider || ':' || external_id) from ld where external_id is not null
+  union all select paper_id, 'doi:' || lower(doi) from ld join v_works using (provider, external_id)) where key is not null)"""
+TITLES = """bt as (select distinct paper_id, title from (select paper_id, title from v_papers union all select paper_id, title from v_refs
+  union all select paper_id, title from ld join v_works using (provider, external_id)) where trim(title) <> '')"""
+NO_LADDER = "ld as (select paper_id, reference_id, null::varchar as provider, null::varchar as external_id from v_refs where false)"
+HELD = f"""ox as (select title, len(k) as n, unnest(k) as w from (select title, {TITLE_SQL.format("title")} as k from (select distinct title from offered))),
+hx as (select title, len(k) as n, unnest(k) as w from (select title, {TITLE_SQL.format("title")} as k from (select distinct title from bt))),
+near as (select offered_title, held_title from (select ox.title as offered_title, hx.title as held_title, ox.n as a, hx.n as b, count(*) as c from ox join hx using (w) group by all) where 100 * c >= 72 * (a + b - c)),
+fresh as (select * from offered f where not exists (select 1 from bk where bk.paper_id = f.paper_id and bk.key in ('doi:' || lower(f.doi), 'arxiv:' || lower(f.arxiv_id), lower(f.provider || ':' || f.external_id)))
+  and not exists (select 1 from near n join bt on bt.title = n.held_title where n.offered_title = f.title and bt.paper_id = f.paper_id))"""
+OFFER = "offered as (select distinct paper_id, provider, external_id, title, doi, arxiv_id from (select distinct paper_id, part_key + bibliography_order % 2 as work_key from v_refs) join v_works using (work_key) where provider = 'OPENALEX')"
 
 
 def _offered(t):
-    return t("v_refs").select("paper_id", (F.col("part_key") + F.col("bibliography_order") % 2).alias("work_key")).distinct().join(t("v_works").where("provider = 'OPENALEX'"), "work_key")
+    wanted = t("v_refs").select("paper_id", (F.col("part_key") + F.col("bibliography_order") % 2).alias("work_key")).distinct()
+    return wanted.join(t("v_works").where("provider = 'OPENALEX'"), "work_key").select("paper_id", "provider", "external_id", "title", "doi", "arxiv_id")
+
+
+def _fresh(t):
+    found = ladder(t)
+    keys = rs.bibliography_keys(t("v_refs"), found, t("v_works"))
+    titles = rs.bibliography_titles(t("v_papers"), t("v_refs"), found, t("v_works"))
+    return rs.not_in_bibliography(_offered(t), keys, titles)
 
 
-add("r18_not_in_bibliography", lambda t: rs.not_in_bibliography(_offered(t), rs.bibliography_keys(t("v_refs"), rs.resolution_ladder(t("v_refs"), t("v_works")))).select("paper_id", "external_id"), f"with {LADDER}, {KEYS}, of as (select distinct paper_id, part_key + bibliography_order % 2 as work_key from v_refs) select paper_id, external_id from of join v_works using (work_key) where provider = 'OPENALEX' and not exists (select 1 from bk where bk.paper_id = of.paper_id and bk.key in ('doi:' || lower(doi), lower(provider || ':' || external_id)))")
+add(
+    "r17_bibliography_keys",
+    lambda t: rs.bibliography_keys(t("v_refs"), ladder(t), t("v_works")),
+    f"with {LADDER}, {KEYS} select * from bk",
+    REFS_WORKS,
+)
+add(
+    "r17_bibliography_titles",
+    lambda t: rs.bibliography_titles(t("v_papers"), t("v_refs"), ladder(t), t("v_works")),
+    f"with {LADDER}, {TITLES} select * from bt",
+    REFS_WORKS,
+)
+add(
+    "r18_not_in_bibliography",
+    lambda t: _fresh(t).select("paper_id", "external_id"),
+    f"with {LADDER}, {KEYS}, {TITLES}, {OFFER}, {HELD} select paper_id, external_id from fresh",
+    REFS_WORKS,
+)
 RUNS = lambda t: t("v_refs").select("paper_id", F.concat("paper_id", F.lit("_"), F.col("part_key") % 3).alias("reference_id"), F.col("bibliography_order").alias("run_id"), F.lit("DOI").alias("method"), F.when(F.col("part_key") % 2 == 0, "CERTAIN").otherwise("UNCERTAIN").alias("confidence"), F.col("part_key").cast("string").alias("external_id"))
 add("r19_persist_resolutions", lambda t: rs.persist_resolutions(RUNS(t)), "select paper_id, paper_id || '_' || (part_key % 3) as reference_id, max(bibliography_order) as run_id, 'DOI' as method, arg_max(case when part_key % 2 = 0 then 'CERTAIN' else 'UNCERTAIN' end, bibliography_order) as confidence, case when arg_max(part_key, bibliography_order) % 2 = 0 then arg_max(part_key, bibliography_order)::varchar end as external_id from v_refs group by paper_id, part_key % 3")
 add("r20_record_lookup_fallback", lambda t: rs.record_lookup_fallback(t("v_refs").select("paper_id", "reference_id", F.when(F.col("part_key") % 3 == 0, F.col("part_key").cast("string")).alias("want_record"), F.when(F.col("part_key") % 3 == 1, F.concat(F.lit("d"), "part_key")).alias("want_doi"), F.concat(F.lit("e"), F.col("part_key") % 5).alias("want_external")), t("v_refs").where("part_key % 2 = 0").select("paper_id", F.col("part_key").cast("string").alias("record_id"), F.concat(F.lit("d"), "part_key").alias("doi"), F.concat(F.lit("e"), F.col("part_key") % 5).alias("external_id"))), "select r.paper_id, r.reference_id, case when part_key % 2 = 0 and part_key % 3 < 2 then part_key::varchar else (select min(part_key::varchar) from v_refs y where y.paper_id = r.paper_id and y.part_key % 2 = 0 and y.part_key % 5 = r.part_key % 5) end as record_id from v_refs r")

@@ -54,6 +54,8 @@ select provider, provider || '-' || p_partkey as external_id, case when p_partke
   cast(1992 + p_partkey % 8 as bigint) as year, 'Smith' || (p_partkey % 97) as family, case when p_partkey % 4 = 0 then null else 'Abstract of ' || p_name end as abstract,
   case when p_partkey % 6 = 0 then null when p_partkey % 6 = 1 then 'http://x.org/' || p_partkey else 'https://x.org/' || p_partkey end as url, p_partkey as work_key
 from part, (select 'OPENALEX' as provider union all select 'SEMANTIC_SCHOLAR' as provider) p where provider = 'OPENALEX' or p_partkey % 4 <> 1""",
+    "v_papers": """
+select o_orderkey as paper_id, p_name || ' ' || p_type || ' no ' || p_partkey as title from orders left join part on p_partkey = o_orderkey % 500 + 1""",
     "v_attempts": """
 select event_id as attempt_id, 'op_' || user_id || '_' || cast(day(ts) as bigint) as operation_id, case when event_id % 3 = 0 then 'SEMANTIC_SCHOLAR' else 'OPENALEX' end as provider,
   case event_type when 'view' then 'LOOKUP' when 'signup' then 'LOOKUP' else 'SEARCH' end as purpose,
