@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow.sources.tables import SCHEMAS, VIEWS
+from folioflow.sources.tables import SCHEMAS, VIEWS, load, load_views, with_views
 from folioflow.streaming import logs as lg
 
 from .registry import Registry
@@ -17,30 +17,65 @@ add("q01_attempt_rollup", lambda t: lg.attempt_rollup(T(t)), "select provider, p
 add("q02_degradation_latch", lambda t: lg.degradation_latch(T(t)).select("attempt_id", "suppressed"), f"with {LATCH} select attempt_id, suppressed from la")
 add("q03_call_budget", lambda t: lg.call_budget(T(t), 2, 3).select("attempt_id", "provider_calls", "operation_calls", "exhausted"), f"with {LATCH}, c as (select attempt_id, row_number() over (partition by operation_id, provider order by ts, attempt_id) as provider_calls, row_number() over (partition by operation_id order by ts, attempt_id) as operation_calls from la where not suppressed) select *, provider_calls > 2 or operation_calls > 3 as exhausted from c")
 add("q04_degradation_list", lambda t: lg.degradation_list(T(t)), "with f as (select operation_id, provider || ':' || status as d, min(struct_pack(ts := ts, a := attempt_id)) as first_at from v_attempts where status = 'RATE_LIMITED' group by 1, 2) select operation_id, string_agg(d, ',' order by first_at) as degradations from f group by 1")
-add("q05_fresh_hit", lambda t: lg.fresh_hit(T(t).withColumn("cache_key", F.concat("provider", F.lit("::"), "purpose", F.lit("::"), F.col("result_count")))).select("attempt_id", "hit"), "with l as (select attempt_id, ts, lag(ts) over w as pt, lag(status) over w as ps from v_attempts window w as (partition by provider || '::' || purpose || '::' || result_count order by ts, attempt_id)) select attempt_id, coalesce(ts <= pt + case when ps = 'OK' then interval 7 days else interval 6 hours end, false) as hit from l")
+CACHE_KEY = lambda: F.concat("provider", F.lit("::"), "purpose", F.lit("::"), F.lower(F.regexp_extract("operation_id", r"^op_(\d+)_", 1)))
+add(
+    "q05_fresh_hit",
+    lambda t: lg.fresh_hit(T(t).withColumn("cache_key", CACHE_KEY())),
+    """with recursive c as (select attempt_id, ts, provider || '::' || purpose || '::' || regexp_extract(operation_id, '^op_([0-9]+)_', 1) as k, ts + case when status = 'OK' then interval 7 days else interval 6 hours end as until from v_attempts),
+    g as (select k, ts, min(attempt_id) as attempt_id from c group by 1, 2), h as (select g.*, c.until from g join c using (attempt_id)),
+    nt as (select h.k, h.attempt_id, min(n.ts) as ts from h join h n on h.k = n.k and n.ts >= h.until group by 1, 2),
+    nx as (select nt.attempt_id, h.attempt_id as next_id from nt join h on nt.k = h.k and nt.ts = h.ts),
+    f as (select arg_min(attempt_id, ts) as attempt_id from h group by k union all select next_id from f join nx using (attempt_id))
+    select attempt_id, attempt_id not in (select attempt_id from f) as hit from c""",
+)
 add("q06_ingest_dedup", lambda t: lg.first_of_key(T(t), "operation_id"), "select operation_id, arg_min(attempt_id, struct_pack(ts := ts, a := attempt_id)) as attempt_id from v_attempts group by 1")
 add("q07_attempt_windows", lambda t: lg.attempt_windows(T(t)), "select time_bucket(interval 1 hour, ts) as start, provider, count(*) as calls, count(*) filter (status <> 'OK') as failures from v_attempts group by 1, 2")
 add("q08_operation_sessions", lambda t: lg.operation_sessions(T(t)), "with g as (select operation_id, ts, case when ts - lag(ts) over (partition by operation_id order by ts) < interval 2 hours then 0 else 1 end as n from v_attempts), s as (select *, sum(n) over (partition by operation_id order by ts rows unbounded preceding) as k from g) select operation_id, min(ts) as start, count(*) as calls from s group by operation_id, k")
 add("q09_latest_state", lambda t: lg.latest_state(T(t)), "select operation_id, arg_max(status, struct_pack(ts := ts, a := attempt_id)) as status, count(*) as calls from v_attempts group by 1")
-add("q10_enrich", lambda t: lg.enrich(T(t).withColumn("work_key", F.col("attempt_id") % 3000), t("v_works").where("provider = 'OPENALEX'").select("work_key", "title")).select("attempt_id", "title"), "select attempt_id, title from (select attempt_id, attempt_id % 3000 as k from v_attempts) left join (select work_key, title from v_works where provider = 'OPENALEX') on k = work_key")
+add(
+    "q07_sliding_windows",
+    lambda t: lg.attempt_windows(T(t), "1 hour", "20 minutes"),
+    "select start, provider, count(*) as calls, count(*) filter (status <> 'OK') as failures from (select *, unnest([b, b - interval 20 minutes, b - interval 40 minutes]) as start from (select *, time_bucket(interval 20 minutes, ts) as b from v_attempts)) group by 1, 2",
+)
+WORKS = lambda t: t("v_works").where("provider = 'OPENALEX'").select("work_key", "title")
+add(
+    "q10_enrich",
+    lambda t: lg.enrich(T(t).withColumn("work_key", F.col("attempt_id") % 3000), WORKS(t)).select("attempt_id", "title"),
+    "select attempt_id, title from (select attempt_id, attempt_id % 3000 as k from v_attempts) left join (select work_key, title from v_works where provider = 'OPENALEX') on k = work_key",
+)
 
 
-def _stream(build, name):
-    """A streaming twin: the events as a file stream, drained, with the batch operators' code."""
+def _stream(name, build, finish=lambda d: d):
+    """A streaming twin with the batch operators' code: the events and a closing one as a file stream, drained."""
 
     def run(spark, sf_dir):
+        load_views(spark, sf_dir)
         schema = SCHEMAS["events"].replace("timestamp_ntz", "timestamp")
-        lg.event_stream(spark, sf_dir, schema).createOrReplaceTempView("events")
-        return lg.drain(build(spark.sql(VIEWS["v_attempts"])), name)
+        events = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+        lg.event_stream(spark, lg.closed_by(spark, events, f"{name}-events"), schema).createOrReplaceTempView("events")
+        attempts = spark.sql(VIEWS["v_attempts"])
+        works = WORKS(spark.table)
+        out = finish(lg.drain(build(attempts, works), name))
+        return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if k == "timestamp" else F.col(c) for c, k in out.dtypes])
 
     return run
 
 
+REAL = lambda d: d.where("operation_id is not null")
 STREAMS = {
-    "q06_stream_dedup": lambda a: a.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["operation_id"]).select("operation_id", "attempt_id"),
-    "q07_stream_windows": lambda a: lg.attempt_windows(a),
-    "q08_stream_sessions": lambda a: lg.operation_sessions(a),
-    "q09_stream_state": lambda a: lg.running_state(a.select("operation_id", "status", "ts", "attempt_id")),
+    "q06_stream_dedup": _stream("q06_stream_dedup", lambda a, w: REAL(a).withWatermark("ts", "30 days").dropDuplicatesWithinWatermark(["operation_id"]).select("operation_id")),
+    "q07_stream_windows": _stream("q07_stream_windows", lambda a, w: lg.attempt_windows(a)),
+    "q07_stream_sliding": _stream("q07_stream_sliding", lambda a, w: lg.attempt_windows(a, "1 hour", "20 minutes")),
+    "q08_stream_sessions": _stream("q08_stream_sessions", lambda a, w: lg.operation_sessions(a)),
+    "q09_stream_state": _stream("q09_stream_state", lambda a, w: lg.running_state(REAL(a).select("operation_id", "status", "ts", "attempt_id")), lg.last_state),
+    "q10_stream_enrich": _stream("q10_stream_enrich", lambda a, w: lg.enrich(REAL(a).withColumn("work_key", F.col("attempt_id") % 3000), w).select("attempt_id", "title")),
+}
+QUERIES = dict(R.QUERIES) | STREAMS
+ORACLE = dict(R.ORACLE) | {
+    "q06_stream_dedup": with_views("select distinct operation_id from v_attempts"),
+    "q07_stream_windows": R.ORACLE["q07_attempt_windows"],
+    "q07_stream_sliding": R.ORACLE["q07_sliding_windows"],
+    "q08_stream_sessions": R.ORACLE["q08_operation_sessions"],
+    "q09_stream_state": R.ORACLE["q09_latest_state"],
+    "q10_stream_enrich": R.ORACLE["q10_enrich"],
 }
-QUERIES = dict(R.QUERIES) | {k: _stream(f, k) for k, f in STREAMS.items()}
-ORACLE = R.ORACLE

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioflow.sources.scratch import shared_dir
+
 DEGRADING = ["RATE_LIMITED", "TIMEOUT", "UNAVAILABLE"]
 
 
@@ -36,12 +40,34 @@ def degradation_list(a: DataFrame) -> DataFrame:
     return f.groupBy("operation_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat("provider", F.lit(":"), "status").alias("d")))), lambda x: x["d"]), ",").alias("degradations"))
 
 
-def fresh_hit(a: DataFrame, ttl_found: str = "7 days", ttl_empty: str = "6 hours") -> DataFrame:
-    """Q05: whether the previous call with the same key was still fresh."""
-    w = W.partitionBy("cache_key").orderBy("ts", "attempt_id")
-    d = a.withColumn("_t", F.lag("ts").over(w)).withColumn("_s", F.lag("status").over(w))
-    ttl = F.when(F.col("_s") == "OK", F.expr(f"interval {ttl_found}")).otherwise(F.expr(f"interval {ttl_empty}"))
-    return d.withColumn("hit", F.coalesce(F.col("ts") <= F.col("_t") + ttl, F.lit(False))).drop("_t", "_s")
+TTL_FOUND, TTL_EMPTY = 7 * 86_400, 6 * 3_600  # seconds
+
+
+def fresh_hit(a: DataFrame) -> DataFrame:
+    """Q05: whether a call (cache_key, ts, attempt_id, status) met a fresh answer of its key.
+
+    A call that meets none fills the key and is fresh for others until its own time runs out;
+    hits do not renew it, so a key's calls are read in order.  They stream through sorted
+    partitions with one expiry kept per key, so a frequent key takes no more memory.
+    """
+    life = F.when(F.col("status") == "OK", TTL_FOUND).otherwise(TTL_EMPTY).cast("long")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    d = a.select("cache_key", "attempt_id", micros.alias("at"), (micros + life * 1_000_000).alias("until"))
+    d = d.repartition("cache_key").sortWithinPartitions("cache_key", "at", "attempt_id")
+
+    def run(batches):
+        key, expiry = None, None
+        for b in batches:
+            hits = []
+            for k, at, until in zip(b["cache_key"].tolist(), b["at"].tolist(), b["until"].tolist()):
+                if expiry is None or k != key:
+                    key, expiry = k, at
+                hits.append(at < expiry)
+                if at >= expiry:
+                    expiry = until
+            yield pd.DataFrame({"attempt_id": b["attempt_id"], "hit": hits})
+
+    return d.mapInPandas(run, "attempt_id long, hit boolean")
 
 
 def first_of_key(a: DataFrame, key: str) -> DataFrame:
@@ -70,25 +96,37 @@ def latest_state(a: DataFrame) -> DataFrame:
 
 
 def running_state(stream: DataFrame, silence_ms: int = 3_600_000) -> DataFrame:
-    """Q09 on a stream: status per operation as it changes; an operation silent for too long has FAILED."""
+    """Q09 on a stream: (operation_id, calls, status, at) as it changes; an operation silent for too long has FAILED.
+
+    ``at`` and ``calls`` grow, so :func:`last_state` finds the latest row of an operation.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(key: tuple, batches, state):
         if state.hasTimedOut:
-            calls = state.get[0]
+            calls, status, at, last_id = state.get
             state.remove()
-            yield pd.DataFrame({"operation_id": [key[0]], "status": ["FAILED"], "calls": [calls]})
+            yield pd.DataFrame({"operation_id": [key[0]], "status": ["FAILED"], "calls": [calls], "at": [at]})
             return
-        calls, status, last = (state.get[0] if state.exists else 0), None, None
+        calls, status, at, last_id = state.get if state.exists else (0, None, 0, 0)
         for b in batches:
             b = b.sort_values(["ts", "attempt_id"])
-            calls, status, last = calls + len(b), b["status"].iloc[-1], b["ts"].max()
-        state.update((calls,))
-        state.setTimeoutTimestamp(int(last.timestamp() * 1000) + silence_ms)
-        yield pd.DataFrame({"operation_id": [key[0]], "status": [status], "calls": [calls]})
+            calls, newest = calls + len(b), b.iloc[-1]
+            now, own = int(newest["ts"].timestamp() * 1_000_000), int(newest["attempt_id"])
+            if (now, own) >= (at, last_id):
+                at, status, last_id = now, newest["status"], own
+        state.update((calls, status, at, last_id))
+        state.setTimeoutTimestamp(max(at // 1000 + silence_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"operation_id": [key[0]], "status": [status], "calls": [calls], "at": [at]})
 
     src = stream.withWatermark("ts", "1 hour").groupBy("operation_id")
-    return src.applyInPandasWithState(run, "operation_id string, status string, calls long", "calls long", "append", GroupStateTimeout.EventTimeTimeout)
+    return src.applyInPandasWithState(run, "operation_id string, status string, calls long, at long", "calls long, status string, at long, last_id long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def last_state(updates: DataFrame) -> DataFrame:
+    """Q09: the latest known status of each operation among the updates of :func:`running_state`."""
+    order = F.struct("calls", "at")
+    return updates.where("status <> 'FAILED'").groupBy("operation_id").agg(F.max_by("status", order).alias("status"), F.max("calls").alias("calls"))
 
 
 def enrich(a: DataFrame, works: DataFrame) -> DataFrame:
@@ -96,13 +134,36 @@ def enrich(a: DataFrame, works: DataFrame) -> DataFrame:
     return a.join(works, "work_key", "left")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now and return what it wrote (tests and small logs)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over all that is there now, write it as Parquet to the shared folder and read that.
+
+    Rows that the watermark still holds back at the end are not in it; feed closing events
+    (:func:`closed_by`) to have all of them.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/folioflow-{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def event_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An event log as a file stream: a folder of Parquet files, or one of their parent folder by its name."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1:
+        return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+
 
+def closed_by(spark: SparkSession, events: DataFrame, name: str, far: str = "30 days") -> str:
+    """A copy of an event log, as a folder to stream from, with one event long after the last one.
 
-def event_stream(spark: SparkSession, sf_dir: str, schema: str) -> DataFrame:
-    """The event log as a file stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    Its time moves the watermark past every window, so that a stream over the folder lets all
+    of them go; ``event_id`` -1 marks it, and its own window stays open.
+    """
+    path = f"{shared_dir(spark)}/folioflow-{name}-{uuid.uuid4().hex}"
+    events.write.parquet(path)
+    last = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr(f"interval {far}")).alias("ts"))
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name not in ("event_id", "ts")]
+    last.select("event_id", "ts", *rest).select(*events.columns).coalesce(1).write.mode("append").parquet(path)
+    return path
