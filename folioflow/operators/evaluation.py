@@ -62,3 +62,22 @@ def effect_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """Each figure before and after the cross-check."""
     keep = lambda d, s: d.select("paper_id", F.col("structured").alias("structured_" + s), F.col("raw_only").alias("raw_only_" + s), F.col("coverage").alias("coverage_" + s))
     return keep(before, "before").join(keep(after, "after"), "paper_id")
+
+
+def block_inventory(labelled: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Figures and tables of each paper, labelled and recovered, with what cannot be rendered or has no place.
+
+    labelled has paper_id, labelled_figures, labelled_tables; blocks paper_id, kind, fidelity, floating.
+    """
+    kind = lambda k: F.count_if(F.col("kind") == k)
+    b = blocks.groupBy("paper_id").agg(kind("FIGURE").alias("figures_recovered"), kind("TABLE").alias("tables_recovered"), F.count_if(F.col("fidelity") == "UNRENDERABLE").alias("unrenderable"), F.count_if("floating").alias("floating"))
+    return labelled.join(b, "paper_id", "left").na.fill(0)
+
+
+def eval_table(reports: dict[str, DataFrame], key: str = "paper_id") -> DataFrame:
+    """One row per paper over the reports X01-X08, columns named ``report_column``; a report without a paper leaves nulls."""
+    out = None
+    for name, report in reports.items():
+        r = report.select(key, *[F.col(c).alias(f"{name}_{c}") for c in report.columns if c != key])
+        out = r if out is None else out.join(r, key, "full_outer")
+    return out

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import describe_reference, https_link
+from folioflow.operators.resolution import distinct_sets, not_in_bibliography, similar_sets, token_sets
+from folioflow.sources.scratch import written
+
 PARAGRAPHS, CLAIMS, SUGGESTIONS = 500, 12, 3
 SEVERITY = ["CONTRADICTED", "UNCITED_CLAIM", "UNRESOLVED_REFERENCE", "UNLINKED_CITATION", "MISSING_WORK"]
 VERDICTS = ["SUPPORTED", "PARTIALLY_SUPPORTED", "NOT_SUPPORTED", "CONTRADICTED"]
@@ -68,13 +72,18 @@ def server_verdict(work: Column, confidence: Column, abstract: Column, judged: C
     return F.when(work.isNull(), "SOURCE_UNRESOLVED").when(~confidence.isin("CERTAIN", "PROBABLE"), "SOURCE_IDENTITY_UNCERTAIN").when(F.coalesce(F.trim(abstract) == "", F.lit(True)), "EVIDENCE_UNAVAILABLE").otherwise(judged)
 
 
-def missing_work(ranked: DataFrame, known: DataFrame, most: int = SUGGESTIONS) -> DataFrame:
-    """Linkable candidates the paper does not cite, best ``most`` per claim; repeats in a ranking count once."""
-    first = ranked.where("link is not null").groupBy("paper_id", "claim_id", "work_id").agg(F.min("rank").alias("rank"))
-    open_ = first.join(known, ["paper_id", "work_id"], "left_anti")
-    r = F.row_number().over(W.partitionBy("paper_id", "claim_id").orderBy("rank", "work_id"))
+def missing_work(ranked: DataFrame, keys: DataFrame, titles: DataFrame, most: int = SUGGESTIONS) -> DataFrame:
+    """Linkable candidates that the paper holds neither by a key nor by a similar title (R18), best ``most`` per claim.
+
+    ``ranked`` has paper_id, claim_id, rank, link and the columns of a candidate; repeats in a ranking count once.
+    """
+    linkable = ranked.where("link is not null")
+    offered = linkable.select("paper_id", "provider", "external_id", "title", "doi", "arxiv_id").distinct()
+    fresh = not_in_bibliography(offered, keys, titles).select("paper_id", "provider", "external_id").distinct()
+    open_ = linkable.groupBy("paper_id", "claim_id", "provider", "external_id").agg(F.min("rank").alias("rank")).join(fresh, ["paper_id", "provider", "external_id"])
+    r = F.row_number().over(W.partitionBy("paper_id", "claim_id").orderBy("rank", "external_id", "provider"))
     top = open_.withColumn("place", r).where(F.col("place") <= most)
-    return top.groupBy("paper_id", "claim_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "work_id"))), lambda x: x["work_id"]), ",").alias("suggestions"))
+    return top.groupBy("paper_id", "claim_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "external_id"))), lambda x: x["external_id"]), ",").alias("suggestions"))
 
 
 def search_note(degraded: Column, found: Column, cited: Column, incomplete: Column) -> Column:
@@ -127,14 +136,97 @@ def with_vocabulary(counts: DataFrame, col: str, words: list[str], keys: list[st
     return base.join(counts, [*keys, col], "left").na.fill(0, ["n"])
 
 
-def severity_worst(verdicts: DataFrame, key: str) -> DataFrame:
+def severity_worst(verdicts: DataFrame, *keys: str) -> DataFrame:
     """The worst verdict of a group, the first one on ties."""
     rank = F.array_position(F.array(*map(F.lit, VERDICTS)), F.col("verdict"))
-    return verdicts.groupBy(key).agg(F.max(F.struct(rank.alias("r"), (-F.col("place")).alias("p"), "verdict")).alias("m")).select(key, F.coalesce("m.verdict", F.lit("UNRESOLVED")).alias("verdict"))
+    return verdicts.groupBy(*keys).agg(F.max(F.struct(rank.alias("r"), (-F.col("place")).alias("p"), "verdict")).alias("m")).select(*keys, F.coalesce("m.verdict", F.lit("UNRESOLVED")).alias("verdict"))
+
+
+def run_stats(paragraphs: DataFrame, refs: DataFrame, findings: DataFrame, assertions: DataFrame, answers: DataFrame, searched: DataFrame, suggestions: DataFrame, attempts: DataFrame, resolutions: DataFrame, limit: int = PARAGRAPHS) -> DataFrame:
+    """One row of the 14 counters of a run, each with the total it is a part of.
+
+    paragraphs (reviewed), findings and refs are counted as they are; assertions have completed,
+    answers rejected, searched claim_id and paragraph_id, resolutions confidence.
+    """
+    n = F.count(F.lit(1))
+    parts = [
+        paragraphs.agg(F.count_if("reviewed").alias("paragraphs_reviewed"), n.alias("paragraphs_total")).withColumn("paragraph_limit", F.lit(limit)),
+        refs.agg(n.alias("references_total")),
+        findings.agg(n.alias("findings")),
+        assertions.agg(n.alias("support_assertions_total"), F.count_if("completed").alias("support_assertions_completed")),
+        answers.agg(F.count_if("rejected").alias("grounding_rejections")),
+        searched.agg(F.count_distinct("claim_id").alias("claims_searched"), F.count_distinct("paragraph_id").alias("missing_work_paragraphs_searched")),
+        suggestions.agg(n.alias("works_suggested")),
+        attempts.agg(n.alias("provider_calls")),
+        resolutions.agg(F.count_if(F.col("confidence").isin("CERTAIN", "PROBABLE")).alias("references_resolved"), n.alias("references_examined")),
+    ]
+    out = parts[0].withColumn("_one", F.lit(1))
+    for p in parts[1:]:  # one row each
+        out = out.join(F.broadcast(p.withColumn("_one", F.lit(1))), "_one")
+    return out.drop("_one")
+
+
+def findings_by_paragraph(findings: DataFrame, paragraphs: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings of each paragraph in order of severity, and totals of findings and citations per section.
+
+    paragraphs have doc_id, par_no, section; findings and citations have doc_id and par_no.
+    """
+    f = findings.withColumn("s", severity(F.col("kind")))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s", "kind"))), lambda x: x["kind"]), ",")
+    per = f.groupBy("doc_id", "par_no").agg(listed.alias("kinds"), F.count(F.lit(1)).alias("findings"))
+    cited = citations.groupBy("doc_id", "par_no").agg(F.count(F.lit(1)).alias("citations"))
+    both = paragraphs.join(per, ["doc_id", "par_no"], "left").join(cited, ["doc_id", "par_no"], "left").na.fill(0, ["findings", "citations"])
+    sections = both.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum("findings").alias("findings"), F.sum("citations").alias("citations"))
+    return per, sections
+
+
+def enrich_findings(findings: DataFrame, paragraphs: DataFrame, refs: DataFrame, records: DataFrame) -> DataFrame:
+    """Findings with section title, claim text, reference label and suggestions that can be linked to, in their order.
+
+    findings have finding_id, doc_id, par_no, reference_id, suggested (record ids) and rationales;
+    paragraphs doc_id, par_no, section, text; refs reference_id, title, raw_text; records record_id, title, doi, url.
+    """
+    f = findings.join(paragraphs.select("doc_id", "par_no", F.col("section").alias("section_title"), F.col("text").alias("claim_text")), ["doc_id", "par_no"], "left")
+    f = f.join(refs.select("reference_id", describe_reference(F.col("title"), F.col("raw_text")).alias("reference_label")), "reference_id", "left")
+    each = findings.select("finding_id", "rationales", F.posexplode("suggested").alias("place", "record_id"))
+    r = records.select("record_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Untitled")).alias("title"), https_link(F.col("url"), F.col("doi")).alias("link")).where("link is not null")
+    one = F.struct("place", F.concat_ws("|", "title", "link", F.coalesce(F.get("rationales", F.col("place")), F.lit(""))).alias("s"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["s"]), ";")
+    found = each.join(r, "record_id").groupBy("finding_id").agg(listed.alias("suggestions"))
+    out = f.join(found, "finding_id", "left")
+    return out.select("finding_id", F.coalesce("section_title", F.lit("")).alias("section_title"), F.coalesce("claim_text", F.lit("")).alias("claim_text"), "reference_label", F.coalesce("suggestions", F.lit("")).alias("suggestions"))
+
+
+def parse_quality(papers: DataFrame, paragraphs: DataFrame, items: DataFrame, status: DataFrame, refs: DataFrame, blocks: DataFrame, links: DataFrame) -> DataFrame:
+    """What a parse recovered of each paper; zero where a paper has none.
+
+    paragraphs have section and words, items reference_id, status parse_status, refs normalization,
+    blocks kind and fidelity, links code (of the cross-check); all have paper_id.
+    """
+    n, count = F.count(F.lit(1)), lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    parts = [
+        paragraphs.groupBy("paper_id").agg(F.count_distinct("section").alias("sections"), n.alias("paragraphs"), F.sum("words").cast("long").alias("words")),
+        items.groupBy("paper_id").agg(n.alias("citations"), F.count("reference_id").alias("linked"), count(F.col("reference_id").isNull()).alias("unlinked")),
+        status.groupBy("paper_id").agg(n.alias("clusters"), count(F.col("parse_status") == "RAW_ONLY").alias("raw_only"), count(F.col("parse_status") == "PARTIAL_MODIFIERS").alias("partial_modifiers")),
+        refs.groupBy("paper_id").agg(n.alias("refs"), *[count(F.col("normalization") == k).alias("refs_" + k.lower()) for k in ("COMPLETE", "PARTIAL", "RAW_ONLY")]),
+        blocks.groupBy("paper_id").agg(n.alias("blocks"), *[count(F.col("kind") == k).alias(k.lower() + "s") for k in ("FIGURE", "TABLE", "FORMULA")], count(F.col("fidelity") == "UNRENDERABLE").alias("unrenderable")),
+        links.groupBy("paper_id").agg(count(F.col("code") != "NOT_A_MARKER").alias("checked"), *[count(F.col("code") == k).alias(k.lower()) for k in ("AGREED", "MISMATCH", "RECOVERED", "AMBIGUOUS", "UNRESOLVED", "UNCERTAIN")]),
+    ]
+    out = papers.select("paper_id").distinct()
+    for p in parts:
+        out = out.join(p, "paper_id", "left")
+    return out.na.fill(0)
+
+
+def paper_detail(papers: DataFrame, revisions: DataFrame, reports: DataFrame) -> DataFrame:
+    """Papers with their revision count, current revision and the parse report of their first one."""
+    r = revisions.groupBy("paper_id").agg(F.count(F.lit(1)).alias("revisions"), F.max_by("revision_id", "revision_number").alias("current_id"))
+    first = revisions.where("revision_number = 1").select("paper_id", F.col("revision_id")).join(reports, "revision_id").drop("revision_id")
+    return papers.join(r, "paper_id", "left").join(first, "paper_id", "left").na.fill(0, ["revisions"])
 
 
 def judge(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], schema: str, provider: str = "local", model: str = "lexical", prompt: str = "v1") -> DataFrame:
-    """A user's judgement of each row, with its provenance; validate the ids with :func:`ground_ids`."""
+    """A user's judgement of each row, with its provenance; :func:`grounded` validates it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -143,14 +235,43 @@ def judge(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], schema: str, p
     return df.mapInPandas(run, f"{schema}, judgement double, provider string, model string, prompt string")
 
 
-def lexical_rank(claims: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
-    """Works of each claim by shared words; both have id and tokens."""
-    a = claims.select(F.col("id").alias("claim_id"), F.size("tokens").alias("na"), F.explode("tokens").alias("w"))
-    b = works.select(F.col("id").alias("work_id"), F.size("tokens").alias("nb"), F.explode("tokens").alias("w"))
-    s = a.join(b, "w").groupBy("claim_id", "work_id", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    s = s.withColumn("score", F.col("c") / (F.col("na") + F.col("nb") - F.col("c")))
-    r = F.row_number().over(W.partitionBy("claim_id").orderBy(F.desc("score"), "work_id"))
-    return s.withColumn("rank", r).where(F.col("rank") <= k).select("claim_id", "work_id", "rank", "score")
+def grounded(judged: DataFrame, offered: DataFrame, response: str, item: str, allowed: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """U01, validated: judgements whose response names offered items only (A04) and permitted answers only (A05), and the rejected responses."""
+    answers = written(judged.withColumnRenamed(item, "offered_id"), "judgements")
+    open_ids = offered.select(response, F.col(item).alias("offered_id")).distinct()
+    good = ground_ids(answers, open_ids, response)
+    if allowed is not None:
+        wrong = require_choice(answers, "judgement", allowed).where(~F.col("permitted")).select(response).distinct()
+        good = good.join(wrong, response, "left_anti")
+    return good.withColumnRenamed("offered_id", item), rejected_responses(answers, open_ids, response)
+
+
+def lexical_rank(claims: DataFrame, works: DataFrame, k: int = 5, levels: tuple[int, ...] = (60, 40, 25, 0)) -> DataFrame:
+    """The ``k`` works of each claim with the largest Jaccard of words, ties to the smaller id; both have id and tokens.
+
+    Claims with one token set are ranked once, and so are works.  A claim that has ``k`` works at or
+    above a level has its best among them, so only the others go on to the next, where
+    prefixes of rare words are longer; at the last, any shared word counts.
+    """
+    c = written(token_sets(claims, "claim_id"), "rank-claims")
+    w = token_sets(works, "work_id")
+    place = F.row_number().over(W.partitionBy("h").orderBy("work_id"))
+    few = w.withColumn("_r", place).where(F.col("_r") <= k)
+    w = written(few.groupBy("h").agg(F.first("tokens").alias("tokens"), F.sort_array(F.collect_list("work_id")).alias("ids")), "rank-works")
+    left = written(distinct_sets(c), "rank-open")
+    done: DataFrame | None = None
+    for level in levels:
+        pairs = similar_sets(left, w.select("h", "tokens"), level).where("similarity > 0").join(w.select(F.col("h").alias("hb"), "ids"), "hb")
+        each = pairs.select(F.col("ha").alias("h"), F.col("similarity").alias("score"), F.explode("ids").alias("work_id"))
+        best = F.row_number().over(W.partitionBy("h").orderBy(F.desc("score"), "work_id"))
+        top = written(each.withColumn("rank", best).where(F.col("rank") <= k), "rank-found")
+        full = top.where(F.col("rank") == k).select("h") if level else top.select("h").distinct()
+        found = top.join(full, "h", "left_semi")
+        done = found if done is None else done.unionByName(found)
+        left = written(left.join(full, "h", "left_anti"), "rank-open")
+        if left.isEmpty():
+            break
+    return c.select("claim_id", "h").join(done, "h").select("claim_id", "work_id", "rank", "score")
 
 
 def claim_candidates(sentences: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
