@@ -2,32 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.segmentation import token_ids
 from folioflow.functions.text import normalize_text, text_sha256, title_tokens
 from folioflow.operators.resolution import complete_for_insertion, similar_pairs, work_id
+from folioflow.operators.review import severity_worst
+from folioflow.operators.revisions import removed_keys, warning_id
+from folioflow.sources.scratch import written
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder; a local one is set only where none is."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-folioflow-"))
-    return df.checkpoint()
+#: Verdicts of a citation that could not be checked.
+UNVERIFIABLE = ["UNVERIFIABLE", "SOURCE_UNRESOLVED", "SOURCE_IDENTITY_UNCERTAIN", "EVIDENCE_UNAVAILABLE"]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over edges (a, b), by label passing and jumping."""
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        step = checkpointed(step.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        step = written(step.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         labels = step.select("id", "label")
         if step.where("label < old").isEmpty():
             return labels.withColumnRenamed("label", "component")
@@ -67,17 +65,51 @@ def identity_broken(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.where(~F.col(a).eqNullSafe(F.col(b)))
 
 
+def new_support_status(verdicts: DataFrame, key: str) -> DataFrame:
+    """Added citations of a group: contradicted or unverifiable ones block, partly supported ones warn."""
+    bad = F.col("verdict").isin("CONTRADICTED", *UNVERIFIABLE)
+    g = verdicts.groupBy(key).agg(F.count_if(bad).alias("unsupported"), F.count_if(F.col("verdict") == "PARTIALLY_SUPPORTED").alias("partial"))
+    return g.withColumn("status", F.when(F.col("unsupported") > 0, "BLOCKED").when(F.col("partial") > 0, "WARNED").otherwise("PASSED"))
+
+
 def support_status(verdicts: DataFrame, key: str) -> DataFrame:
-    """Per group counts and BLOCKED over WARNED over PASSED."""
-    g = verdicts.groupBy(key).agg(F.count(F.lit(1)).alias("affected"), F.count_if(F.col("verdict") == "SUPPORTED").alias("verified"), F.count_if(F.col("verdict") == "CONTRADICTED").alias("contradicted"), F.count_if(F.col("verdict") == "UNVERIFIABLE").alias("unverifiable"))
+    """Citations whose context changed, counted by the worst verdict on them; contradicted ones block, unchecked ones warn."""
+    g = verdicts.groupBy(key).agg(F.count(F.lit(1)).alias("affected"), F.count_if(F.col("verdict") == "SUPPORTED").alias("verified"), F.count_if(F.col("verdict") == "CONTRADICTED").alias("contradicted"), F.count_if(F.col("verdict").isin(UNVERIFIABLE)).alias("unverifiable"))
     return g.withColumn("status", F.when(F.col("contradicted") > 0, "BLOCKED").when(F.col("verified") < F.col("affected"), "WARNED").otherwise("PASSED"))
 
 
+def attachment_status(changed: DataFrame, verdicts: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """Contexts that changed (D08), by the worst verdict on them (A24); those nobody judged are unverifiable."""
+    worst = severity_worst(verdicts, *keys)
+    judged = changed.select(*keys).distinct().join(worst, keys, "left").withColumn("verdict", F.coalesce("verdict", F.lit("UNVERIFIABLE")))
+    return support_status(judged, group)
+
+
+def citation_warnings(before: DataFrame, after: DataFrame, content_hash: Column) -> DataFrame:
+    """A warning per occurrence that is gone and per reference that nothing cites any more."""
+    lost = removed_keys(before, after, ["citation_id"]).select(F.lit("CITATION_REMOVED").alias("code"), F.col("citation_id").alias("subject"))
+    cited = lambda d: d.where("reference_id is not null")
+    left = removed_keys(cited(before), cited(after), ["reference_id"]).select(F.lit("REFERENCE_LEFT_UNCITED").alias("code"), F.col("reference_id").alias("subject"))
+    both = lost.unionByName(left)
+    return both.select(warning_id(F.col("code"), F.array("subject"), content_hash).alias("warning_id"), "code", "subject")
+
+
+def section_sequence(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Documents whose sections (``key``, place, section) are not the same ones in the same order."""
+    order = lambda d, n: d.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "section"))), lambda x: x["section"]).alias(n))
+    return order(before, "was").join(order(after, "now"), key, "full_outer").where(~F.col("was").eqNullSafe(F.col("now"))).select(key)
+
+
 def acknowledgement_gap(required: Column, given: Column) -> Column:
-    """V15"""
+    """Warnings that were not acknowledged."""
     return F.array_sort(F.array_except(required, given))
 
 
+def tampered(stored: Column, required: Column) -> Column:
+    """The warnings stored with a proposal are not the ones it requires."""
+    return F.array_sort(F.array_distinct(stored)) != F.array_sort(F.array_distinct(required))
+
+
 def hash_broken(df: DataFrame, text: str, stored: str) -> DataFrame:
     """V17"""
     return df.where(text_sha256(F.col(text)) != F.col(stored))
@@ -86,7 +118,7 @@ def hash_broken(df: DataFrame, text: str, stored: str) -> DataFrame:
 def preflight(papers: DataFrame) -> DataFrame:
     """Blockers and warnings of each paper from its counts."""
     block = F.array(F.when(F.col("style").isNull(), "NO_STYLE"), F.when(F.col("paragraphs") == 0, "EMPTY_DOCUMENT"), F.when(F.col("unrenderable") > 0, "UNRENDERABLE_BLOCK"))
-    warn = F.array(F.when(F.col("partial") > 0, "PARTIAL_MODIFIERS"), F.when(F.col("raw_only") > 0, "RAW_ONLY"), F.when(F.col("uncited") > 0, "RETAINED_UNCITED"))
+    warn = F.array(F.when(F.col("partial") > 0, "PARTIAL_MODIFIERS"), F.when(F.col("raw_only") > 0, "RAW_ONLY"), F.when(F.col("converted") > 0, "CONVERTED_BLOCK"), F.when(F.col("uncited") > 0, "RETAINED_UNCITED"), F.when(F.col("dropped") > 0, "DROPPED_ADDED"))
     return papers.select("paper_id", F.array_join(F.array_compact(block), ",").alias("blockers"), F.array_join(F.array_compact(warn), ",").alias("warnings"))
 
 
@@ -102,9 +134,10 @@ def signature_diff(expected: DataFrame, observed: DataFrame) -> DataFrame:
     return j.select("citation_id", F.when(F.col("o").isNull(), "MISSING").when(F.col("e").isNull(), "UNEXPECTED").when(F.col("e") != F.col("o"), "CHANGED").alias("kind")).where("kind is not null")
 
 
-def fidelity_warnings(status: DataFrame) -> DataFrame:
-    """One warning per paper with the sorted ids of what is not structured."""
-    return status.where("parse_status <> 'STRUCTURED'").groupBy("paper_id").agg(F.array_join(F.sort_array(F.collect_list("citation_id")), ",").alias("subjects"))
+def fidelity_warnings(status: DataFrame, content_hash: Column) -> DataFrame:
+    """One warning per paper with the sorted ids of what is not structured; none where all is."""
+    g = status.where("parse_status <> 'STRUCTURED'").groupBy("paper_id").agg(F.sort_array(F.collect_list("citation_id")).alias("ids"))
+    return g.select("paper_id", warning_id(F.lit("FIDELITY"), F.col("ids"), content_hash).alias("warning_id"), F.array_join("ids", ",").alias("subjects"))
 
 
 def apply_insertions(sentences: DataFrame, insertions: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,29 +161,74 @@ def rebuild(paragraphs: DataFrame, changed: DataFrame, keys: list[str]) -> DataF
     return j.select(*keys, F.coalesce("_new", "text").alias("text"), F.coalesce(normalize_text(F.col("_new")) == normalize_text(F.col("text")), F.lit(False)).alias("no_op"))
 
 
+def placed_citations(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
+    """Ids of the citation tokens in paragraphs with ``text``."""
+    return paragraphs.select(*keys, F.explode(token_ids(F.col("text"))).alias("citation_id"))
+
+
+def rebuild_errors(paragraphs: DataFrame, changed: DataFrame, new_citations: DataFrame, refs: DataFrame, new_refs: DataFrame, keys: list[str]) -> DataFrame:
+    """What stops a rebuilt revision: (kind, subject) of changes without a paragraph or effect, new citations that no
+    paragraph places and new references whose id exists."""
+    name = F.concat_ws("/", *keys)
+    pair = changed.select(*keys, F.col("text").alias("new")).join(paragraphs.select(*keys, F.col("text").alias("old")), keys, "left")
+    orphan = pair.where("old is null").select(F.lit("ORPHAN_CHANGE").alias("kind"), name.alias("subject"))
+    idle = pair.where(normalize_text(F.col("new")) == normalize_text(F.col("old"))).select(F.lit("NO_OP").alias("kind"), name.alias("subject"))
+    placed = placed_citations(rebuild(paragraphs, changed, keys), keys).select("citation_id").distinct()
+    unplaced = new_citations.join(placed, "citation_id", "left_anti").select(F.lit("UNPLACED_CITATION").alias("kind"), F.col("citation_id").alias("subject"))
+    twice = new_refs.join(refs.select("reference_id"), "reference_id", "left_semi").select(F.lit("REFERENCE_EXISTS").alias("kind"), F.col("reference_id").alias("subject"))
+    return orphan.unionByName(idle).unionByName(unplaced).unionByName(twice)
+
+
+def edit_scope(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
+    """Each section's targets, what is skipped with the reason, and words before and as targeted.
+
+    paragraphs have ``keys``, section, par_no, words, target (words) and reason (null for a target).
+    """
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["s"])
+    target = F.when(F.col("reason").isNull(), F.struct("par_no", F.col("par_no").cast("string").alias("s")))
+    skip = F.when(F.col("reason").isNotNull(), F.struct("par_no", F.concat_ws(":", F.col("par_no").cast("string"), "reason").alias("s")))
+    words = F.when(F.col("reason").isNull(), F.col("target")).otherwise(F.col("words"))
+    return paragraphs.groupBy(*keys, "section").agg(
+        F.count(F.lit(1)).alias("paragraphs"), F.array_join(listed(target), ",").alias("targets"), F.array_join(listed(skip), ",").alias("skipped"),
+        F.sum("words").cast("long").alias("words_before"), F.sum(words).cast("long").alias("words_target"),
+    )
+
+
 def evidence_anchors(spans: DataFrame, chosen: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
     """A10: offsets and hashes of at most three chosen spans."""
     return spans.join(chosen.where(F.col("place") <= most), [*keys, "span_id"])
 
 
-def content_present(items: DataFrame, docs: DataFrame, width: int = 6) -> DataFrame:
-    """Items (item_id, text) that occur, case and white space aside, in some document.
+def content_present(items: DataFrame, docs: DataFrame, width: int = 6, letters: int = 8) -> DataFrame:
+    """Items (item_id, text) contained, case and white space aside, in some document.
 
-    An item's first words are its key; documents offer the keys of all their word windows,
-    so an item meets only documents that hold its beginning, and is then looked up whole.
+    An item may begin and end within a word, so its key is made of the words between its
+    first and last one, at most ``width``; documents offer their word windows of the sizes that
+    occur.  Items of one or two words use their first ``letters`` characters instead.  Keys move
+    alone; only documents that hold an item's key are then read again and searched.
     """
     low = lambda c: F.lower(normalize_text(c))
-    n = F.least(F.lit(width), F.size("_w"))
-    i = items.select("item_id", low(F.col("text")).alias("_t")).withColumn("_w", F.split("_t", " ")).withColumn("key", F.xxhash64(F.slice("_w", F.lit(1), n))).where("_t <> '' and size(_w) >= 6").select("item_id", "_t", "key")
-    d = docs.select(low(F.col("text")).alias("_d")).withColumn("_v", F.split("_d", " ")).where(F.size("_v") >= width)
-    windows = F.transform(F.sequence(F.lit(1), F.size("_v") - width + 1), lambda k: F.xxhash64(F.slice("_v", k, width)))
-    d = d.select("_d", F.explode(F.array_distinct(windows)).alias("key"))
-    return i.join(d, "key").where(F.contains("_d", "_t")).select("item_id").distinct()
-
-
-def eval_table(parts: list[DataFrame], key: str = "paper_id") -> DataFrame:
-    """One row per paper over all reports; a report without a paper leaves nulls."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, key, "full_outer")
-    return out
+    i = items.select("item_id", low(F.col("text")).alias("t")).where("t <> ''").withColumn("w", F.split("t", " "))
+    inner = F.least(F.lit(width), F.size("w") - 2)
+    short = F.size("w") < 3
+    head = F.least(F.lit(letters), F.length("t"))
+    key = F.when(short, F.xxhash64(F.substr("t", F.lit(1), head))).otherwise(F.xxhash64(F.slice("w", F.lit(2), F.greatest(inner, F.lit(1)))))
+    i = written(i.select("item_id", "t", F.when(short, -head).otherwise(inner).alias("size"), key.alias("key")), "items")
+    # at most width + letters sizes
+    sizes = [r["size"] for r in i.select("size").distinct().collect()]
+    d = docs.select(low(F.col("text")).alias("d")).withColumn("id", F.xxhash64("d")).withColumn("v", F.split("d", " "))
+
+    def windows(k: int):
+        count = F.length("d") + k + 1 if k < 0 else F.size("v") - k + 1
+        at = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda p: F.xxhash64(F.substr("d", p, F.lit(-k))) if k < 0 else F.xxhash64(F.slice("v", p, k))))
+
+    offered = [d.select("id", F.lit(k).alias("size"), F.explode(windows(k)).alias("key")) for k in sizes]
+    if not offered:
+        return i.select("item_id")
+    some = offered[0]
+    for part in offered[1:]:
+        some = some.unionByName(part)
+    pairs = some.join(i.select("item_id", "size", "key"), ["size", "key"]).select("item_id", "id").distinct()
+    found = pairs.join(d.select("id", "d"), "id").join(i.select("item_id", "t"), "item_id").where(F.contains("d", "t"))
+    return found.select("item_id").distinct()
