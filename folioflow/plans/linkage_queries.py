@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import linkage as lk
 from folioflow.operators import markers as mk
+from folioflow.sources.scratch import written
 
 from .registry import Registry
 
@@ -49,15 +50,15 @@ R.add(
 
 
 def _pieces(t):
-    w = t("v_paragraphs").where("par_no <= 3")
-    runs = F.flatten(F.transform(F.slice(F.split("text", " "), 1, 12), lambda x, i: F.array(F.struct(F.when(F.length(x) % 3 == 0, "citation").otherwise("text").alias("kind"), F.when(F.length(x) % 4 == 1, " ").otherwise(x).alias("value")))))
+    w = t("v_paragraphs")
+    runs = F.flatten(F.transform(F.split("text", " ", -1), lambda x, i: F.array(F.struct(F.when(F.length(x) % 3 == 0, "citation").otherwise("text").alias("kind"), F.when(F.length(x) % 4 == 1, " ").otherwise(x).alias("value")))))
     return w.select("doc_id", "par_no", F.posexplode(runs).alias("place", "r")).select("doc_id", "par_no", F.col("place").cast("long").alias("place"), "r.kind", "r.value")
 
 
 R.add(
     "c07_cluster_adjacent",
     lambda t: mk.cluster_adjacent(_pieces(t), ["doc_id", "par_no"], "place"),
-    """with w as (select doc_id, par_no, unnest(range(least(12, len(string_split(text, ' '))))) as place, unnest(string_split(text, ' ')[1:12]) as x from v_paragraphs where par_no <= 3),
+    """with w as (select doc_id, par_no, unnest(range(len(string_split(text, ' ')))) as place, unnest(string_split(text, ' ')) as x from v_paragraphs),
     p as (select doc_id, par_no, place, case when length(x) % 3 = 0 then 'citation' else 'text' end as kind, case when length(x) % 4 = 1 then ' ' else x end as v from w),
     b as (select *, sum(case when kind = 'text' and trim(v) <> '' then 1 else 0 end) over (partition by doc_id, par_no order by place) as cluster from p)
     select doc_id, par_no, cluster::bigint as cluster, count(*) as members, min(place) as first from b where kind = 'citation' group by 1, 2, 3""",
@@ -87,8 +88,8 @@ R.add(
 )
 R.add(
     "c12_mapping_diagnostics",
-    lambda t: mk.mapping_diagnostics(t("v_items"), t("v_refs").where("bibliography_order <= 3 or part_key % 2 = 0")),
-    f"""select r.paper_id, refs, items, clusters, unlinked, unrecognised, greatest(0, refs - items)::bigint as out_of_scope from (select paper_id, count(*) as refs from v_refs where bibliography_order <= 3 or part_key % 2 = 0 group by 1) r
+    lambda t: mk.mapping_diagnostics(t("v_items"), t("v_refs")),
+    f"""select r.paper_id, refs, items, clusters, unlinked, unrecognised, greatest(0, refs - items)::bigint as out_of_scope from (select paper_id, count(*) as refs from v_refs group by 1) r
     join (select paper_id, count(*) as items, count(distinct citation_id) as clusters, count(*) filter (reference_id is null) as unlinked, count(*) filter ({KIND} is null) as unrecognised from v_items group by 1) i on r.paper_id = i.paper_id""",
 )
 
@@ -112,7 +113,7 @@ CHANGE_SQL = f"""{FIXED_SQL}, {STATUS_SQL}, ch as (select st.paper_id, st.citati
 
 
 def issues(t):
-    return lk.check_links(t("v_items"), t("v_refs"))
+    return written(lk.check_links(t("v_items"), t("v_refs")), "issues")
 
 
 def changes(t):
@@ -123,8 +124,8 @@ def changes(t):
 R.add("l01_check_numeric_links", lambda t: lk.check_numeric_links(t("v_items").where("family_kind = 'NUMERIC'"), t("v_refs")).drop("repair"), f"with {NUMERIC_SQL} select * from nl")
 R.add("l02_recover_author_year", lambda t: lk.check_author_year_links(t("v_items").where("family_kind = 'AUTHOR_YEAR'"), t("v_refs")).where("reference_id is null").select("citation_id", "item_index", "expected", "code"), f"with {AY_SQL} select citation_id, item_index, expected, code from al where reference_id is null")
 R.add("l03_verify_author_year", lambda t: lk.check_author_year_links(t("v_items").where("family_kind = 'AUTHOR_YEAR'"), t("v_refs")).where("reference_id is not null").select("citation_id", "item_index", "code"), f"with {AY_SQL} select citation_id, item_index, code from al where reference_id is not null")
-R.add("l04_apply_repairs", lambda t: lk.apply_repairs(t("v_items"), issues(t)).select("citation_id", "item_index", "reference_id"), f"with {FIXED_SQL} select citation_id, item_index, reference_id from fx")
-R.add("l05_promote_downgrade", changes, f"with {CHANGE_SQL} select * from ch")
+R.add("l04_apply_repairs", lambda t: lk.apply_repairs(t("v_items"), issues(t)).select("citation_id", "item_index", "reference_id"), f"with {FIXED_SQL} select citation_id, item_index, reference_id from fx", ("v_refs", "v_items"))
+R.add("l05_promote_downgrade", changes, f"with {CHANGE_SQL} select * from ch", ("v_refs", "v_items"))
 R.add(
     "l06_linkage_report",
     lambda t: lk.linkage_report(issues(t), changes(t)),

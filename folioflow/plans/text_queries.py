@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import segmentation as seg
 from folioflow.functions import text as t
 from folioflow.sources import shredding as sh
+from folioflow.sources.scratch import shared_dir
 
 from .registry import Registry
 
@@ -53,7 +55,7 @@ R.add(
     lambda tab: tab("v_paragraphs").withColumn("w", t.word_count(text)).groupBy("doc_id").agg(F.sum("w").cast("long").alias("words"), F.count(F.lit(1)).alias("paragraphs")),
     f"select doc_id, sum({words_sql('text')})::bigint as words, count(*) as paragraphs from v_paragraphs group by doc_id",
 )
-paragraphs("t05_paragraph_text", lambda: t.paragraph_text(F.array(F.substring(text, 1, 20), F.lit(" "), F.lit(". "), F.substring(text, 21, 30))), "regexp_replace(substr(text, 1, 20) || ' ' || '. ' || substr(text, 21, 30), '[ \\t\\n\\x0B\\f\\r]+([.,;:!?)\\]}])', '\\1', 'g')")
+paragraphs("t05_paragraph_text", lambda: t.paragraph_text(F.array(F.substring(text, 1, 20), F.lit(" "), F.lit(". "), F.expr("substring(text, 21)"))), "regexp_replace(substr(text, 1, 20) || ' ' || '. ' || substr(text, 21), '[ \\t\\n\\x0B\\f\\r]+([.,;:!?)\\]}])', '\\1', 'g')")
 paragraphs("t06_fold_name", lambda: t.fold_name(F.regexp_extract(text, r"^[^\s]+", 0)), FOLD_SQL.format("regexp_extract(text, '^[^\\s]+', 0)"))
 paragraphs("t07_title_key", lambda: F.array_join(F.array_sort(t.title_tokens(F.regexp_extract(text, "^[^.]*", 0))), " "), f"array_to_string(list_sort({TITLE_SQL.format(FIRST_SENTENCE)}), ' ')")
 R.add(
@@ -97,7 +99,7 @@ refs("t26_page_range", lambda: t.page_range(F.when(F.col("part_key") % 2 == 0, F
 # --- sources
 R.add("s01_scan_tables", lambda tab: tab("orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least")), "select o_orderstatus, count(*) as n, min(o_orderkey) as least from orders group by 1")
 R.add("s05_reject_no_identity", lambda tab: sh.split_identity(tab("v_works").withColumn("external_id", F.when(F.col("work_key") % 5 == 0, " ").otherwise(F.col("external_id"))), "external_id").groupBy("provider", "accepted").agg(F.count(F.lit(1)).alias("n")), "select provider, work_key % 5 <> 0 as accepted, count(*) as n from v_works group by 1, 2")
-R.add("s06_abstract_from_inverted_index", lambda tab: sh.text_from_positions(sh.positions(tab("documents").where("n_chars < 2000"), "doc_id", "text"), "doc_id"), f"select doc_id, string_agg(w, ' ' order by i) as text from (select doc_id, unnest(w) as w, unnest(range(len(w))) as i from (select doc_id, list_filter(string_split({norm_sql('text')}, ' '), lambda x: x <> '') as w from documents where n_chars < 2000)) group by doc_id")
+R.add("s06_abstract_from_inverted_index", lambda tab: sh.text_from_positions(sh.positions(tab("documents"), "doc_id", "text"), "doc_id"), f"select doc_id, string_agg(w, ' ' order by i) as text from (select doc_id, unnest(w) as w, unnest(range(len(w))) as i from (select doc_id, list_filter(string_split({norm_sql('text')}, ' '), lambda x: x <> '') as w from documents)) group by doc_id")
 R.add(
     "s07_sections_from_markup",
     lambda tab: sh.sections(tab("pages"), "page_id", "html"),
@@ -111,6 +113,36 @@ R.add(
     """with g as (select n_regionkey as row_no, list(n_name order by n_name) filter (n_nationkey % (n_regionkey + 2) > 0) as cells from nation group by 1), m as (select max(len(cells)) as w from g)
     select row_no, c::bigint as col_no, coalesce(cells[c + 1], '') as cell from g, m, unnest(range(w)) as u(c)""",
 )
+
+
+def _bibliography(tab):
+    refs = tab("v_refs").select("paper_id", "bibliography_order", "title", "year")
+    path = f"{shared_dir(refs.sparkSession)}/folioflow-bibliography-{uuid.uuid4().hex}"
+    sh.write_json_bibliography(refs, path)
+    read = refs.sparkSession.read.schema("paper_id long, references array<struct<bibliography_order: long, title: string, year: long>>").json(path)
+    return read.select("paper_id", F.size("references").cast("long").alias("entries"), F.array_join(F.transform("references", lambda x: x["title"]), "|").alias("titles"), F.aggregate("references", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["year"], F.lit(0))).alias("years"))
+
+
+def _appended(tab):
+    log = tab("v_attempts")
+    path = f"{shared_dir(log.sparkSession)}/folioflow-attempts-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        sh.append_attempts(log.where(F.col("attempt_id") % 2 == part), path)
+    return log.sparkSession.read.schema(log.schema).parquet(path).groupBy("provider", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("attempt_id").alias("ids"))
+
+
+R.add("s10_write_json_bibliography", _bibliography, "select paper_id, count(*) as entries, string_agg(title, '|' order by bibliography_order) as titles, coalesce(sum(year), 0)::bigint as years from v_refs group by 1")
+R.add("s11_append_attempts", _appended, "select provider, status, count(*) as n, sum(attempt_id)::bigint as ids from v_attempts group by 1, 2")
+R.add(
+    "s12_list_runs",
+    lambda tab: tab("v_revisions").orderBy(F.desc("created_at"), F.desc("revision_id")).limit(50).select("paper_id", "revision_number", "revision_id"),
+    "select paper_id, revision_number, revision_id from v_revisions order by created_at desc, revision_id desc limit 50",
+)
+R.add(
+    "s12_list_proposals",
+    lambda tab: tab("v_state_log").where("state in ('PENDING', 'AWAITING_DECISION')").orderBy(F.desc("updated_at"), F.desc("proposal_id")).limit(50).select("proposal_id", "paper_id", "state"),
+    "select proposal_id, paper_id, state from v_state_log where state in ('PENDING', 'AWAITING_DECISION') order by updated_at desc, proposal_id desc limit 50",
+)
 R.add("s12_list_papers", lambda tab: tab("orders").where("o_custkey % 3 = 0").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50).select("o_orderkey", "o_custkey"), "select o_orderkey, o_custkey from orders where o_custkey % 3 = 0 order by o_orderdate desc, o_orderkey desc limit 50")
 R.add(
     "s13_dedupe_authors",
@@ -123,12 +155,12 @@ R.add(
 R.add("g01_split_paragraphs", lambda tab: tab("v_paragraphs"), "select doc_id, par_no, text from v_paragraphs")
 R.add("g02_segment_sentences", lambda tab: seg.sentences(tab("v_paragraphs"), ["doc_id", "par_no"]).select("doc_id", "par_no", "sent_no", "char_start", "char_end", "text"))
 R.add("g07_segment_plain", lambda tab: seg.sentences(tab("v_paragraphs"), ["doc_id", "par_no"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(t.word_count(text)).alias("words")))
-TOKENISED = lambda: F.concat(F.substring(text, 1, 15), F.lit("[[CITE:c"), F.col("par_no"), F.lit("]]"), F.substring(text, 16, 20), F.lit("[[CITE:d1]]"))
-R.add("g04_tokens", lambda tab: tab("v_paragraphs").select("doc_id", "par_no", seg.detokenize(TOKENISED()).alias("plain"), F.array_join(seg.token_ids(TOKENISED()), ",").alias("ids")), "select doc_id, par_no, substr(text, 1, 35) as plain, 'c' || par_no || ',d1' as ids from v_paragraphs")
+TOKENISED = lambda: F.concat(F.substring(text, 1, 15), F.lit("[[CITE:c"), F.col("par_no"), F.lit("]]"), F.substring(text, 16, 20), F.lit("[[CITE:d1]]"), F.expr("substring(text, 36)"))
+R.add("g04_tokens", lambda tab: tab("v_paragraphs").select("doc_id", "par_no", seg.detokenize(TOKENISED()).alias("plain"), F.array_join(seg.token_ids(TOKENISED()), ",").alias("ids")), "select doc_id, par_no, text as plain, 'c' || par_no || ',d1' as ids from v_paragraphs")
 R.add(
     "g05_inlines_from_tokenised",
     lambda tab: seg.inlines(tab("v_paragraphs").select("doc_id", "par_no", TOKENISED().alias("t")), ["doc_id", "par_no"], "t").select("doc_id", "par_no", "place", "kind", "value"),
-    """select doc_id, par_no, place, kind, value from (select doc_id, par_no, unnest([0, 1, 2, 3])::bigint as place, unnest(['text', 'citation', 'text', 'citation']) as kind, unnest([substr(text, 1, 15), 'c' || par_no, substr(text, 16, 20), 'd1']) as value from v_paragraphs) where value <> ''""",
+    """select doc_id, par_no, place, kind, value from (select doc_id, par_no, unnest([0, 1, 2, 3, 4])::bigint as place, unnest(['text', 'citation', 'text', 'citation', 'text']) as kind, unnest([substr(text, 1, 15), 'c' || par_no, substr(text, 16, 20), 'd1', substr(text, 36)]) as value from v_paragraphs) where value <> ''""",
 )
 R.add("g06_evidence_spans", lambda tab: seg.evidence_spans(tab("v_paragraphs"), ["doc_id", "par_no"]))
 R.add("g09_explode_citation_items", lambda tab: seg.cluster_items(tab("v_items").groupBy("citation_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_index", F.col("printed_order").cast("string").alias("p")))), lambda x: x["p"]), ", "), F.lit("]")).alias("marker")), "citation_id", "marker"), "select citation_id, item_index::bigint as place, printed_order::varchar as fragment from v_items")

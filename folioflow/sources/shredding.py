@@ -94,9 +94,10 @@ def sections(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 def rectangular(df: DataFrame, key: str, cells: str) -> DataFrame:
     """Ragged rows as (row, col, cell), padded with blanks to the widest row."""
-    wide = F.max(F.size(F.filter(cells, lambda x: x.isNotNull()))).over(W.partitionBy())
-    d = df.withColumn("_c", F.filter(cells, lambda x: x.isNotNull())).withColumn("_w", wide)
-    return d.select(key, F.posexplode(F.concat("_c", F.array_repeat(F.lit(""), F.col("_w") - F.size("_c")))).alias("col_no", "cell")).withColumn("col_no", F.col("col_no").cast("long"))
+    d = df.select(key, F.filter(cells, lambda x: x.isNotNull()).alias("_c"))
+    widest = d.agg(F.coalesce(F.max(F.size("_c")), F.lit(0)).alias("_w"))  # one row
+    padded = F.concat("_c", F.array_repeat(F.lit(""), F.col("_w") - F.size("_c")))
+    return d.join(F.broadcast(widest)).select(key, F.posexplode(padded).alias("col_no", "cell")).withColumn("col_no", F.col("col_no").cast("long"))
 
 
 def dedupe_authors(df: DataFrame, key: str, authors: str) -> DataFrame:
