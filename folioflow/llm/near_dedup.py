@@ -3,17 +3,23 @@
 Two collections of ``TABLES`` short signatures (``ROWS`` minhashes each) are computed per
 document; every pair of one signature from either collection is a table key, so
 2 * TABLES * ROWS minhashes serve TABLES**2 tables.  Texts with one shingle set are one
-class from the start.  Within a bucket, classes are compared with a few pivots at a time
-and only across components: what is linked already needs no further comparison, so a
-large group costs about its size, while each pair of a bucket is either compared on the
-full shingle sets or known to be connected.
+class from the start.  Only signatures that some other class shares are combined, so a
+class unlike all others makes no key.
 
-At the threshold of 0.8 a linked pair shares no table with probability 2 * 0.36**TABLES,
-0.0002 here; pairs above 0.85 are missed with less than 0.00002.
+Within a bucket, classes are compared with a few pivots at a time and only across
+components: what is linked already needs no further comparison, so a large group costs
+about its size, while each pair of a bucket is either compared on the full shingle sets or
+known to be connected.  A pair is made in the first bucket that its two signature arrays
+share, and in no other, and only if both arrays agree in ``AGREE`` places at least.
+
+At the threshold of 0.8 (0.512 a place) a linked pair shares no table with probability
+2 * 0.488**TABLES, 0.0002 here, and agrees in fewer than ``AGREE`` of the 2 * TABLES places
+with 0.00002.
 
 Handling: null and blank texts have no shingles and link with nothing, nor do rows with a
-null id, which are kept; rows that share an id count as one document; repeated rows stay rows; an empty table gives an empty result;
-other columns are ignored.
+null id, which are kept; rows that share an id count as one document, whatever their texts;
+repeated rows stay rows of :func:`near_duplicates`; ties go to the smaller id; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,17 +29,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_if_small, cut
 
-TABLES, ROWS = 9, 2
+TABLES, ROWS = 13, 3
+AGREE = 4  # of 2 * TABLES signatures
 PERCENT = 80
 CACHE_ENTRIES = 200_000
 PIVOTS = (32, 512, 4096)
-BITMAP = 16  # longs
+BITMAP = 8  # longs
+BLOCK = 256  # shingles hashed at once, so that the block stays in cache
+PARTNERS = 1_000  # candidates of one class that are verified in one group
+IDS = 1_000_000  # ids that are broadcast at most; beyond that texts are shuffled to them
 
 
 class _WordHashes(dict):
@@ -44,7 +53,7 @@ class _WordHashes(dict):
         return v
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def _scrambled(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -60,19 +69,23 @@ def shingles(text: str | None, width: int, hashes: _WordHashes) -> np.ndarray:
     n = len(h) - k + 1
     s = np.full(n, k, np.uint64)
     for i in range(k):
-        s = _mixed(s * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
+        s = _scrambled(s * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
     return np.unique(s)
 
 
 def _signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """2 * TABLES signatures of ROWS minhashes each."""
-    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 4096):
-        low = np.minimum(low, ((s[None, at : at + 4096] * a[:, None] + b[:, None]) >> np.uint64(16)).min(1))
-    parts = low.reshape(-1, ROWS)
+    x = (s >> np.uint64(32)).astype(np.uint32)
+    low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), BLOCK):
+        h = x[None, at : at + BLOCK] * a[:, None]
+        h += b[:, None]
+        h ^= h >> np.uint32(15)
+        np.minimum(low, h.min(1), out=low)
+    parts = low.reshape(-1, ROWS).astype(np.uint64)
     out = np.arange(len(parts), dtype=np.uint64)
     for r in range(ROWS):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, r])
+        out = _scrambled(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, r])
     return out
 
 
@@ -80,8 +93,8 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
     """(doc_id, n_shingles, d1, d2, sig): d1 and d2 name the shingle set, sig holds both collections."""
     rng = np.random.RandomState(5)
     n = 2 * TABLES * ROWS
-    a = rng.randint(0, 2**63 - 1, n, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.randint(0, 2**63 - 1, n, dtype=np.int64).astype(np.uint64)
+    a = rng.randint(0, 2**31 - 1, n, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    b = rng.randint(0, 2**32 - 1, n, dtype=np.int64).astype(np.uint32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
@@ -134,88 +147,108 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _alive(keys: DataFrame) -> DataFrame:
-    """Classes that share a signature of this collection with another class."""
-    shared = keys.groupBy("place", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("place", "key")
-    return keys.join(shared, ["place", "key"], "left_semi").select("cid").distinct()
+def _shared(classes: DataFrame) -> DataFrame:
+    """(cid, n, x, y): the signatures of either collection, with their places, that another class has too; both not empty."""
+    each = classes.select("cid", "n", F.posexplode("sig").alias("place", "v"))
+    shared = each.groupBy("place", "v").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("place", "v")
+    own = each.join(shared, ["place", "v"], "left_semi").groupBy("cid", "n").agg(F.collect_list(F.struct("place", "v")).alias("s"))
+    first, second = F.filter("s", lambda x: x["place"] < TABLES), F.filter("s", lambda x: x["place"] >= TABLES)
+    return own.select("cid", "n", first.alias("x"), second.alias("y")).where((F.size("x") > 0) & (F.size("y") > 0))
+
+
+def _buckets(shared: DataFrame, *more: str) -> DataFrame:
+    """A row per pair of shared signatures: key, i of the first and j of the second collection, cid, n and ``more``."""
+    rows = shared.select("cid", "n", *more, "y", F.explode("x").alias("x")).select("cid", "n", *more, "x", F.explode("y").alias("y"))
+    i, j = F.col("x.place"), F.col("y.place") - TABLES
+    return rows.select(F.xxhash64("x.place", "y.place", "x.v", "y.v").alias("key"), i.alias("i"), j.alias("j"), "cid", "n", *more)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` of classes with the label of their component, their own id where they have no link."""
+    named = labels.select(F.col("id").alias("cid"), F.col("label").alias("_l"))
+    return rows.join(named, "cid", "left").withColumn("label", F.coalesce("_l", "cid")).drop("_l")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Labelled bucket rows without the buckets that lie in one component."""
+    mixed = rows.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("key")
+    return rows.join(mixed, "key", "left_semi")
 
 
 def links(classes: DataFrame, docs: DataFrame, width: int, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, label) of the components among ``classes`` (cid, n, sig) that verified links make."""
-    first = classes.select("cid", F.posexplode(F.slice("sig", 1, TABLES)).alias("place", "key"))
-    second = classes.select("cid", F.posexplode(F.slice("sig", TABLES + 1, TABLES)).alias("place", "key"))
-    alive = cut(_alive(first).join(_alive(second), "cid", "left_semi"), "dedup-alive")
-    live = classes.join(alive, "cid", "left_semi")
-    pairs = F.flatten(F.transform(F.slice("sig", 1, TABLES), lambda x, i: F.transform(F.slice("sig", TABLES + 1, TABLES), lambda y, j: F.xxhash64(i * TABLES + j, x, y))))
-    keys = cut(live.select("cid", "n", F.explode(pairs).alias("key")), "dedup-keys")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    active = cut(keys.join(shared, "key", "left_semi"), "dedup-buckets")
-    wanted = active.select("cid").distinct()
-    sets = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi")
-    sets = cut(shingle_sets(sets, width), "dedup-sets")
+    shared = cut(_shared(classes), "dedup-shared")
+    wanted = broadcast_if_small(shared.select(F.col("cid").alias("doc_id")), shared.count(), IDS)
+    sets = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
+    sets = cut(shingle_sets(sets, width).dropDuplicates(["doc_id"]), "dedup-sets")
 
     def verify(cand: DataFrame) -> DataFrame:
-        x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+        """The linked ones of ``cand`` (a, b); partners of one ``a`` are dealt to groups of about ``PARTNERS``."""
+        many = cand.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts")).where("parts > 1")
+        many = cut(many, "dedup-hubs")
+        many = broadcast_if_small(many, many.count(), IDS)
+        parts = F.coalesce("parts", F.lit(1))
+        x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).join(many, "a", "left")
+        x = x.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
         y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-        both = cand.join(x, "a").join(y, "b").withColumn("_common", F.size(F.array_intersect("sa", "sb")).cast("long"))
+        dealt = cand.join(many, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
+        both = dealt.join(x, ["a", "part"]).join(y, "b").withColumn("_common", F.size(F.array_intersect("sa", "sb")).cast("long"))
         return both.where(100 * F.col("_common") >= percent * (F.size("sa") + F.size("sb") - F.col("_common"))).select("a", "b")
 
     # no link can have more common shingles than either side shares with any other class
     most = F.least("e", "e2")
     fits = 100 * most >= percent * (F.col("n") + F.col("n2") - most)
+    # the bucket is the first that both signature arrays share, and enough places agree
+    same = F.zip_with("sig", "p_sig", lambda x, y: x == y)
+    half = lambda k: F.array_position(F.slice(same, k * TABLES + 1, TABLES), True) - 1
+    once = (half(0) == F.col("i")) & (half(1) == F.col("j")) & (F.size(F.filter(same, lambda x: x)) >= AGREE)
     # slots marked on one side only bound the difference of two sets from below
-    apart = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"o{i}"))) for i in range(BITMAP)), F.lit(0))
-    close = apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n2"))
-    bits = [f"m{i}" for i in range(BITMAP)]
-    rank = F.row_number().over(W.partitionBy("key").orderBy("cid"))
-
-    def candidates(now: DataFrame, pivots: DataFrame, also: Column | None) -> DataFrame:
-        may = (F.col("cid") > F.col("a")) & (F.col("label") != F.col("l2")) & fits
-        return now.join(pivots, "key").where(may if also is None else may & also).select("a", F.col("cid").alias("b"))
-
-    def as_pivots(rows: DataFrame, *more: Column) -> DataFrame:
-        return rows.select("key", F.col("cid").alias("a"), F.col("n").alias("n2"), F.col("e").alias("e2"), F.col("label").alias("l2"), *more)
-
-    # one link is enough to join a group: each class is first compared with its smallest pivot alone
-    now = active.withColumns({"e": F.col("n"), "label": F.col("cid")})
-    first = candidates(now, as_pivots(now.withColumn("_r", rank).where("_r = 1")), None).groupBy("b").agg(F.min("a").alias("a"))
+    slots = [f"m{k}" for k in range(BITMAP)]
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p_{c}"))) for c in slots), F.lit(0))
+    near = apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n2"))
+
+    # one link is enough to join a group: each class is first compared with the smallest of the buckets on the diagonal
+    diagonal = _buckets(shared).where("i = j").select("key", "cid")
+    least = diagonal.groupBy("key").agg(F.min("cid").alias("a"))
+    first = diagonal.join(least, "key").where("cid > a").groupBy(F.col("cid").alias("b")).agg(F.min("a").alias("a"))
     edges = cut(verify(first), "dedup-links")
     labels = components(edges)
-    active = _mixed_buckets(now.drop("label"), labels).drop("label")
-    active = _shared_sizes(cut(active, "dedup-buckets"), sets).where(100 * F.col("e") >= percent * F.col("n"))
-    for width_now in (*PIVOTS, *[PIVOTS[-1]] * 10_000):
-        now = cut(_mixed_buckets(active, labels).withColumn("_r", rank), "dedup-round")
+    active = cut(_mixed(_buckets(_labelled(shared, labels), "label")).drop("label"), "dedup-buckets")
+    active = _shared_sizes(active, sets).where(100 * F.col("e") >= percent * F.col("n"))
+    bits = [F.get("bits", F.lit(k)).alias(c) for k, c in enumerate(slots)]
+    active = active.join(classes.select("cid", "sig"), "cid").join(sets.select(F.col("doc_id").alias("cid"), *bits), "cid")
+    seed = 0
+    while True:
+        now = _mixed(_labelled(active, labels))
+        sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("_c"))
+        share = F.ceil(F.col("_c") / PIVOTS[min(seed, len(PIVOTS) - 1)])
+        # about the wanted number of pivots, all of a small bucket, drawn by hash: nothing is ranked
+        now = now.join(sizes, "key").withColumn("pivot", F.pmod(F.xxhash64(F.lit(seed), "cid", "key"), share) == 0).drop("_c")
+        now = cut(now, "dedup-round")
         if now.isEmpty():
             return labels
-        pivots = as_pivots(now.where(F.col("_r") <= width_now), *[F.col(m).alias(f"o{m[1:]}") for m in bits])
-        found = cut(verify(candidates(now, pivots, close).distinct()), "dedup-links")
-        active = now.where(F.col("_r") > width_now).drop("_r", "label")
+        pivots = now.where("pivot").select("key", F.col("cid").alias("a"), F.col("n").alias("n2"), F.col("e").alias("e2"), F.col("label").alias("l2"), *[F.col(c).alias(f"p_{c}") for c in ("sig", *slots)])
+        # two pivots meet once
+        pair = (F.col("label") != F.col("l2")) & (~F.col("pivot") | (F.col("cid") > F.col("a"))) & fits & near & once
+        found = cut(now.join(pivots, "key").where(pair).select("a", F.col("cid").alias("b")), "dedup-pairs")
+        active = now.where(~F.col("pivot")).drop("pivot", "label")
         if not found.isEmpty():
-            edges = edges.unionByName(found)
+            edges = edges.unionByName(cut(verify(found), "dedup-links"))
             labels = components(edges)
-    return labels
-
-
-def _mixed_buckets(active: DataFrame, labels: DataFrame) -> DataFrame:
-    """Bucket rows with their component label, without the buckets that lie in one component."""
-    now = active.join(labels.withColumnRenamed("label", "_l"), active["cid"] == labels["id"], "left").withColumn("label", F.coalesce("_l", "cid")).drop("id", "_l")
-    mixed = now.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("key")
-    return now.join(mixed, "key", "left_semi")
+        seed += 1
 
 
 def _shared_sizes(now: DataFrame, sets: DataFrame) -> DataFrame:
-    """``now`` with its bitmap and ``e``: how many of its shingles a class shares with any other class left.
+    """``now`` with ``e``: how many of its shingles a class shares with any other class left.
 
     Links among what is left can only rest on these, so a class below the threshold in
     them is out, as texts are that have only a frequent passage in common with others.
     """
-    rows = now.select("key", "cid", "n")
-    slots = sets.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cid"), *[F.get("bits", F.lit(i)).alias(f"m{i}") for i in range(BITMAP)])
-    ids = rows.select(F.col("cid").alias("doc_id")).distinct()
-    each = sets.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("shingles").alias("s"))
+    ids = now.select(F.col("cid").alias("doc_id")).distinct()
+    each = sets.join(ids, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
     alone = each.groupBy("s").agg(F.count(F.lit(1)).alias("_c"), F.min("doc_id").alias("cid")).where("_c = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("_u"))
     e = F.col("n") - F.coalesce("_u", F.lit(0))
-    return rows.join(alone, "cid", "left").withColumn("e", e).drop("_u").join(slots, "cid")
+    return now.join(alone, "cid", "left").withColumn("e", e).drop("_u")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,9 +265,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; rows without an id stay."""
-    ids = cut(near_duplicates(docs, width, percent).where("kept and doc_id is not null").select("doc_id").distinct(), "dedup-kept")
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """``docs`` with one document of each component, the one with the smallest id; rows without an id stay.
+
+    Of several rows with that id, the one whose columns hash lowest stays, so reruns agree.
+    """
+    found = near_duplicates(docs, width, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    # only ids that are dropped or repeated are looked up, so that texts of the others are not shuffled
+    other = cut(found.where("not kept or rows > 1"), "dedup-other")
+    size = other.count()
+    plain = docs.join(broadcast_if_small(other.select("doc_id"), size, IDS), "doc_id", "left_anti")
+    repeated = docs.join(broadcast_if_small(other.where("kept").select("doc_id"), size, IDS), "doc_id", "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    one = repeated.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_first")).select("_first.*")
+    return plain.select(*docs.columns).unionByName(one)
 
 
 def op10_tensored_minhash(spark, sf_dir: str) -> DataFrame:
