@@ -49,11 +49,32 @@ add(
     lambda t: ig.dangling(t("v_items").select("paper_id", "citation_id").distinct(), t("v_items").where("printed_order % 5 > 0").select("paper_id", "citation_id"), ["citation_id"]).select("citation_id"),
     "select citation_id from v_items group by 1 having bool_and(printed_order % 5 = 0)",
 )
-add("v01_structure_check", lambda t: ig.dangling(t("v_items").where("reference_id is not null"), t("v_refs"), ["reference_id"]).select("citation_id", "item_index", "reference_id"), "select citation_id, item_index, reference_id from v_items where reference_id is not null and reference_id not in (select reference_id from v_refs)")
-add("v01_placed_twice", lambda t: ig.placed_twice(t("v_items"), "citation_id"), "select citation_id, count(*) as places from v_items group by 1 having count(*) > 1")
-add("v04_new_reference_complete", lambda t: ig.incomplete_additions(t("v_refs").where("part_key % 3 > 0"), t("v_refs")), "select reference_id from v_refs where part_key % 3 = 0 and (title = '' or year is null)")
-add("v05_identity_invariant", lambda t: ig.identity_broken(t("v_refs").select("reference_id", F.when(F.col("part_key") % 50 == 0, None).otherwise(F.col("reference_id")).alias("csl_id")), "reference_id", "csl_id").select("reference_id"), "select reference_id from v_refs where part_key % 50 = 0")
-add("v09_referential_checks", lambda t: ig.dangling(t("v_state_log").select("proposal_id", "paper_id", F.col("base_revision").alias("revision_number")), t("v_revisions"), ["paper_id", "revision_number"]), "select proposal_id, s.paper_id, base_revision as revision_number from v_state_log s where not exists (select 1 from v_revisions r where r.paper_id = s.paper_id and r.revision_number = s.base_revision)")
+add(
+    "v01_structure_check",
+    lambda t: ig.dangling(t("v_items").where("reference_id is not null"), t("v_refs"), ["reference_id"]).select("citation_id", "item_index", "reference_id"),
+    "select citation_id, item_index, reference_id from v_items where reference_id is not null and reference_id not in (select reference_id from v_refs)",
+)
+add(
+    "v01_placed_twice",
+    lambda t: ig.placed_twice(t("v_items"), "citation_id"),
+    "select citation_id, count(*) as places from v_items group by 1 having count(*) > 1",
+)
+add(
+    "v04_new_reference_complete",
+    lambda t: ig.incomplete_additions(t("v_refs").where("part_key % 3 > 0"), t("v_refs")),
+    "select reference_id from v_refs where part_key % 3 = 0 and (title = '' or year is null)",
+)
+add(
+    "v05_identity_invariant",
+    lambda t: ig.identity_broken(t("v_refs").select("reference_id", F.when(F.col("part_key") % 50 == 0, None).otherwise(F.col("reference_id")).alias("csl_id")), "reference_id", "csl_id").select("reference_id"),
+    "select reference_id from v_refs where part_key % 50 = 0",
+)
+add(
+    "v09_referential_checks",
+    lambda t: ig.dangling(t("v_state_log").select("proposal_id", "paper_id", F.col("base_revision").alias("revision_number")), t("v_revisions"), ["paper_id", "revision_number"]),
+    "select proposal_id, s.paper_id, base_revision as revision_number from v_state_log s where not exists (select 1 from v_revisions "
+    "r where r.paper_id = s.paper_id and r.revision_number = s.base_revision)",
+)
 add(
     "v11_citation_warnings",
     lambda t: ig.citation_warnings(t("v_items"), t("v_items").where("printed_order % 7 > 2"), F.lit("h")),
@@ -77,7 +98,11 @@ add(
     _acknowledged,
     "select proposal_id, case when proposal_id % 2 = 0 then 'a' else array_to_string(list_sort(['a', kind]), ',') end as gap, proposal_id % 3 > 0 as tampered from v_state_log",
 )
-add("v17_hash_integrity", lambda t: ig.hash_broken(t("v_paragraphs").withColumn("stored", text_sha256(F.when(F.col("par_no") % 9 == 0, F.concat("text", F.lit("!"))).otherwise(F.concat("text", F.lit("  "))))), "text", "stored").select("doc_id", "par_no"), "select doc_id, par_no from v_paragraphs where par_no % 9 = 0")
+add(
+    "v17_hash_integrity",
+    lambda t: ig.hash_broken(t("v_paragraphs").withColumn("stored", text_sha256(F.when(F.col("par_no") % 9 == 0, F.concat("text", F.lit("!"))).otherwise(F.concat("text", F.lit("  "))))), "text", "stored").select("doc_id", "par_no"),
+    "select doc_id, par_no from v_paragraphs where par_no % 9 = 0",
+)
 add(
     "v18_export_preflight",
     lambda t: ig.preflight(
@@ -89,8 +114,19 @@ add(
     """select o_orderkey as paper_id, array_to_string(list_filter([case when o_orderkey % 5 = 0 then 'NO_STYLE' end, case when o_orderkey % 7 = 0 then 'EMPTY_DOCUMENT' end, case when o_orderkey % 2 > 0 then 'UNRENDERABLE_BLOCK' end], lambda x: x is not null), ',') as blockers,
     array_to_string(list_filter([case when o_custkey % 2 > 0 then 'PARTIAL_MODIFIERS' end, case when o_custkey % 3 > 0 then 'RAW_ONLY' end, case when o_custkey % 4 > 0 then 'CONVERTED_BLOCK' end, case when o_custkey % 5 > 0 then 'RETAINED_UNCITED' end, case when o_custkey % 6 > 0 then 'DROPPED_ADDED' end], lambda x: x is not null), ',') as warnings from orders""",
 )
-add("v19_render_set", lambda t: ig.render_set(t("v_refs").select("reference_id"), t("v_items").where("reference_id is not null"), t("v_refs").where("part_key % 2 = 0")), "select reference_id, case when reference_id in (select reference_id from v_items where reference_id is not null) then 'CITED' when part_key % 2 = 0 then 'RETAINED_UNCITED' else 'DROPPED_ADDED' end as role from v_refs")
-add("v20_roundtrip_signatures", lambda t: ig.signature_diff(t("v_refs").where("part_key % 5 > 0").select(F.col("reference_id").alias("citation_id"), F.col("title").alias("signature")), t("v_refs").where("part_key % 4 > 0").select(F.col("reference_id").alias("citation_id"), F.when(F.col("part_key") % 3 == 0, "x").otherwise(F.col("title")).alias("signature"))), "select reference_id as citation_id, case when part_key % 4 = 0 then 'MISSING' when part_key % 5 = 0 then 'UNEXPECTED' else 'CHANGED' end as kind from v_refs where (part_key % 5 > 0 or part_key % 4 > 0) and (part_key % 4 = 0 or part_key % 5 = 0 or part_key % 3 = 0)")
+add(
+    "v19_render_set",
+    lambda t: ig.render_set(t("v_refs").select("reference_id"), t("v_items").where("reference_id is not null"), t("v_refs").where("part_key % 2 = 0")),
+    "select reference_id, case when reference_id in (select reference_id from v_items where reference_id is not null) then 'CITED' "
+    "when part_key % 2 = 0 then 'RETAINED_UNCITED' else 'DROPPED_ADDED' end as role from v_refs",
+)
+add(
+    "v20_roundtrip_signatures",
+    lambda t: ig.signature_diff(t("v_refs").where("part_key % 5 > 0").select(F.col("reference_id").alias("citation_id"), F.col("title").alias("signature")), t("v_refs").where("part_key % 4 > 0").select(F.col("reference_id").alias("citation_id"), F.when(F.col("part_key") % 3 == 0, "x").otherwise(F.col("title")).alias("signature"))),
+    "select reference_id as citation_id, case when part_key % 4 = 0 then 'MISSING' when part_key % 5 = 0 then 'UNEXPECTED' else 'CHANGED' "
+    "end as kind from v_refs where (part_key % 5 > 0 or part_key % 4 > 0) and (part_key % 4 = 0 or part_key % 5 = 0 or part_key % "
+    "3 = 0)",
+)
 add(
     "v22_blocks_preserved",
     lambda t: rv.removed_keys(t("v_paragraphs"), t("v_paragraphs").where("par_no % 5 > 0"), ["doc_id", "par_no"]),
@@ -102,9 +138,26 @@ add(
     """select paper_id, 'warn_' || substr(sha256('{"code":"FIDELITY","hash":"h","subjects":["' || string_agg(citation_id, '","' order by citation_id) || '"]}'), 1, 32) as warning_id, string_agg(citation_id, ',' order by citation_id) as subjects
     from (select paper_id, citation_id from v_items group by 1, 2 having bool_or(reference_id is null)) group by 1""",
 )
-add("e09_apply_insertions", lambda t: ig.apply_insertions(t("v_paragraphs").select("doc_id", F.col("par_no").alias("sent_no"), "text"), t("v_paragraphs").where("par_no % 2 = 0").select("doc_id", F.col("par_no").alias("sent_no"), F.lit("c1").alias("citation_id")), ["doc_id"]), "select doc_id, string_agg(case when par_no % 2 = 0 then substr(text, 1, length(text) - length(tail)) || ' [[CITE:c1]]' || tail else text end, ' ' order by par_no) as text from (select *, regexp_extract(text, '[ .!?\"''”’)\\]}]*$', 0) as tail from v_paragraphs) group by 1")
-add("e10_merge_items", lambda t: ig.merge_items(t("v_items").where("reference_id is not null").groupBy("citation_id").agg(F.array_sort(F.collect_list("reference_id")).alias("items")), t("v_items").where("printed_order % 6 = 1").select("citation_id", F.lit("new").alias("reference_id"))).select("citation_id", F.array_join("items", ",").alias("items")), "with g as (select citation_id, string_agg(reference_id, ',' order by reference_id) as items from v_items where reference_id is not null group by 1) select citation_id, items || case when citation_id in (select citation_id from v_items where printed_order % 6 = 1) then ',new' else '' end as items from g")
-add("e12_rebuild_document", lambda t: ig.rebuild(t("v_paragraphs"), t("v_paragraphs").where("par_no % 3 = 0").withColumn("text", F.when(F.col("par_no") % 2 == 0, F.concat("text", F.lit("  "))).otherwise(F.concat("text", F.lit(" more")))), ["doc_id", "par_no"]), "select doc_id, par_no, case when par_no % 6 = 0 then text || '  ' when par_no % 3 = 0 then text || ' more' else text end as text, par_no % 6 = 0 as no_op from v_paragraphs")
+add(
+    "e09_apply_insertions",
+    lambda t: ig.apply_insertions(t("v_paragraphs").select("doc_id", F.col("par_no").alias("sent_no"), "text"), t("v_paragraphs").where("par_no % 2 = 0").select("doc_id", F.col("par_no").alias("sent_no"), F.lit("c1").alias("citation_id")), ["doc_id"]),
+    "select doc_id, string_agg(case when par_no % 2 = 0 then substr(text, 1, length(text) - length(tail)) || ' [[CITE:c1]]' || tail "
+    "else text end, ' ' order by par_no) as text from (select *, regexp_extract(text, '[ .!?\"''”’)\\]}]*$', 0) as tail from v_paragraphs) "
+    "group by 1",
+)
+add(
+    "e10_merge_items",
+    lambda t: ig.merge_items(t("v_items").where("reference_id is not null").groupBy("citation_id").agg(F.array_sort(F.collect_list("reference_id")).alias("items")), t("v_items").where("printed_order % 6 = 1").select("citation_id", F.lit("new").alias("reference_id"))).select("citation_id", F.array_join("items", ",").alias("items")),
+    "with g as (select citation_id, string_agg(reference_id, ',' order by reference_id) as items from v_items where reference_id is "
+    "not null group by 1) select citation_id, items || case when citation_id in (select citation_id from v_items where printed_order "
+    "% 6 = 1) then ',new' else '' end as items from g",
+)
+add(
+    "e12_rebuild_document",
+    lambda t: ig.rebuild(t("v_paragraphs"), t("v_paragraphs").where("par_no % 3 = 0").withColumn("text", F.when(F.col("par_no") % 2 == 0, F.concat("text", F.lit("  "))).otherwise(F.concat("text", F.lit(" more")))), ["doc_id", "par_no"]),
+    "select doc_id, par_no, case when par_no % 6 = 0 then text || '  ' when par_no % 3 = 0 then text || ' more' else text end as text, "
+    "par_no % 6 = 0 as no_op from v_paragraphs",
+)
 
 
 
@@ -137,7 +190,10 @@ add(
     select doc_id, section, count(*) as paragraphs, coalesce(string_agg(par_no::varchar, ',' order by par_no) filter (reason is null), '') as targets, coalesce(string_agg(par_no || ':' || reason, ',' order by par_no) filter (reason is not null), '') as skipped,
     sum(n)::bigint as words_before, sum(case when reason is null then n // 2 else n end)::bigint as words_target from p group by 1, 2""",
 )
-add("a10_evidence_anchors", lambda t: ig.evidence_anchors(seg.evidence_spans(t("v_paragraphs"), ["doc_id", "par_no"]), t("v_paragraphs").select("doc_id", "par_no", F.lit("span_000").alias("span_id"), F.lit(1).alias("place")), ["doc_id", "par_no"]))
+add(
+    "a10_evidence_anchors",
+    lambda t: ig.evidence_anchors(seg.evidence_spans(t("v_paragraphs"), ["doc_id", "par_no"]), t("v_paragraphs").select("doc_id", "par_no", F.lit("span_000").alias("span_id"), F.lit(1).alias("place")), ["doc_id", "par_no"]),
+)
 
 
 def _enriched(t):
@@ -167,7 +223,11 @@ def _hosts(t, other: bool):
     return seg.citation_contexts(s.withColumn("cites", F.col("sent_no") % 2 == 0), ["doc_id", "par_no"], 1).select("doc_id", "sent_no", "host")
 
 
-add("d08_changed_contexts", lambda t: _hosts(t, False).join(_hosts(t, True).withColumnRenamed("host", "host2"), ["doc_id", "sent_no"]).where(text_sha256(F.col("host")) != text_sha256(F.col("host2"))).select("doc_id", "sent_no"), "select doc_id, par_no as sent_no from v_paragraphs where par_no % 4 = 0")
+add(
+    "d08_changed_contexts",
+    lambda t: _hosts(t, False).join(_hosts(t, True).withColumnRenamed("host", "host2"), ["doc_id", "sent_no"]).where(text_sha256(F.col("host")) != text_sha256(F.col("host2"))).select("doc_id", "sent_no"),
+    "select doc_id, par_no as sent_no from v_paragraphs where par_no % 4 = 0",
+)
 ADDED_VERDICT = lambda: F.when(F.col("reference_id").isNull(), "SOURCE_UNRESOLVED").when(F.col("printed_order") % 4 == 0, "PARTIALLY_SUPPORTED").when(F.col("printed_order") % 10 == 6, "CONTRADICTED").otherwise("SUPPORTED")
 add(
     "v12_new_support_check",
@@ -191,19 +251,43 @@ add(
     select doc_id, count(*) as affected, count(*) filter (w = 0) as verified, count(*) filter (w = 3) as contradicted, count(*) filter (w = -1) as unverifiable,
     case when bool_or(w = 3) then 'BLOCKED' when bool_or(w <> 0) then 'WARNED' else 'PASSED' end as status from v group by 1""",
 )
-add("v14_block_mutation", lambda t: rv.hash_changes(t("part"), t("part").where("p_partkey % 50 > 0"), "p_partkey", "p_name", "BLOCK").groupBy("kind").agg(F.count(F.lit(1)).alias("blockers")), "select 'BLOCK_REMOVED' as kind, count(*) as blockers from part where p_partkey % 50 = 0")
-add("v21_content_present", lambda t: ig.content_present(t("benchmark"), t("documents")), f"select item_id from benchmark b where trim({norm_sql('b.text')}) <> '' and exists (select 1 from documents d where contains(lower({norm_sql('d.text')}), lower({norm_sql('b.text')})))")
+add(
+    "v14_block_mutation",
+    lambda t: rv.hash_changes(t("part"), t("part").where("p_partkey % 50 > 0"), "p_partkey", "p_name", "BLOCK").groupBy("kind").agg(F.count(F.lit(1)).alias("blockers")),
+    "select 'BLOCK_REMOVED' as kind, count(*) as blockers from part where p_partkey % 50 = 0",
+)
+add(
+    "v21_content_present",
+    lambda t: ig.content_present(t("benchmark"), t("documents")),
+    f"select item_id from benchmark b where trim({norm_sql('b.text')}) <> '' and exists (select 1 from documents d where contains(lower({norm_sql('d.text')}), "
+    f"lower({norm_sql('b.text')})))",
+)
 JSON_A = lambda: F.to_json(F.struct(F.concat(F.lit("https://openalex.org/W"), "p_partkey").alias("id"), F.concat(F.lit("https://doi.org/10.1000/P"), "p_partkey").alias("doi"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("title"), F.col("p_brand").alias("display_name"), F.when(F.col("p_partkey") % 3 == 0, "book-chapter").otherwise("unknown").alias("type"), F.struct(F.lit("1").alias("first_page"), F.when(F.col("p_partkey") % 5 > 0, "9").alias("last_page")).alias("biblio")))
-add("s03_works_from_openalex", lambda t: sh.works_from_openalex(t("part").select(JSON_A().alias("json"))).select("external_id", "title", "doi", "pages", "work_type"), "select 'W' || p_partkey as external_id, case when p_partkey % 2 = 0 then p_name else p_brand end as title, '10.1000/p' || p_partkey as doi, case when p_partkey % 5 > 0 then '1-9' else '1' end as pages, case when p_partkey % 3 = 0 then 'chapter' else 'document' end as work_type from part")
+add(
+    "s03_works_from_openalex",
+    lambda t: sh.works_from_openalex(t("part").select(JSON_A().alias("json"))).select("external_id", "title", "doi", "pages", "work_type"),
+    "select 'W' || p_partkey as external_id, case when p_partkey % 2 = 0 then p_name else p_brand end as title, '10.1000/p' || p_partkey "
+    "as doi, case when p_partkey % 5 > 0 then '1-9' else '1' end as pages, case when p_partkey % 3 = 0 then 'chapter' else 'document' "
+    "end as work_type from part",
+)
 JSON_B = lambda: F.to_json(F.struct(F.concat(F.lit("S"), "p_partkey").alias("paperId"), F.struct(F.concat(F.lit("10.1/X"), "p_partkey").alias("DOI")).alias("externalIds"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_type")).alias("venue"), F.array(F.lit("Odd"), F.when(F.col("p_partkey") % 3 == 0, "Conference").otherwise("Other"), F.lit("Review")).alias("publicationTypes")))
-add("s04_works_from_s2", lambda t: sh.works_from_s2(t("part").select(JSON_B().alias("json"))).select("external_id", "title", "doi", "venue", "work_type"), "select 'S' || p_partkey as external_id, p_name as title, '10.1/x' || p_partkey as doi, case when p_partkey % 2 = 1 then p_type end as venue, case when p_partkey % 3 = 0 then 'paper-conference' else 'article-journal' end as work_type from part")
+add(
+    "s04_works_from_s2",
+    lambda t: sh.works_from_s2(t("part").select(JSON_B().alias("json"))).select("external_id", "title", "doi", "venue", "work_type"),
+    "select 'S' || p_partkey as external_id, p_name as title, '10.1/x' || p_partkey as doi, case when p_partkey % 2 = 1 then p_type "
+    "end as venue, case when p_partkey % 3 = 0 then 'paper-conference' else 'article-journal' end as work_type from part",
+)
 
 
 def _overlap(b):
     return (b["na"] / b["nb"]).clip(0, 1)
 
 
-add("u01_judge", lambda t: rw.judge(t("v_refs").select("reference_id", F.length("title").alias("na"), F.length("raw_text").alias("nb")), _overlap, "reference_id string, na int, nb int").select("reference_id", F.round("judgement", 9).alias("judgement"), "provider", "model"), "select reference_id, round(length(title)::double / length(raw_text), 9) as judgement, 'local' as provider, 'lexical' as model from v_refs")
+add(
+    "u01_judge",
+    lambda t: rw.judge(t("v_refs").select("reference_id", F.length("title").alias("na"), F.length("raw_text").alias("nb")), _overlap, "reference_id string, na int, nb int").select("reference_id", F.round("judgement", 9).alias("judgement"), "provider", "model"),
+    "select reference_id, round(length(title)::double / length(raw_text), 9) as judgement, 'local' as provider, 'lexical' as model from v_refs",
+)
 
 
 def _grounded(t):

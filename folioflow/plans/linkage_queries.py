@@ -105,9 +105,18 @@ aj as (select ai.*, hits, candidate, r.reference_id is not null as known, r.year
 ac as (select *, case when surname is null and reference_id is null then 'NOT_A_MARKER' when surname is null then 'UNCERTAIN' when reference_id is null then case when hits = 1 then 'RECOVERED' when hits > 1 then 'AMBIGUOUS' else 'UNRESOLVED' end
   when not known then 'MISMATCH' when fam = surname and ry = py then 'AGREED' when fam <> surname and ry <> py then 'MISMATCH' when fam <> surname then 'UNCERTAIN' when ry <> py then 'UNCERTAIN' when fam = surname or ry = py then 'AGREED' else 'UNCERTAIN' end as code from aj),
 al as (select paper_id, citation_id, item_index, reference_id, case when code = 'RECOVERED' then candidate end as expected, code from ac)"""
-ISSUES_SQL = f"{NUMERIC_SQL}, {AY_SQL}, li as (select *, case when code = 'RECOVERED' then expected end as repair from (select * from nl union all select * from al))"
-FIXED_SQL = f"{ISSUES_SQL}, fx as (select i.* exclude (reference_id), coalesce(repair, i.reference_id) as reference_id from v_items i left join li on i.citation_id = li.citation_id and i.item_index = li.item_index)"
-STATUS_SQL = "st as (select paper_id, citation_id, case when bool_or(reference_id is null) then 'RAW_ONLY' else 'STRUCTURED' end as parse_status from v_items group by 1, 2)"
+ISSUES_SQL = (
+    f"{NUMERIC_SQL}, {AY_SQL}, li as (select *, case when code = 'RECOVERED' then expected end as repair from (select * from nl union "
+    f"all select * from al))"
+)
+FIXED_SQL = (
+    f"{ISSUES_SQL}, fx as (select i.* exclude (reference_id), coalesce(repair, i.reference_id) as reference_id from v_items i left "
+    f"join li on i.citation_id = li.citation_id and i.item_index = li.item_index)"
+)
+STATUS_SQL = (
+    "st as (select paper_id, citation_id, case when bool_or(reference_id is null) then 'RAW_ONLY' else 'STRUCTURED' end as parse_status "
+    "from v_items group by 1, 2)"
+)
 CHANGE_SQL = f"""{FIXED_SQL}, {STATUS_SQL}, ch as (select st.paper_id, st.citation_id, parse_status as before, case when mismatch then 'RAW_ONLY' when parse_status = 'RAW_ONLY' and all_linked then 'STRUCTURED' else parse_status end as after
   from st left join (select citation_id, bool_and(reference_id is not null) as all_linked from fx group by 1) g using (citation_id) left join (select citation_id, bool_or(code = 'MISMATCH') as mismatch from li group by 1) b using (citation_id))"""
 
@@ -121,10 +130,27 @@ def changes(t):
     return lk.promote_downgrade(lk.apply_repairs(t("v_items"), i), i, mk.parse_status(t("v_items")).drop("items"))
 
 
-R.add("l01_check_numeric_links", lambda t: lk.check_numeric_links(t("v_items").where("family_kind = 'NUMERIC'"), t("v_refs")).drop("repair"), f"with {NUMERIC_SQL} select * from nl")
-R.add("l02_recover_author_year", lambda t: lk.check_author_year_links(t("v_items").where("family_kind = 'AUTHOR_YEAR'"), t("v_refs")).where("reference_id is null").select("citation_id", "item_index", "expected", "code"), f"with {AY_SQL} select citation_id, item_index, expected, code from al where reference_id is null")
-R.add("l03_verify_author_year", lambda t: lk.check_author_year_links(t("v_items").where("family_kind = 'AUTHOR_YEAR'"), t("v_refs")).where("reference_id is not null").select("citation_id", "item_index", "code"), f"with {AY_SQL} select citation_id, item_index, code from al where reference_id is not null")
-R.add("l04_apply_repairs", lambda t: lk.apply_repairs(t("v_items"), issues(t)).select("citation_id", "item_index", "reference_id"), f"with {FIXED_SQL} select citation_id, item_index, reference_id from fx", ("v_refs", "v_items"))
+R.add(
+    "l01_check_numeric_links",
+    lambda t: lk.check_numeric_links(t("v_items").where("family_kind = 'NUMERIC'"), t("v_refs")).drop("repair"),
+    f"with {NUMERIC_SQL} select * from nl",
+)
+R.add(
+    "l02_recover_author_year",
+    lambda t: lk.check_author_year_links(t("v_items").where("family_kind = 'AUTHOR_YEAR'"), t("v_refs")).where("reference_id is null").select("citation_id", "item_index", "expected", "code"),
+    f"with {AY_SQL} select citation_id, item_index, expected, code from al where reference_id is null",
+)
+R.add(
+    "l03_verify_author_year",
+    lambda t: lk.check_author_year_links(t("v_items").where("family_kind = 'AUTHOR_YEAR'"), t("v_refs")).where("reference_id is not null").select("citation_id", "item_index", "code"),
+    f"with {AY_SQL} select citation_id, item_index, code from al where reference_id is not null",
+)
+R.add(
+    "l04_apply_repairs",
+    lambda t: lk.apply_repairs(t("v_items"), issues(t)).select("citation_id", "item_index", "reference_id"),
+    f"with {FIXED_SQL} select citation_id, item_index, reference_id from fx",
+    ("v_refs", "v_items"),
+)
 R.add("l05_promote_downgrade", changes, f"with {CHANGE_SQL} select * from ch", ("v_refs", "v_items"))
 R.add(
     "l06_linkage_report",
@@ -133,9 +159,17 @@ R.add(
     select g.*, agreed + mismatch as checked, case when agreed + mismatch > 0 then round(agreed::double / (agreed + mismatch), 4) else 0.0 end as accuracy, coalesce(downgraded, 0) as downgraded, coalesce(promoted, 0) as promoted
     from g left join (select paper_id, count(*) filter (before <> 'RAW_ONLY' and after = 'RAW_ONLY') as downgraded, count(*) filter (before = 'RAW_ONLY' and after = 'STRUCTURED') as promoted from ch group by 1) m using (paper_id)""",
 )
-USE_SQL = "us as (select r.paper_id, r.reference_id, count(distinct citation_id) as uses from v_refs r left join v_items i on r.reference_id = i.reference_id group by 1, 2)"
+USE_SQL = (
+    "us as (select r.paper_id, r.reference_id, count(distinct citation_id) as uses from v_refs r left join v_items i on r.reference_id "
+    "= i.reference_id group by 1, 2)"
+)
 R.add("l07_bibliography_use", lambda t: lk.bibliography_use(t("v_refs"), t("v_items")), f"with {USE_SQL} select * from us")
-R.add("l08_cited_reference_ids", lambda t: lk.cited_reference_ids(t("v_items").where("printed_order % 3 > 0").select("citation_id").distinct(), t("v_items")), "select distinct paper_id, reference_id from v_items where reference_id is not null and citation_id in (select citation_id from v_items where printed_order % 3 > 0)")
+R.add(
+    "l08_cited_reference_ids",
+    lambda t: lk.cited_reference_ids(t("v_items").where("printed_order % 3 > 0").select("citation_id").distinct(), t("v_items")),
+    "select distinct paper_id, reference_id from v_items where reference_id is not null and citation_id in (select citation_id from "
+    "v_items where printed_order % 3 > 0)",
+)
 R.add(
     "l09_reference_facets",
     lambda t: lk.reference_facets(t("v_refs"), lk.bibliography_use(t("v_refs"), t("v_items")), t("v_refs").where("doi is not null")),

@@ -12,11 +12,36 @@ from .registry import Registry
 R = Registry()
 add = R.add
 T = lambda t: t("v_attempts")
-LATCH = "la as (select *, coalesce(bool_or(status = 'RATE_LIMITED') over (partition by operation_id, provider order by ts, attempt_id rows between unbounded preceding and 1 preceding), false) as suppressed from v_attempts)"
-add("q01_attempt_rollup", lambda t: lg.attempt_rollup(T(t)), "select provider, purpose, count(*) as calls, count(*) filter (status <> 'OK') as failures, sum(result_count)::bigint as results, round(avg(latency_ms), 6) as mean_latency, round(quantile_cont(latency_ms, 0.95), 6) as p95_latency from v_attempts group by 1, 2")
-add("q02_degradation_latch", lambda t: lg.degradation_latch(T(t)).select("attempt_id", "suppressed"), f"with {LATCH} select attempt_id, suppressed from la")
-add("q03_call_budget", lambda t: lg.call_budget(T(t), 2, 3).select("attempt_id", "provider_calls", "operation_calls", "exhausted"), f"with {LATCH}, c as (select attempt_id, row_number() over (partition by operation_id, provider order by ts, attempt_id) as provider_calls, row_number() over (partition by operation_id order by ts, attempt_id) as operation_calls from la where not suppressed) select *, provider_calls > 2 or operation_calls > 3 as exhausted from c")
-add("q04_degradation_list", lambda t: lg.degradation_list(T(t)), "with f as (select operation_id, provider || ':' || status as d, min(struct_pack(ts := ts, a := attempt_id)) as first_at from v_attempts where status = 'RATE_LIMITED' group by 1, 2) select operation_id, string_agg(d, ',' order by first_at) as degradations from f group by 1")
+LATCH = (
+    "la as (select *, coalesce(bool_or(status = 'RATE_LIMITED') over (partition by operation_id, provider order by ts, attempt_id "
+    "rows between unbounded preceding and 1 preceding), false) as suppressed from v_attempts)"
+)
+add(
+    "q01_attempt_rollup",
+    lambda t: lg.attempt_rollup(T(t)),
+    "select provider, purpose, count(*) as calls, count(*) filter (status <> 'OK') as failures, sum(result_count)::bigint as results, "
+    "round(avg(latency_ms), 6) as mean_latency, round(quantile_cont(latency_ms, 0.95), 6) as p95_latency from v_attempts group by "
+    "1, 2",
+)
+add(
+    "q02_degradation_latch",
+    lambda t: lg.degradation_latch(T(t)).select("attempt_id", "suppressed"),
+    f"with {LATCH} select attempt_id, suppressed from la",
+)
+add(
+    "q03_call_budget",
+    lambda t: lg.call_budget(T(t), 2, 3).select("attempt_id", "provider_calls", "operation_calls", "exhausted"),
+    f"with {LATCH}, c as (select attempt_id, row_number() over (partition by operation_id, provider order by ts, attempt_id) as provider_calls, "
+    f"row_number() over (partition by operation_id order by ts, attempt_id) as operation_calls from la where not suppressed) select "
+    f"*, provider_calls > 2 or operation_calls > 3 as exhausted from c",
+)
+add(
+    "q04_degradation_list",
+    lambda t: lg.degradation_list(T(t)),
+    "with f as (select operation_id, provider || ':' || status as d, min(struct_pack(ts := ts, a := attempt_id)) as first_at from "
+    "v_attempts where status = 'RATE_LIMITED' group by 1, 2) select operation_id, string_agg(d, ',' order by first_at) as degradations "
+    "from f group by 1",
+)
 CACHE_KEY = lambda: F.concat("provider", F.lit("::"), "purpose", F.lit("::"), F.lower(F.regexp_extract("operation_id", r"^op_(\d+)_", 1)))
 add(
     "q05_fresh_hit",
@@ -28,10 +53,29 @@ add(
     f as (select arg_min(attempt_id, ts) as attempt_id from h group by k union all select next_id from f join nx using (attempt_id))
     select attempt_id, attempt_id not in (select attempt_id from f) as hit from c""",
 )
-add("q06_ingest_dedup", lambda t: lg.first_of_key(T(t), "operation_id"), "select operation_id, arg_min(attempt_id, struct_pack(ts := ts, a := attempt_id)) as attempt_id from v_attempts group by 1")
-add("q07_attempt_windows", lambda t: lg.attempt_windows(T(t)), "select time_bucket(interval 1 hour, ts) as start, provider, count(*) as calls, count(*) filter (status <> 'OK') as failures from v_attempts group by 1, 2")
-add("q08_operation_sessions", lambda t: lg.operation_sessions(T(t)), "with g as (select operation_id, ts, case when ts - lag(ts) over (partition by operation_id order by ts) < interval 2 hours then 0 else 1 end as n from v_attempts), s as (select *, sum(n) over (partition by operation_id order by ts rows unbounded preceding) as k from g) select operation_id, min(ts) as start, count(*) as calls from s group by operation_id, k")
-add("q09_latest_state", lambda t: lg.latest_state(T(t)), "select operation_id, arg_max(status, struct_pack(ts := ts, a := attempt_id)) as status, count(*) as calls from v_attempts group by 1")
+add(
+    "q06_ingest_dedup",
+    lambda t: lg.first_of_key(T(t), "operation_id"),
+    "select operation_id, arg_min(attempt_id, struct_pack(ts := ts, a := attempt_id)) as attempt_id from v_attempts group by 1",
+)
+add(
+    "q07_attempt_windows",
+    lambda t: lg.attempt_windows(T(t)),
+    "select time_bucket(interval 1 hour, ts) as start, provider, count(*) as calls, count(*) filter (status <> 'OK') as failures from "
+    "v_attempts group by 1, 2",
+)
+add(
+    "q08_operation_sessions",
+    lambda t: lg.operation_sessions(T(t)),
+    "with g as (select operation_id, ts, case when ts - lag(ts) over (partition by operation_id order by ts) < interval 2 hours then "
+    "0 else 1 end as n from v_attempts), s as (select *, sum(n) over (partition by operation_id order by ts rows unbounded preceding) "
+    "as k from g) select operation_id, min(ts) as start, count(*) as calls from s group by operation_id, k",
+)
+add(
+    "q09_latest_state",
+    lambda t: lg.latest_state(T(t)),
+    "select operation_id, arg_max(status, struct_pack(ts := ts, a := attempt_id)) as status, count(*) as calls from v_attempts group by 1",
+)
 add(
     "q07_sliding_windows",
     lambda t: lg.attempt_windows(T(t), "1 hour", "20 minutes"),

@@ -13,10 +13,29 @@ from .text_queries import DOI_SQL, TITLE_SQL, arxiv_sql
 
 R = Registry()
 add = R.add
-add("r01_normalization_status", lambda t: t("v_refs").select("reference_id", rs.normalization_status(F.col("title"), F.when(F.col("supp_key") % 3 > 0, F.col("author")), F.col("year")).alias("status")), "select reference_id, case when title <> '' and supp_key % 3 > 0 and year is not null then 'COMPLETE' when title <> '' or supp_key % 3 > 0 then 'PARTIAL' else 'RAW_ONLY' end as status from v_refs")
-add("r02_complete_for_insertion", lambda t: t("v_refs").groupBy("paper_id").agg(F.count_if(rs.complete_for_insertion(F.col("title"), F.col("author"), F.col("year"))).alias("complete")), "select paper_id, count(*) filter (title <> '' and year is not null) as complete from v_refs group by 1")
-add("r03_csl_type", lambda t: t("part").select("p_partkey", rs.csl_type(F.when(F.col("p_partkey") % 3 == 0, "j").when(F.col("p_partkey") % 3 == 1, "m"), F.col("p_size") % 2 == 0, F.col("p_partkey") % 7 == 0).alias("kind")), "select p_partkey, case when p_partkey % 7 = 0 then 'paper-conference' when p_partkey % 3 = 0 then 'article-journal' when p_partkey % 3 = 1 and p_size % 2 = 0 then 'chapter' when p_partkey % 3 = 1 then 'book' else 'document' end as kind from part")
-add("r04_title_container", lambda t: t("part").withColumn("x", rs.title_container(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")), F.col("p_brand"))).select("p_partkey", "x.title", "x.container"), "select p_partkey, case when p_partkey % 2 = 0 then p_name when p_partkey % 3 = 0 then p_type else p_brand end as title, case when p_partkey % 2 = 0 then case when p_partkey % 3 = 0 then p_type else p_brand end end as container from part")
+add(
+    "r01_normalization_status",
+    lambda t: t("v_refs").select("reference_id", rs.normalization_status(F.col("title"), F.when(F.col("supp_key") % 3 > 0, F.col("author")), F.col("year")).alias("status")),
+    "select reference_id, case when title <> '' and supp_key % 3 > 0 and year is not null then 'COMPLETE' when title <> '' or supp_key "
+    "% 3 > 0 then 'PARTIAL' else 'RAW_ONLY' end as status from v_refs",
+)
+add(
+    "r02_complete_for_insertion",
+    lambda t: t("v_refs").groupBy("paper_id").agg(F.count_if(rs.complete_for_insertion(F.col("title"), F.col("author"), F.col("year"))).alias("complete")),
+    "select paper_id, count(*) filter (title <> '' and year is not null) as complete from v_refs group by 1",
+)
+add(
+    "r03_csl_type",
+    lambda t: t("part").select("p_partkey", rs.csl_type(F.when(F.col("p_partkey") % 3 == 0, "j").when(F.col("p_partkey") % 3 == 1, "m"), F.col("p_size") % 2 == 0, F.col("p_partkey") % 7 == 0).alias("kind")),
+    "select p_partkey, case when p_partkey % 7 = 0 then 'paper-conference' when p_partkey % 3 = 0 then 'article-journal' when p_partkey "
+    "% 3 = 1 and p_size % 2 = 0 then 'chapter' when p_partkey % 3 = 1 then 'book' else 'document' end as kind from part",
+)
+add(
+    "r04_title_container",
+    lambda t: t("part").withColumn("x", rs.title_container(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")), F.col("p_brand"))).select("p_partkey", "x.title", "x.container"),
+    "select p_partkey, case when p_partkey % 2 = 0 then p_name when p_partkey % 3 = 0 then p_type else p_brand end as title, case "
+    "when p_partkey % 2 = 0 then case when p_partkey % 3 = 0 then p_type else p_brand end end as container from part",
+)
 
 
 def _full_works(t):
@@ -48,8 +67,17 @@ xa as (select title, len(ta) as na, unnest(ta) as w from td), xb as (select work
 ov as (select title, work_id, na, nb, count(*) as c from xa join xb using (w) group by all),
 sp as (select title, work_id, c::double / (na + nb - c) as similarity from ov where 100 * c >= 72 * (na + nb - c)),
 cd as (select reference_id, work_id, similarity from tr join sp using (title))"""
-BEST = "bs as (select * from (select cd.reference_id, tw.provider, tw.external_id, similarity, tw.year, tw.family, row_number() over (partition by cd.reference_id order by similarity desc, pr, tw.external_id) as r from cd join tw using (work_id)) where r = 1)"
-LADDER = f"{EXACT}, {PAIRS}, {BEST}, cb as (select b.reference_id, coalesce(b.year = r.year or lower(b.family) = lower(r.family), false) as ok, b.provider, b.external_id from bs b join v_refs r using (reference_id)), fd as (select * from ex union all select reference_id, case when ok then 'TITLE_AUTHOR_YEAR' else 'TITLE_ONLY' end, case when ok then 'PROBABLE' else 'UNCERTAIN' end, provider, external_id from cb), ld as (select r.paper_id, r.reference_id, coalesce(method, 'UNRESOLVED') as method, coalesce(confidence, 'NONE') as confidence, provider, external_id from v_refs r left join fd using (reference_id))"
+BEST = (
+    "bs as (select * from (select cd.reference_id, tw.provider, tw.external_id, similarity, tw.year, tw.family, row_number() over "
+    "(partition by cd.reference_id order by similarity desc, pr, tw.external_id) as r from cd join tw using (work_id)) where r = 1)"
+)
+LADDER = (
+    f"{EXACT}, {PAIRS}, {BEST}, cb as (select b.reference_id, coalesce(b.year = r.year or lower(b.family) = lower(r.family), false) "
+    f"as ok, b.provider, b.external_id from bs b join v_refs r using (reference_id)), fd as (select * from ex union all select reference_id, "
+    f"case when ok then 'TITLE_AUTHOR_YEAR' else 'TITLE_ONLY' end, case when ok then 'PROBABLE' else 'UNCERTAIN' end, provider, external_id "
+    f"from cb), ld as (select r.paper_id, r.reference_id, coalesce(method, 'UNRESOLVED') as method, coalesce(confidence, 'NONE') as "
+    f"confidence, provider, external_id from v_refs r left join fd using (reference_id))"
+)
 REFS_WORKS = ("v_refs", "v_works")
 
 
@@ -82,9 +110,24 @@ add(
     REFS_WORKS,
 )
 add("r10_resolution_ladder", lambda t: rs.resolution_ladder(t("v_refs"), t("v_works")), f"with {LADDER} select * from ld", REFS_WORKS)
-add("r11_backfill_abstract", lambda t: rs.backfill_abstract(t("v_works")), "select w.provider, w.external_id, coalesce(nullif(trim(w.abstract), ''), o.abstract) as abstract from v_works w left join (select lower(doi) as k, arg_min(abstract, case provider when 'OPENALEX' then 0 else 1 end) as abstract from v_works where abstract is not null and doi is not null group by 1) o on lower(w.doi) = o.k")
-add("r12_upsert_source_records", lambda t: rs.upsert_source_records(t("v_refs").select("paper_id", F.lit("OPENALEX").alias("provider"), (F.col("part_key") % 4).cast("string").alias("external_id"), "title", F.when(F.col("part_key") % 3 == 0, F.col("raw_text")).alias("abstract"), "bibliography_order"), "bibliography_order"), "select paper_id, 'OPENALEX' as provider, (part_key % 4)::varchar as external_id, arg_min(title, bibliography_order) as title, arg_min(raw_text, bibliography_order) filter (part_key % 3 = 0) as abstract from v_refs group by 1, 2, 3")
-add("r13_identity_mismatch", lambda t: rs.identity_mismatch(t("v_works").withColumns({"asked_doi": F.when(F.col("work_key") % 2 == 0, F.concat(F.lit("https://doi.org/10.1000/P"), "work_key")).otherwise("10.1000/other"), "asked_arxiv": F.lit(None).cast("string")})).select("provider", "external_id"), "select provider, external_id from v_works where doi is not null and work_key % 2 = 1")
+add(
+    "r11_backfill_abstract",
+    lambda t: rs.backfill_abstract(t("v_works")),
+    "select w.provider, w.external_id, coalesce(nullif(trim(w.abstract), ''), o.abstract) as abstract from v_works w left join (select "
+    "lower(doi) as k, arg_min(abstract, case provider when 'OPENALEX' then 0 else 1 end) as abstract from v_works where abstract is "
+    "not null and doi is not null group by 1) o on lower(w.doi) = o.k",
+)
+add(
+    "r12_upsert_source_records",
+    lambda t: rs.upsert_source_records(t("v_refs").select("paper_id", F.lit("OPENALEX").alias("provider"), (F.col("part_key") % 4).cast("string").alias("external_id"), "title", F.when(F.col("part_key") % 3 == 0, F.col("raw_text")).alias("abstract"), "bibliography_order"), "bibliography_order"),
+    "select paper_id, 'OPENALEX' as provider, (part_key % 4)::varchar as external_id, arg_min(title, bibliography_order) as title, "
+    "arg_min(raw_text, bibliography_order) filter (part_key % 3 = 0) as abstract from v_refs group by 1, 2, 3",
+)
+add(
+    "r13_identity_mismatch",
+    lambda t: rs.identity_mismatch(t("v_works").withColumns({"asked_doi": F.when(F.col("work_key") % 2 == 0, F.concat(F.lit("https://doi.org/10.1000/P"), "work_key")).otherwise("10.1000/other"), "asked_arxiv": F.lit(None).cast("string")})).select("provider", "external_id"),
+    "select provider, external_id from v_works where doi is not null and work_key % 2 = 1",
+)
 
 
 def _lists(t):
@@ -106,7 +149,10 @@ hx as (select title, len(k) as n, unnest(k) as w from (select title, {TITLE_SQL.
 near as (select offered_title, held_title from (select ox.title as offered_title, hx.title as held_title, ox.n as a, hx.n as b, count(*) as c from ox join hx using (w) group by all) where 100 * c >= 72 * (a + b - c)),
 fresh as (select * from offered f where not exists (select 1 from bk where bk.paper_id = f.paper_id and bk.key in ('doi:' || lower(f.doi), 'arxiv:' || lower(f.arxiv_id), lower(f.provider || ':' || f.external_id)))
   and not exists (select 1 from near n join bt on bt.title = n.held_title where n.offered_title = f.title and bt.paper_id = f.paper_id))"""
-OFFER = "offered as (select distinct paper_id, provider, external_id, title, doi, arxiv_id from (select distinct paper_id, part_key + bibliography_order % 2 as work_key from v_refs) join v_works using (work_key) where provider = 'OPENALEX')"
+OFFER = (
+    "offered as (select distinct paper_id, provider, external_id, title, doi, arxiv_id from (select distinct paper_id, part_key + "
+    "bibliography_order % 2 as work_key from v_refs) join v_works using (work_key) where provider = 'OPENALEX')"
+)
 
 
 def _offered(t):
@@ -140,10 +186,38 @@ add(
     REFS_WORKS,
 )
 RUNS = lambda t: t("v_refs").select("paper_id", F.concat("paper_id", F.lit("_"), F.col("part_key") % 3).alias("reference_id"), F.col("bibliography_order").alias("run_id"), F.lit("DOI").alias("method"), F.when(F.col("part_key") % 2 == 0, "CERTAIN").otherwise("UNCERTAIN").alias("confidence"), F.col("part_key").cast("string").alias("external_id"))
-add("r19_persist_resolutions", lambda t: rs.persist_resolutions(RUNS(t)), "select paper_id, paper_id || '_' || (part_key % 3) as reference_id, max(bibliography_order) as run_id, 'DOI' as method, arg_max(case when part_key % 2 = 0 then 'CERTAIN' else 'UNCERTAIN' end, bibliography_order) as confidence, case when arg_max(part_key, bibliography_order) % 2 = 0 then arg_max(part_key, bibliography_order)::varchar end as external_id from v_refs group by paper_id, part_key % 3")
-add("r20_record_lookup_fallback", lambda t: rs.record_lookup_fallback(t("v_refs").select("paper_id", "reference_id", F.when(F.col("part_key") % 3 == 0, F.col("part_key").cast("string")).alias("want_record"), F.when(F.col("part_key") % 3 == 1, F.concat(F.lit("d"), "part_key")).alias("want_doi"), F.concat(F.lit("e"), F.col("part_key") % 5).alias("want_external")), t("v_refs").where("part_key % 2 = 0").select("paper_id", F.col("part_key").cast("string").alias("record_id"), F.concat(F.lit("d"), "part_key").alias("doi"), F.concat(F.lit("e"), F.col("part_key") % 5).alias("external_id"))), "select r.paper_id, r.reference_id, case when part_key % 2 = 0 and part_key % 3 < 2 then part_key::varchar else (select min(part_key::varchar) from v_refs y where y.paper_id = r.paper_id and y.part_key % 2 = 0 and y.part_key % 5 = r.part_key % 5) end as record_id from v_refs r")
-add("r21_display_resolution", lambda t: rs.display_resolution(t("v_refs").select("reference_id", F.lit("OLD").alias("method"), F.lit("PROBABLE").alias("confidence")), t("v_refs").where("part_key % 2 = 0").select("reference_id", F.lit("DOI").alias("method"), F.lit(None).cast("string").alias("confidence"))), "select reference_id, case when part_key % 2 = 0 then 'DOI' else 'OLD' end as method, case when part_key % 2 = 0 then null else 'PROBABLE' end as confidence from v_refs")
+add(
+    "r19_persist_resolutions",
+    lambda t: rs.persist_resolutions(RUNS(t)),
+    "select paper_id, paper_id || '_' || (part_key % 3) as reference_id, max(bibliography_order) as run_id, 'DOI' as method, arg_max(case "
+    "when part_key % 2 = 0 then 'CERTAIN' else 'UNCERTAIN' end, bibliography_order) as confidence, case when arg_max(part_key, bibliography_order) "
+    "% 2 = 0 then arg_max(part_key, bibliography_order)::varchar end as external_id from v_refs group by paper_id, part_key % 3",
+)
+add(
+    "r20_record_lookup_fallback",
+    lambda t: rs.record_lookup_fallback(t("v_refs").select("paper_id", "reference_id", F.when(F.col("part_key") % 3 == 0, F.col("part_key").cast("string")).alias("want_record"), F.when(F.col("part_key") % 3 == 1, F.concat(F.lit("d"), "part_key")).alias("want_doi"), F.concat(F.lit("e"), F.col("part_key") % 5).alias("want_external")), t("v_refs").where("part_key % 2 = 0").select("paper_id", F.col("part_key").cast("string").alias("record_id"), F.concat(F.lit("d"), "part_key").alias("doi"), F.concat(F.lit("e"), F.col("part_key") % 5).alias("external_id"))),
+    "select r.paper_id, r.reference_id, case when part_key % 2 = 0 and part_key % 3 < 2 then part_key::varchar else (select min(part_key::varchar) "
+    "from v_refs y where y.paper_id = r.paper_id and y.part_key % 2 = 0 and y.part_key % 5 = r.part_key % 5) end as record_id from "
+    "v_refs r",
+)
+add(
+    "r21_display_resolution",
+    lambda t: rs.display_resolution(t("v_refs").select("reference_id", F.lit("OLD").alias("method"), F.lit("PROBABLE").alias("confidence")), t("v_refs").where("part_key % 2 = 0").select("reference_id", F.lit("DOI").alias("method"), F.lit(None).cast("string").alias("confidence"))),
+    "select reference_id, case when part_key % 2 = 0 then 'DOI' else 'OLD' end as method, case when part_key % 2 = 0 then null else "
+    "'PROBABLE' end as confidence from v_refs",
+)
 IDS = lambda: F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("DOI").alias("kind"), F.concat(F.lit("doi:10.1/X"), "part_key").alias("value")), F.struct(F.lit(1).alias("pos"), F.when(F.col("part_key") % 2 == 0, "DOI").otherwise("ARXIV").alias("kind"), F.when(F.col("part_key") % 2 == 0, "10.2/y").otherwise("arXiv:1706.03762v3").alias("value")), F.struct(F.lit(2).alias("pos"), F.when(F.col("part_key") % 3 == 0, "URL").otherwise("TARGET").alias("kind"), F.concat(F.lit("http://u.org/"), "part_key").alias("value"))))
-add("r22_identifier_pivot", lambda t: rs.identifier_pivot(t("v_refs").select("reference_id", "part_key", IDS().alias("x")).select("reference_id", "x.*")), "select reference_id, case when part_key % 2 = 0 then '10.2/y' else '10.1/x' || part_key end as doi, case when part_key % 2 = 1 then '1706.03762' end as arxiv, 'http://u.org/' || part_key as url from v_refs")
-add("r23_merge_ranked", lambda t: rs.merge_ranked(t("v_refs").select("paper_id", (F.col("bibliography_order") % 5).alias("claim_no"), F.col("bibliography_order").alias("rank"), (F.col("part_key") % 9).cast("string").alias("key"))), "select paper_id, printf('cand_%03d', row_number() over (partition by paper_id order by f, key) - 1) as candidate_id, key from (select paper_id, (part_key % 9)::varchar as key, min((bibliography_order % 5) * 1000 + bibliography_order) as f from v_refs where bibliography_order % 5 < 4 group by 1, 2)")
+add(
+    "r22_identifier_pivot",
+    lambda t: rs.identifier_pivot(t("v_refs").select("reference_id", "part_key", IDS().alias("x")).select("reference_id", "x.*")),
+    "select reference_id, case when part_key % 2 = 0 then '10.2/y' else '10.1/x' || part_key end as doi, case when part_key % 2 = "
+    "1 then '1706.03762' end as arxiv, 'http://u.org/' || part_key as url from v_refs",
+)
+add(
+    "r23_merge_ranked",
+    lambda t: rs.merge_ranked(t("v_refs").select("paper_id", (F.col("bibliography_order") % 5).alias("claim_no"), F.col("bibliography_order").alias("rank"), (F.col("part_key") % 9).cast("string").alias("key"))),
+    "select paper_id, printf('cand_%03d', row_number() over (partition by paper_id order by f, key) - 1) as candidate_id, key from "
+    "(select paper_id, (part_key % 9)::varchar as key, min((bibliography_order % 5) * 1000 + bibliography_order) as f from v_refs "
+    "where bibliography_order % 5 < 4 group by 1, 2)",
+)
 QUERIES, ORACLE = R.QUERIES, R.ORACLE

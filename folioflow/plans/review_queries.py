@@ -20,21 +20,66 @@ from .text_queries import TITLE_SQL, words_sql
 R = Registry()
 add = R.add
 PARS = lambda t: t("v_paragraphs").select("doc_id", "par_no", (F.length("text") % 5).cast("long").alias("citations"))
-add("a01_paragraphs_by_density", lambda t: rw.paragraphs_by_density(PARS(t), 4).select("doc_id", "par_no", "place"), "select * from (select doc_id, par_no, row_number() over (partition by doc_id order by length(text) % 5 desc, par_no) as place from v_paragraphs) where place <= 4")
+add(
+    "a01_paragraphs_by_density",
+    lambda t: rw.paragraphs_by_density(PARS(t), 4).select("doc_id", "par_no", "place"),
+    "select * from (select doc_id, par_no, row_number() over (partition by doc_id order by length(text) % 5 desc, par_no) as place "
+    "from v_paragraphs) where place <= 4",
+)
 TITLE = lambda: F.when(F.col("par_no") % 5 == 0, "Introduction").when(F.col("par_no") % 5 == 1, "Methods").when(F.col("par_no") % 5 == 2, "Results and discussion").otherwise("Other")
 PRIO = "case par_no % 5 when 0 then 0 when 1 then 3 when 2 then 1 else 2 end"
-add("a02_section_priority", lambda t: t("v_paragraphs").select("doc_id", "par_no", rw.section_priority(TITLE()).alias("priority")), f"select doc_id, par_no, {PRIO} as priority from v_paragraphs")
+add(
+    "a02_section_priority",
+    lambda t: t("v_paragraphs").select("doc_id", "par_no", rw.section_priority(TITLE()).alias("priority")),
+    f"select doc_id, par_no, {PRIO} as priority from v_paragraphs",
+)
 CLAIMS = lambda t: t("v_paragraphs").select("doc_id", "par_no", F.lit(0).alias("claim_no"), rw.section_priority(TITLE()).alias("priority"), (F.length("text") % 4 == 0).alias("rejected"))
-add("a03_budgeted_claims", lambda t: rw.budgeted_claims(CLAIMS(t)).select("doc_id", "par_no", "place"), f"select * from (select doc_id, par_no, row_number() over (partition by doc_id order by {PRIO}, par_no) as place from v_paragraphs where length(text) % 4 <> 0) where place <= 12")
+add(
+    "a03_budgeted_claims",
+    lambda t: rw.budgeted_claims(CLAIMS(t)).select("doc_id", "par_no", "place"),
+    f"select * from (select doc_id, par_no, row_number() over (partition by doc_id order by {PRIO}, par_no) as place from v_paragraphs "
+    f"where length(text) % 4 <> 0) where place <= 12",
+)
 OFFERED = lambda t: t("v_refs").select("paper_id", F.col("reference_id").alias("offered_id"))
 ANSWERS = lambda t: t("v_items").where("reference_id is not null").select("paper_id", "citation_id", F.col("reference_id").alias("offered_id"))
-add("a04_ground_ids", lambda t: rw.ground_ids(ANSWERS(t), OFFERED(t), "paper_id"), "select paper_id, citation_id, reference_id as offered_id from v_items where reference_id is not null and paper_id not in (select paper_id from v_items where reference_id = 'ref_missing')")
-add("a04_rejected_responses", lambda t: rw.rejected_responses(ANSWERS(t), OFFERED(t), "paper_id"), "select paper_id, count(*) as foreign_ids from v_items where reference_id = 'ref_missing' group by 1")
-add("a05_require_choice", lambda t: rw.require_choice(t("v_state_log"), "state", ["ACCEPTED", "REJECTED"]).groupBy("permitted").agg(F.count(F.lit(1)).alias("n")), "select state in ('ACCEPTED', 'REJECTED') as permitted, count(*) as n from v_state_log group by 1")
-add("a06_uncited_claims", lambda t: rw.uncited_claims(t("v_refs").select("paper_id", "reference_id"), t("v_items").where("reference_id is not null"), ["reference_id"]).select("reference_id", "kind"), "select reference_id, 'UNCITED_CLAIM' as kind from v_refs where reference_id not in (select reference_id from v_items where reference_id is not null)")
-add("a07_unlinked_citation_findings", lambda t: rw.unlinked_citation_findings(t("v_items").select("citation_id").distinct(), t("v_items")), "select citation_id, 'UNLINKED_CITATION' as kind from v_items group by 1 having bool_and(reference_id is null)")
-add("a08_support_pairs", lambda t: rw.support_pairs(t("v_items").where("printed_order % 2 = 1").select("citation_id", F.lit(1).alias("claim_no")), t("v_items")), "select i.citation_id, 1 as claim_no, i.reference_id from v_items i join (select citation_id from v_items where printed_order % 2 = 1) c using (citation_id) where i.reference_id is not null")
-add("a09_server_verdict", lambda t: t("v_refs").select("reference_id", rw.server_verdict(F.when(F.col("part_key") % 5 > 0, F.lit("w")), F.when(F.col("part_key") % 3 == 0, "UNCERTAIN").otherwise("PROBABLE"), F.when(F.col("part_key") % 2 == 0, F.lit("text")), F.lit("SUPPORTED")).alias("verdict")), "select reference_id, case when part_key % 5 = 0 then 'SOURCE_UNRESOLVED' when part_key % 3 = 0 then 'SOURCE_IDENTITY_UNCERTAIN' when part_key % 2 = 1 then 'EVIDENCE_UNAVAILABLE' else 'SUPPORTED' end as verdict from v_refs")
+add(
+    "a04_ground_ids",
+    lambda t: rw.ground_ids(ANSWERS(t), OFFERED(t), "paper_id"),
+    "select paper_id, citation_id, reference_id as offered_id from v_items where reference_id is not null and paper_id not in (select "
+    "paper_id from v_items where reference_id = 'ref_missing')",
+)
+add(
+    "a04_rejected_responses",
+    lambda t: rw.rejected_responses(ANSWERS(t), OFFERED(t), "paper_id"),
+    "select paper_id, count(*) as foreign_ids from v_items where reference_id = 'ref_missing' group by 1",
+)
+add(
+    "a05_require_choice",
+    lambda t: rw.require_choice(t("v_state_log"), "state", ["ACCEPTED", "REJECTED"]).groupBy("permitted").agg(F.count(F.lit(1)).alias("n")),
+    "select state in ('ACCEPTED', 'REJECTED') as permitted, count(*) as n from v_state_log group by 1",
+)
+add(
+    "a06_uncited_claims",
+    lambda t: rw.uncited_claims(t("v_refs").select("paper_id", "reference_id"), t("v_items").where("reference_id is not null"), ["reference_id"]).select("reference_id", "kind"),
+    "select reference_id, 'UNCITED_CLAIM' as kind from v_refs where reference_id not in (select reference_id from v_items where reference_id is not null)",
+)
+add(
+    "a07_unlinked_citation_findings",
+    lambda t: rw.unlinked_citation_findings(t("v_items").select("citation_id").distinct(), t("v_items")),
+    "select citation_id, 'UNLINKED_CITATION' as kind from v_items group by 1 having bool_and(reference_id is null)",
+)
+add(
+    "a08_support_pairs",
+    lambda t: rw.support_pairs(t("v_items").where("printed_order % 2 = 1").select("citation_id", F.lit(1).alias("claim_no")), t("v_items")),
+    "select i.citation_id, 1 as claim_no, i.reference_id from v_items i join (select citation_id from v_items where printed_order "
+    "% 2 = 1) c using (citation_id) where i.reference_id is not null",
+)
+add(
+    "a09_server_verdict",
+    lambda t: t("v_refs").select("reference_id", rw.server_verdict(F.when(F.col("part_key") % 5 > 0, F.lit("w")), F.when(F.col("part_key") % 3 == 0, "UNCERTAIN").otherwise("PROBABLE"), F.when(F.col("part_key") % 2 == 0, F.lit("text")), F.lit("SUPPORTED")).alias("verdict")),
+    "select reference_id, case when part_key % 5 = 0 then 'SOURCE_UNRESOLVED' when part_key % 3 = 0 then 'SOURCE_IDENTITY_UNCERTAIN' "
+    "when part_key % 2 = 1 then 'EVIDENCE_UNAVAILABLE' else 'SUPPORTED' end as verdict from v_refs",
+)
 
 
 def _ranked(t):
@@ -60,9 +105,25 @@ add(
     select paper_id, claim_id, string_agg(external_id, ',' order by place) as suggestions from p where place <= 3 group by 1, 2""",
     ("v_refs", "v_works"),
 )
-add("a12_search_notes", lambda t: t("events").select("event_id", rw.search_note(F.col("event_type") == "error", F.col("event_id") % 3, F.col("event_id") % 2, F.col("user_id") % 2).alias("note")), "select event_id, case when event_type = 'error' then 'SEARCH_DEGRADED' when event_id % 3 > 0 and event_id % 2 = event_id % 3 then 'ALL_ALREADY_CITED' when event_id % 3 > 0 and user_id % 2 = event_id % 3 - event_id % 2 then 'INCOMPLETE_RECORDS' when event_id % 3 = 0 then 'NOTHING_FOUND' end as note from events")
-add("a13_coverage_label", lambda t: rw.coverage_label(t("v_attempts")), "select operation_id, case count(distinct provider) filter (status <> 'RATE_LIMITED') when 2 then 'BOTH' when 1 then max(provider) filter (status <> 'RATE_LIMITED') || '_ONLY' else 'NONE_REACHABLE' end as coverage from v_attempts group by 1")
-add("a14_unresolved_references", lambda t: rw.unresolved_reference_findings(rs.resolution_ladder(t("v_refs"), t("v_works"))), f"with {LADDER} select paper_id, reference_id, 'UNRESOLVED_REFERENCE' as kind from ld where confidence not in ('CERTAIN', 'PROBABLE')", REFS_WORKS)
+add(
+    "a12_search_notes",
+    lambda t: t("events").select("event_id", rw.search_note(F.col("event_type") == "error", F.col("event_id") % 3, F.col("event_id") % 2, F.col("user_id") % 2).alias("note")),
+    "select event_id, case when event_type = 'error' then 'SEARCH_DEGRADED' when event_id % 3 > 0 and event_id % 2 = event_id % 3 "
+    "then 'ALL_ALREADY_CITED' when event_id % 3 > 0 and user_id % 2 = event_id % 3 - event_id % 2 then 'INCOMPLETE_RECORDS' when event_id "
+    "% 3 = 0 then 'NOTHING_FOUND' end as note from events",
+)
+add(
+    "a13_coverage_label",
+    lambda t: rw.coverage_label(t("v_attempts")),
+    "select operation_id, case count(distinct provider) filter (status <> 'RATE_LIMITED') when 2 then 'BOTH' when 1 then max(provider) "
+    "filter (status <> 'RATE_LIMITED') || '_ONLY' else 'NONE_REACHABLE' end as coverage from v_attempts group by 1",
+)
+add(
+    "a14_unresolved_references",
+    lambda t: rw.unresolved_reference_findings(rs.resolution_ladder(t("v_refs"), t("v_works"))),
+    f"with {LADDER} select paper_id, reference_id, 'UNRESOLVED_REFERENCE' as kind from ld where confidence not in ('CERTAIN', 'PROBABLE')",
+    REFS_WORKS,
+)
 
 
 def _findings(t):
@@ -71,9 +132,16 @@ def _findings(t):
     return rw.all_findings([a, b])
 
 
-FIND = "fn as (select paper_id, 'UNLINKED_CITATION' as kind, printed_order % 2 = 0 as open from v_items where reference_id is null union all select paper_id, 'UNRESOLVED_REFERENCE', part_key % 2 = 0 from v_refs where title = '')"
+FIND = (
+    "fn as (select paper_id, 'UNLINKED_CITATION' as kind, printed_order % 2 = 0 as open from v_items where reference_id is null union "
+    "all select paper_id, 'UNRESOLVED_REFERENCE', part_key % 2 = 0 from v_refs where title = '')"
+)
 add("a15_all_findings", _findings, f"with {FIND} select * from fn")
-add("a16_severity_order", lambda t: _findings(t).select("paper_id", rw.severity(F.col("kind")).alias("severity")), f"with {FIND} select paper_id, case kind when 'UNRESOLVED_REFERENCE' then 2 else 3 end as severity from fn")
+add(
+    "a16_severity_order",
+    lambda t: _findings(t).select("paper_id", rw.severity(F.col("kind")).alias("severity")),
+    f"with {FIND} select paper_id, case kind when 'UNRESOLVED_REFERENCE' then 2 else 3 end as severity from fn",
+)
 add(
     "a17_run_stats",
     lambda t: rw.run_stats(
@@ -94,8 +162,18 @@ add(
     (select count(*) from v_refs where doi is not null) as references_resolved, (select count(*) from v_refs) as references_examined""",
     ("v_refs", "v_items"),
 )
-add("a18_finding_facets", lambda t: rw.finding_facets(_findings(t)), f"with {FIND} select coalesce(kind, 'ALL') as kind, count(*) as n, count(*) filter (open) as open from fn group by rollup (kind)")
-add("a19_stale_runs", lambda t: rw.stale_runs(t("v_state_log").select("paper_id", F.col("proposal_id").alias("run_id"), F.col("base_revision").alias("revision")), t("v_revisions").groupBy("paper_id").agg(F.max("revision_number").alias("revision_number"))), "select paper_id, seen, revision_number from (select paper_id, arg_max(base_revision, proposal_id) as seen from v_state_log group by 1) join (select paper_id, max(revision_number) as revision_number from v_revisions group by 1) using (paper_id) where seen <> revision_number")
+add(
+    "a18_finding_facets",
+    lambda t: rw.finding_facets(_findings(t)),
+    f"with {FIND} select coalesce(kind, 'ALL') as kind, count(*) as n, count(*) filter (open) as open from fn group by rollup (kind)",
+)
+add(
+    "a19_stale_runs",
+    lambda t: rw.stale_runs(t("v_state_log").select("paper_id", F.col("proposal_id").alias("run_id"), F.col("base_revision").alias("revision")), t("v_revisions").groupBy("paper_id").agg(F.max("revision_number").alias("revision_number"))),
+    "select paper_id, seen, revision_number from (select paper_id, arg_max(base_revision, proposal_id) as seen from v_state_log group "
+    "by 1) join (select paper_id, max(revision_number) as revision_number from v_revisions group by 1) using (paper_id) where seen "
+    "<> revision_number",
+)
 
 
 def _grouped(t):
@@ -106,7 +184,10 @@ def _grouped(t):
     return rw.findings_by_paragraph(f, par, c)
 
 
-GROUPED = f"{FIND}, pf as (select paper_id % 200 as doc_id, paper_id % 5 + 1 as par_no, string_agg(kind, ',' order by case kind when 'UNRESOLVED_REFERENCE' then 2 else 3 end) as kinds, count(*) as findings from fn group by 1, 2)"
+GROUPED = (
+    f"{FIND}, pf as (select paper_id % 200 as doc_id, paper_id % 5 + 1 as par_no, string_agg(kind, ',' order by case kind when 'UNRESOLVED_REFERENCE' "
+    f"then 2 else 3 end) as kinds, count(*) as findings from fn group by 1, 2)"
+)
 add("a20_findings_by_paragraph", lambda t: _grouped(t)[0], f"with {GROUPED} select * from pf")
 add(
     "a20_section_counts",
@@ -139,9 +220,19 @@ add(
     from orders o left join p on p.paper_id = o_orderkey left join i on i.paper_id = o_orderkey left join s on s.paper_id = o_orderkey left join r on r.paper_id = o_orderkey left join b on b.paper_id = o_orderkey left join l on l.paper_id = o_orderkey""",
     ("v_refs", "v_items"),
 )
-add("a23_counts_with_zero", lambda t: rw.with_vocabulary(_findings(t).groupBy("paper_id", "kind").agg(F.count(F.lit(1)).alias("n")), "kind", ["MISSING_WORK", "UNLINKED_CITATION", "UNRESOLVED_REFERENCE"], ["paper_id"]), f"with {FIND}, g as (select paper_id, kind, count(*) as n from fn group by 1, 2) select p.paper_id, v.kind, coalesce(n, 0) as n from (select distinct paper_id from fn) p, (select unnest(['MISSING_WORK', 'UNLINKED_CITATION', 'UNRESOLVED_REFERENCE']) as kind) v left join g on p.paper_id = g.paper_id and v.kind = g.kind")
+add(
+    "a23_counts_with_zero",
+    lambda t: rw.with_vocabulary(_findings(t).groupBy("paper_id", "kind").agg(F.count(F.lit(1)).alias("n")), "kind", ["MISSING_WORK", "UNLINKED_CITATION", "UNRESOLVED_REFERENCE"], ["paper_id"]),
+    f"with {FIND}, g as (select paper_id, kind, count(*) as n from fn group by 1, 2) select p.paper_id, v.kind, coalesce(n, 0) as n "
+    f"from (select distinct paper_id from fn) p, (select unnest(['MISSING_WORK', 'UNLINKED_CITATION', 'UNRESOLVED_REFERENCE']) as kind) "
+    f"v left join g on p.paper_id = g.paper_id and v.kind = g.kind",
+)
 VERD = lambda: F.element_at(F.array(*map(F.lit, rw.VERDICTS)), (F.col("part_key") % 4 + 1).cast("int"))
-add("a24_severity_worst", lambda t: rw.severity_worst(t("v_refs").select("paper_id", F.col("bibliography_order").alias("place"), VERD().alias("verdict")), "paper_id"), "select paper_id, (['SUPPORTED', 'PARTIALLY_SUPPORTED', 'NOT_SUPPORTED', 'CONTRADICTED'])[max(part_key % 4) + 1] as verdict from v_refs group by 1")
+add(
+    "a24_severity_worst",
+    lambda t: rw.severity_worst(t("v_refs").select("paper_id", F.col("bibliography_order").alias("place"), VERD().alias("verdict")), "paper_id"),
+    "select paper_id, (['SUPPORTED', 'PARTIALLY_SUPPORTED', 'NOT_SUPPORTED', 'CONTRADICTED'])[max(part_key % 4) + 1] as verdict from v_refs group by 1",
+)
 add(
     "a25_paper_detail",
     lambda t: rw.paper_detail(
@@ -166,22 +257,65 @@ add(
     select reference_id as claim_id, work_id, rank, round(score, 9) as score from v_refs join r using (title) where rank <= 3""",
     ("v_refs", "v_works"),
 )
-add("u03_claim_candidates", lambda t: rw.claim_candidates(t("v_paragraphs").select("doc_id", F.col("par_no").alias("sent_no"), "text"), ["doc_id"]).select("doc_id", "sent_no", "place"), "select * from (select doc_id, par_no as sent_no, row_number() over (partition by doc_id order by regexp_matches(text, '\\d') desc, length(text) desc, par_no) as place from v_paragraphs) where place <= 3")
+add(
+    "u03_claim_candidates",
+    lambda t: rw.claim_candidates(t("v_paragraphs").select("doc_id", F.col("par_no").alias("sent_no"), "text"), ["doc_id"]).select("doc_id", "sent_no", "place"),
+    "select * from (select doc_id, par_no as sent_no, row_number() over (partition by doc_id order by regexp_matches(text, '\\d') "
+    "desc, length(text) desc, par_no) as place from v_paragraphs) where place <= 3",
+)
 
 # --- evaluation
 LAB = lambda t: t("v_items").select("paper_id", F.col("marker_fragment").alias("marker"), F.col("printed_order").alias("seq"))
-add("x01_marker_detection", lambda t: ev.marker_detection(LAB(t), LAB(t).where("seq % 4 > 0")), "with l as (select paper_id, marker_fragment as m, row_number() over (partition by paper_id, marker_fragment order by printed_order) as k from v_items), p as (select paper_id, marker_fragment as m, row_number() over (partition by paper_id, marker_fragment order by printed_order) as k from v_items where printed_order % 4 > 0) select paper_id, count(*) as labelled, count(p.k) as detected, round(count(p.k)::double / count(*), 4) as rate from l left join p using (paper_id, m, k) group by 1")
-add("x02_linkage_rate", lambda t: ev.linkage_rate(t("v_items").select("paper_id", "citation_id", "printed_order", F.when(F.col("reference_id").isNotNull(), F.when(F.col("reference_id") == "ref_missing", -1).otherwise(F.col("printed_order"))).alias("linked"))), "select paper_id, count(*) filter (n > 0) as checkable, count(*) filter (ok) as \"right\", case when count(*) filter (n > 0) > 0 then round((count(*) filter (ok))::double / count(*) filter (n > 0), 4) end as rate from (select paper_id, citation_id, bool_and(reference_id is not null and reference_id <> 'ref_missing') as ok, count(reference_id) as n from v_items group by 1, 2) group by 1")
-add("x03_marker_precision", lambda t: ev.marker_precision(LAB(t), LAB(t).where("seq % 3 > 0")), "with p as (select paper_id, marker_fragment as m, count(*) as p, count(*) filter (printed_order % 3 > 0) as l from v_items group by 1, 2) select paper_id, sum(p)::bigint as parsed, sum(greatest(0, p - l))::bigint as spurious, round((sum(p) - sum(greatest(0, p - l)))::double / sum(p), 4) as precision from p group by 1")
-add("x04_field_accuracy", lambda t: ev.field_accuracy(t("v_refs").withColumn("title", F.when(F.col("part_key") % 3 == 0, F.upper("title")).otherwise("x")), t("v_refs").withColumn("author", F.concat(F.lit("J. "), "family", F.lit(", K. Doe")))), "select paper_id, count(*) as checks, count(*) filter (part_key % 3 = 0) as titles, count(year) as years, count(*) as families, round((count(*) filter (part_key % 3 = 0))::double / count(*), 4) as title_rate from v_refs group by 1")
-add("x05_bibliography_retention", lambda t: ev.retention(t("v_refs"), t("v_refs").where("title <> ''")), "select paper_id, count(*) as labelled, count(*) filter (title <> '') as retained, round((count(*) filter (title <> ''))::double / count(*), 4) as rate from v_refs group by 1")
+add(
+    "x01_marker_detection",
+    lambda t: ev.marker_detection(LAB(t), LAB(t).where("seq % 4 > 0")),
+    "with l as (select paper_id, marker_fragment as m, row_number() over (partition by paper_id, marker_fragment order by printed_order) "
+    "as k from v_items), p as (select paper_id, marker_fragment as m, row_number() over (partition by paper_id, marker_fragment order "
+    "by printed_order) as k from v_items where printed_order % 4 > 0) select paper_id, count(*) as labelled, count(p.k) as detected, "
+    "round(count(p.k)::double / count(*), 4) as rate from l left join p using (paper_id, m, k) group by 1",
+)
+add(
+    "x02_linkage_rate",
+    lambda t: ev.linkage_rate(t("v_items").select("paper_id", "citation_id", "printed_order", F.when(F.col("reference_id").isNotNull(), F.when(F.col("reference_id") == "ref_missing", -1).otherwise(F.col("printed_order"))).alias("linked"))),
+    "select paper_id, count(*) filter (n > 0) as checkable, count(*) filter (ok) as \"right\", case when count(*) filter (n > 0) > "
+    "0 then round((count(*) filter (ok))::double / count(*) filter (n > 0), 4) end as rate from (select paper_id, citation_id, bool_and(reference_id "
+    "is not null and reference_id <> 'ref_missing') as ok, count(reference_id) as n from v_items group by 1, 2) group by 1",
+)
+add(
+    "x03_marker_precision",
+    lambda t: ev.marker_precision(LAB(t), LAB(t).where("seq % 3 > 0")),
+    "with p as (select paper_id, marker_fragment as m, count(*) as p, count(*) filter (printed_order % 3 > 0) as l from v_items group "
+    "by 1, 2) select paper_id, sum(p)::bigint as parsed, sum(greatest(0, p - l))::bigint as spurious, round((sum(p) - sum(greatest(0, "
+    "p - l)))::double / sum(p), 4) as precision from p group by 1",
+)
+add(
+    "x04_field_accuracy",
+    lambda t: ev.field_accuracy(t("v_refs").withColumn("title", F.when(F.col("part_key") % 3 == 0, F.upper("title")).otherwise("x")), t("v_refs").withColumn("author", F.concat(F.lit("J. "), "family", F.lit(", K. Doe")))),
+    "select paper_id, count(*) as checks, count(*) filter (part_key % 3 = 0) as titles, count(year) as years, count(*) as families, "
+    "round((count(*) filter (part_key % 3 = 0))::double / count(*), 4) as title_rate from v_refs group by 1",
+)
+add(
+    "x05_bibliography_retention",
+    lambda t: ev.retention(t("v_refs"), t("v_refs").where("title <> ''")),
+    "select paper_id, count(*) as labelled, count(*) filter (title <> '') as retained, round((count(*) filter (title <> ''))::double "
+    "/ count(*), 4) as rate from v_refs group by 1",
+)
 BLOCKS = lambda t: t("v_refs").select("paper_id", F.when(F.col("part_key") % 3 == 0, "FIGURE").when(F.col("part_key") % 3 == 1, "TABLE").otherwise("FORMULA").alias("kind"), F.when(F.col("supp_key") % 4 == 0, "UNRENDERABLE").otherwise("PRESERVED").alias("fidelity"), (F.col("supp_key") % 5 == 0).alias("floating"))
 LABELLED = lambda t: t("orders").select(F.col("o_orderkey").alias("paper_id"), (F.col("o_orderkey") % 6).alias("labelled_figures"), (F.col("o_orderkey") % 4).alias("labelled_tables"))
 X6 = """select o_orderkey as paper_id, o_orderkey % 6 as labelled_figures, o_orderkey % 4 as labelled_tables, coalesce(f, 0) as figures_recovered, coalesce(t, 0) as tables_recovered, coalesce(u, 0) as unrenderable, coalesce(l, 0) as floating
   from orders left join (select paper_id, count(*) filter (part_key % 3 = 0) as f, count(*) filter (part_key % 3 = 1) as t, count(*) filter (supp_key % 4 = 0) as u, count(*) filter (supp_key % 5 = 0) as l from v_refs group by 1) b on b.paper_id = o_orderkey"""
 add("x06_block_inventory", lambda t: ev.block_inventory(LABELLED(t), BLOCKS(t)), X6)
-X7 = "select paper_id, structured, raw_only, items, linked, round(linked::double / items, 4) as coverage from (select paper_id, count(*) filter (after = 'STRUCTURED') as structured, count(*) filter (after = 'RAW_ONLY') as raw_only from {} group by 1) join (select paper_id, count(*) as items, count(reference_id) as linked from {} group by 1) using (paper_id)"
-add("x07_status_counts", lambda t: ev.status_counts(mk.parse_status(t("v_items")), t("v_items")), f"with {STATUS_SQL} {X7.format('(select *, parse_status as after from st)', 'v_items')}", ("v_items",))
+X7 = (
+    "select paper_id, structured, raw_only, items, linked, round(linked::double / items, 4) as coverage from (select paper_id, count(*) "
+    "filter (after = 'STRUCTURED') as structured, count(*) filter (after = 'RAW_ONLY') as raw_only from {} group by 1) join (select "
+    "paper_id, count(*) as items, count(reference_id) as linked from {} group by 1) using (paper_id)"
+)
+add(
+    "x07_status_counts",
+    lambda t: ev.status_counts(mk.parse_status(t("v_items")), t("v_items")),
+    f"with {STATUS_SQL} {X7.format('(select *, parse_status as after from st)', 'v_items')}",
+    ("v_items",),
+)
 
 
 def _effect(t):
@@ -191,7 +325,15 @@ def _effect(t):
     return ev.effect_report(before, after)
 
 
-add("x08_effect_report", _effect, f"with {CHANGE_SQL}, b as ({X7.format('(select *, before as after from (select paper_id, before from ch))', 'v_items')}), a as ({X7.format('ch', 'fx')}) select b.paper_id, b.structured as structured_before, b.raw_only as raw_only_before, b.coverage as coverage_before, a.structured as structured_after, a.raw_only as raw_only_after, a.coverage as coverage_after from b join a using (paper_id)", ("v_refs", "v_items"))
+add(
+    "x08_effect_report",
+    _effect,
+    f"with {CHANGE_SQL}, b as ({X7.format('(select *, before as after from (select paper_id, before from ch))', 'v_items')}), a as "
+    f"({X7.format('ch', 'fx')}) select b.paper_id, b.structured as structured_before, b.raw_only as raw_only_before, b.coverage as "
+    f"coverage_before, a.structured as structured_after, a.raw_only as raw_only_after, a.coverage as coverage_after from b join a using "
+    f"(paper_id)",
+    ("v_refs", "v_items"),
+)
 
 
 def _reports(t):
@@ -213,5 +355,10 @@ def _report_sql(names: list[str]) -> str:
 
 
 REPORTS = {"markers": "x01_marker_detection", "linkage": "x02_linkage_rate", "precision": "x03_marker_precision", "bibliography": "x05_bibliography_retention", "blocks": "x06_block_inventory", "status": "x07_status_counts"}
-add("x09_eval_table", _reports, "select * from " + _report_sql(list(REPORTS)).format(**{n: R.ORACLE[q] for n, q in REPORTS.items()}), ("v_refs", "v_items"))
+add(
+    "x09_eval_table",
+    _reports,
+    "select * from " + _report_sql(list(REPORTS)).format(**{n: R.ORACLE[q] for n, q in REPORTS.items()}),
+    ("v_refs", "v_items"),
+)
 QUERIES, ORACLE = R.QUERIES, R.ORACLE

@@ -25,7 +25,11 @@ CHG = f"""{REV}, pc as (select coalesce(bf.doc_id, af.doc_id) as doc_id, coalesc
   {words_sql('bf.text')} || ' words -> ' || {words_sql('af.text')} || ' words' as d from bf full join af on bf.doc_id = af.doc_id and bf.par_id = af.par_id),
 pk as (select doc_id, par_id, kind, case when kind = 'PARAGRAPH_TEXT_CHANGED' then d end as detail from pc where kind is not null)"""
 IDS = "regexp_extract_all({}, '\\[\\[CITE:([A-Za-z0-9_]+)\\]\\]', 1)"
-add("d01_section_changes", lambda t: rv.removed_keys(before(t), after(t).where("doc_id % 9 > 0"), ["doc_id"]), f"with {REV} select distinct doc_id from bf where doc_id not in (select doc_id from af where doc_id % 9 > 0)")
+add(
+    "d01_section_changes",
+    lambda t: rv.removed_keys(before(t), after(t).where("doc_id % 9 > 0"), ["doc_id"]),
+    f"with {REV} select distinct doc_id from bf where doc_id not in (select doc_id from af where doc_id % 9 > 0)",
+)
 add("d02_paragraph_changes", lambda t: rv.paragraph_changes(before(t), after(t)), f"with {CHG} select * from pk")
 SIG = lambda t, r: t("v_items").groupBy("citation_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("item_index", F.lit(":"), r))), ";").alias("signature"))
 SIG_SQL = "select citation_id, string_agg(item_index || ':' || {}, ';' order by item_index) as signature from v_items group by 1"
@@ -38,18 +42,68 @@ add(
     select citation_id, 'CITATION_REMOVED' as kind from j where s1 is not null and (s2 is null or p2 is null) union all select citation_id, 'CITATION_ITEM_CHANGED' from j where s1 <> s2 and p2 is not null
     union all select citation_id, 'CITATION_MOVED' from j where s1 is not null and s2 is not null and p1 <> p2 union all select citation_id, 'CITATION_ADDED' from j where s1 is null""",
 )
-add("d04_reference_changes", lambda t: rv.key_changes(t("v_refs").where("part_key % 3 > 0"), t("v_refs").where("part_key % 4 > 0"), ["reference_id"], "REFERENCE"), "select reference_id, case when part_key % 4 = 0 then 'REFERENCE_REMOVED' else 'REFERENCE_ADDED' end as kind from v_refs where (part_key % 3 > 0) <> (part_key % 4 > 0)")
-add("d05_block_changes", lambda t: rv.hash_changes(t("part"), t("part").where("p_partkey % 5 > 0").withColumn("p_name", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))), "p_partkey", "p_name", "BLOCK"), "select p_partkey, case when p_partkey % 5 = 0 then 'BLOCK_REMOVED' else 'BLOCK_CHANGED' end as kind from part where p_partkey % 5 = 0 or p_partkey % 3 = 0")
-add("d06_delta_words", lambda t: rv.delta_words(before(t), after(t)), f"with {CHG}, x as (select bf.doc_id, sum({words_sql('bf.text')})::bigint as words_before, coalesce(sum({words_sql('bf.text')}) filter (kind is not null), 0)::bigint as touched_before from bf left join pk on bf.doc_id = pk.doc_id and bf.par_id = pk.par_id group by 1), y as (select af.doc_id, sum({words_sql('af.text')})::bigint as words_after, coalesce(sum({words_sql('af.text')}) filter (kind is not null), 0)::bigint as touched_after from af left join pk on af.doc_id = pk.doc_id and af.par_id = pk.par_id group by 1) select doc_id, coalesce(words_before, 0) as words_before, coalesce(touched_before, 0) as touched_before, coalesce(words_after, 0) as words_after, coalesce(touched_after, 0) as touched_after from x full join y using (doc_id)")
-add("d07_delta_summary", lambda t: rv.delta_summary(rv.paragraph_changes(before(t), after(t))), f"with {CHG} select doc_id, string_agg(n || ' ' || kind, '; ' order by kind) as summary from (select doc_id, kind, count(*) as n from pk group by 1, 2) group by 1")
+add(
+    "d04_reference_changes",
+    lambda t: rv.key_changes(t("v_refs").where("part_key % 3 > 0"), t("v_refs").where("part_key % 4 > 0"), ["reference_id"], "REFERENCE"),
+    "select reference_id, case when part_key % 4 = 0 then 'REFERENCE_REMOVED' else 'REFERENCE_ADDED' end as kind from v_refs where "
+    "(part_key % 3 > 0) <> (part_key % 4 > 0)",
+)
+add(
+    "d05_block_changes",
+    lambda t: rv.hash_changes(t("part"), t("part").where("p_partkey % 5 > 0").withColumn("p_name", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))), "p_partkey", "p_name", "BLOCK"),
+    "select p_partkey, case when p_partkey % 5 = 0 then 'BLOCK_REMOVED' else 'BLOCK_CHANGED' end as kind from part where p_partkey "
+    "% 5 = 0 or p_partkey % 3 = 0",
+)
+add(
+    "d06_delta_words",
+    lambda t: rv.delta_words(before(t), after(t)),
+    f"with {CHG}, x as (select bf.doc_id, sum({words_sql('bf.text')})::bigint as words_before, coalesce(sum({words_sql('bf.text')}) "
+    f"filter (kind is not null), 0)::bigint as touched_before from bf left join pk on bf.doc_id = pk.doc_id and bf.par_id = pk.par_id "
+    f"group by 1), y as (select af.doc_id, sum({words_sql('af.text')})::bigint as words_after, coalesce(sum({words_sql('af.text')}) "
+    f"filter (kind is not null), 0)::bigint as touched_after from af left join pk on af.doc_id = pk.doc_id and af.par_id = pk.par_id "
+    f"group by 1) select doc_id, coalesce(words_before, 0) as words_before, coalesce(touched_before, 0) as touched_before, coalesce(words_after, "
+    f"0) as words_after, coalesce(touched_after, 0) as touched_after from x full join y using (doc_id)",
+)
+add(
+    "d07_delta_summary",
+    lambda t: rv.delta_summary(rv.paragraph_changes(before(t), after(t))),
+    f"with {CHG} select doc_id, string_agg(n || ' ' || kind, '; ' order by kind) as summary from (select doc_id, kind, count(*) as "
+    f"n from pk group by 1, 2) group by 1",
+)
 BOTH = f"{REV}, bo as (select bf.doc_id, bf.par_id, bf.text as a, af.text as b from bf join af on bf.doc_id = af.doc_id and bf.par_id = af.par_id)"
-add("d09_paragraph_diffs", lambda t: rv.paragraph_diffs(before(t), after(t)), f"with {BOTH} select doc_id, par_id, array_to_string(list_filter({IDS.format('a')}, lambda x: not list_contains({IDS.format('b')}, x)), ',') as lost, array_to_string(list_filter({IDS.format('b')}, lambda x: not list_contains({IDS.format('a')}, x)), ',') as gained from bo where {norm_sql('a')} <> {norm_sql('b')}")
-add("d10_token_multiset_diff", lambda t: rv.token_multiset_diff(before(t), after(t)), f"with {REV}, x as (select doc_id, par_id, w, count(*) as n from (select doc_id, par_id, unnest(string_split({norm_sql('text')}, ' ')) as w from bf) group by all), y as (select doc_id, par_id, w, count(*) as m from (select doc_id, par_id, unnest(string_split({norm_sql('text')}, ' ')) as w from af) group by all) select doc_id, par_id, sum(greatest(0, coalesce(n, 0) - coalesce(m, 0)))::bigint as removed, sum(greatest(0, coalesce(m, 0) - coalesce(n, 0)))::bigint as added from x full join y using (doc_id, par_id, w) group by 1, 2 having sum(greatest(0, coalesce(n, 0) - coalesce(m, 0))) > 0 or sum(greatest(0, coalesce(m, 0) - coalesce(n, 0))) > 0")
-add("d11_left_uncited", lambda t: rv.removed_keys(t("v_items").where("reference_id is not null"), t("v_items").where("reference_id is not null and printed_order % 4 > 0"), ["paper_id", "reference_id"]), "select paper_id, reference_id from v_items where reference_id is not null except select paper_id, reference_id from v_items where reference_id is not null and printed_order % 4 > 0")
+add(
+    "d09_paragraph_diffs",
+    lambda t: rv.paragraph_diffs(before(t), after(t)),
+    f"with {BOTH} select doc_id, par_id, array_to_string(list_filter({IDS.format('a')}, lambda x: not list_contains({IDS.format('b')}, "
+    f"x)), ',') as lost, array_to_string(list_filter({IDS.format('b')}, lambda x: not list_contains({IDS.format('a')}, x)), ',') as "
+    f"gained from bo where {norm_sql('a')} <> {norm_sql('b')}",
+)
+add(
+    "d10_token_multiset_diff",
+    lambda t: rv.token_multiset_diff(before(t), after(t)),
+    f"with {REV}, x as (select doc_id, par_id, w, count(*) as n from (select doc_id, par_id, unnest(string_split({norm_sql('text')}, "
+    f"' ')) as w from bf) group by all), y as (select doc_id, par_id, w, count(*) as m from (select doc_id, par_id, unnest(string_split({norm_sql('text')}, "
+    f"' ')) as w from af) group by all) select doc_id, par_id, sum(greatest(0, coalesce(n, 0) - coalesce(m, 0)))::bigint as removed, "
+    f"sum(greatest(0, coalesce(m, 0) - coalesce(n, 0)))::bigint as added from x full join y using (doc_id, par_id, w) group by 1, 2 "
+    f"having sum(greatest(0, coalesce(n, 0) - coalesce(m, 0))) > 0 or sum(greatest(0, coalesce(m, 0) - coalesce(n, 0))) > 0",
+)
+add(
+    "d11_left_uncited",
+    lambda t: rv.removed_keys(t("v_items").where("reference_id is not null"), t("v_items").where("reference_id is not null and printed_order % 4 > 0"), ["paper_id", "reference_id"]),
+    "select paper_id, reference_id from v_items where reference_id is not null except select paper_id, reference_id from v_items where "
+    "reference_id is not null and printed_order % 4 > 0",
+)
 
 # --- edits
 PW = lambda t: t("v_paragraphs").select("doc_id", "par_no", word_count(F.col("text")).alias("words"), (F.col("par_no") % 6).alias("citations"))
-add("e01_plan_shortening", lambda t: rv.plan_shortening(PW(t), F.lit(0.25)).select("doc_id", "par_no", "reason", "target"), f"with p as (select doc_id, par_no, {words_sql('text')} as words, par_no % 6 as citations from v_paragraphs), q as (select *, greatest(40, round_even(words * 0.75, 0))::bigint as tg from p), r as (select *, case when words < 40 then 'TOO_SHORT' when words < 12 * citations then 'CITATION_DENSE' when words - tg < 10 then 'NOTHING_TO_GAIN' end as reason from q) select doc_id, par_no, reason, case when reason is null then tg end as target from r")
+add(
+    "e01_plan_shortening",
+    lambda t: rv.plan_shortening(PW(t), F.lit(0.25)).select("doc_id", "par_no", "reason", "target"),
+    f"with p as (select doc_id, par_no, {words_sql('text')} as words, par_no % 6 as citations from v_paragraphs), q as (select *, greatest(40, "
+    f"round_even(words * 0.75, 0))::bigint as tg from p), r as (select *, case when words < 40 then 'TOO_SHORT' when words < 12 * citations "
+    f"then 'CITATION_DENSE' when words - tg < 10 then 'NOTHING_TO_GAIN' end as reason from q) select doc_id, par_no, reason, case when "
+    f"reason is null then tg end as target from r",
+)
 
 
 def _sentence_groups(t):
@@ -58,39 +112,152 @@ def _sentence_groups(t):
     return g.withColumn("target", F.greatest(F.lit(5), F.aggregate("rows", F.lit(0).cast("long"), lambda a, x: a + x["words"]) * 3 / 4).cast("long"))
 
 
-add("e02_extractive_shorten", lambda t: rv.extractive_shorten(_sentence_groups(t)).select("doc_id", "par_no", "target", "kept_words", F.size("kept_sentences").alias("kept")))
-add("e03_target_shortfall", lambda t: PW(t).select("doc_id", "par_no", F.round(rv.shortfall(F.col("words"), F.col("words") - F.col("citations"), F.col("words") - 4), 6).alias("share")), "select doc_id, par_no, round((par_no % 6) / 4.0::double, 6) as share from v_paragraphs")
-add("e04_sentence_capacity", lambda t: PW(t).select("doc_id", "par_no", rv.sentence_capacity(F.col("citations")).cast("long").alias("room")), "select doc_id, par_no, greatest(0, 2 - par_no % 6)::bigint as room from v_paragraphs")
-add("e05_select_attachments", lambda t: rv.select_attachments(t("v_refs").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(F.col("bibliography_order").alias("seq"), (F.col("part_key") % 6).alias("candidate"), (F.col("supp_key") % 3).alias("sent_no"), F.lit(2).alias("room")))).alias("rows"))).select("paper_id", F.size("rows").alias("attached")))
-add("e06_insertable", lambda t: t("v_refs").select("reference_id", rv.insertable(F.when(F.col("part_key") % 3 == 0, "SUPPORTED").when(F.col("part_key") % 3 == 1, "PARTIALLY_SUPPORTED").otherwise("NOT_SUPPORTED"), F.col("year").isNotNull()).alias("reason")), "select reference_id, case when part_key % 3 = 2 then 'NOT_SUPPORTED' when year is null then 'INCOMPLETE_METADATA' end as reason from v_refs")
-add("e07_insertion_offset", lambda t: t("v_paragraphs").select("doc_id", "par_no", rv.insertion_offset(F.concat("text", F.lit('.") '))).alias("at")), "select doc_id, par_no, length(regexp_replace(text || '.\") ', '[ \\t\\n\\x0B\\f\\r.!?\"''”’)\\]}]+$', ''))::bigint as at from v_paragraphs")
-add("e08_adjacent_citation", lambda t: before(t).select("doc_id", "par_id", rv.adjacent_citation(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" End.")))).alias("cited")), f"with {REV} select doc_id, par_id, case when doc_id % 2 = 0 then 'c' || substr(par_id, 3) end as cited from bf")
-add("e11_next_added_ordinal", lambda t: rv.next_added_ordinal(t("v_refs").select("paper_id", F.when(F.col("part_key") % 3 == 0, F.concat(F.lit("ref_added_"), F.col("part_key") % 50)).otherwise(F.col("reference_id")).alias("rid")), "paper_id", "rid"), "select paper_id, coalesce(max(case when part_key % 3 = 0 then part_key % 50 end), 0) + 1 as next_ordinal from v_refs group by 1")
-add("e14_rehydrate_allowed", lambda t: before(t).select("doc_id", "par_id", rv.rehydrate_allowed(F.col("text"), F.array(F.lit("c1"), F.lit("c2"))).alias("value")), f"with {REV} select doc_id, par_id, case when par_id in ('p_1', 'p_2') then text else regexp_replace(text, '\\[\\[CITE:[A-Za-z0-9_]+\\]\\]', '') end as value from bf")
+add(
+    "e02_extractive_shorten",
+    lambda t: rv.extractive_shorten(_sentence_groups(t)).select("doc_id", "par_no", "target", "kept_words", F.size("kept_sentences").alias("kept")),
+)
+add(
+    "e03_target_shortfall",
+    lambda t: PW(t).select("doc_id", "par_no", F.round(rv.shortfall(F.col("words"), F.col("words") - F.col("citations"), F.col("words") - 4), 6).alias("share")),
+    "select doc_id, par_no, round((par_no % 6) / 4.0::double, 6) as share from v_paragraphs",
+)
+add(
+    "e04_sentence_capacity",
+    lambda t: PW(t).select("doc_id", "par_no", rv.sentence_capacity(F.col("citations")).cast("long").alias("room")),
+    "select doc_id, par_no, greatest(0, 2 - par_no % 6)::bigint as room from v_paragraphs",
+)
+add(
+    "e05_select_attachments",
+    lambda t: rv.select_attachments(t("v_refs").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(F.col("bibliography_order").alias("seq"), (F.col("part_key") % 6).alias("candidate"), (F.col("supp_key") % 3).alias("sent_no"), F.lit(2).alias("room")))).alias("rows"))).select("paper_id", F.size("rows").alias("attached")),
+)
+add(
+    "e06_insertable",
+    lambda t: t("v_refs").select("reference_id", rv.insertable(F.when(F.col("part_key") % 3 == 0, "SUPPORTED").when(F.col("part_key") % 3 == 1, "PARTIALLY_SUPPORTED").otherwise("NOT_SUPPORTED"), F.col("year").isNotNull()).alias("reason")),
+    "select reference_id, case when part_key % 3 = 2 then 'NOT_SUPPORTED' when year is null then 'INCOMPLETE_METADATA' end as reason from v_refs",
+)
+add(
+    "e07_insertion_offset",
+    lambda t: t("v_paragraphs").select("doc_id", "par_no", rv.insertion_offset(F.concat("text", F.lit('.") '))).alias("at")),
+    "select doc_id, par_no, length(regexp_replace(text || '.\") ', '[ \\t\\n\\x0B\\f\\r.!?\"''”’)\\]}]+$', ''))::bigint as at from v_paragraphs",
+)
+add(
+    "e08_adjacent_citation",
+    lambda t: before(t).select("doc_id", "par_id", rv.adjacent_citation(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" End.")))).alias("cited")),
+    f"with {REV} select doc_id, par_id, case when doc_id % 2 = 0 then 'c' || substr(par_id, 3) end as cited from bf",
+)
+add(
+    "e11_next_added_ordinal",
+    lambda t: rv.next_added_ordinal(t("v_refs").select("paper_id", F.when(F.col("part_key") % 3 == 0, F.concat(F.lit("ref_added_"), F.col("part_key") % 50)).otherwise(F.col("reference_id")).alias("rid")), "paper_id", "rid"),
+    "select paper_id, coalesce(max(case when part_key % 3 = 0 then part_key % 50 end), 0) + 1 as next_ordinal from v_refs group by 1",
+)
+add(
+    "e14_rehydrate_allowed",
+    lambda t: before(t).select("doc_id", "par_id", rv.rehydrate_allowed(F.col("text"), F.array(F.lit("c1"), F.lit("c2"))).alias("value")),
+    f"with {REV} select doc_id, par_id, case when par_id in ('p_1', 'p_2') then text else regexp_replace(text, '\\[\\[CITE:[A-Za-z0-9_]+\\]\\]', "
+    f"'') end as value from bf",
+)
 
 # --- verification
 JOIN = lambda t: before(t).withColumnRenamed("text", "a").join(after(t).withColumnRenamed("text", "b"), ["doc_id", "par_id"])
-add("v02_token_audit", lambda t: JOIN(t).select("doc_id", "par_id", *[c.alias(k) for k, c in rv.token_audit(F.col("a"), F.col("b")).items()]), f"with {BOTH} select doc_id, par_id, 0 as duplicated, case when substr(par_id, 3)::bigint % 4 = 2 then 'd' || substr(par_id, 3) else '' end as invented, case when substr(par_id, 3)::bigint % 4 = 2 then 'c' || substr(par_id, 3) else '' end as dropped, false as reordered, 0 as malformed from bo")
+add(
+    "v02_token_audit",
+    lambda t: JOIN(t).select("doc_id", "par_id", *[c.alias(k) for k, c in rv.token_audit(F.col("a"), F.col("b")).items()]),
+    f"with {BOTH} select doc_id, par_id, 0 as duplicated, case when substr(par_id, 3)::bigint % 4 = 2 then 'd' || substr(par_id, 3) "
+    f"else '' end as invented, case when substr(par_id, 3)::bigint % 4 = 2 then 'c' || substr(par_id, 3) else '' end as dropped, false "
+    f"as reordered, 0 as malformed from bo",
+)
 BARE = "regexp_replace(trim(regexp_replace(regexp_replace({}, '\\[\\[CITE:([A-Za-z0-9_]+)\\]\\]', '', 'g'), " + WS + ", ' ', 'g')), ' ([.,;:!?)\\]}}])', '\\1', 'g')"
-add("v03_prose_immutable", lambda t: JOIN(t).select("doc_id", "par_id", rv.prose_immutable(F.col("a"), F.col("b")).alias("same")), f"with {BOTH} select doc_id, par_id, {BARE.format('a')} = {BARE.format('b')} as same from bo")
-add("v06_uniqueness_checks", lambda t: rv.duplicates(t("lineitem"), ["l_orderkey", "l_linenumber"]), "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1")
-add("v07_one_active_proposal", lambda t: rv.duplicates(t("v_state_log").where(F.col("state").isin(rv.OPEN_STATES)), ["paper_id"]), "select paper_id, count(*) as n from v_state_log where state in ('PENDING', 'AWAITING_DECISION') group by 1 having count(*) > 1")
-add("v08_vocabulary_check", lambda t: rv.vocabulary_check(t("events"), "event_type", ["view", "click", "purchase"]), "select event_type as value, count(*) as n from events where event_type not in ('view', 'click', 'purchase') group by 1")
-add("v10_warnings_with_id", lambda t: t("v_refs").select("reference_id", rv.warning_id(F.lit("CITATION_REMOVED"), F.array("reference_id", "family"), F.col("author")).alias("warning_id")), "select reference_id, 'warn_' || substr(sha256('{\"code\":\"CITATION_REMOVED\",\"hash\":\"' || author || '\",\"subjects\":[\"' || array_to_string(list_sort([reference_id, family]), '\",\"') || '\"]}'), 1, 32) as warning_id from v_refs")
+add(
+    "v03_prose_immutable",
+    lambda t: JOIN(t).select("doc_id", "par_id", rv.prose_immutable(F.col("a"), F.col("b")).alias("same")),
+    f"with {BOTH} select doc_id, par_id, {BARE.format('a')} = {BARE.format('b')} as same from bo",
+)
+add(
+    "v06_uniqueness_checks",
+    lambda t: rv.duplicates(t("lineitem"), ["l_orderkey", "l_linenumber"]),
+    "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1",
+)
+add(
+    "v07_one_active_proposal",
+    lambda t: rv.duplicates(t("v_state_log").where(F.col("state").isin(rv.OPEN_STATES)), ["paper_id"]),
+    "select paper_id, count(*) as n from v_state_log where state in ('PENDING', 'AWAITING_DECISION') group by 1 having count(*) > 1",
+)
+add(
+    "v08_vocabulary_check",
+    lambda t: rv.vocabulary_check(t("events"), "event_type", ["view", "click", "purchase"]),
+    "select event_type as value, count(*) as n from events where event_type not in ('view', 'click', 'purchase') group by 1",
+)
+add(
+    "v10_warnings_with_id",
+    lambda t: t("v_refs").select("reference_id", rv.warning_id(F.lit("CITATION_REMOVED"), F.array("reference_id", "family"), F.col("author")).alias("warning_id")),
+    "select reference_id, 'warn_' || substr(sha256('{\"code\":\"CITATION_REMOVED\",\"hash\":\"' || author || '\",\"subjects\":[\"' "
+    "|| array_to_string(list_sort([reference_id, family]), '\",\"') || '\"]}'), 1, 32) as warning_id from v_refs",
+)
 NEW_SQL = "list_filter(regexp_extract_all(b, '\\d+(?:\\.\\d+)?'), lambda x: not list_contains(regexp_extract_all(a, '\\d+(?:\\.\\d+)?'), x))"
-add("v23_numeric_novelty", lambda t: JOIN(t).select("doc_id", "par_id", F.array_join(F.array_sort(rv.numeric_novelty(F.col("a"), F.col("b"))), ",").alias("new_numbers")), f"with {BOTH} select doc_id, par_id, array_to_string(list_sort(list_distinct({NEW_SQL})), ',') as new_numbers from bo")
-add("v16_acceptance_decision", lambda t: t("v_state_log").select("proposal_id", rv.acceptance_decision(F.col("state"), F.when(F.col("proposal_id") % 7 > 0, F.col("kind")), F.when(F.col("proposal_id") % 5 > 0, F.col("kind")).otherwise("x"), F.col("base_revision"), F.lit(3), F.col("proposal_id") % 3, F.col("paper_id") % 2).alias("decision")), "select proposal_id, case when state <> 'AWAITING_DECISION' then 'WRONG_STATE' when proposal_id % 7 = 0 then 'NO_CANDIDATE' when proposal_id % 5 = 0 then 'HASH_MISMATCH' when base_revision <> 3 then 'STALE_BASE' when proposal_id % 3 > 0 then 'BLOCKED' when paper_id % 2 > 0 then 'UNACKNOWLEDGED' else 'ACCEPT' end as decision from v_state_log")
+add(
+    "v23_numeric_novelty",
+    lambda t: JOIN(t).select("doc_id", "par_id", F.array_join(F.array_sort(rv.numeric_novelty(F.col("a"), F.col("b"))), ",").alias("new_numbers")),
+    f"with {BOTH} select doc_id, par_id, array_to_string(list_sort(list_distinct({NEW_SQL})), ',') as new_numbers from bo",
+)
+add(
+    "v16_acceptance_decision",
+    lambda t: t("v_state_log").select("proposal_id", rv.acceptance_decision(F.col("state"), F.when(F.col("proposal_id") % 7 > 0, F.col("kind")), F.when(F.col("proposal_id") % 5 > 0, F.col("kind")).otherwise("x"), F.col("base_revision"), F.lit(3), F.col("proposal_id") % 3, F.col("paper_id") % 2).alias("decision")),
+    "select proposal_id, case when state <> 'AWAITING_DECISION' then 'WRONG_STATE' when proposal_id % 7 = 0 then 'NO_CANDIDATE' when "
+    "proposal_id % 5 = 0 then 'HASH_MISMATCH' when base_revision <> 3 then 'STALE_BASE' when proposal_id % 3 > 0 then 'BLOCKED' when "
+    "paper_id % 2 > 0 then 'UNACKNOWLEDGED' else 'ACCEPT' end as decision from v_state_log",
+)
 
 # --- versioned state
 CUR = "cu as (select paper_id, max(revision_number) as revision_number, arg_max(revision_id, revision_number) as revision_id from v_revisions group by 1)"
 add("h01_current_revision", lambda t: rv.current_revision(t("v_revisions")), f"with {CUR} select * from cu")
-add("h02_next_revision_number", lambda t: rv.next_revision_number(t("customer").select(F.col("c_custkey").alias("paper_id")), t("v_revisions")), f"with {CUR} select c_custkey as paper_id, coalesce(revision_number, 0) + 1 as next_number from customer left join cu on c_custkey = paper_id")
-add("h03_supersede_others", lambda t: rv.supersede_others(t("v_state_log")).select("proposal_id", "state"), "select proposal_id, case when state in ('PENDING', 'AWAITING_DECISION') and max(case when state = 'ACCEPTED' then 1 else 0 end) over (partition by paper_id) = 1 then 'SUPERSEDED' else state end as state from v_state_log")
-add("h04_stale_proposals", lambda t: rv.stale_proposals(t("v_state_log"), t("v_revisions")), f"with {CUR} select proposal_id, s.paper_id, base_revision, revision_number from v_state_log s join cu on s.paper_id = cu.paper_id where state in ('PENDING', 'AWAITING_DECISION') and base_revision <> revision_number")
-add("h05_lineage", lambda t: rv.lineage(t("v_revisions")), "select paper_id, revision_number, revision_id, lag(revision_id) over (partition by paper_id order by revision_number) as parent_id from v_revisions")
-add("h06_idempotency_resolution", lambda t: rv.idempotency(t("events").select(F.col("event_id").alias("seq"), F.when(F.col("user_id") % 3 > 0, F.col("user_id")).alias("scope"), F.col("event_type").alias("key"), (F.col("event_id") % 2).alias("hash"), (F.col("event_id") % 3 == 0).alias("done"))), "with q as (select event_id, event_id % 2 as h, first_value(event_id) over w as f from events window w as (partition by case when user_id % 3 > 0 then user_id end, event_type order by event_id)) select event_id as seq, case when event_id = f then 'NEW' when h <> f % 2 then 'CONFLICT' when f % 3 = 0 then 'REPLAY' else 'IN_PROGRESS' end as outcome from q")
-add("h07_interrupted", lambda t: rv.interrupted(t("v_state_log"), F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"), F.expr("interval 30 days")), "select kind, count(*) as failed from v_state_log where state in ('PENDING', 'AWAITING_DECISION') and updated_at <= timestamp '1998-01-01' - interval 30 days group by 1")
-add("h08_state_histogram", lambda t: t("v_state_log").groupBy("state", F.col("state").isin(rv.OPEN_STATES).alias("open")).agg(F.count(F.lit(1)).alias("n")), "select state, state in ('PENDING', 'AWAITING_DECISION') as open, count(*) as n from v_state_log group by 1")
-add("h09_orphan_directories", lambda t: rv.removed_keys(t("events").select(F.col("event_id").alias("c_custkey")), t("customer"), ["c_custkey"]), "select distinct event_id as c_custkey from events where event_id not in (select c_custkey from customer)")
-add("h10_expired_trash", lambda t: t("events").where(F.col("ts") < F.lit("2024-01-10 12:00:00").cast("timestamp_ntz") - F.expr("interval 24 hours")).select("event_id"), "select event_id from events where ts < timestamp '2024-01-10 12:00:00' - interval 24 hours")
+add(
+    "h02_next_revision_number",
+    lambda t: rv.next_revision_number(t("customer").select(F.col("c_custkey").alias("paper_id")), t("v_revisions")),
+    f"with {CUR} select c_custkey as paper_id, coalesce(revision_number, 0) + 1 as next_number from customer left join cu on c_custkey = paper_id",
+)
+add(
+    "h03_supersede_others",
+    lambda t: rv.supersede_others(t("v_state_log")).select("proposal_id", "state"),
+    "select proposal_id, case when state in ('PENDING', 'AWAITING_DECISION') and max(case when state = 'ACCEPTED' then 1 else 0 end) "
+    "over (partition by paper_id) = 1 then 'SUPERSEDED' else state end as state from v_state_log",
+)
+add(
+    "h04_stale_proposals",
+    lambda t: rv.stale_proposals(t("v_state_log"), t("v_revisions")),
+    f"with {CUR} select proposal_id, s.paper_id, base_revision, revision_number from v_state_log s join cu on s.paper_id = cu.paper_id "
+    f"where state in ('PENDING', 'AWAITING_DECISION') and base_revision <> revision_number",
+)
+add(
+    "h05_lineage",
+    lambda t: rv.lineage(t("v_revisions")),
+    "select paper_id, revision_number, revision_id, lag(revision_id) over (partition by paper_id order by revision_number) as parent_id from v_revisions",
+)
+add(
+    "h06_idempotency_resolution",
+    lambda t: rv.idempotency(t("events").select(F.col("event_id").alias("seq"), F.when(F.col("user_id") % 3 > 0, F.col("user_id")).alias("scope"), F.col("event_type").alias("key"), (F.col("event_id") % 2).alias("hash"), (F.col("event_id") % 3 == 0).alias("done"))),
+    "with q as (select event_id, event_id % 2 as h, first_value(event_id) over w as f from events window w as (partition by case when "
+    "user_id % 3 > 0 then user_id end, event_type order by event_id)) select event_id as seq, case when event_id = f then 'NEW' when "
+    "h <> f % 2 then 'CONFLICT' when f % 3 = 0 then 'REPLAY' else 'IN_PROGRESS' end as outcome from q",
+)
+add(
+    "h07_interrupted",
+    lambda t: rv.interrupted(t("v_state_log"), F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"), F.expr("interval 30 days")),
+    "select kind, count(*) as failed from v_state_log where state in ('PENDING', 'AWAITING_DECISION') and updated_at <= timestamp "
+    "'1998-01-01' - interval 30 days group by 1",
+)
+add(
+    "h08_state_histogram",
+    lambda t: t("v_state_log").groupBy("state", F.col("state").isin(rv.OPEN_STATES).alias("open")).agg(F.count(F.lit(1)).alias("n")),
+    "select state, state in ('PENDING', 'AWAITING_DECISION') as open, count(*) as n from v_state_log group by 1",
+)
+add(
+    "h09_orphan_directories",
+    lambda t: rv.removed_keys(t("events").select(F.col("event_id").alias("c_custkey")), t("customer"), ["c_custkey"]),
+    "select distinct event_id as c_custkey from events where event_id not in (select c_custkey from customer)",
+)
+add(
+    "h10_expired_trash",
+    lambda t: t("events").where(F.col("ts") < F.lit("2024-01-10 12:00:00").cast("timestamp_ntz") - F.expr("interval 24 hours")).select("event_id"),
+    "select event_id from events where ts < timestamp '2024-01-10 12:00:00' - interval 24 hours",
+)
 QUERIES, ORACLE = R.QUERIES, R.ORACLE
