@@ -14,8 +14,8 @@ The model is fitted on at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled doc
 (smallest seeded id hash first), the only bound; every whole text is scored.
 
 Handling: null and blank texts have one empty window and are scored like any other;
-null labels are not learned from; with no toxic label every score is 0; of training rows
-with one id one counts; repeated rows are scored one by one; an empty table gives an empty
+null labels are not learned from; with no toxic label, or with so few that calibration has
+fewer than ``LEAST_TOXIC`` or finds no F1 of ``LEAST_F1``, every score is 0; of training rows with one id one counts; repeated rows are scored one by one; an empty table gives an empty
 result; other columns are carried or ignored, whatever their names.
 """
 
@@ -43,6 +43,7 @@ CONTEXTS, CONTEXT_SHARE = 3, 0.005
 RATIO = 20
 BEGINNINGS = (4, 5, 6)  # bytes of word beginnings that count like words
 THRESHOLD = 0.3
+LEAST_F1, LEAST_TOXIC = 0.4, 10  # what calibration must reach, and on how many toxic documents, for a model to count
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -125,16 +126,17 @@ def dictionary(size: int, samples: list[bytes]) -> bytes:
 
 
 def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    """Bytes of the ordinary dictionary, and of both together, from the words of labelled documents."""
+    """Bytes of the ordinary dictionary, and of both together, from the words of labelled documents; the same twice without a telling unit."""
     base = [w for words in ordinary for w in windows(words)]
     base = [base[i] for i in np.random.RandomState(7).permutation(len(base))[:SAMPLES]]
     telling = set(toxic_units(toxic, ordinary))
     plain = dictionary(ORDINARY_BYTES, base)
-    return plain, plain + dictionary(TOXIC_BYTES, [x for words in toxic for x in snippets(words, telling)])
+    told = [x for words in toxic for x in snippets(words, telling)]
+    return plain, plain + dictionary(TOXIC_BYTES, told) if told else plain
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic weights (weighted to the true ``share`` of label 1), moved so that the best F1 lies at ``THRESHOLD``."""
+def calibrate(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Logistic weights (weighted to the true ``share`` of label 1), moved so that the best F1 lies at ``THRESHOLD``, and that F1."""
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
@@ -150,7 +152,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, n
     k = int(f1.argmax())
     low = margin[order][k + 1] if k + 1 < len(order) else margin[order][k] - 1
     beta[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - (margin[order][k] + low) / 2
-    return beta, mean, scale
+    return beta, mean, scale, float(f1[k])
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model | None:
@@ -167,13 +169,15 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     y = rows["toxic"].to_numpy(dtype=np.float64)
     seen = np.random.RandomState(11).permutation(len(rows)) < 0.6 * len(rows)
     ordinary, toxic = train([w for w, s, t in zip(words, seen, y) if s and t == 1], [w for w, s, t in zip(words, seen, y) if s and t == 0])
+    if toxic == ordinary:
+        return None
     model = Model(ordinary, toxic, np.zeros(7), np.zeros(6), np.ones(6))
     own = np.flatnonzero(~seen)
     if not len(own) or y[own].min() == y[own].max():
         own = np.arange(len(rows))
     x = np.array([model.features(words[i]) for i in own])
-    model.weights, model.mean, model.scale = calibrate(x, y[own], float(share))
-    return model
+    model.weights, model.mean, model.scale, f1 = calibrate(x, y[own], float(share))
+    return model if f1 >= LEAST_F1 and y[own].sum() >= LEAST_TOXIC else None
 
 
 def score_column(model: Model | None, text: Column) -> Column:
