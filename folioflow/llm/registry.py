@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["chat", "toxicity", "quality_rules", "packing", "neighbours", "langid", "quality_model", "mixing", "lm_scoring", "near_dedup"]
+MODULES = ["chat", "toxicity", "quality_rules", "packing", "neighbours", "langid", "quality_model", "mixing", "lm_scoring", "near_dedup", "whitening", "licenses", "spelling"]
 
 
 def tables() -> tuple[dict, dict]:
