@@ -22,10 +22,12 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import broadcast_if_small, cut
 
@@ -48,62 +50,87 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class Acceptor:
-    """Minimised acyclic acceptor of sorted words: ``arcs[s]`` maps letters to states, ``final`` holds the accepting ones."""
+    """Minimised acyclic acceptor of sorted, distinct words: ``arcs[s]`` maps a first letter to the letters and the
+    state of an arc, ``final`` holds the accepting states.  States that neither branch nor accept are part of an arc."""
 
     def __init__(self, words: list[str]):
-        self.arcs: list[dict[str, int]] = [{}]
+        self.arcs: list[dict[str, tuple[str, int]]] = [{}]
         self.final: set[int] = set()
         known: dict[tuple, int] = {}
-        path = [0]  # states of the last word, not yet merged
+        path = [(0, 0)]  # depths and states along the last word, not yet merged
         last = ""
 
-        def merge(depth: int) -> None:
-            for i in range(len(last), depth, -1):
-                s = path.pop()
-                same = known.setdefault((s in self.final, *self.arcs[s].items()), s)
-                if same != s:
-                    self.arcs[path[-1]][last[i - 1]] = same
+        def close(depth: int) -> None:
+            """Merge the states below ``depth`` with equal ones and hang them on a state at ``depth``."""
+            while path[-1][0] > depth:
+                end, s = path.pop()
+                s = known.setdefault((s in self.final, *self.arcs[s].values()), s)
+                if path[-1][0] < depth:
+                    path.append((depth, len(self.arcs)))
+                    self.arcs.append({})
+                start, above = path[-1]
+                self.arcs[above][last[start]] = (last[start:end], s)
 
         for w in words:
-            shared = 0
-            while shared < len(last) and shared < len(w) and last[shared] == w[shared]:
-                shared += 1
-            merge(shared)
-            for c in w[shared:]:
+            close(len(commonprefix([last, w])))
+            if path[-1][0] < len(w):
+                path.append((len(w), len(self.arcs)))
                 self.arcs.append({})
-                self.arcs[path[-1]][c] = len(self.arcs) - 1
-                path.append(len(self.arcs) - 1)
-            self.final.add(path[-1])
+            self.final.add(path[-1][1])
             last = w
-        merge(0)
+        close(0)
 
 
 class Composition:
-    """Acceptor o one-edit transducer o acceptor."""
+    """Acceptor o one-edit transducer o acceptor.  Words differ first where the acceptor branches or accepts, so edits start there."""
 
     def __init__(self, a: Acceptor):
         self.a = a
-        self.shared: dict[tuple[int, int], list[str]] = {}  # rests that two states both accept
-
-    def both(self, s: int, t: int) -> list[str]:
-        """The rests accepted from ``s`` and from ``t``: the transducer has made its edit and copies."""
-        key = (s, t) if s < t else (t, s)
-        found = self.shared.get(key)
-        if found is None:
-            x, y = self.a.arcs[s], self.a.arcs[t]
-            found = [""] if s in self.a.final and t in self.a.final else []
-            if s == t:
-                found = found + [c + r for c in x for r in self.both(x[c], x[c])]
+        self.shared: dict[tuple[str, int, int], list[str]] = {}  # rests that both sides accept
+
+    def met(self, x: str, s: int, y: str, t: int) -> tuple[str, tuple[str, int, int]] | None:
+        """One side has ``x`` to read to reach ``s``, the other ``y`` to reach ``t``: the letters until the first does, and the key from there."""
+        if len(x) > len(y):
+            x, s, y, t = y, t, x, s
+        if not y.startswith(x):
+            return None
+        rest = y[len(x) :]
+        return x, (rest, s, t) if rest or s < t else ("", t, s)
+
+    def steps(self, rest: str, s: int, t: int) -> list[tuple[str, tuple[str, int, int]]]:
+        """The ways on that a side in ``s`` and one that has ``rest`` to read to reach ``t`` have in common."""
+        here = self.a.arcs[s]
+        if rest:
+            found = [self.met(*here[rest[0]], rest, t)] if rest[0] in here else []
+        else:
+            there = self.a.arcs[t]
+            found = [self.met(*here[c], *there[c]) for c in here if c in there]
+        return [x for x in found if x]
+
+    def both(self, way: tuple[str, tuple[str, int, int]] | None) -> list[str]:
+        """The rests that both sides accept: the transducer has made its edit and copies."""
+        if way is None:
+            return []
+        waiting: list[tuple] = [(way[1], None)]
+        while waiting:
+            key, steps = waiting.pop()
+            if key in self.shared:
+                continue
+            steps = self.steps(*key) if steps is None else steps
+            missing = [k for _, k in steps if k not in self.shared]
+            if missing:
+                waiting += [(key, steps), *((k, None) for k in missing)]
             else:
-                found = found + [c + r for c in x.keys() & y.keys() for r in self.both(x[c], y[c])]
-            self.shared[key] = found
-        return found
+                rest, s, t = key
+                own = [""] if not rest and s in self.a.final and t in self.a.final else []
+                self.shared[key] = own + [x + r for x, k in steps for r in self.shared[k]]
+        return [way[0] + r for r in self.shared[way[1]]]
 
     def edits(self, s: int) -> list[tuple[str, str]]:
         """Pairs of rests of ``s`` that differ in their first letter by the edit: replaced, or inserted in the second."""
-        arcs = sorted(self.a.arcs[s].items())
-        out = [(a + r, b + r) for i, (a, u) in enumerate(arcs) for b, v in arcs[i + 1 :] for r in self.both(u, v)]
-        return out + [(r, a + r) for a, u in arcs for r in self.both(s, u) if r[:1] != a]
+        arcs = sorted((c, x[1:], t) for c, (x, t) in self.a.arcs[s].items())
+        out = [(a + r, b + r) for i, (a, x, u) in enumerate(arcs) for b, y, v in arcs[i + 1 :] for r in self.both(self.met(x, u, y, v))]
+        return out + [(r, a + r) for a, x, u in arcs for r in self.both(self.met("", s, x, u)) if r[:1] != a]
 
     def pairs(self) -> Iterator[tuple[str, str]]:
         """All pairs of words one edit apart, each once."""
@@ -115,7 +142,7 @@ class Composition:
                 own[s] = self.edits(s)
             for x, y in own[s]:
                 yield prefix + x, prefix + y
-            waiting += [(prefix + c, t) for c, t in self.a.arcs[s].items()]
+            waiting += [(prefix + x, t) for x, t in self.a.arcs[s].values()]
 
 
 def partners(words: pd.DataFrame) -> pd.DataFrame:
@@ -156,23 +183,29 @@ def edited(words: DataFrame) -> DataFrame:
     return near.select("word", F.size("near").cast("long").alias("n_near"), best.alias("b")).select("word", "n_near", (-F.col("b.n")).alias("best_n"), F.col("b.word").alias("best"))
 
 
+@F.pandas_udf(T.StringType())
+def common_beginning(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([commonprefix(x) for x in zip(a, b)], dtype=object)
+
+
 def neighbours(words: DataFrame, most: int = MOST) -> DataFrame:
     """(word, n_near, best_n, best) of the words of ``words`` (word, n, each once) that have one at one edit."""
-    live, depth, done = words.select("word", "n"), 0, []
     kind = "word string, n_near long, best_n long, best string"
+    cells, done = words.select(F.lit("").alias("prefix"), F.col("word").alias("rest"), "n"), []
     while True:
-        cells = live.select("word", "n", F.substring("word", 1, depth).alias("prefix"), F.expr(f"substring(word, {depth + 1})").alias("rest"))
         large = cut(cells.groupBy("prefix").count().where(F.col("count") > most).select("prefix"), "spell-large")
         some = large.count()  # at most 1 / most of the words
-        large = broadcast_if_small(large, some)
-        small = cells.join(large, "prefix", "left_anti") if some else cells
+        small = cells.join(broadcast_if_small(large, some), "prefix", "left_anti") if some else cells
         done.append(small.groupBy("prefix").applyInPandas(partners, kind))
         if not some:
             break
-        split = cut(cells.join(large, "prefix", "left_semi"), f"spell-{depth}")
+        split = cut(cells.join(broadcast_if_small(large, some), "prefix", "left_semi"), "spell-split")
+        # letters that all words of a prefix share are read at once
+        ends = split.groupBy("prefix").agg(F.min("rest").alias("a"), F.max("rest").alias("b")).select("prefix", common_beginning("a", "b").alias("shared"))
+        split = split.join(broadcast_if_small(cut(ends, "spell-ends"), some), "prefix")
+        split = split.select(F.concat("prefix", "shared").alias("prefix"), F.expr("substring(rest, length(shared) + 1)").alias("rest"), "n")
         done.append(edited(split))
-        live = split.where("rest != ''").select("word", "n")
-        depth += 1
+        cells = split.where("rest != ''").select(F.concat("prefix", F.substring("rest", 1, 1)).alias("prefix"), F.expr("substring(rest, 2)").alias("rest"), "n")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

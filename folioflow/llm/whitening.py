@@ -200,11 +200,16 @@ def exact_deviation(x: np.ndarray, n: int, sums: list[int]) -> list[int | None]:
     return [v if v < 1 << 63 else None for v in each]
 
 
+def schema(rows: DataFrame, id_name: str) -> T.StructType:
+    doubles = [(c, T.DoubleType()) for c in ("whitened", "explained", "identity_error")]
+    names = [(id_name, rows.schema["id"].dataType), ("component", T.IntegerType()), ("n", T.LongType()), ("deviation", T.LongType()), *doubles]
+    return T.StructType([T.StructField(*x) for x in names])
+
+
 def whiten(rows: DataFrame, model: Whitening, d: int, id_name: str) -> DataFrame:
     """One row a vector and component: id, component, n, deviation, whitened, explained, identity_error."""
     mean, turn, k = np.array([s / model.n for s in model.sums]), model.map(), len(model.values)
     parts = [float(e / model.trace) if model.trace else None for e in model.values]
-    kind = rows.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,9 +228,7 @@ def whiten(rows: DataFrame, model: Whitening, d: int, id_name: str) -> DataFrame
             }
             yield pa.RecordBatch.from_pydict(columns)
 
-    names = [("id", kind), ("component", T.IntegerType()), ("n", T.LongType()), ("deviation", T.LongType()), ("whitened", T.DoubleType()), ("explained", T.DoubleType()), ("identity_error", T.DoubleType())]
-    out = rows.select("id", "v").mapInArrow(run, T.StructType([T.StructField(*x) for x in names]))
-    return out.withColumnRenamed("id", id_name)
+    return rows.select("id", "v").mapInArrow(run, schema(rows, "id")).withColumnRenamed("id", id_name)
 
 
 def whitened(df: DataFrame, components: int = COMPONENTS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -233,8 +236,7 @@ def whitened(df: DataFrame, components: int = COMPONENTS, id_col: str = "vec_id"
     rows, d = usable(df, id_col, vec_col)
     model = learn(rows, d, components)
     if model is None:
-        model, d = Whitening(0, [], np.zeros(0), np.zeros((0, 0)), 0.0, 0.0), 1
-        rows = rows.limit(0)
+        return df.sparkSession.createDataFrame([], schema(rows, id_col))
     return whiten(rows, model, d, id_col)
 
 
