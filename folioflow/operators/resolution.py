@@ -6,9 +6,13 @@ exact similarity join by prefix filtering, so no title meets every other title.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.text import arxiv_in, doi_in, normalise_arxiv, normalise_doi, title_tokens
 from folioflow.sources.scratch import written
@@ -16,7 +20,8 @@ from folioflow.sources.scratch import written
 PERCENT = 72
 PROVIDERS = ["OPENALEX", "SEMANTIC_SCHOLAR"]
 MAX_CANDIDATES = 10
-DEDUPE_GROUP = 20
+DIRECT_PAIRS = 2_500  # pairs of a key that are compared without an index
+FOLD_ROWS = 2_000  # open works of a group that one task scans
 
 
 def provider_rank(c: Column) -> Column:
@@ -50,19 +55,21 @@ def title_container(article: Column, journal: Column, book: Column) -> Column:
 
 
 def csl_projection(works: DataFrame) -> DataFrame:
-    """Works as CSL items in JSON; empty fields are left out, a work without a title is described by its raw text.
+    """Works as CSL items in JSON; empty fields are left out, one without a title is a document that keeps its raw text under ``custom``.
 
     works have provider, external_id, work_type, title, raw_text, authors (names), year, venue, doi, url, volume, issue, pages and arxiv_id.
     """
     full = lambda c: F.nullif(F.trim(c), F.lit(""))
     names = F.when(F.size("authors") > 0, F.transform("authors", lambda a: F.struct(a.alias("literal"))))
     issued = F.when(F.col("year").isNotNull(), F.struct(F.array(F.array("year")).alias("date-parts")))
-    custom = F.struct("provider", "external_id", full("arxiv_id").alias("arxiv_id"))
+    known = full("title").isNotNull()
+    custom = F.struct(F.when(known, F.col("provider")).alias("provider"), F.when(known, F.col("external_id")).alias("external_id"), F.when(known, full("arxiv_id")).alias("arxiv_id"), F.when(~known, full("raw_text")).alias("raw_text"))
     doc = F.struct(
-        F.col("external_id").alias("id"), F.coalesce(full("work_type"), F.lit("document")).alias("type"), F.coalesce(full("title"), F.substring(full("raw_text"), 1, 160)).alias("title"), names.alias("author"), issued.alias("issued"),
+        F.col("external_id").alias("id"), F.coalesce(full("work_type"), F.lit("document")).alias("type"), full("title").alias("title"), names.alias("author"), issued.alias("issued"),
         full("venue").alias("container-title"), full("doi").alias("DOI"), full("url").alias("URL"), full("volume").alias("volume"), full("issue").alias("issue"), full("pages").alias("page"), custom.alias("custom"),
     )
-    return works.select("provider", "external_id", F.to_json(doc).alias("csl"))
+    bare = F.struct(F.col("external_id").alias("id"), F.lit("document").alias("type"), custom.alias("custom"))
+    return works.select("provider", "external_id", F.when(known, F.to_json(doc)).otherwise(F.to_json(bare)).alias("csl"))
 
 
 def token_sets(df: DataFrame, name: str, *more: str) -> DataFrame:
@@ -89,6 +96,54 @@ def similar_sets(left: DataFrame, right: DataFrame, percent: int = PERCENT) -> D
     return both.where(100 * F.col("_c") >= percent * F.col("_u")).select("ha", "hb", (F.col("_c") / F.col("_u")).alias("similarity"))
 
 
+def similar_within(left: DataFrame, right: DataFrame | None, key: str, percent: int = PERCENT) -> DataFrame:
+    """(``key``, ta, tb) of token sets of one ``key`` with Jaccard of at least ``percent``; inputs have ``key`` and tokens.
+
+    Nothing is compared across keys.  Keys of at most ``DIRECT_PAIRS`` pairs compare them all; the sets of
+    a larger one meet through its own index of rare tokens (:func:`_index_hits`).  Without ``right`` the sets
+    of ``left`` meet each other, each pair once.
+    """
+    other = int(right is not None)
+    sides = left.select(key, F.lit(0).alias("side"), F.array_sort("tokens").alias("tokens"))
+    if right is not None:
+        sides = sides.unionByName(right.select(key, F.lit(1).alias("side"), F.array_sort("tokens").alias("tokens")))
+    sides = written(sides.where(F.size("tokens") > 0).withColumn("h", F.xxhash64("tokens")), "local-sets")
+    count = lambda side: F.count_if(F.col("side") == side)
+    large = written(sides.groupBy(key).agg((count(0) * count(other)).alias("pairs")).where(F.col("pairs") > DIRECT_PAIRS).select(key), "local-large")
+    parts = [sides]
+    if not large.isEmpty():
+        parts = [sides.join(large, key, "left_anti"), _index_hits(sides.join(large, key, "left_semi").distinct(), other, key, percent)]
+
+    def side(d: DataFrame, no: int, name: str) -> DataFrame:
+        return d.where(F.col("side") == no).select(key, F.col("h").alias(f"h{name}"), F.col("tokens").alias(f"t{name}"))
+
+    common = F.size(F.array_intersect("ta", "tb"))
+    alike = (100 * F.least(F.size("ta"), F.size("tb")) >= percent * F.greatest(F.size("ta"), F.size("tb"))) & (100 * common >= percent * (F.size("ta") + F.size("tb") - common))
+    if not other:
+        alike = (F.col("ha") < F.col("hb")) & alike
+    found = side(parts[0], 0, "a").join(side(parts[0], other, "b"), key).where(alike)
+    for hits in parts[1:]:
+        many = hits.join(side(sides, 0, "a").distinct(), [key, "ha"]).join(side(sides, other, "b").distinct(), [key, "hb"]).where(alike)
+        found = found.unionByName(many)
+    return found.select(key, "ta", "tb").distinct()
+
+
+def _index_hits(sides: DataFrame, other: int, key: str, percent: int) -> DataFrame:
+    """(``key``, ha, hb) of sets that share one of their rarest tokens among the key's own, which all similar ones do."""
+    here = W.partitionBy(key, "token")
+    each = sides.select(key, "side", "h", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    both = F.min("side").over(here) < F.max("side").over(here) if other else F.count(F.lit(1)).over(here) > 1
+    each = each.withColumn("df", F.count(F.lit(1)).over(here)).withColumn("both", both)
+    keep = F.least(F.col("n"), F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1)
+    first = each.groupBy(key, "side", "h", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token", "both"))).alias("o"))
+    rare = F.filter(F.slice("o", F.lit(1), keep), lambda x: x["both"])
+    index = written(first.select(key, "side", "h", "n", F.explode(F.transform(rare, lambda x: x["token"])).alias("token")), "local-index")
+    a = index.where("side = 0").select(key, "token", F.col("h").alias("ha"), F.col("n").alias("na"))
+    b = index.where(F.col("side") == other).select(key, "token", F.col("h").alias("hb"), F.col("n").alias("nb"))
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return a.join(b, [key, "token"]).where(sizes & (F.lit(bool(other)) | (F.col("ha") < F.col("hb")))).select(key, "ha", "hb").distinct()
+
+
 def distinct_sets(df: DataFrame) -> DataFrame:
     """(h, tokens) once each."""
     return df.groupBy("h").agg(F.first("tokens").alias("tokens"))
@@ -178,25 +233,57 @@ def identity_mismatch(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(normalise_doi(F.col("asked_doi")) != F.lower("doi"), F.lit(False)) | F.coalesce(normalise_arxiv(F.col("asked_arxiv")) != F.lower("arxiv_id"), F.lit(False)))
 
 
-def dedupe_greedy(cand: DataFrame, key: str, percent: int = PERCENT) -> DataFrame:
-    """Works of a group in order of ``rank``, each dropped if an accepted one shares a key or a similar title.
+def conflict_keys(cand: DataFrame, key: str, percent: int = PERCENT) -> DataFrame:
+    """(``key``, rank, provider, external_id, keys): two works of a group conflict if and only if they share an entry of ``keys``.
 
-    The fate of a row depends on which rows stayed, so a fold over the ordered group decides.  Groups are
-    results of one search, at most ``DEDUPE_GROUP`` long; a longer one is an error.
+    Entries are identity keys, the title's token set, and one for each similar other set of the group.
     """
-    c = cand.withColumn("_t", title_tokens(F.col("title"))).withColumn("_k", F.filter(F.array(F.concat(F.lit("doi:"), F.lower("doi")), F.concat(F.lit("arxiv:"), F.lower("arxiv_id")), F.lower(work_id())), lambda x: x.isNotNull()))
-    g = c.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "provider", "external_id", "_t", "_k"))).alias("rows"))
-    kind = g.schema["rows"].dataType.simpleString()
-    long = F.raise_error(F.lit(f"a group of more than {DEDUPE_GROUP} works")).cast(kind)
-    g = g.withColumn("rows", F.when(F.size("rows") > DEDUPE_GROUP, long).otherwise(F.col("rows")))
-
-    def clash(x: Column, y: Column) -> Column:
-        common = F.size(F.array_intersect(x["_t"], y["_t"]))
-        union = F.size(F.array_union(x["_t"], y["_t"]))
-        return F.arrays_overlap(x["_k"], y["_k"]) | ((common > 0) & (100 * common >= percent * union))
+    c = written(cand.select(key, "rank", "provider", "external_id", "doi", "arxiv_id", F.array_sort(title_tokens(F.col("title"))).alias("t")), "dedupe-works")
+    pairs = written(similar_within(c.select(key, F.col("t").alias("tokens")), None, key, percent), "dedupe-pairs")
+    name = F.concat(F.lit("pair:"), F.xxhash64("ta").cast("string"), F.lit(":"), F.xxhash64("tb").cast("string"))
+    ends = pairs.select(key, F.explode(F.array("ta", "tb")).alias("t"), name.alias("pair")).groupBy(key, "t").agg(F.collect_list("pair").alias("pairs"))
+    own = F.array(F.concat(F.lit("doi:"), F.lower("doi")), F.concat(F.lit("arxiv:"), F.lower("arxiv_id")), F.lower(work_id()), F.when(F.size("t") > 0, F.concat(F.lit("set:"), F.array_join("t", " "))))
+    keys = F.concat(F.filter(own, lambda x: x.isNotNull()), F.coalesce("pairs", F.array().cast("array<string>")))
+    return c.join(ends, [key, "t"], "left").select(key, "rank", "provider", "external_id", keys.alias("keys"))
+
+
+def _fold(rows: pd.DataFrame) -> pd.DataFrame:
+    """The works of a group that a scan by rank accepts."""
+    taken, kept = set(), []
+    rows = rows.sort_values(["rank", "provider", "external_id"])
+    for i, keys in enumerate(rows["keys"]):
+        if taken.isdisjoint(keys):
+            taken.update(keys)
+            kept.append(i)
+    return rows.iloc[kept].drop(columns="keys")
+
+
+def dedupe_greedy(cand: DataFrame, key: str, percent: int = PERCENT, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """Works of a group in order of ``rank``, each dropped if an accepted one shares a key or a similar title.
 
-    kept = F.aggregate("rows", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: clash(x, y)), acc).otherwise(F.array_append(acc, x)))
-    return g.select(key, F.explode(kept).alias("w")).select(key, "w.rank", "w.provider", "w.external_id")
+    The fate of a row depends on which rows stayed.  Groups of up to ``fold_rows`` open works are scanned
+    as they are.  Longer ones go through rounds: a work that is the first open one under each of its keys
+    is accepted, and all that share a key with it are dropped, until few enough are open.
+    """
+    me = [key, "rank", "provider", "external_id"]
+    kind = T.StructType([cand.schema[c] for c in me])
+    open_, done = written(conflict_keys(cand, key, percent), "dedupe-open"), []
+    while True:
+        long = written(open_.groupBy(key).count().where(F.col("count") > fold_rows).select(key), "dedupe-long")
+        if long.isEmpty():
+            break
+        done.append(open_.join(long, key, "left_anti"))
+        open_ = open_.join(long, key, "left_semi")
+        each = open_.select(key, F.struct("rank", "provider", "external_id").alias("r"), F.explode("keys").alias("k"))
+        first = each.groupBy(key, "k").agg(F.min("r").alias("first"))
+        wins = each.join(first, [key, "k"]).groupBy(key, "r").agg(F.bool_and(F.col("r") == F.col("first")).alias("wins")).where("wins")
+        accepted = written(open_.join(wins.select(key, "r.*"), me, "left_semi"), "dedupe-accepted")
+        done.append(accepted)
+        gone = accepted.select(key, F.explode("keys").alias("k")).distinct()
+        hit = each.join(gone, [key, "k"], "left_semi").select(key, "r.*").distinct()
+        open_ = written(open_.join(hit, me, "left_anti"), "dedupe-open")
+    parts = [d.select(*me) if i % 2 else d.groupBy(key).applyInPandas(_fold, kind) for i, d in enumerate([*done, open_])]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def candidate_set(cand: DataFrame, key: str, most: int = MAX_CANDIDATES) -> tuple[DataFrame, DataFrame]:
@@ -230,19 +317,14 @@ def bibliography_titles(papers: DataFrame, refs: DataFrame, resolutions: DataFra
 def not_in_bibliography(cand: DataFrame, keys: DataFrame, titles: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Candidates (paper_id, provider, external_id, doi, arxiv_id, title) that the paper does not hold yet.
 
-    Neither by an identity key nor by a similar title.  Titles are compared once per pair of
-    distinct token sets, whatever the number of papers that hold them.
+    Neither by an identity key nor by a similar title.  Titles are compared within their paper only.
     """
     me = ["paper_id", "provider", "external_id"]
     forms = F.array(F.concat(F.lit("doi:"), F.lower("doi")), F.concat(F.lit("arxiv:"), F.lower("arxiv_id")), F.lower(work_id()))
-    by_key = cand.select(*me, F.explode(F.filter(forms, lambda x: x.isNotNull())).alias("key")).join(keys, ["paper_id", "key"], "left_semi").select(*me)
-    c = cand.select(F.struct(*me).alias("id"), title_tokens(F.col("title")).alias("tokens"))
-    h = titles.select(F.col("paper_id").alias("id"), title_tokens(F.col("title")).alias("tokens"))
-    l, r = written(token_sets(c, "me"), "offered-titles"), written(token_sets(h, "paper_id"), "held-titles")
-    close = similar_sets(distinct_sets(l), distinct_sets(r), percent).select("ha", "hb")
-    near = l.select("me.*", F.col("h").alias("ha")).join(close, "ha")
-    by_title = near.join(r.select("paper_id", F.col("h").alias("hb")), ["paper_id", "hb"], "left_semi").select(*me)
-    return cand.join(by_key.unionByName(by_title).distinct(), me, "left_anti")
+    by_key = cand.select(*me, F.explode(F.filter(forms, lambda x: x.isNotNull())).alias("key")).join(keys, ["paper_id", "key"], "left_semi").select(*me).distinct()
+    rest = written(cand.join(by_key, me, "left_anti").withColumn("_t", F.array_sort(title_tokens(F.col("title")))), "offered")
+    close = similar_within(rest.select("paper_id", F.col("_t").alias("tokens")), titles.select("paper_id", title_tokens(F.col("title")).alias("tokens")), "paper_id", percent)
+    return rest.join(close.select("paper_id", F.col("ta").alias("_t")), ["paper_id", "_t"], "left_anti").drop("_t")
 
 
 def persist_resolutions(rows: DataFrame) -> DataFrame:

@@ -51,10 +51,11 @@ def _full_works(t):
 add(
     "r05_csl_projection",
     lambda t: rs.csl_projection(_full_works(t)),
-    """select provider, external_id, '{"id":"' || external_id || '","type":"' || case work_key % 3 when 0 then 'chapter' when 1 then 'article-journal' else 'document' end || '","title":"' || case when work_key % 5 > 0 then title else substr('raw ' || title, 1, 160) end || '"'
+    """select provider, external_id, case when work_key % 5 = 0 then '{"id":"' || external_id || '","type":"document","custom":{"raw_text":"raw ' || title || '"}}' else
+    '{"id":"' || external_id || '","type":"' || case work_key % 3 when 0 then 'chapter' when 1 then 'article-journal' else 'document' end || '","title":"' || title || '"'
     || case when work_key % 2 = 0 then ',"author":[{"literal":"' || family || '"},{"literal":"Group"}]' else '' end || case when work_key % 7 > 0 then ',"issued":{"date-parts":[[' || year || ']]}' else '' end || case when work_key % 4 = 0 then ',"container-title":"Venue"' else '' end
     || coalesce(',"DOI":"' || doi || '"', '') || coalesce(',"URL":"' || url || '"', '') || case when work_key % 6 = 0 then ',"volume":"' || work_key || '"' else '' end || case when work_key % 8 = 0 then ',"page":"1-9"' else '' end
-    || ',"custom":{"provider":"' || provider || '","external_id":"' || external_id || '"' || coalesce(',"arxiv_id":"' || arxiv_id || '"', '') || '}}' as csl from v_works""",
+    || ',"custom":{"provider":"' || provider || '","external_id":"' || external_id || '"' || coalesce(',"arxiv_id":"' || arxiv_id || '"', '') || '}}' end as csl from v_works""",
 )
 EXACT = f"""ek as (select reference_id, coalesce({DOI_SQL.format("doi")}, {DOI_SQL.format("nullif(regexp_extract(raw_text, '(10\\.\\d{4,9}/[^\\s\"<>]+)', 1), '')".replace("{", "{{").replace("}", "}}")).replace("{{", "{").replace("}}", "}")}) as kd,
   {arxiv_sql("nullif(regexp_extract(raw_text, '(?i)arxiv[:\\s/]*(\\d{4}\\.\\d{4,5}(v\\d+)?)', 1), '')")} as ka from v_refs),
@@ -135,9 +136,22 @@ def _lists(t):
     return w.withColumn("rank", F.col("work_key") % 7 * 2 + F.when(F.col("provider") == "OPENALEX", 0).otherwise(1))
 
 
-add("r14_dedupe_greedy", lambda t: rs.dedupe_greedy(_lists(t), "query_id"))
-add("r16_candidate_set", lambda t: rs.candidate_set(_lists(t), "query_id", 5)[0])
-add("r16_incomplete", lambda t: rs.candidate_set(_lists(t), "query_id", 5)[1])
+LISTS = f"""lists as (select *, floor(work_key / 7)::bigint as query_id, work_key % 7 * 2 + case provider when 'OPENALEX' then 0 else 1 end as rank, {TITLE_SQL.format("title")} as k from v_works),
+clash as (select b.query_id, b.rank, list(a.rank) as earlier from lists a join lists b on a.query_id = b.query_id and a.rank < b.rank where lower(a.doi) = lower(b.doi) or lower(a.arxiv_id) = lower(b.arxiv_id)
+  or (len(list_intersect(a.k, b.k)) > 0 and 100 * len(list_intersect(a.k, b.k)) >= 72 * (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k)))) group by all),
+line as (select l.query_id, l.rank, coalesce(c.earlier, []) as earlier, row_number() over (partition by l.query_id order by l.rank) as p from lists l left join clash c using (query_id, rank)),
+fold as (select distinct query_id, 0::bigint as p, []::bigint[] as kept from line union all
+  select f.query_id, f.p + 1, case when list_has_any(f.kept, l.earlier) then f.kept else list_append(f.kept, l.rank) end from fold f join line l on l.query_id = f.query_id and l.p = f.p + 1),
+accepted as (select query_id, unnest(kept) as rank from (select query_id, arg_max(kept, p) as kept from fold group by 1)),
+whole as (select l.*, title <> '' and family <> '' and year is not null as ok from lists l join accepted using (query_id, rank))"""
+add("r14_dedupe_greedy", lambda t: rs.dedupe_greedy(_lists(t), "query_id"), f"with recursive {LISTS} select query_id, rank, provider, external_id from whole")
+add(
+    "r16_candidate_set",
+    lambda t: rs.candidate_set(_lists(t), "query_id", 5)[0],
+    f"with recursive {LISTS} select query_id, printf('cand_%03d', n - 1) as candidate_id, provider, external_id from "
+    "(select *, row_number() over (partition by query_id order by rank) as n from whole where ok) where n <= 5",
+)
+add("r16_incomplete", lambda t: rs.candidate_set(_lists(t), "query_id", 5)[1], f"with recursive {LISTS} select query_id, count(*) filter (not ok) as incomplete from whole group by 1")
 KEYS = f"""bk as (select distinct paper_id, key from (select paper_id, 'doi:' || {DOI_SQL.format('doi')} as key from v_refs
   union all select paper_id, lower(provider || ':' || external_id) from ld where external_id is not null
   union all select paper_id, 'doi:' || lower(doi) from ld join v_works using (provider, external_id)) where key is not null)"""

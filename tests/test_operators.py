@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,8 +78,26 @@ def test_greedy_lists(spark):
         full = [o for o in v if o[3]]
         assert listed.get(q, {}) == {f"cand_{n:03}": f"{q}-{o[0]}" for n, o in enumerate(full[:4])}
     assert {r["q"]: r["incomplete"] for r in incomplete.collect()} == {q: sum(not o[3] for o in v) for q, v in kept.items()}
-    with pytest.raises(Exception, match="more than"):
-        resolution.dedupe_greedy(d.withColumn("q", F.lit(1)), "q").collect()
+    small = resolution.dedupe_greedy(d, "q", fold_rows=3).groupBy("q").agg(F.sort_array(F.collect_list("rank")).alias("r"))
+    assert {r["q"]: r["r"] for r in small.collect()} == {q: [o[0] for o in v] for q, v in kept.items()}
+
+
+def test_greedy_list_of_a_hundred_thousand(spark):
+    n, rng = 100_000, random.Random(3)
+    rows = [(1, k, "OPENALEX", str(k), f"w{rng.randrange(900)} x{rng.randrange(600)} y{rng.randrange(200)} same words of all titles", f"10.1/{rng.randrange(80_000)}" if k % 2 else None) for k in range(n)]
+    d = spark.createDataFrame(pd.DataFrame(rows, columns=["q", "rank", "provider", "external_id", "title", "doi"])).withColumn("arxiv_id", F.lit(None).cast("string"))
+    by_doi, by_token, kept = set(), {}, []
+    for _q, k, _p, _e, title, doi in rows:
+        w = frozenset(title.split()) - {"of"}  # a stop word; the other tokens are all of a title's, 7 or so
+        near = [o for x in (x for x in w if x[0] in "wxy" and x[1:].isdigit()) for o in by_token.get(x, ())]
+        if doi in by_doi and doi or any(100 * len(w & o) >= 72 * len(w | o) for o in near):
+            continue
+        kept.append(k)
+        by_doi.add(doi)
+        for x in w:
+            by_token.setdefault(x, set()).add(w)
+    got = resolution.dedupe_greedy(d, "q")
+    assert sorted(r["rank"] for r in got.select("rank").collect()) == kept
 
 
 def test_cited_works_are_not_offered(spark):
