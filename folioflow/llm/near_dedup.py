@@ -17,8 +17,8 @@ At the threshold of 0.8 (0.512 a place) a linked pair shares no table with proba
 with 0.00002.
 
 Handling: null and blank texts have no shingles and link with nothing, nor do rows with a
-null id, which are kept; rows that share an id count as one document, whatever their texts;
-repeated rows stay rows of :func:`near_duplicates`; ties go to the smaller id; an empty table
+null id, which are kept; rows that share an id count as one document, so their texts are linked, whatever
+they are (but those without shingles); repeated rows stay rows of :func:`near_duplicates`; ties go to the smaller id; an empty table
 gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -40,6 +40,7 @@ PERCENT = 80
 CACHE_ENTRIES = 200_000
 PIVOTS = (32, 512, 4096)
 BITMAP = 8  # longs
+BUCKET_ROWS = 50_000  # rows of a bucket that one task compares with its pivots
 BLOCK = 256  # shingles hashed at once, so that the block stays in cache
 PARTNERS = 1_000  # candidates of one class that are verified in one group
 IDS = 1_000_000  # ids that are broadcast at most; beyond that texts are shuffled to them
@@ -73,6 +74,11 @@ def shingles(text: str | None, width: int, hashes: _WordHashes) -> np.ndarray:
     return np.unique(s)
 
 
+def digest(s: np.ndarray) -> list[int]:
+    """Two longs that name a shingle set."""
+    return np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64).tolist()
+
+
 def _signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """2 * TABLES signatures of ROWS minhashes each."""
     x = (s >> np.uint64(32)).astype(np.uint32)
@@ -103,8 +109,7 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
             for doc, text in zip(batch["id"].tolist(), batch["text"].tolist()):
                 s = shingles(text, width, hashes)
                 if len(s):
-                    d = xxhash.xxh128_digest(s.tobytes())
-                    rows.append((doc, len(s), *np.frombuffer(d, np.int64).tolist(), _signature(s, a, b).view(np.int64)))
+                    rows.append((doc, len(s), *digest(s), _signature(s, a, b).view(np.int64)))
                 else:
                     rows.append((doc, 0, 0, 0, np.zeros(0, np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "d1", "d2", "sig"])
@@ -113,8 +118,8 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, n_shingles long, d1 long, d2 long, sig array<long>")
 
 
-def shingle_sets(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, shingles array<long>, bits array<long>): ``bits`` marks the slots that shingles fall into."""
+def shingle_sets(docs: DataFrame, width: int, text_col: str = "text") -> DataFrame:
+    """(d1, d2, shingles array<long>, bits array<long>): ``bits`` marks the slots that shingles fall into."""
 
     def bitmap(s: np.ndarray) -> np.ndarray:
         slots = np.zeros(64 * BITMAP, np.uint8)
@@ -125,10 +130,10 @@ def shingle_sets(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
         hashes = _WordHashes()
         for batch in batches:
             each = [shingles(t, width, hashes) for t in batch["text"].tolist()]
-            yield pd.DataFrame({"doc_id": batch["id"], "shingles": [s.view(np.int64) for s in each], "bits": [bitmap(s) for s in each]})
+            names = np.array([digest(s) for s in each], np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"d1": names[:, 0], "d2": names[:, 1], "shingles": [s.view(np.int64) for s in each], "bits": [bitmap(s) for s in each]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, shingles array<long>, bits array<long>")
+    return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "d1 long, d2 long, shingles array<long>, bits array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,12 +180,18 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "key", "left_semi")
 
 
-def links(classes: DataFrame, docs: DataFrame, width: int, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, label) of the components among ``classes`` (cid, n, sig) that verified links make."""
-    shared = cut(_shared(classes), "dedup-shared")
-    wanted = broadcast_if_small(shared.select(F.col("cid").alias("doc_id")), shared.count(), IDS)
-    sets = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = cut(shingle_sets(sets, width).dropDuplicates(["doc_id"]), "dedup-sets")
+def links(classes: DataFrame, tied: DataFrame, docs: DataFrame, width: int, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, label) of the components among ``classes`` (cid, doc_id, n, d1, d2, sig) that ``tied`` pairs (a, b) and verified links make."""
+    shared, sigs = cut(_shared(classes), "dedup-shared"), classes.select("cid", "sig")
+    some = shared.count()
+    named = classes.join(broadcast_if_small(shared.select("cid"), some, IDS), "cid", "left_semi").select("cid", "doc_id", "d1", "d2")
+    named = cut(named, "dedup-named")
+    ids = broadcast_if_small(named.select("doc_id").distinct(), some, IDS)
+    # a text that has the id of a wanted class, and its digest too
+    sets = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
+    classes = broadcast_if_small(named.select(F.col("cid").alias("doc_id"), "d1", "d2"), some, IDS)
+    sets = shingle_sets(sets, width).join(classes, ["d1", "d2"]).drop("d1", "d2")
+    sets = cut(sets.dropDuplicates(["doc_id"]), "dedup-sets")
 
     def verify(cand: DataFrame) -> DataFrame:
         """The linked ones of ``cand`` (a, b); partners of one ``a`` are dealt to groups of about ``PARTNERS``."""
@@ -211,27 +222,29 @@ def links(classes: DataFrame, docs: DataFrame, width: int, percent: int = PERCEN
     diagonal = _buckets(shared).where("i = j").select("key", "cid")
     least = diagonal.groupBy("key").agg(F.min("cid").alias("a"))
     first = diagonal.join(least, "key").where("cid > a").groupBy(F.col("cid").alias("b")).agg(F.min("a").alias("a"))
-    edges = cut(verify(first), "dedup-links")
+    edges = cut(verify(first), "dedup-links").unionByName(tied)
     labels = components(edges)
     active = cut(_mixed(_buckets(_labelled(shared, labels), "label")).drop("label"), "dedup-buckets")
     active = _shared_sizes(active, sets).where(100 * F.col("e") >= percent * F.col("n"))
     bits = [F.get("bits", F.lit(k)).alias(c) for k, c in enumerate(slots)]
-    active = active.join(classes.select("cid", "sig"), "cid").join(sets.select(F.col("doc_id").alias("cid"), *bits), "cid")
+    active = active.join(sigs, "cid").join(sets.select(F.col("doc_id").alias("cid"), *bits), "cid")
     seed = 0
     while True:
         now = _mixed(_labelled(active, labels))
         sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("_c"))
         share = F.ceil(F.col("_c") / PIVOTS[min(seed, len(PIVOTS) - 1)])
         # about the wanted number of pivots, all of a small bucket, drawn by hash: nothing is ranked
-        now = now.join(sizes, "key").withColumn("pivot", F.pmod(F.xxhash64(F.lit(seed), "cid", "key"), share) == 0).drop("_c")
+        now = now.join(sizes, "key").withColumn("pivot", F.pmod(F.xxhash64(F.lit(seed), "cid", "key"), share) == 0)
+        # rows of a bucket with many are dealt to parts, each of which its pivots meet
+        now = now.withColumn("parts", F.ceil(F.col("_c") / BUCKET_ROWS).cast("int")).withColumn("part", F.pmod(F.xxhash64("cid"), "parts").cast("int")).drop("_c")
         now = cut(now, "dedup-round")
         if now.isEmpty():
             return labels
-        pivots = now.where("pivot").select("key", F.col("cid").alias("a"), F.col("n").alias("n2"), F.col("e").alias("e2"), F.col("label").alias("l2"), *[F.col(c).alias(f"p_{c}") for c in ("sig", *slots)])
+        pivots = now.where("pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "part", F.col("cid").alias("a"), F.col("n").alias("n2"), F.col("e").alias("e2"), F.col("label").alias("l2"), *[F.col(c).alias(f"p_{c}") for c in ("sig", *slots)])
         # two pivots meet once
         pair = (F.col("label") != F.col("l2")) & (~F.col("pivot") | (F.col("cid") > F.col("a"))) & fits & near & once
-        found = cut(now.join(pivots, "key").where(pair).select("a", F.col("cid").alias("b")), "dedup-pairs")
-        active = now.where(~F.col("pivot")).drop("pivot", "label")
+        found = cut(now.join(pivots, ["key", "part"]).where(pair).select("a", F.col("cid").alias("b")), "dedup-pairs")
+        active = now.where(~F.col("pivot")).drop("pivot", "label", "parts", "part")
         if not found.isEmpty():
             edges = edges.unionByName(cut(verify(found), "dedup-links"))
             labels = components(edges)
@@ -256,11 +269,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     sig = cut(signatures(docs, width, id_col, text_col), "dedup-signatures")
     some = sig.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
-    classes = cut(classes.select(F.col("m.doc_id").alias("cid"), F.col("n_shingles").alias("n"), "d1", "d2", F.col("m.sig").alias("sig")), "dedup-classes")
-    labels = links(classes.select("cid", "n", "sig"), docs, width, percent, id_col, text_col)
-    named = classes.select("cid", F.col("n").alias("n_shingles"), "d1", "d2").join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left")
+    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "m.doc_id", F.col("n_shingles").alias("n"), "d1", "d2", "m.sig")
+    classes = cut(classes, "dedup-classes")
+    # an id of several texts ties their classes
+    several = some.select("doc_id", "d1", "d2").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("doc_id")
+    ends = cut(some.join(several, "doc_id", "left_semi").join(classes.select("cid", "d1", "d2"), ["d1", "d2"]).select("doc_id", "cid").distinct(), "dedup-tied")
+    tied = ends.join(ends.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").where("cid > a").select("a", F.col("cid").alias("b"))
+    labels = links(classes, tied, docs, width, percent, id_col, text_col)
+    named = classes.select("cid", "doc_id", "n", "d1", "d2").join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    named = cut(named.drop("cid"), "dedup-named")
+    least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
+    named = named.join(least, "label").select(F.col("n").alias("n_shingles"), "d1", "d2", "least")
     out = sig.drop("sig").join(named, ["n_shingles", "d1", "d2"], "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "cid", "doc_id"))
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
@@ -269,7 +290,7 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERC
 
     Of several rows with that id, the one whose columns hash lowest stays, so reruns agree.
     """
-    found = near_duplicates(docs, width, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    found = near_duplicates(docs, width, percent).where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
     # only ids that are dropped or repeated are looked up, so that texts of the others are not shuffled
     other = cut(found.where("not kept or rows > 1"), "dedup-other")
     size = other.count()

@@ -11,11 +11,15 @@ documents are ordinary text for the most part; README has the figures.  Threshol
 calibrated on sampled documents that the dictionaries have not seen.
 
 The model is fitted on at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled documents
-(smallest seeded id hash first), the only bound; every whole text is scored.
+(smallest seeded id hash first): three fifths of either kind train the dictionaries, of a longer text
+``EXCERPT`` words in runs spread over all of it; the others are scored whole by Spark's tasks and calibrate.
+These are the only bounds; every whole text is scored.  Scores are made of any fit, however few the
+labels; who drops documents asks :func:`rejection` where the evidence suffices.
 
 Handling: null and blank texts have one empty window and are scored like any other;
-null labels are not learned from; with no toxic label, or with so few that calibration has
-fewer than ``LEAST_TOXIC`` or finds no F1 of ``LEAST_F1``, every score is 0; of training rows with one id one counts; repeated rows are scored one by one; an empty table gives an empty
+null labels are not learned from; without a label of both kinds every score is 0; a single toxic label
+trains and calibrates; without a telling unit whole windows train the toxic dictionary; samples too few
+for zstandard's trainer are themselves the dictionary; of training rows with one id one counts; repeated rows are scored one by one; an empty table gives an empty
 result; other columns are carried or ignored, whatever their names.
 """
 
@@ -31,8 +35,9 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_sample, held_out
+from .common import bounded_sample, cut, held_out
 
 TOXIC_ROWS, ORDINARY_ROWS = 2_000, 4_000
 WINDOW = 10
@@ -43,7 +48,9 @@ CONTEXTS, CONTEXT_SHARE = 3, 0.005
 RATIO = 20
 BEGINNINGS = (4, 5, 6)  # bytes of word beginnings that count like words
 THRESHOLD = 0.3
-LEAST_F1, LEAST_TOXIC = 0.4, 10  # what calibration must reach, and on how many toxic documents, for a model to count
+TRAINING_SHARE = 0.6
+EXCERPT, RUN = 4_000, 200  # words of a text that train, and of one run of them
+PRECISION, DOUBT = 0.7, 2.0  # of the documents rejected so many are toxic, with so many more that are not
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -62,10 +69,10 @@ def _compressor(data: bytes):
 
 
 class Model:
-    """The two dictionaries and the calibration."""
+    """The two dictionaries, the calibration, and the score from which documents may be dropped."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray):
-        self.ordinary, self.toxic, self.weights, self.mean, self.scale = ordinary, toxic, weights, mean, scale
+    def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray, reject: float = float("inf")):
+        self.ordinary, self.toxic, self.weights, self.mean, self.scale, self.reject = ordinary, toxic, weights, mean, scale, reject
 
     def features(self, words: list[bytes]) -> list[float]:
         a, b = _compressor(self.ordinary), _compressor(self.toxic)
@@ -126,20 +133,20 @@ def dictionary(size: int, samples: list[bytes]) -> bytes:
 
 
 def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    """Bytes of the ordinary dictionary, and of both together, from the words of labelled documents; the same twice without a telling unit."""
+    """Bytes of the ordinary dictionary, and of both together, from the words of labelled documents; without a telling unit the toxic windows are told whole."""
     base = [w for words in ordinary for w in windows(words)]
     base = [base[i] for i in np.random.RandomState(7).permutation(len(base))[:SAMPLES]]
     telling = set(toxic_units(toxic, ordinary))
     plain = dictionary(ORDINARY_BYTES, base)
-    told = [x for words in toxic for x in snippets(words, telling)]
-    return plain, plain + dictionary(TOXIC_BYTES, told) if told else plain
+    told = [x for words in toxic for x in snippets(words, telling)] or [w for words in toxic for w in windows(words)]
+    return plain, plain + dictionary(TOXIC_BYTES, told)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Logistic weights (weighted to the true ``share`` of label 1), moved so that the best F1 lies at ``THRESHOLD``, and that F1."""
+def calibrate(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic weights (weighted to the true ``share`` of label 1, drawn to 0 as by a normal prior), moved so that the best F1 lies at ``THRESHOLD``."""
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
-    weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+    weight = balance(y, share)
     beta = np.zeros(z.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-z @ beta))
@@ -148,36 +155,76 @@ def calibrate(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, n
     margin = z @ beta
     order = np.argsort(-margin, kind="stable")
     hit, told = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
-    f1 = 2 * hit / (told + (weight * y).sum())
-    k = int(f1.argmax())
+    k = int((2 * hit / (told + (weight * y).sum())).argmax())
     low = margin[order][k + 1] if k + 1 < len(order) else margin[order][k] - 1
     beta[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - (margin[order][k] + low) / 2
-    return beta, mean, scale, float(f1[k])
+    return beta, mean, scale
+
+
+def balance(y: np.ndarray, share: float) -> np.ndarray:
+    """Weights that give label 1 its true ``share``."""
+    return np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+
+
+def rejection(scores: np.ndarray, y: np.ndarray, share: float) -> float:
+    """The least score of ``THRESHOLD`` or more from which ``PRECISION`` of the documents are toxic, ``DOUBT`` more assumed that are not; inf without one."""
+    weight, order = balance(y, share), np.argsort(-scores, kind="stable")
+    fine = np.cumsum((weight * y)[order]) >= PRECISION * (np.cumsum(weight[order]) + DOUBT)
+    falling = scores[order]
+    fine &= np.r_[falling[1:] != falling[:-1], True]  # documents of one score go together
+    found = falling[fine & (falling >= THRESHOLD)]
+    return float(found.min()) if len(found) else float("inf")
+
+
+def excerpt(text: str | None) -> list[bytes]:
+    """The words of a text that train: all, or ``EXCERPT`` of them in runs at equal distances."""
+    words = split_words(text)
+    if len(words) <= EXCERPT:
+        return words
+    starts = np.linspace(0, len(words) - RUN, EXCERPT // RUN).astype(int)
+    return [w for at in starts for w in words[at : at + RUN]]
+
+
+@F.pandas_udf(T.BinaryType())
+def excerpts(text: pd.Series) -> pd.Series:
+    return pd.Series([b" ".join(excerpt(t)) for t in text], dtype=object)
+
+
+def features_column(model: Model, text: Column) -> Column:
+    """The features of whole texts."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([model.features(split_words(t)) for t in b.tolist()], dtype=object)
+
+    return run(text)
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model | None:
-    """``labels`` has doc_id and toxic (0 or 1) of the documents that may be learned from; None without toxic ones."""
+    """``labels`` has doc_id and toxic (0 or 1) of the documents that may be learned from; None without both kinds."""
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = bounded_sample(known.where("toxic = 1"), "doc_id", toxic_rows).unionByName(bounded_sample(known.where("toxic = 0"), "doc_id", ordinary_rows))
     # at most toxic_rows + ordinary_rows ids
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("x"))
-    rows = rows.select("doc_id", "x.text", "x.toxic").orderBy("doc_id").toPandas()
+    rows = cut(rows.select("doc_id", "x.text", "x.toxic"), "toxicity-sample")
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    if not len(rows) or not share or share == 1:
-        return None
-    words = [split_words(t) for t in rows["text"]]
-    y = rows["toxic"].to_numpy(dtype=np.float64)
-    seen = np.random.RandomState(11).permutation(len(rows)) < 0.6 * len(rows)
-    ordinary, toxic = train([w for w, s, t in zip(words, seen, y) if s and t == 1], [w for w, s, t in zip(words, seen, y) if s and t == 0])
-    if toxic == ordinary:
+    own = rows.select("doc_id", "toxic").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").toPandas()
+    if not share or own["toxic"].nunique() < 2:
         return None
+    place, many = own.groupby("toxic").cumcount(), own.groupby("toxic")["toxic"].transform("size")
+    own["trains"] = (place < TRAINING_SHARE * many) & ((place < many - 1) | (many == 1))
+    own["tells"] = ~own["trains"] | (many == 1)
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(own[["doc_id", "trains", "tells"]])), "doc_id")
+    seen = rows.where("trains").select("doc_id", "toxic", excerpts("text").alias("words")).orderBy("doc_id").toPandas()
+    words = [w.split() for w in seen.pop("words")]
+    ordinary, toxic = train([w for w, t in zip(words, seen["toxic"]) if t == 1], [w for w, t in zip(words, seen["toxic"]) if t == 0])
     model = Model(ordinary, toxic, np.zeros(7), np.zeros(6), np.ones(6))
-    own = np.flatnonzero(~seen)
-    if not len(own) or y[own].min() == y[own].max():
-        own = np.arange(len(rows))
-    x = np.array([model.features(words[i]) for i in own])
-    model.weights, model.mean, model.scale, f1 = calibrate(x, y[own], float(share))
-    return model if f1 >= LEAST_F1 and y[own].sum() >= LEAST_TOXIC else None
+    told = rows.where("tells").select("doc_id", "toxic", features_column(model, F.col("text")).alias("x")).orderBy("doc_id").toPandas()
+    x, y = np.array(told["x"].tolist()).reshape(len(told), 6), told["toxic"].to_numpy(dtype=np.float64)
+    model.weights, model.mean, model.scale = calibrate(x, y, float(share))
+    model.reject = rejection(model.score(x), y, float(share))
+    return model
 
 
 def score_column(model: Model | None, text: Column) -> Column:
@@ -199,9 +246,10 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).alias("doc_id"), score_column(model, F.col(text_col)).alias("score"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows predicted toxic by a model of the labelled ones."""
-    return docs.where(score_column(fit(docs, labels), F.col("text")) < threshold)
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows that a model of the labelled ones scores at its ``reject`` or above."""
+    model = fit(docs, labels)
+    return docs.where(score_column(model, F.col("text")) < (model.reject if model else 1.0))
 
 
 def op2_compression_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
-from folioflow.llm import licenses, spelling, whitening
+from folioflow.llm import licenses, near_dedup, spelling, toxicity, whitening
 
 TEXTS = "doc_id long, text string"
 LOWER = str.maketrans(spelling.UPPER, spelling.LOWER)
@@ -244,3 +244,90 @@ def test_acceptor_is_minimal_and_pairs_are_unique():
     assert all(s == 0 or s in a.final or len(a.arcs[s]) > 1 for s in states)
     got = [tuple(sorted(p)) for p in spelling.Composition(a).pairs()]
     assert len(got) == len(set(got)) and set(got) == {tuple(sorted((x, y))) for x, v in plain_near(words).items() for y in v}
+
+
+# --- near-duplicates of repeated ids
+
+
+def plain_components(rows, width=5, percent=80):
+    """Component of each row: rows of one id are tied, as are similar sets; rows without shingles stay alone."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    label = {i: i for i, _ in rows}
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for (i, _), a in zip(rows, sets):
+        for (j, _), b in zip(rows, sets):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                low, high = sorted((top(i), top(j)))
+                label[high] = low
+    return [top(i) if s else i for (i, _), s in zip(rows, sets)]
+
+
+def test_ids_of_several_texts_tie_them(spark):
+    rng = random.Random(12)
+    bases = [[f"b{k}_{i}" for i in range(60)] for k in range(8)]
+
+    def copy(k):
+        w = list(bases[k])
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(60)] = f"n{rng.random()}"
+        return " ".join(w)
+
+    rows = [(rng.randrange(40), copy(rng.randrange(8)) if rng.random() < 0.8 else f"alone {rng.random()} in its words") for _ in range(70)]
+    rows += [(100, " ".join(bases[0])), (100, "text of its own with some words"), (101, "text of its own with some words"), (102, ""), (102, " ".join(bases[1])), (100, None)]
+    want = collections.Counter((i, len(t or ""), c) for (i, t), c in zip(rows, plain_components(rows)))
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        d = spark.createDataFrame(rows, TEXTS).withColumn("size", F.coalesce(F.length("text"), F.lit(0)))
+        got = near_dedup.near_duplicates(d)
+        assert got.count() == len(rows)
+        by_id = {(r["doc_id"], r["component_id"]) for r in got.collect()}
+        assert by_id == {(i, c) for i, _, c in want}
+
+
+def test_large_buckets_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(near_dedup, "PIVOTS", (2, 5))
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(60):
+        base = list(base)
+        base[rng.randrange(100)] = f"e{i}"
+        rows.append((i, " ".join(base)))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, TEXTS)).collect()}
+    assert got == dict(zip([i for i, _ in rows], plain_components(rows)))
+
+
+# --- toxicity of few labels and long texts
+
+
+def test_scores_of_few_labels_and_long_texts(spark):
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    rows = [(i, text(80) + (" vile scoundrel " + text(20) if i < 9 else "")) for i in range(60)] + [(100, text(30_000) + " vile scoundrel"), (101, text(30_000)), (102, None)]
+    d = spark.createDataFrame(rows, TEXTS)
+    labels = spark.createDataFrame([(i, int(i < 9)) for i in range(60)] + [(100, 1), (101, 0), (500, 1), (3, None)], "doc_id long, toxic int")
+    for some in (labels, labels.where("toxic = 0 or doc_id = 2")):
+        model = toxicity.fit(d, some)
+        got = toxicity.score(d, model).toPandas()
+        assert got.score.between(0, 1).all() and got.score.nunique() > 1 and len(toxicity.excerpt(rows[-2][1])) == toxicity.EXCERPT
+    model = toxicity.fit(d, labels)
+    scores = toxicity.score(d, model).toPandas().set_index("doc_id").score
+    assert scores[[i for i in range(9)]].mean() > scores[[i for i in range(9, 60)]].mean()
+    assert toxicity.fit(d, labels.where("toxic = 1")) is None and toxicity.score(d, None).where("score = 0").count() == len(rows)
+    assert toxicity.without_toxic(d, labels.where("toxic = 0")).count() == len(rows)
+
+
+def test_rejection_asks_for_evidence():
+    few, y = np.array([0.9, 0.2, 0.1, 0.1]), np.array([1.0, 0, 0, 0])
+    assert toxicity.rejection(few, y, 0.25) == np.inf
+    many = np.r_[np.full(50, 0.8), np.full(10, 0.4), np.zeros(200)]
+    assert toxicity.rejection(many, np.r_[np.ones(50), np.zeros(210)], 50 / 260) == 0.4
+    assert toxicity.rejection(many, np.r_[np.ones(30), np.zeros(230)], 30 / 260) == np.inf
