@@ -217,7 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     own["tells"] = ~own["trains"] | (many == 1)
     rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(own[["doc_id", "trains", "tells"]])), "doc_id")
     seen = rows.where("trains").select("doc_id", "toxic", excerpts("text").alias("words")).orderBy("doc_id").toPandas()
-    words = [w.split() for w in seen.pop("words")]
+    own_words: dict[bytes, bytes] = {}  # equal words are one object
+    words = [[own_words.setdefault(w, w) for w in text.split()] for text in seen.pop("words")]
     ordinary, toxic = train([w for w, t in zip(words, seen["toxic"]) if t == 1], [w for w, t in zip(words, seen["toxic"]) if t == 0])
     model = Model(ordinary, toxic, np.zeros(7), np.zeros(6), np.ones(6))
     told = rows.where("tells").select("doc_id", "toxic", features_column(model, F.col("text")).alias("x")).orderBy("doc_id").toPandas()
