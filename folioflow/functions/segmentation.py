@@ -18,6 +18,7 @@ ARGUMENTS = ["art", "chap", "chaps", "col", "cols", "eq", "eqs", "fig", "figs",
 PHRASES = ["al", "approx", "ca", "cf", "e\\.g", "ed", "eds", "esp", "et", "etc", "i\\.e", "inc", "ltd", "resp", "viz", "vs"]
 MARK = "\ue001"
 MASK = "\ue000"
+OTHER = "\ue002"  # stands for either where a text holds it; sentences are cut from the text itself
 MAX_SPANS = 24
 
 
@@ -31,7 +32,7 @@ def _boundary() -> str:
     not_argument = f"(?!(?<=(?<![\\p{{L}}\\p{{N}}.])(?i:{'|'.join(ARGUMENTS)})\\.){space}[\\p{{N}}(\\[{MASK}])"
     not_phrase = f"(?!(?<=(?<![\\p{{L}}\\p{{N}}.])(?i:{'|'.join(PHRASES)})\\.){space}[\\p{{N}}])"
     period = f"{not_title}\\.(?!(?<=\\p{{N}}\\.)\\p{{N}}){not_argument}{not_phrase}"
-    return f"((?:[!?]|{period})[\"'”’)\\]}}]*)(?={space}[\\p{{Lu}}\\p{{N}}\"'“‘(\\[{{$&&[^{{]]|{space}{MASK})".replace("\\p{N}\"'“‘(\\[{$&&[^{]]", "\\p{N}\"'“‘(\\[$]")
+    return f"((?:[!?]|{period})[\"'”’)\\]}}]*)(?={space}[\\p{{Lu}}\\p{{N}}\"'“‘(\\[$]|{space}{MASK})"
 
 
 BOUNDARY = _boundary()
@@ -42,9 +43,9 @@ def sentences(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     src = F.col(text)
     # tokens become runs of one private character of the same length, so that offsets hold
     lengths = F.transform(F.regexp_extract_all(src, F.lit(TOKEN), F.lit(0)), F.length)
-    gaps = F.split(src, TOKEN, -1)
+    gaps = F.split(F.translate(src, MARK + MASK, OTHER * 2), TOKEN, -1)
     masked = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.repeat(F.lit(MASK), F.get(lengths, i)), F.lit(""))))), "")
-    plain = F.when(F.instr(src, "[[CITE:") > 0, masked).otherwise(src)
+    plain = F.when(F.instr(src, "[[CITE:") > 0, masked).otherwise(F.translate(src, MARK + MASK, OTHER * 2))
     marked = F.regexp_replace(plain, BOUNDARY, "$1" + MARK)
     pieces = F.split(marked, MARK, -1)
 
@@ -62,14 +63,12 @@ def sentences(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
         return F.struct(d.alias("d"), end.alias("at"), F.when(close, end).otherwise(acc["from"]).alias("from"), out.alias("out"))
 
     folded = F.aggregate(pieces, empty, step, lambda a: F.when(a["from"] < a["at"], F.array_append(a["out"], F.struct(a["from"].alias("a"), a["at"].alias("b")))).otherwise(a["out"]))
-    rows = df.select(*keys, src.alias("_src"), F.explode(folded).alias("s"))
-    raw = F.substr(F.col("_src"), (F.col("s.a") + 1).cast("int"), (F.col("s.b") - F.col("s.a")).cast("int"))
-    lead = F.length(raw) - F.length(F.ltrim(raw, F.lit(" \t\n\u000b\f\r")))
-    own = F.trim(raw, F.lit(" \t\n\u000b\f\r"))
-    rows = rows.select(*keys, (F.col("s.a") + lead).cast("long").alias("char_start"), own.alias("text")).where("text <> ''")
+    blanks = F.lit(" \t\n\u000b\f\r")
+    raw = F.transform(folded, lambda s: F.struct(s["a"].alias("a"), F.substr(src, s["a"] + 1, s["b"] - s["a"]).alias("raw")))
+    own = F.transform(raw, lambda s: F.struct((s["a"] + F.length(s["raw"]) - F.length(F.ltrim(s["raw"], blanks))).alias("start"), F.trim(s["raw"], blanks).alias("text")))
+    rows = df.select(*keys, F.posexplode(F.filter(own, lambda s: s["text"] != "")).alias("_p", "s"))
+    rows = rows.select(*keys, (F.col("_p") + 1).cast("long").alias("sent_no"), F.col("s.start").cast("long").alias("char_start"), F.col("s.text").alias("text"))
     rows = rows.withColumn("char_end", F.col("char_start") + F.length("text"))
-    order = W.partitionBy(*keys).orderBy("char_start")
-    rows = rows.withColumn("sent_no", F.row_number().over(order).cast("long"))
     ident = F.concat_ws("_", F.lit("p"), *keys, F.concat(F.lit("s"), "sent_no"))
     return rows.select(*keys, "sent_no", "char_start", "char_end", "text", normalize_text(detokenize(F.col("text"))).alias("plain_text"), token_ids(F.col("text")).alias("citation_ids"), ident.alias("sentence_id"))
 

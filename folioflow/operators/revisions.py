@@ -61,16 +61,29 @@ def delta_words(before: DataFrame, after: DataFrame) -> DataFrame:
     return side(before, "before").join(side(after, "after"), "doc_id", "full_outer").na.fill(0)
 
 
-def delta_summary(changes: DataFrame) -> DataFrame:
-    """``n KIND; ...`` sorted by kind."""
+def delta_summary(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per document ``n KIND; ...`` sorted by kind, then the words of the paragraphs whose text changed, or that none did, and the kinds.
+
+    ``changes`` has doc_id, par_id (null for other subjects) and kind; before and after hold the paragraphs.
+    """
     n = changes.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "n"))), lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["kind"])), "; ").alias("summary"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("kind", "n"))), lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["kind"]))
+    counted = n.groupBy("doc_id").agg(F.array_join(told, "; ").alias("parts"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    touched = changes.where(F.col("kind").isin("PARAGRAPH_TEXT_CHANGED", "PARAGRAPH_ADDED", "PARAGRAPH_REMOVED")).select("doc_id", "par_id").distinct()
+    words = lambda d, name: d.join(touched, ["doc_id", "par_id"], "left_semi").groupBy("doc_id").agg(F.sum(word_count(F.col("text"))).cast("long").alias(name))
+    scope = touched.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pars")).join(words(before, "a"), "doc_id", "left").join(words(after, "b"), "doc_id", "left").na.fill(0, ["a", "b"])
+    prose = F.concat(F.lit(". "), "a", F.lit(" -> "), "b", F.lit(" words in the "), "pars", F.lit(" paragraphs it changed."))
+    j = counted.join(scope, "doc_id", "left")
+    return j.select("doc_id", F.concat("parts", F.coalesce(prose, F.lit(". No prose changed."))).alias("summary"), "kinds")
 
 
 def paragraph_diffs(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Citation ids that a changed paragraph lost and gained."""
-    j = before.select("doc_id", "par_id", F.col("text").alias("a")).join(after.select("doc_id", "par_id", F.col("text").alias("b")), ["doc_id", "par_id"]).where(normalize_text(F.col("a")) != normalize_text(F.col("b")))
-    return j.select("doc_id", "par_id", F.array_join(F.array_except(token_ids(F.col("a")), token_ids(F.col("b"))), ",").alias("lost"), F.array_join(F.array_except(token_ids(F.col("b")), token_ids(F.col("a"))), ",").alias("gained"))
+    """Text and citation ids of a changed or added paragraph before and after, and the ids that it lost and gained."""
+    j = after.select("doc_id", "par_id", F.col("text").alias("after_text")).join(before.select("doc_id", "par_id", F.col("text").alias("before_text")), ["doc_id", "par_id"], "left").na.fill("", ["before_text"])
+    j = j.where(normalize_text(F.col("before_text")) != normalize_text(F.col("after_text")))
+    a, b = token_ids(F.col("before_text")), token_ids(F.col("after_text"))
+    joined = lambda x: F.array_join(x, ",")
+    return j.select("doc_id", "par_id", "before_text", "after_text", joined(a).alias("before_ids"), joined(b).alias("after_ids"), joined(F.array_except(a, b)).alias("lost"), joined(F.array_except(b, a)).alias("gained"))
 
 
 def token_multiset_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -125,8 +125,9 @@ def issues(t):
     return written(lk.check_links(t("v_items"), t("v_refs")), "issues")
 
 
-def changes(t):
-    i = issues(t)
+def changes(t, found=None):
+    """Changed statuses, of issues ``found`` already or found here."""
+    i = issues(t) if found is None else found
     return lk.promote_downgrade(lk.apply_repairs(t("v_items"), i), i, mk.parse_status(t("v_items")).drop("items"))
 
 
@@ -152,12 +153,20 @@ R.add(
     ("v_refs", "v_items"),
 )
 R.add("l05_promote_downgrade", changes, f"with {CHANGE_SQL} select * from ch", ("v_refs", "v_items"))
+
+
+def _report(t):
+    i = issues(t)
+    return lk.linkage_report(i, changes(t, i))
+
+
 R.add(
     "l06_linkage_report",
-    lambda t: lk.linkage_report(issues(t), changes(t)),
+    _report,
     f"""with {CHANGE_SQL}, g as (select paper_id, {', '.join(f"count(*) filter (code = '{c}') as {c.lower()}" for c in lk.CODES)} from li group by 1)
     select g.*, agreed + mismatch as checked, case when agreed + mismatch > 0 then round(agreed::double / (agreed + mismatch), 4) else 0.0 end as accuracy, coalesce(downgraded, 0) as downgraded, coalesce(promoted, 0) as promoted
     from g left join (select paper_id, count(*) filter (before <> 'RAW_ONLY' and after = 'RAW_ONLY') as downgraded, count(*) filter (before = 'RAW_ONLY' and after = 'STRUCTURED') as promoted from ch group by 1) m using (paper_id)""",
+    ("v_refs", "v_items"),
 )
 USE_SQL = (
     "us as (select r.paper_id, r.reference_id, count(distinct citation_id) as uses from v_refs r left join v_items i on r.reference_id "

@@ -321,7 +321,7 @@ add(
 def _effect(t):
     i = issues(t)
     before = ev.status_counts(mk.parse_status(t("v_items")), t("v_items"))
-    after = ev.status_counts(changes(t).withColumnRenamed("after", "parse_status"), lk.apply_repairs(t("v_items"), i))
+    after = ev.status_counts(changes(t, i).withColumnRenamed("after", "parse_status"), lk.apply_repairs(t("v_items"), i))
     return ev.effect_report(before, after)
 
 

@@ -64,17 +64,29 @@ add(
     f"group by 1) select doc_id, coalesce(words_before, 0) as words_before, coalesce(touched_before, 0) as touched_before, coalesce(words_after, "
     f"0) as words_after, coalesce(touched_after, 0) as touched_after from x full join y using (doc_id)",
 )
+
+
+def _all_changes(t):
+    """Paragraph changes, and for some documents a change of another kind only."""
+    pars = rv.paragraph_changes(before(t), after(t)).where("doc_id % 6 > 0").select("doc_id", "par_id", "kind")
+    other = t("documents").where("doc_id % 3 = 0").select("doc_id", F.lit(None).cast("string").alias("par_id"), F.lit("CITATION_MOVED").alias("kind"))
+    return pars.unionByName(other)
+
+
 add(
     "d07_delta_summary",
-    lambda t: rv.delta_summary(rv.paragraph_changes(before(t), after(t))),
-    f"with {CHG} select doc_id, string_agg(n || ' ' || kind, '; ' order by kind) as summary from (select doc_id, kind, count(*) as "
-    f"n from pk group by 1, 2) group by 1",
+    lambda t: rv.delta_summary(_all_changes(t), before(t), after(t)),
+    f"""with {CHG}, al as (select doc_id, par_id, kind from pk where doc_id % 6 > 0 union all select doc_id, null, 'CITATION_MOVED' from documents where doc_id % 3 = 0),
+    n as (select doc_id, string_agg(n || ' ' || kind, '; ' order by kind) as parts, string_agg(kind, ',' order by kind) as kinds from (select doc_id, kind, count(*) as n from al group by 1, 2) group by 1),
+    w as (select doc_id, count(*) as pars, coalesce(sum({words_sql("bf.text")}), 0)::bigint as a, coalesce(sum({words_sql("af.text")}), 0)::bigint as b from (select doc_id, par_id from al where par_id is not null) x left join bf using (doc_id, par_id) left join af using (doc_id, par_id) group by 1)
+    select doc_id, parts || case when pars is null then '. No prose changed.' else '. ' || a || ' -> ' || b || ' words in the ' || pars || ' paragraphs it changed.' end as summary, kinds from n left join w using (doc_id)""",
 )
-BOTH = f"{REV}, bo as (select bf.doc_id, bf.par_id, bf.text as a, af.text as b from bf join af on bf.doc_id = af.doc_id and bf.par_id = af.par_id)"
+BOTH = f"{REV}, bo as (select af.doc_id, af.par_id, coalesce(bf.text, '') as a, af.text as b from af left join bf on bf.doc_id = af.doc_id and bf.par_id = af.par_id)"
 add(
     "d09_paragraph_diffs",
     lambda t: rv.paragraph_diffs(before(t), after(t)),
-    f"with {BOTH} select doc_id, par_id, array_to_string(list_filter({IDS.format('a')}, lambda x: not list_contains({IDS.format('b')}, "
+    f"with {BOTH} select doc_id, par_id, a as before_text, b as after_text, array_to_string({IDS.format('a')}, ',') as before_ids, array_to_string({IDS.format('b')}, ',') as after_ids, "
+    f"array_to_string(list_filter({IDS.format('a')}, lambda x: not list_contains({IDS.format('b')}, "
     f"x)), ',') as lost, array_to_string(list_filter({IDS.format('b')}, lambda x: not list_contains({IDS.format('a')}, x)), ',') as "
     f"gained from bo where {norm_sql('a')} <> {norm_sql('b')}",
 )

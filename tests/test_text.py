@@ -1,3 +1,6 @@
+import collections
+import itertools
+
 from pyspark.sql import functions as F
 
 from folioflow.functions import segmentation as seg
@@ -10,17 +13,44 @@ def one(spark, expr, **values):
     return df.select(expr.alias("v")).first()["v"]
 
 
-SENTENCES = {
-    "Rain fell all night.": 1, "Rain fell. Rivers rose.": 2, "Stop! Who goes there? Nobody.": 3, "Fig. 12 shows the loss. It falls quickly.": 2, "Brown et al. saw the reverse. Nobody knows why.": 2,
-    "Take a tree, e.g. an oak. Measure it.": 2, "The mean was 3.25 metres. Few were taller.": 2, "K. Brown found it. Others followed.": 2, 'She wrote "never." Then came winter.': 2,
-    "Compare Sec. 4 with this. They differ.": 2, "Prof. Brown left early. Dr. Green stayed.": 2, "Read p. 7 first. Read the rest later.": 2, "Trees grow (Q. R. measured it. S did not) slowly. Grass does not.": 2,
-}
-
-
-def test_sentence_counts(spark):
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(SENTENCES)], "k long, text string")
-    got = {r["k"]: r["count"] for r in seg.sentences(df, ["k"]).groupBy("k").count().collect()}
-    assert [got[i] for i in range(len(SENTENCES))] == list(SENTENCES.values())
+def boundary_cases():
+    """Pairs of clauses joined in every way that a rule of the segmenter speaks of, with the number of sentences."""
+    heads, tails = ["sand settles", "(as rivers do) silt drifts"], ["Clay stays", "Peat burns"]
+    for h, t in itertools.product(heads, tails):
+        for mark, close in itertools.product(".!?", ["", '"', ")", "”"]):
+            yield f"{h}{mark}{close} {t}.", 2
+            yield f"{h}{mark}{close} {t.lower()}.", 1
+        for title in seg.TITLES:
+            yield f"{h} near {title.capitalize()}. {t}.", 1
+        for word in seg.ARGUMENTS:
+            yield f"{h} in {word}. 4 {t}.", 1
+            yield f"{h} in {word}. (4) {t}.", 1
+            yield f"{h} in {word}. {t}.", 1 if len(word) == 1 else 2  # a single letter never ends a sentence
+        for word in (w.replace("\\", "") for w in seg.PHRASES):
+            yield f"{h} {word}. 4 {t}.", 1
+            yield f"{h} {word}. {t.lower()}.", 1
+            yield f"{h} {word}. {t}.", 2
+        for letter in "QZ":
+            yield f"{h} by {letter}. {t}.", 1
+        yield f"{h} at 7.5 metres. {t}.", 2
+        yield f"{h} (it is so. {t}) always. {t}.", 2
+        yield f"{h} [[CITE:c1]]. {t}.", 2
+        yield f"{h}. [[CITE:c1]] {t}.", 2
+        for private in (seg.MARK, seg.MASK):
+            yield f"{h}. {private}{t}. {t}.", 2
+            yield f"{h} {private} {t}. {t}.", 2
+
+
+def test_sentence_counts_by_rule(spark):
+    cases = list(boundary_cases())
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(cases)], "k long, text string")
+    rows = seg.sentences(df, ["k"]).orderBy("k", "sent_no").collect()
+    got = collections.defaultdict(list)
+    for r in rows:
+        got[r["k"]].append(r)
+    for i, (s, n) in enumerate(cases):
+        assert (s, len(got[i])) == (s, n)
+        assert [r["sent_no"] for r in got[i]] == list(range(1, n + 1)) and all(s[r["char_start"] : r["char_end"]] == r["text"] for r in got[i])
 
 
 def test_tokens_stay_with_their_sentence_and_offsets_hold(spark):
