@@ -12,7 +12,7 @@ from folioflow.operators.review import severity_worst
 from folioflow.operators.revisions import removed_keys, warning_id
 from folioflow.sources.scratch import written
 
-
+FILTER_BITS = 16  # slots of a filter for each key
 #: Verdicts of a citation that could not be checked.
 UNVERIFIABLE = ["UNVERIFIABLE", "SOURCE_UNRESOLVED", "SOURCE_IDENTITY_UNCERTAIN", "EVIDENCE_UNAVAILABLE"]
 
@@ -199,13 +199,30 @@ def evidence_anchors(spans: DataFrame, chosen: DataFrame, keys: list[str], most:
     return spans.join(chosen.where(F.col("place") <= most), [*keys, "span_id"])
 
 
+def key_filter(keys: DataFrame) -> DataFrame:
+    """One row with ``bits`` (array<long>): a bitmap of the slots of ``keys`` (key long), ``FILTER_BITS`` a key and 2 MB at most."""
+    slots = 1 << min(24, max(10, (FILTER_BITS * keys.count()).bit_length()))
+    slot = F.pmod("key", F.lit(slots))
+    words = keys.groupBy(F.floor(slot / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("b"))
+    every = keys.sparkSession.range(slots // 64).withColumnRenamed("id", "w").join(words, "w", "left").select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return written(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bits")), "key-filter")
+
+
+def passes(bits: Column, key: Column) -> Column:
+    """Whether the slot of ``key`` is marked in ``bits``."""
+    slot = F.pmod(key, (F.size(bits) * 64).cast("long"))
+    word = F.get(bits, F.floor(slot / 64).cast("int"))
+    return F.call_function("shiftright", word, (slot % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def content_present(items: DataFrame, docs: DataFrame, width: int = 6, letters: int = 8) -> DataFrame:
     """Items (item_id, text) contained, case and white space aside, in some document.
 
     An item may begin and end within a word, so its key is made of the words between its
     first and last one, at most ``width``; documents offer their word windows of the sizes that
-    occur.  Items of one or two words use their first ``letters`` characters instead.  Keys move
-    alone; only documents that hold an item's key are then read again and searched.
+    occur.  Items of one or two words use their first ``letters`` characters instead.  A filter of the
+    items' keys is applied where texts are read, so that texts without one are never shuffled; the keys
+    that pass move alone and are joined exactly.
     """
     low = lambda c: F.lower(normalize_text(c))
     i = items.select("item_id", low(F.col("text")).alias("t")).where("t <> ''").withColumn("w", F.split("t", " "))
@@ -223,12 +240,16 @@ def content_present(items: DataFrame, docs: DataFrame, width: int = 6, letters:
         at = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
         return F.array_distinct(F.transform(at, lambda p: F.xxhash64(F.substr("d", p, F.lit(-k))) if k < 0 else F.xxhash64(F.slice("v", p, k))))
 
-    offered = [d.select("id", F.lit(k).alias("size"), F.explode(windows(k)).alias("key")) for k in sizes]
-    if not offered:
+    if not sizes:
         return i.select("item_id")
-    some = offered[0]
-    for part in offered[1:]:
-        some = some.unionByName(part)
-    pairs = some.join(i.select("item_id", "size", "key"), ["size", "key"]).select("item_id", "id").distinct()
+
+    def sized(k: int) -> Column:
+        return F.transform(windows(k), lambda x: F.struct(F.lit(k).alias("size"), x.alias("key")))
+
+    keys = F.concat(*map(sized, sizes))
+    bits = key_filter(i.select("key"))
+    known = d.join(F.broadcast(bits)).withColumn("hits", F.filter(keys, lambda x: passes(F.col("bits"), x["key"]))).where(F.size("hits") > 0)
+    d = written(known.select("id", "d", "hits"), "texts-with-keys")
+    pairs = d.select("id", F.explode("hits").alias("x")).select("id", "x.size", "x.key").join(i.select("item_id", "size", "key"), ["size", "key"]).select("item_id", "id").distinct()
     found = pairs.join(d.select("id", "d"), "id").join(i.select("item_id", "t"), "item_id").where(F.contains("d", "t"))
     return found.select("item_id").distinct()

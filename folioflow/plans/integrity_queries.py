@@ -197,7 +197,7 @@ add(
 
 
 def _enriched(t):
-    f = t("v_refs").where("part_key % 2 = 0").select(
+    f = t("v_refs").select(
         F.col("reference_id").alias("finding_id"), (F.col("paper_id") % 300).alias("doc_id"), F.col("bibliography_order").alias("par_no"), F.when(F.col("part_key") % 3 > 0, F.col("reference_id")).alias("reference_id"),
         F.array("part_key", F.col("part_key") + 1).alias("suggested"), F.array(F.lit("first")).alias("rationales"),
     )
@@ -211,7 +211,7 @@ add(
     """with w as (select work_key, title || '|' || case when url like 'https://%' then url else 'https://doi.org/' || doi end as s from v_works where provider = 'OPENALEX' and (url like 'https://%' or doi is not null))
     select r.reference_id as finding_id, coalesce('Section ' || (p.par_no % 4), '') as section_title, coalesce(p.text, '') as claim_text, case when part_key % 3 > 0 then coalesce(nullif(trim(title), ''), substr(raw_text, 1, 160)) end as reference_label,
     array_to_string(list_filter([a.s || '|first', b.s || '|'], lambda x: x is not null), ';') as suggestions
-    from v_refs r left join v_paragraphs p on p.doc_id = r.paper_id % 300 and p.par_no = r.bibliography_order left join w a on a.work_key = part_key left join w b on b.work_key = part_key + 1 where part_key % 2 = 0""",
+    from v_refs r left join v_paragraphs p on p.doc_id = r.paper_id % 300 and p.par_no = r.bibliography_order left join w a on a.work_key = part_key left join w b on b.work_key = part_key + 1""",
     ("v_refs",),
 )
 

@@ -70,9 +70,8 @@ add(
 )
 add(
     "a08_support_pairs",
-    lambda t: rw.support_pairs(t("v_items").where("printed_order % 2 = 1").select("citation_id", F.lit(1).alias("claim_no")), t("v_items")),
-    "select i.citation_id, 1 as claim_no, i.reference_id from v_items i join (select citation_id from v_items where printed_order "
-    "% 2 = 1) c using (citation_id) where i.reference_id is not null",
+    lambda t: rw.support_pairs(t("v_items").select("citation_id", F.lit(1).alias("claim_no")).distinct(), t("v_items")),
+    "select citation_id, 1 as claim_no, reference_id from v_items where reference_id is not null",
 )
 add(
     "a09_server_verdict",

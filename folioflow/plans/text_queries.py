@@ -245,11 +245,26 @@ R.add(
     lambda tab: tab("orders").where("o_custkey % 3 = 0").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50).select("o_orderkey", "o_custkey"),
     "select o_orderkey, o_custkey from orders where o_custkey % 3 = 0 order by o_orderdate desc, o_orderkey desc limit 50",
 )
+
+
+def _author_lists(tab):
+    """Per paper: names in the references' order (none where paper_id % 5 = 0, blank ones where % 5 = 1), and the names reversed to fall back on."""
+    name = F.when(F.col("supp_key") % 4 == 0, F.concat(F.lit("  "), F.upper("family"))).otherwise(F.col("family"))
+    place = F.when(F.col("supp_key") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("Institute "), F.col("supp_key") % 10)))
+    author = lambda n: F.struct(n.alias("name"), place.alias("affiliations"))
+    listed = lambda order, n: F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), author(n).alias("a")))), lambda x: x["a"])
+    order, kind = F.col("bibliography_order"), F.col("paper_id") % 5
+    g = tab("v_refs").groupBy("paper_id").agg(listed(order, F.when(kind == 1, " ").otherwise(name)).alias("authors"), listed(-order, name).alias("others"))
+    return g.withColumn("authors", F.when(F.col("paper_id") % 5 > 0, F.col("authors")))
+
+
 R.add(
     "s13_dedupe_authors",
-    lambda tab: sh.dedupe_authors(tab("v_refs").groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bibliography_order", F.when(F.col("supp_key") % 4 == 0, F.concat(F.lit("  "), F.upper("family"))).otherwise(F.col("family")).alias("name")))), lambda x: x["name"]).alias("authors")), "paper_id", "authors"),
-    """select paper_id, string_agg(name, '|' order by p) as authors from (select paper_id, lower(trim(name)) as k, arg_min(trim(name), bibliography_order) as name, min(bibliography_order) as p
-    from (select paper_id, bibliography_order, case when supp_key % 4 = 0 then '  ' || upper(family) else family end as name from v_refs) group by 1, 2) group by 1""",
+    lambda tab: sh.dedupe_authors(_author_lists(tab), "paper_id", "authors", "others"),
+    """with x as (select paper_id, case when paper_id % 5 < 2 then -bibliography_order else bibliography_order end as o, case when supp_key % 4 = 0 then upper(family) else family end as name,
+      case when supp_key % 3 = 0 then '' else 'Institute ' || supp_key % 10 end as place from v_refs),
+    f as (select paper_id, lower(name) as k, min(o) as o, arg_min(name, o) as name, arg_min(place, o) as place from x group by 1, 2)
+    select paper_id, string_agg(name, '|' order by o) as authors, string_agg(place, '|' order by o) as affiliations from f group by 1""",
 )
 
 # --- segmentation
@@ -281,9 +296,9 @@ R.add(
 )
 R.add(
     "g10_expand_numeric_range",
-    lambda tab: seg.expand_ranges(tab("v_refs").where("paper_id % 2 = 0").select("paper_id", F.col("reference_id"), F.col("bibliography_order").alias("linked"), F.concat(F.lit("["), F.col("bibliography_order"), F.lit("-"), F.col("bibliography_order") + F.col("part_key") % 4, F.lit("]")).alias("marker")), tab("v_refs")),
+    lambda tab: seg.expand_ranges(tab("v_refs").select("paper_id", F.col("reference_id"), F.col("bibliography_order").alias("linked"), F.concat(F.lit("["), F.col("bibliography_order"), F.lit("-"), F.col("bibliography_order") + F.col("part_key") % 4, F.lit("]")).alias("marker")), tab("v_refs")),
     """select r.paper_id, r.reference_id, x.bibliography_order as printed, x.reference_id as target from v_refs r join v_refs x on r.paper_id = x.paper_id and x.bibliography_order > r.bibliography_order and x.bibliography_order <= r.bibliography_order + r.part_key % 4
-    where r.paper_id % 2 = 0 and r.bibliography_order + r.part_key % 4 <= (select max(bibliography_order) from v_refs y where y.paper_id = r.paper_id)""",
+    where r.bibliography_order + r.part_key % 4 <= (select max(bibliography_order) from v_refs y where y.paper_id = r.paper_id)""",
 )
 R.add(
     "g11_identity_keys",

@@ -100,11 +100,20 @@ def rectangular(df: DataFrame, key: str, cells: str) -> DataFrame:
     return d.join(F.broadcast(widest)).select(key, F.posexplode(padded).alias("col_no", "cell")).withColumn("col_no", F.col("col_no").cast("long"))
 
 
-def dedupe_authors(df: DataFrame, key: str, authors: str) -> DataFrame:
-    """Ordered names, one per folded name, the first spelling kept."""
-    a = df.select(key, F.posexplode(authors).alias("pos", "name")).withColumn("name", normalize_text(F.col("name"))).where("name <> ''")
-    first = a.groupBy(key, F.lower("name").alias("folded")).agg(F.min(F.struct("pos", "name")).alias("f"))
-    return first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["name"]), "|").alias("authors"))
+def dedupe_authors(df: DataFrame, key: str, authors: str, fallback: str) -> DataFrame:
+    """Ordered authors, one per folded name, the first one's spelling and affiliations kept.
+
+    Both lists hold structs of name and affiliations; the second counts where the first names nobody.  A key
+    without any name has no row.  Returns names, and affiliations (several joined by ``;``), joined by ``|``.
+    """
+    named = lambda c: F.filter(c, lambda x: F.coalesce(normalize_text(x["name"]) != "", F.lit(False)))
+    chosen = F.when(F.coalesce(F.size(named(authors)) > 0, F.lit(False)), named(authors)).otherwise(named(fallback))
+    a = df.select(key, F.posexplode(chosen).alias("pos", "a")).select(key, "pos", normalize_text(F.col("a.name")).alias("name"), F.col("a.affiliations").alias("places"))
+    first = a.groupBy(key, F.lower("name").alias("folded")).agg(F.min_by(F.struct("pos", "name", "places"), "pos").alias("f"))
+    listed = F.sort_array(F.collect_list(F.struct("f.pos", "f.name", "f.places")))
+    g = first.groupBy(key).agg(listed.alias("l"))
+    places = F.transform("l", lambda x: F.array_join(F.coalesce(x["places"], F.array().cast("array<string>")), ";"))
+    return g.select(key, F.array_join(F.transform("l", lambda x: x["name"]), "|").alias("authors"), F.array_join(places, "|").alias("affiliations"))
 
 
 def binary_manifest(files: DataFrame, cap: int = 50 * 2**20) -> DataFrame:

@@ -145,3 +145,23 @@ def test_answers_outside_the_offer_reject_a_response(spark):
     judged = review.judge(d, lambda b: pd.Series(b["x"] / 10), "response string, item string, x double")
     good, bad = review.grounded(judged, offered, "response", "item")
     assert sorted(r["item"] for r in good.collect()) == ["a", "b"] and [(r["response"], r["foreign_ids"]) for r in bad.collect()] == [("r2", 1)]
+
+
+def test_texts_without_a_key_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"plain words of text {i} and nothing else here") for i in range(200)] + [(500, "before THE grain  of sand\nmoves along the bed after")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the grain of sand moves along the bed"), (2, "not in any text at all, ever so"), (3, "ext 17 a")], "item_id long, text string")
+    sizes = []
+    written = integrity.written
+    try:
+        integrity.written = lambda df, name: (out := written(df, name), sizes.append((name, out.count())))[0]
+        got = {r["item_id"] for r in integrity.content_present(items, docs).collect()}
+    finally:
+        integrity.written = written
+    assert got == {1, 3} and dict(sizes)["texts-with-keys"] < 10
+
+
+def test_authors_fall_back_and_keep_affiliations(spark):
+    kind = "k long, authors array<struct<name:string, affiliations:array<string>>>, others array<struct<name:string, affiliations:array<string>>>"
+    rows = [(1, [("Ann  Lee", ["A", "B"]), (" ", ["C"]), ("ANN LEE", ["D"]), ("Bo", None)], [("Cy", ["E"])]), (2, [(None, ["A"]), (" ", [])], [("Cy", []), ("Di", ["F"])]), (3, None, [("Cy", ["G"])]), (4, None, None), (5, [], [(" ", [])])]
+    got = {r["k"]: (r["authors"], r["affiliations"]) for r in shredding.dedupe_authors(spark.createDataFrame(rows, kind), "k", "authors", "others").collect()}
+    assert got == {1: ("Ann Lee|Bo", "A;B|"), 2: ("Cy|Di", "|F"), 3: ("Cy", "G")}
