@@ -45,7 +45,7 @@ def role_line(c: Column) -> Column:
 
 
 def read_role(c: Column) -> Column:
-    """Inverse of :func:`role_line`; doubled backslashes are parked on U+0001 pairs while newlines are read."""
+    """Inverse of :func:`role_line`; newlines are read between doubled backslashes."""
     raw = unescape(c)
     return F.array_join(F.transform(F.split(raw, r"\\\\", -1), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 

@@ -7,7 +7,8 @@ is the only bound; they are complete binary trees stored as flat arrays, so scor
 
 Handling: null text counts as empty and is scored like any other; null labels are not
 learned from; repeated rows are scored one by one; with no usable labels every score is
-the prior (0.5 when nothing is known); an empty table gives an empty result.
+the prior (0.5 when nothing is known); an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
