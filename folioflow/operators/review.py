@@ -91,6 +91,13 @@ def search_note(degraded: Column, found: Column, cited: Column, incomplete: Colu
     return F.when(degraded, "SEARCH_DEGRADED").when((found > 0) & (cited == found), "ALL_ALREADY_CITED").when((found > 0) & (incomplete == found - cited), "INCOMPLETE_RECORDS").when(found == 0, "NOTHING_FOUND")
 
 
+def with_search_notes(findings: DataFrame, notes: DataFrame) -> DataFrame:
+    """Findings (claim_id, kind, ...) with what the search said of each uncited claim; one without a note was beyond the budget."""
+    j = findings.join(notes.select("claim_id", F.col("note").alias("_note"), F.lit(True).alias("_searched")), "claim_id", "left")
+    note = F.when(F.col("_searched"), F.col("_note")).otherwise("NOT_SEARCHED_BUDGET_SPENT")
+    return j.withColumn("note", F.when(F.col("kind") == "UNCITED_CLAIM", note)).drop("_note", "_searched")
+
+
 def coverage_label(attempts: DataFrame) -> DataFrame:
     """Which providers answered an operation."""
     g = attempts.groupBy("operation_id").agg(F.collect_set(F.when(F.col("status") != "RATE_LIMITED", F.col("provider"))).alias("p"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions import segmentation as seg
@@ -104,6 +105,26 @@ add(
     select paper_id, claim_id, string_agg(external_id, ',' order by place) as suggestions from p where place <= 3 group by 1, 2""",
     ("v_refs", "v_works"),
 )
+
+
+def _noted(t):
+    """Every third reference stands for an uncited claim; the first two of a paper are searched, and find what their keys say."""
+    claims = t("v_refs").select("paper_id", F.col("reference_id").alias("claim_id"), "bibliography_order", "part_key", F.when(F.col("part_key") % 3 == 0, "UNCITED_CLAIM").otherwise("UNLINKED_CITATION").alias("kind"))
+    place = F.row_number().over(W.partitionBy("paper_id").orderBy("bibliography_order"))
+    searched = claims.where("kind = 'UNCITED_CLAIM'").withColumn("place", place).where("place <= 2")
+    notes = searched.select("claim_id", rw.search_note(F.col("part_key") % 2 == 0, F.col("part_key") % 5, F.lit(1), F.lit(0)).alias("note"))
+    return rw.with_search_notes(claims.select("claim_id", "kind"), notes)
+
+
+add(
+    "a12_budget_notes",
+    _noted,
+    """with c as (select *, case when part_key % 3 = 0 then 'UNCITED_CLAIM' else 'UNLINKED_CITATION' end as kind from v_refs),
+    s as (select reference_id, part_key from (select *, row_number() over (partition by paper_id order by bibliography_order) as place from c where kind = 'UNCITED_CLAIM') where place <= 2)
+    select c.reference_id as claim_id, kind, case when kind <> 'UNCITED_CLAIM' then null when s.reference_id is null then 'NOT_SEARCHED_BUDGET_SPENT' when c.part_key % 2 = 0 then 'SEARCH_DEGRADED'
+      when c.part_key % 5 = 1 then 'ALL_ALREADY_CITED' when c.part_key % 5 = 0 then 'NOTHING_FOUND' end as note from c left join s using (reference_id)""",
+    ("v_refs",),
+)
 add(
     "a12_search_notes",
     lambda t: t("events").select("event_id", rw.search_note(F.col("event_type") == "error", F.col("event_id") % 3, F.col("event_id") % 2, F.col("user_id") % 2).alias("note")),
