@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow.sources.tables import SCHEMAS, VIEWS, load, load_views, with_views
+from folioflow.sources.tables import SCHEMAS, VIEWS, load_views, with_views
 from folioflow.streaming import logs as lg
 
 from .registry import Registry
@@ -67,14 +67,16 @@ add(
 add(
     "q08_operation_sessions",
     lambda t: lg.operation_sessions(T(t)),
-    "with g as (select operation_id, ts, case when ts - lag(ts) over (partition by operation_id order by ts) < interval 2 hours then "
+    "with g as (select operation_id, ts, attempt_id, status, case when ts - lag(ts) over (partition by operation_id order by ts) < interval 2 hours then "
     "0 else 1 end as n from v_attempts), s as (select *, sum(n) over (partition by operation_id order by ts rows unbounded preceding) "
-    "as k from g) select operation_id, min(ts) as start, count(*) as calls from s group by operation_id, k",
+    "as k from g) select operation_id, min(ts) as start, count(*) as calls, "
+    "arg_max(status, struct_pack(ts := ts, a := attempt_id)) = 'RATE_LIMITED' as interrupted from s group by operation_id, k",
 )
+LATEST = "select operation_id, arg_max(status, struct_pack(ts := ts, a := attempt_id)) as status, count(*) as calls from v_attempts group by 1"
 add(
     "q09_latest_state",
     lambda t: lg.latest_state(T(t)),
-    "select operation_id, arg_max(status, struct_pack(ts := ts, a := attempt_id)) as status, count(*) as calls from v_attempts group by 1",
+    LATEST,
 )
 add(
     "q07_sliding_windows",
@@ -90,36 +92,32 @@ add(
 
 
 def _stream(name, build, finish=lambda d: d):
-    """A streaming twin with the batch operators' code: the events and a closing one as a file stream, drained."""
+    """A streaming twin with the batch operators' code, run over the log and then closed, from one checkpoint."""
 
     def run(spark, sf_dir):
         load_views(spark, sf_dir)
-        schema = SCHEMAS["events"].replace("timestamp_ntz", "timestamp")
-        events = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-        lg.event_stream(spark, lg.closed_by(spark, events, f"{name}-events"), schema).createOrReplaceTempView("events")
-        attempts = spark.sql(VIEWS["v_attempts"])
-        works = WORKS(spark.table)
-        out = finish(lg.drain(build(attempts, works), name))
+        log = lg.LogStream(spark, f"{sf_dir}/events.parquet", SCHEMAS["events"], name)
+        log.events.createOrReplaceTempView("events")
+        out = finish(log.drain(build(spark.sql(VIEWS["v_attempts"]), WORKS(spark.table))))
         return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if k == "timestamp" else F.col(c) for c, k in out.dtypes])
 
     return run
 
 
-REAL = lambda d: d.where("operation_id is not null")
 STREAMS = {
-    "q06_stream_dedup": _stream("q06_stream_dedup", lambda a, w: REAL(a).withWatermark("ts", "30 days").dropDuplicatesWithinWatermark(["operation_id"]).select("operation_id")),
+    "q06_stream_dedup": _stream("q06_stream_dedup", lambda a, w: lg.first_attempts(a, "operation_id")),
     "q07_stream_windows": _stream("q07_stream_windows", lambda a, w: lg.attempt_windows(a)),
     "q07_stream_sliding": _stream("q07_stream_sliding", lambda a, w: lg.attempt_windows(a, "1 hour", "20 minutes")),
     "q08_stream_sessions": _stream("q08_stream_sessions", lambda a, w: lg.operation_sessions(a)),
-    "q09_stream_state": _stream("q09_stream_state", lambda a, w: lg.running_state(REAL(a).select("operation_id", "status", "ts", "attempt_id")), lg.last_state),
-    "q10_stream_enrich": _stream("q10_stream_enrich", lambda a, w: lg.enrich(REAL(a).withColumn("work_key", F.col("attempt_id") % 3000), w).select("attempt_id", "title")),
+    "q09_stream_state": _stream("q09_stream_state", lambda a, w: lg.running_state(a), lg.last_state),
+    "q10_stream_enrich": _stream("q10_stream_enrich", lambda a, w: lg.enrich(a.where("operation_id is not null").withColumn("work_key", F.col("attempt_id") % 3000), w).select("attempt_id", "title")),
 }
 QUERIES = dict(R.QUERIES) | STREAMS
 ORACLE = dict(R.ORACLE) | {
-    "q06_stream_dedup": with_views("select distinct operation_id from v_attempts"),
+    "q06_stream_dedup": R.ORACLE["q06_ingest_dedup"],
     "q07_stream_windows": R.ORACLE["q07_attempt_windows"],
     "q07_stream_sliding": R.ORACLE["q07_sliding_windows"],
     "q08_stream_sessions": R.ORACLE["q08_operation_sessions"],
-    "q09_stream_state": R.ORACLE["q09_latest_state"],
+    "q09_stream_state": with_views(f"select operation_id, case when status = 'RATE_LIMITED' then 'FAILED' else status end as status, calls from ({LATEST})"),
     "q10_stream_enrich": R.ORACLE["q10_enrich"],
 }

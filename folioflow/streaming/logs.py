@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from folioflow.sources.scratch import shared_dir
 
 DEGRADING = ["RATE_LIMITED", "TIMEOUT", "UNAVAILABLE"]
+FAILED = "FAILED"
 
 
 def attempt_rollup(a: DataFrame) -> DataFrame:
@@ -84,10 +86,14 @@ def attempt_windows(a: DataFrame, length: str = "1 hour", slide: str | None = No
 
 
 def operation_sessions(a: DataFrame, gap: str = "2 hours") -> DataFrame:
-    """Q08: activity sessions of an operation; a longer silence starts a new one."""
+    """Q08: activity sessions of an operation; a longer silence starts a new one.
+
+    A session is ``interrupted`` if the call before the silence was not answered (``DEGRADING``).
+    """
     src = a.withWatermark("ts", "1 hour") if a.isStreaming else a
-    g = src.groupBy(F.session_window("ts", gap).alias("w"), "operation_id").agg(F.count(F.lit(1)).alias("calls"))
-    return g.select("operation_id", F.col("w.start").alias("start"), "calls")
+    last = F.max_by("status", F.struct("ts", "attempt_id"))
+    g = src.groupBy(F.session_window("ts", gap).alias("w"), "operation_id").agg(F.count(F.lit(1)).alias("calls"), last.alias("last"))
+    return g.select("operation_id", F.col("w.start").alias("start"), "calls", F.col("last").isin(DEGRADING).alias("interrupted"))
 
 
 def latest_state(a: DataFrame) -> DataFrame:
@@ -95,38 +101,102 @@ def latest_state(a: DataFrame) -> DataFrame:
     return a.groupBy("operation_id").agg(F.max_by("status", F.struct("ts", "attempt_id")).alias("status"), F.count(F.lit(1)).alias("calls"))
 
 
-def running_state(stream: DataFrame, silence_ms: int = 3_600_000) -> DataFrame:
-    """Q09 on a stream: (operation_id, calls, status, at) as it changes; an operation silent for too long has FAILED.
+class FirstAttempt(StatefulProcessor):
+    """Q06 of one key: its first row by (at, attempt_id), known once the watermark has passed it."""
 
-    ``at`` and ``calls`` grow, so :func:`last_state` finds the latest row of an operation.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "at long, attempt_id long, told boolean")
 
-    def run(key: tuple, batches, state):
-        if state.hasTimedOut:
-            calls, status, at, last_id = state.get
-            state.remove()
-            yield pd.DataFrame({"operation_id": [key[0]], "status": ["FAILED"], "calls": [calls], "at": [at]})
+    def handleInputRows(self, key, rows, timerValues):
+        best = min((min(zip(b["at"].tolist(), b["attempt_id"].tolist())) for b in rows), default=None)
+        if key[0] is None or best is None:
             return
-        calls, status, at, last_id = state.get if state.exists else (0, None, 0, 0)
-        for b in batches:
-            b = b.sort_values(["ts", "attempt_id"])
-            calls, newest = calls + len(b), b.iloc[-1]
-            now, own = int(newest["ts"].timestamp() * 1_000_000), int(newest["attempt_id"])
-            if (now, own) >= (at, last_id):
-                at, status, last_id = now, newest["status"], own
-        state.update((calls, status, at, last_id))
-        state.setTimeoutTimestamp(max(at // 1000 + silence_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"operation_id": [key[0]], "status": [status], "calls": [calls], "at": [at]})
+        at, attempt_id, told = self.first.get() if self.first.exists() else (None, None, False)
+        if told or (at is not None and (at, attempt_id) <= best):
+            return
+        if at is not None:
+            self.handle.deleteTimer(ceil_ms(at))
+        self.first.update((*best, False))
+        self.handle.registerTimer(ceil_ms(best[0]))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at, attempt_id, told = self.first.get()
+        self.first.update((at, attempt_id, True))
+        yield pd.DataFrame({"key": [key[0]], "attempt_id": [attempt_id]})
+
+
+class RunningState(StatefulProcessor):
+    """Q09 of one operation: calls so far and status of the latest one, with a timer for its silence."""
+
+    def __init__(self, silence_ms: int) -> None:
+        self.silence_ms = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "calls long, status string, at long, attempt_id long")
 
-    src = stream.withWatermark("ts", "1 hour").groupBy("operation_id")
-    return src.applyInPandasWithState(run, "operation_id string, status string, calls long, at long", "calls long, status string, at long, last_id long", "append", GroupStateTimeout.EventTimeTimeout)
+    def handleInputRows(self, key, rows, timerValues):
+        if key[0] is None:
+            return
+        known = self.state.get() if self.state.exists() else None
+        calls, status, at, attempt_id = known or (0, None, None, None)
+        for b in rows:
+            for call in sorted(zip(b["at"].tolist(), b["attempt_id"].tolist(), b["status"].tolist()), key=lambda c: c[:2]):
+                if status in DEGRADING and call[0] - at > self.silence_ms * 1000:
+                    yield self.row(key, calls, FAILED, at, True)
+                calls += 1
+                if at is None or call[:2] >= (at, attempt_id):
+                    at, attempt_id, status = call
+        if known is None or known[2] != at:
+            if known is not None:
+                self.handle.deleteTimer(ceil_ms(known[2]) + self.silence_ms)
+            self.handle.registerTimer(ceil_ms(at) + self.silence_ms)
+        self.state.update((calls, status, at, attempt_id))
+        yield self.row(key, calls, status, at, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        calls, status, at, attempt_id = self.state.get()
+        if status in DEGRADING:
+            self.state.update((calls, FAILED, at, attempt_id))
+            yield self.row(key, calls, FAILED, at, True)
+
+    @staticmethod
+    def row(key, calls, status, at, silent) -> pd.DataFrame:
+        return pd.DataFrame({"operation_id": [key[0]], "status": [status], "calls": [calls], "at": [at], "silent": [silent]})
+
+
+def ceil_ms(micros: int) -> int:
+    return -(-micros // 1000)
+
+
+def first_attempts(stream: DataFrame, key: str, delay: str = "1 hour") -> DataFrame:
+    """Q06 on a stream: (key, attempt_id) of the first attempt of each key, once, when nothing earlier can come.
+
+    One small state a key is kept for good, as a table of idempotency keys would; rows without a
+    key are left out, but move the watermark.
+    """
+    src = stream.withWatermark("ts", delay).select(F.col(key).alias("key"), "attempt_id", "ts", F.unix_micros("ts").alias("at"))
+    out = src.groupBy("key").transformWithStateInPandas(FirstAttempt(), "key string, attempt_id long", "append", "eventTime")
+    return out.withColumnRenamed("key", key)
+
+
+def running_state(stream: DataFrame, silence_ms: int = 3_600_000, delay: str = "1 hour") -> DataFrame:
+    """Q09 on a stream: (operation_id, status, calls, at, silent) as an operation changes.
+
+    An operation whose last call was not answered and that stays silent for too long is FAILED, told
+    by a timer, or by the next call if both come in one batch; its state is kept, so that a later call continues its count.  Use :func:`last_state` for the
+    latest row of each.  Rows without an operation are left out, but move the watermark.
+    """
+    src = stream.withWatermark("ts", delay).select("operation_id", "status", "attempt_id", "ts", F.unix_micros("ts").alias("at"))
+    return src.groupBy("operation_id").transformWithStateInPandas(RunningState(silence_ms), "operation_id string, status string, calls long, at long, silent boolean", "append", "eventTime")
 
 
 def last_state(updates: DataFrame) -> DataFrame:
     """Q09: the latest known status of each operation among the updates of :func:`running_state`."""
-    order = F.struct("calls", "at")
-    return updates.where("status <> 'FAILED'").groupBy("operation_id").agg(F.max_by("status", order).alias("status"), F.max("calls").alias("calls"))
+    order = F.struct("calls", "silent")
+    return updates.groupBy("operation_id").agg(F.max_by("status", order).alias("status"), F.max("calls").alias("calls"))
 
 
 def enrich(a: DataFrame, works: DataFrame) -> DataFrame:
@@ -134,36 +204,55 @@ def enrich(a: DataFrame, works: DataFrame) -> DataFrame:
     return a.join(works, "work_key", "left")
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all that is there now, write it as Parquet to the shared folder and read that.
-
-    Rows that the watermark still holds back at the end are not in it; feed closing events
-    (:func:`closed_by`) to have all of them.
-    """
-    spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/folioflow-{name}-{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def event_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An event log as a file stream: a folder of Parquet files, or one of their parent folder by its name."""
-    folder, _, name = path.rstrip("/").rpartition("/")
-    if spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1:
-        return spark.readStream.schema(schema).parquet(path)
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+class LogStream:
+    """An event log as a file stream that reads the log's own files, and can be closed.
 
+    ``events`` is the union of the log and of a small folder beside it.  :meth:`drain` runs a stream
+    built on it over all files there are, then writes one event long after the last one to that
+    folder and starts the stream again from its checkpoint: the watermark passes every window
+    and timer, so all that was held back comes out.  ``event_id`` -1 marks that event.
 
-def closed_by(spark: SparkSession, events: DataFrame, name: str, far: str = "30 days") -> str:
-    """A copy of an event log, as a folder to stream from, with one event long after the last one.
-
-    Its time moves the watermark past every window, so that a stream over the folder lets all
-    of them go; ``event_id`` -1 marks it, and its own window stays open.
+    Files are read oldest first, at most ``files_a_batch`` in a batch; rows that reach the stream later
+    than its watermark allows are dropped by it, so a log must be written about in order of time.
     """
-    path = f"{shared_dir(spark)}/folioflow-{name}-{uuid.uuid4().hex}"
-    events.write.parquet(path)
-    last = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr(f"interval {far}")).alias("ts"))
-    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name not in ("event_id", "ts")]
-    last.select("event_id", "ts", *rest).select(*events.columns).coalesce(1).write.mode("append").parquet(path)
-    return path
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, name: str, files_a_batch: int | None = None) -> None:
+        self.spark, self.name = spark, name
+        self.path = f"{shared_dir(spark)}/folioflow-{name}-{uuid.uuid4().hex}"
+        folder, _, last = path.rstrip("/").rpartition("/")
+        whole = spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1
+        self.log = spark.read.schema(schema).parquet(path)
+        self.log.limit(0).write.parquet(f"{self.path}/closing")
+        reader = spark.readStream.schema(schema)
+        if files_a_batch:
+            reader = reader.option("maxFilesPerTrigger", files_a_batch)
+        log = reader.parquet(path) if whole else reader.option("pathGlobFilter", last).parquet(folder)
+        both = log.unionByName(spark.readStream.schema(schema).parquet(f"{self.path}/closing"))
+        self.events = both.withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def drain(self, stream: DataFrame, far: str = "30 days") -> DataFrame:
+        """All rows of ``stream``, which is built on ``events``, written as Parquet to the shared folder."""
+        self.run(stream)
+        self.close(far)
+        return self.run(stream)
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        """Run over the files that are there now, from where the last run ended."""
+        before = {k: self.spark.conf.get(k, None) for k in STATE_STORE}
+        try:
+            for k, v in STATE_STORE.items():
+                self.spark.conf.set(k, v)
+            q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{self.path}/rows").option("checkpointLocation", f"{self.path}/log").trigger(availableNow=True).start()
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+        q.awaitTermination()
+        return self.spark.read.schema(stream.schema).parquet(f"{self.path}/rows")
+
+    def close(self, far: str) -> None:
+        last = self.log.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr(f"interval {far}")).alias("ts"))
+        rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.log.schema if f.name not in ("event_id", "ts")]
+        last.select("event_id", "ts", *rest).select(*self.log.columns).coalesce(1).write.mode("append").parquet(f"{self.path}/closing")
