@@ -1,8 +1,13 @@
-"""Text, identifier and bibliographic helpers as Column functions; all stay in the JVM."""
+"""Text, identifier and bibliographic helpers as Column functions.
+
+All stay in the JVM but for Unicode forms (:func:`composed`, :func:`fold_name`), which Spark lacks:
+there only texts beyond ASCII are handed to Python.
+"""
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,29 +21,39 @@ TOKEN = r"\[\[CITE:([A-Za-z0-9_]+)\]\]"
 LOCATOR_PRINTED = {"page": "p.", "chapter": "chap.", "section": "sec.", "figure": "fig.", "table": "tbl.", "equation": "eq."}
 
 
-def normalize_text(c: Column) -> Column:
-    """White space collapsed to single blanks; composed characters are left to :func:`compose`."""
-    return F.trim(F.regexp_replace(c, SPACE, " "))
+def beyond_ascii(c: Column, fn: Callable[[str], str], otherwise: Column) -> Column:
+    """``fn`` of texts that hold other characters than ASCII, ``otherwise`` of the rest; those reach Python as nulls only."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(fn, na_action="ignore")
+
+    return F.coalesce(run(F.when(c.rlike("[^\\x00-\\x7F]"), c)), otherwise)
+
+
+def composed(c: Column, form: str = "NFC") -> Column:
+    """Unicode normal form; plain ASCII is its own."""
+    return beyond_ascii(c, lambda x: unicodedata.normalize(form, x), c)
 
 
 def compose(df: DataFrame, col: str, form: str = "NFC") -> DataFrame:
-    """Unicode-normalise ``col``; rows of plain ASCII bypass Python."""
+    """Unicode-normalise ``col``."""
+    return df.withColumn(col, composed(F.col(col), form))
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
 
-    plain = F.coalesce(~F.col(col).rlike("[^\\x00-\\x7F]"), F.lit(True))
-    return df.where(plain).unionByName(df.where(~plain).withColumn(col, run(F.col(col))))
+def normalize_text(c: Column) -> Column:
+    """White space collapsed to single blanks; for texts that may be decomposed, pass :func:`composed`."""
+    return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
 def text_sha256(c: Column) -> Column:
-    return F.sha2(normalize_text(c).cast("binary"), 256)
+    """Hash of the composed text with single blanks: neither reflow nor the Unicode form changes it."""
+    return F.sha2(normalize_text(composed(c)).cast("binary"), 256)
 
 
-def canonical_sha256(fields: dict[str, Column]) -> Column:
-    """Hash of compact JSON with sorted keys (single level)."""
-    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])).cast("binary"), 256)
+def canonical_sha256(fields: dict[str, Column], texts: tuple[str, ...] = ()) -> Column:
+    """Hash of compact JSON with sorted keys (single level); the fields named in ``texts`` are composed."""
+    return F.sha2(F.to_json(F.struct(*[(composed(fields[k]) if k in texts else fields[k]).alias(k) for k in sorted(fields)])).cast("binary"), 256)
 
 
 def word_count(c: Column) -> Column:
@@ -52,9 +67,12 @@ def paragraph_text(runs: Column) -> Column:
 
 
 def fold_name(c: Column) -> Column:
-    """Case- and accent-insensitive form for Latin names."""
-    plain = F.translate(F.lower(F.trim(c)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.replace(plain, F.lit("ß"), F.lit("ss"))
+    """Case- and accent-insensitive form of a name: NFKD without combining marks, case-folded, trimmed."""
+
+    def fold(x: str) -> str:
+        return "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)).casefold().strip()
+
+    return beyond_ascii(c, fold, F.lower(F.btrim(c, F.lit(" \t\n\x0B\f\r"))))
 
 
 def title_tokens(c: Column) -> Column:

@@ -54,12 +54,12 @@ def refs(name: str, value: Callable[[], Column], sql: str) -> None:
 
 
 text = "text"
-paragraphs("t01_normalize_text", lambda: t.normalize_text(text), norm_sql("text"))
-paragraphs("t02_text_sha256", lambda: t.text_sha256(text), f"sha256({norm_sql('text')})")
+paragraphs("t01_normalize_text", lambda: t.normalize_text(t.composed(F.col(text))), norm_sql("nfc_normalize(text)"))
+paragraphs("t02_text_sha256", lambda: t.text_sha256(F.col(text)), f"sha256({norm_sql('nfc_normalize(text)')})")
 refs(
     "t03_canonical_sha256",
-    lambda: t.canonical_sha256({"title": F.col("title"), "id": F.col("reference_id"), "order": F.col("bibliography_order")}),
-    """sha256('{"id":"' || reference_id || '","order":' || bibliography_order || ',"title":"' || title || '"}')""",
+    lambda: t.canonical_sha256({"title": F.col("title"), "id": F.col("reference_id"), "order": F.col("bibliography_order")}, ("title", "id")),
+    """sha256('{"id":"' || reference_id || '","order":' || bibliography_order || ',"title":"' || nfc_normalize(title) || '"}')""",
 )
 R.add(
     "t04_word_count",

@@ -1,5 +1,6 @@
 import collections
 import itertools
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -110,3 +111,25 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sh.append_attempts(refs, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+
+
+def test_unicode_forms_hash_alike(spark):
+    texts = ["plain  text", "caf\u00e9 \n au lait", "\u212bngstr\u00f6m", "\u1ec7 \u0390", "\ud55c\uae00", "", None]
+    rows = [(i, form, x if x is None else unicodedata.normalize(form, x)) for i, x in enumerate(texts) for form in ("NFC", "NFD")]
+    d = spark.createDataFrame(rows, "i int, form string, x string")
+    d = d.select("i", "x", t.text_sha256(F.col("x")).alias("h"), t.canonical_sha256({"k": F.col("x")}, ("k",)).alias("c"), t.normalize_text(t.composed(F.col("x"))).alias("n"))
+    got = {}
+    for r in d.collect():
+        assert r["n"] == (None if r["x"] is None else " ".join(unicodedata.normalize("NFC", r["x"]).split()))
+        got.setdefault(r["i"], set()).add((r["h"], r["c"]))
+    assert all(len(v) == 1 for v in got.values())
+
+
+def test_names_fold_as_unicode_says(spark):
+    names = [" M\u00fcller ", "MU\u0308LLER", "Stra\u00dfe", "\u0130nan", "\u0141ukasz", "\u010capek", "\ufb01sher", "\u039f\u03b4\u03c5\u03c3\u03c3\u03b5\u03cd\u03c2", "\u0416\u0443\u043a", "SMITH", "", None]
+    d = spark.createDataFrame([(x,) for x in names], "x string")
+
+    def fold(x):
+        return None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).casefold().strip()
+
+    assert [r["f"] for r in d.select(t.fold_name(F.col("x")).alias("f")).collect()] == [fold(x) for x in names]
