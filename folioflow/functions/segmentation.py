@@ -38,6 +38,26 @@ def _boundary() -> str:
 BOUNDARY = _boundary()
 
 
+def abbreviation_guard(before: Column, after: Column) -> Column:
+    """Why a period between ``before`` and ``after`` ends no sentence: TITLE, INITIAL, ARGUMENT, PHRASE, or NONE.
+
+    ``before`` is the text up to the period, ``after`` what follows the white space behind it.
+    """
+    ends = lambda options: before.rlike(r"(?<![\p{L}\p{N}.])(?i:" + "|".join(options) + ")$")
+    argument = ends(ARGUMENTS) & after.rlike(r"^(?:[\p{N}(\[])")
+    phrase = ends(PHRASES) & after.rlike(r"^[\p{N}\p{Ll}]")
+    return F.when(ends(TITLES), "TITLE").when(ends([r"\p{L}"]), "INITIAL").when(argument, "ARGUMENT").when(phrase, "PHRASE").otherwise("NONE")
+
+
+def guarded_periods(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, guard, periods): how many periods before white space and more text are guarded by what."""
+    w = F.filter(F.split(text, r"[ \t\n\x0B\f\r]+", -1), lambda x: x != "")
+    pairs = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("a"), F.get(w, i + 1).alias("b"))), lambda p: p["a"].endswith(".") & p["b"].isNotNull())
+    d = df.select(*keys, F.explode(pairs).alias("p"))
+    guard = abbreviation_guard(F.regexp_replace("p.a", r"\.$", ""), F.col("p.b"))
+    return d.select(*keys, guard.alias("guard")).groupBy(*keys, "guard").agg(F.count(F.lit(1)).alias("periods"))
+
+
 def sentences(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Keys, sent_no from 1, char_start, char_end, text, plain_text, citation_ids, sentence_id."""
     src = F.col(text)

@@ -170,6 +170,8 @@ refs(
     "case when part_key % 6 = 0 then part_key || '-99' when part_key % 2 = 0 then part_key::varchar else 'all' end",
 )
 
+_listed = lambda words: ", ".join("'" + w.replace("\\", "") + "'" for w in words)
+
 # --- sources
 R.add(
     "s01_scan_tables",
@@ -190,8 +192,33 @@ R.add(
 R.add(
     "s07_sections_from_markup",
     lambda tab: sh.sections(tab("pages"), "page_id", "html"),
-    """select page_id, 1::bigint as section_no, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), ''), 'Section 1') as title,
-    len(regexp_extract_all(html, '<p[ >]'))::bigint as paragraphs from pages where regexp_matches(html, '<h1[ >]')""",
+    """with c as (select page_id, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g') as h from pages),
+    a as (select page_id, regexp_extract(h, '(?is)<article[^>]*>(.*?)</article>', 1) as body from c where contains(h, '<article')),
+    p as (select page_id, list_filter(string_split(regexp_replace(body, '(?i)(</?(?:h[1-6]|p|div|ul|ol|table|nav|header|footer|main|body)[ \\t\\n\\x0B\\f\\r>/])', chr(1) || '\\1', 'g'), chr(1)), lambda x: regexp_matches(x, '(?i)^<p[ \\t\\n\\x0B\\f\\r>/]')) as pieces,
+      trim(regexp_replace(regexp_replace(regexp_extract(body, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as title from a),
+    x as (select page_id, coalesce(nullif(title, ''), 'Section 1') as title, unnest(case when len(pieces) = 0 then [null] else pieces end) as piece, unnest(case when len(pieces) = 0 then [null] else range(1, len(pieces) + 1) end) as paragraph_no from p)
+    select page_id, 1::bigint as section_no, 1::bigint as level, title, paragraph_no, trim(regexp_replace(regexp_replace(piece, '<[^>]*>', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as text from x""",
+)
+
+
+def _manifest(tab):
+    """Files of a hundred pages each, every third with the mark of a PDF in front, listed from their bytes."""
+    pages = tab("pages").select(F.floor(F.col("page_id") / 100).alias("part"), F.coalesce("page_id", F.lit(-1)).alias("place"), F.coalesce("html", F.lit("")).alias("html"))
+    head = pages.select("part").distinct().where("part % 3 = 0").select("part", F.lit(-2).cast("long").alias("place"), F.lit("%PDF-1.7").alias("html"))
+    path = f"{shared_dir(pages.sparkSession)}/folioflow-files-{uuid.uuid4().hex}"
+    lines = pages.unionByName(head).repartition("part").sortWithinPartitions("part", "place", "html")
+    lines.drop("place").write.partitionBy("part").text(path)
+    files = pages.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    return sh.binary_manifest(files, 2**16).select(F.regexp_extract("path", r"part=(-?\d+)", 1).try_cast("long").alias("part"), "length", "sha256", "verdict")
+
+
+R.add(
+    "s02_binary_manifest",
+    _manifest,
+    """with x as (select page_id // 100 as part, coalesce(page_id, -1) as place, coalesce(html, '') as html from pages),
+    y as (select * from x union all select distinct part, -2, '%PDF-1.7' from x where part % 3 = 0),
+    f as (select part, string_agg(html, chr(10) order by place, html) || chr(10) as content from y group by part)
+    select part, strlen(content)::bigint as length, sha256(content) as sha256, case when strlen(content) > 65536 then 'TOO_LARGE' when starts_with(content, '%PDF-') then 'ACCEPTED' else 'NOT_A_PDF' end as verdict from f""",
 )
 R.add(
     "s08_html_to_text",
@@ -277,6 +304,18 @@ R.add(
     "g07_segment_plain",
     lambda tab: seg.sentences(tab("v_paragraphs"), ["doc_id", "par_no"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(t.word_count(text)).alias("words")),
 )
+R.add(
+    "g03_abbreviation_guard",
+    lambda tab: seg.guarded_periods(tab("v_paragraphs").unionByName(tab("v_refs").select(F.col("paper_id").alias("doc_id"), F.col("bibliography_order").alias("par_no"), F.col("raw_text").alias("text"))), ["doc_id", "par_no"]),
+    f"""with t as (select doc_id, par_no, text from v_paragraphs union all select paper_id, bibliography_order, raw_text from v_refs),
+    w as (select doc_id, par_no, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as w from t),
+    p as (select doc_id, par_no, unnest(w) as a, unnest(list_append(w[2:], '')) as b from w),
+    e as (select doc_id, par_no, regexp_replace(a, '\\.$', '') as a, substr(b, 1, 1) as b from p where ends_with(a, '.') and b <> ''),
+    s as (select *, lower(regexp_extract(a, '[\\p{{L}}\\p{{N}}.]*$')) as k from e),
+    g as (select doc_id, par_no, case when k in ({_listed(seg.TITLES)}) then 'TITLE' when regexp_matches(k, '^\\p{{L}}$') then 'INITIAL' when k in ({_listed(seg.ARGUMENTS)}) and regexp_matches(b, '[\\p{{N}}(\\[]') then 'ARGUMENT'
+      when k in ({_listed(seg.PHRASES)}) and regexp_matches(b, '[\\p{{N}}\\p{{Ll}}]') then 'PHRASE' else 'NONE' end as guard from s)
+    select doc_id, par_no, guard, count(*) as periods from g group by all""",
+)
 TOKENISED = lambda: F.concat(F.substring(text, 1, 15), F.lit("[[CITE:c"), F.col("par_no"), F.lit("]]"), F.substring(text, 16, 20), F.lit("[[CITE:d1]]"), F.expr("substring(text, 36)"))
 R.add(
     "g04_tokens",

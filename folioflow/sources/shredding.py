@@ -81,15 +81,63 @@ def html_to_text(c: Column) -> Column:
     return normalize_text(F.regexp_replace(c, "<[^>]*>", ""))
 
 
+BOXES = "section|article"
+BLOCKS = f"{BOXES}|h[1-6]|p|div|ul|ol|table|nav|header|footer|main|body"
+
+
 def sections(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """One row per heading with its title and the number of paragraphs up to the next one."""
-    parts = F.split(html, r"(?=<h[1-6][ >])", -1)
-    s = pages.select(key, F.posexplode(parts).alias("section_no", "body"), F.regexp_count(html, F.lit(r"<p[ >]")).alias("_all"))
-    n = F.count(F.lit(1)).over(W.partitionBy(key))
-    s = s.withColumn("_n", n).where("section_no > 0")
-    title = F.nullif(html_to_text(F.regexp_extract("body", r"(?s)<h[1-6][^>]*>(.*?)</h[1-6]>", 1)), F.lit(""))
-    own = F.when(F.col("_n") == 2, F.col("_all")).otherwise(F.regexp_count("body", F.lit(r"<p[ >]")))
-    return s.select(key, F.col("section_no").cast("long").alias("section_no"), F.coalesce(title, F.concat(F.lit("Section "), F.col("section_no").cast("string"))).alias("title"), own.cast("long").alias("paragraphs"))
+    """(key, section_no, level, title, paragraph_no, text), one row per paragraph; a section without one has a row of nulls.
+
+    ``section`` and ``article`` open a section, and so does a heading, unless it is the first one
+    directly in such an element, which it then names.  A heading ends those before it of its
+    rank or a lower one within its element; the end of an element ends all within, and one without a beginning ends nothing.  Level is the depth of
+    open sections, numbers follow the text; one without a title is ``Section N``.  Scripts, styles and comments hold no
+    markup, a paragraph ends at the next block tag, and one outside all sections is no section's.
+
+    The tags are read in order with a stack of open sections, within the row: (section, rank, box, titled).
+    """
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
+    pieces = F.split(bare, rf"(?i)(?=</?(?:{BLOCKS})[\s>/])", -1)
+    tags = F.transform(pieces, lambda x: F.struct(F.lower(F.regexp_extract(x, rf"(?i)^<(/?(?:{BLOCKS}))[\s>/]", 1)).alias("tag"), html_to_text(x).alias("text")))
+    tags = F.filter(tags, lambda x: x["tag"].rlike(f"^(p|h[1-6]|/?({BOXES}))$"))
+    none = "cast(array() as array<struct<section:int,rank:int,box:boolean,titled:boolean>>)"
+    start = F.struct(
+        F.expr(none).alias("open"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<section:int,level:int>>)").alias("seen"),
+        F.expr("cast(array() as array<struct<section:int,text:string>>)").alias("titles"), F.expr("cast(array() as array<struct<section:int,text:string>>)").alias("texts"),
+    )
+
+    def entry(no: Column, rank: Column, box: bool, titled: bool) -> Column:
+        return F.struct(no.alias("section"), rank.alias("rank"), F.lit(box).alias("box"), F.lit(titled).alias("titled"))
+
+    def step(acc: Column, x: Column) -> Column:
+        stack, tag = acc["open"], x["tag"]
+        heading, box, end, rank = tag.startswith("h"), tag.rlike(f"^({BOXES})$"), tag.startswith("/"), F.substring(tag, 2, 1).try_cast("int")
+        depth = F.size(stack)
+        last_box = F.aggregate(stack, F.struct(F.lit(0).alias("i"), F.lit(0).alias("at")), lambda a, e: F.struct((a["i"] + 1).alias("i"), F.when(e["box"], a["i"] + 1).otherwise(a["at"]).alias("at")), lambda a: a["at"])
+        names = heading & (depth > 0) & F.coalesce(F.get(stack, depth - 1)["box"] & ~F.get(stack, depth - 1)["titled"], F.lit(False))
+        outer = F.filter(stack, lambda e, i: (i < last_box) | (e["rank"] < rank))
+        no = acc["n"] + 1
+        opened = F.when(box, F.array_append(stack, entry(no, F.lit(0), True, False))).otherwise(F.array_append(outer, entry(no, rank, False, True)))
+        named = F.transform(stack, lambda e, i: F.struct(e["section"].alias("section"), e["rank"].alias("rank"), e["box"].alias("box"), (e["titled"] | (i == depth - 1)).alias("titled")))
+        new = box | (heading & ~names)
+        top = F.get(F.when(new, opened).otherwise(stack), F.when(new, F.size(opened)).otherwise(depth) - 1)["section"]
+        line = F.struct(top.alias("section"), x["text"].alias("text"))
+        return F.struct(
+            F.when(end & (last_box > 0), F.slice(stack, F.lit(1), F.greatest(last_box - 1, F.lit(0)))).when(names, named).when(new, opened).otherwise(stack).alias("open"),
+            F.when(new, no).otherwise(acc["n"]).alias("n"),
+            F.when(new, F.array_append(acc["seen"], F.struct(no.alias("section"), F.size(opened).alias("level")))).otherwise(acc["seen"]).alias("seen"),
+            F.when(heading, F.array_append(acc["titles"], line)).otherwise(acc["titles"]).alias("titles"),
+            F.when((tag == "p") & (depth > 0), F.array_append(acc["texts"], line)).otherwise(acc["texts"]).alias("texts"),
+        )
+
+    def rows(a: Column) -> Column:
+        of = lambda lines, s: F.transform(F.filter(lines, lambda x: x["section"] == s["section"]), lambda x: x["text"])
+        return F.transform(a["seen"], lambda s: F.struct(s["section"].alias("no"), s["level"].alias("level"), F.get(of(a["titles"], s), F.lit(0)).alias("title"), of(a["texts"], s).alias("texts")))
+
+    d = pages.select(key, F.explode(F.aggregate(tags, start, step, rows)).alias("s")).select(key, "s.*")
+    title = F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Section "), F.col("no").cast("string")))
+    d = d.select(key, F.col("no").cast("long").alias("section_no"), F.col("level").cast("long").alias("level"), title.alias("title"), F.posexplode_outer("texts").alias("p", "text"))
+    return d.select(key, "section_no", "level", "title", (F.col("p") + 1).cast("long").alias("paragraph_no"), "text")
 
 
 def rectangular(df: DataFrame, key: str, cells: str) -> DataFrame:

@@ -1,6 +1,9 @@
 import collections
 import itertools
+import random
+import re
 import unicodedata
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
@@ -133,3 +136,92 @@ def test_names_fold_as_unicode_says(spark):
         return None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).casefold().strip()
 
     assert [r["f"] for r in d.select(t.fold_name(F.col("x")).alias("f")).collect()] == [fold(x) for x in names]
+
+
+class Outline(HTMLParser):
+    """A plain reading of S07's rules: sections with level, title and paragraphs."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.found, self.into = [], [], None
+
+    def open(self, rank, box):
+        self.found.append({"level": len(self.stack) + 1, "title": None, "texts": []})
+        self.stack.append((len(self.found) - 1, rank, box))
+
+    def handle_starttag(self, tag, attrs):
+        if re.fullmatch(sh.BLOCKS, tag):
+            self.into = None
+        if tag in ("section", "article"):
+            self.open(0, True)
+        elif re.fullmatch("h[1-6]", tag):
+            rank = int(tag[1])
+            if not (self.stack and self.stack[-1][2] and self.found[self.stack[-1][0]]["title"] is None):
+                while self.stack and not self.stack[-1][2] and self.stack[-1][1] >= rank:
+                    self.stack.pop()
+                self.open(rank, False)
+            self.found[self.stack[-1][0]]["title"] = ""
+            self.into = (self.stack[-1][0], None)
+        elif tag == "p" and self.stack:
+            texts = self.found[self.stack[-1][0]]["texts"]
+            texts.append("")
+            self.into = (self.stack[-1][0], len(texts) - 1)
+
+    def handle_endtag(self, tag):
+        if re.fullmatch(sh.BLOCKS, tag):
+            self.into = None
+        if tag in ("section", "article") and any(box for _, _, box in self.stack):
+            while not self.stack.pop()[2]:
+                pass
+
+    def handle_data(self, data):
+        if self.into and self.cdata_elem is None:
+            section, no = self.into
+            if no is None:
+                self.found[section]["title"] += data
+            else:
+                self.found[section]["texts"][no] += data
+
+
+def markup(rng):
+    """Nested elements with headings of any rank, closed or open paragraphs, stray ends, scripts and comments."""
+    out, boxes = [], 0
+    for i in range(rng.randrange(30)):
+        kind = rng.randrange(9)
+        if kind < 2:
+            out.append(rng.choice(["<section>", '<article class="a">', "<SECTION\n>"]))
+        elif kind == 2:
+            out.append(rng.choice(["</section>", "</article>"]))
+        elif kind < 5:
+            n = rng.randrange(1, 7)
+            out.append(f"<h{n}>{rng.choice(['', 'Head <i>' + str(i) + '</i>'])}</h{n}>")
+        elif kind < 8:
+            out.append(f"<p>text {i} <b>x</b>" + rng.choice(["</p>", ""]))
+        else:
+            out.append(rng.choice(["<script>var a='<p>';</script>", "<!-- <h1>no</h1> -->", "<div>aside</div>", "loose"]))
+    return "".join(out)
+
+
+def test_sections_equal_a_plain_parser(spark):
+    rng = random.Random(3)
+    pages = [(i, markup(rng)) for i in range(150)] + [(900, None), (901, ""), (902, "<p>only")]
+    got = {}
+    for r in sh.sections(spark.createDataFrame(pages, "page_id long, html string"), "page_id", "html").collect():
+        got.setdefault(r["page_id"], set()).add((r["section_no"], r["level"], r["title"], r["paragraph_no"], r["text"]))
+    for page, html in pages:
+        o = Outline()
+        o.feed(html or "")
+        o.close()
+        want = set()
+        for n, s in enumerate(o.found, 1):
+            title = " ".join((s["title"] or "").split()) or f"Section {n}"
+            texts = [(k, " ".join(x.split())) for k, x in enumerate(s["texts"], 1)] or [(None, None)]
+            want |= {(n, s["level"], title, k, x) for k, x in texts}
+        assert got.get(page, set()) == want, html
+
+
+def test_guards_by_class(spark):
+    rows = [(w, after, kind) for words, after, kind in ((seg.TITLES, "X", "TITLE"), (["A", "q"], "X", "INITIAL"), (seg.ARGUMENTS, "(", "ARGUMENT"), (seg.PHRASES, "9", "PHRASE")) for w in (x.replace("\\", "") for x in words) if len(w) > 1 or kind == "INITIAL"]
+    rows += [("figs", "X", "NONE"), ("etc", "X", "NONE"), ("sofa", "9", "NONE"), ("x.p", "9", "NONE"), ("(Fig", "[", "ARGUMENT")]
+    d = spark.createDataFrame(rows, "a string, b string, kind string").select("*", seg.abbreviation_guard(F.col("a"), F.col("b")).alias("got"))
+    assert [r for r in d.collect() if r["got"] != r["kind"]] == []
