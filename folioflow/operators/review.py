@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import describe_reference, https_link
-from folioflow.operators.resolution import distinct_sets, not_in_bibliography, similar_sets, token_sets
+from folioflow.operators.resolution import distinct_sets, not_in_bibliography, token_sets
 from folioflow.sources.scratch import written
 
 PARAGRAPHS, CLAIMS, SUGGESTIONS = 500, 12, 3
@@ -253,32 +253,60 @@ def grounded(judged: DataFrame, offered: DataFrame, response: str, item: str, al
     return good.withColumnRenamed("offered_id", item), rejected_responses(answers, open_ids, response)
 
 
-def lexical_rank(claims: DataFrame, works: DataFrame, k: int = 5, levels: tuple[int, ...] = (60, 40, 25, 0)) -> DataFrame:
+def word_postings(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, df) of token sets (h, tokens), and their postings (token, hb, nb, left_b): the words of a set from ``token`` on, rarest first, are ``left_b``."""
+    each = sets.select("h", F.size("tokens").alias("nb"), F.explode("tokens").alias("token"))
+    df = written(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "rank-words")
+    later = F.row_number().over(W.partitionBy("h").orderBy(F.desc("df"), F.desc("token")))
+    return df, written(each.join(df, "token").select("token", F.col("h").alias("hb"), "nb", later.alias("left_b")), "rank-postings")
+
+
+def probed(open_: DataFrame, postings: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(ha, hb) of claims (h, n, words, least) and works that meet at words ``lo`` to ``hi`` and may reach ``least``."""
+    words = open_.select(F.col("h").alias("ha"), "n", "least", F.size("words").alias("m"), F.posexplode(F.slice("words", lo + 1, hi - lo)).alias("p", "token"))
+    most = F.least(F.col("m") - lo - F.col("p"), F.col("left_b"))
+    return words.join(postings, "token").where(most / (F.col("n") + F.col("nb") - most) >= F.col("least")).select("ha", "hb").distinct()
+
+
+def lexical_rank(claims: DataFrame, works: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` works of each claim with the largest Jaccard of words, ties to the smaller id; both have id and tokens.
 
-    Claims with one token set are ranked once, and so are works.  A claim that has ``k`` works at or
-    above a level has its best among them, so only the others go on to the next, where
-    prefixes of rare words are longer; at the last, any shared word counts.
+    Claims with one token set are ranked once, and so are works.  A claim probes the postings of its
+    words from the rarest on, one, two, four and so on in a round.  Its ``k``-th best score so far bounds
+    what is still worth while: a posting is passed over if the words left on both sides cannot reach
+    it, and a claim is done once its own words left cannot.  Exact, and frequent words are read for the few claims that need them.
     """
     c = written(token_sets(claims, "claim_id"), "rank-claims")
     w = token_sets(works, "work_id")
     place = F.row_number().over(W.partitionBy("h").orderBy("work_id"))
     few = w.withColumn("_r", place).where(F.col("_r") <= k)
     w = written(few.groupBy("h").agg(F.first("tokens").alias("tokens"), F.sort_array(F.collect_list("work_id")).alias("ids")), "rank-works")
-    left = written(distinct_sets(c), "rank-open")
+    df, postings = word_postings(w)
+    sets = distinct_sets(c)
+    known = sets.select("h", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(df, "token")
+    words = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
+    left = written(known.groupBy("h", "n").agg(words.alias("words")).withColumn("least", F.lit(0.0)), "rank-open")
+    best = W.partitionBy("h").orderBy(F.desc("score"), "work_id")
     done: DataFrame | None = None
-    for level in levels:
-        pairs = similar_sets(left, w.select("h", "tokens"), level).where("similarity > 0").join(w.select(F.col("h").alias("hb"), "ids"), "hb")
-        each = pairs.select(F.col("ha").alias("h"), F.col("similarity").alias("score"), F.explode("ids").alias("work_id"))
-        best = F.row_number().over(W.partitionBy("h").orderBy(F.desc("score"), "work_id"))
-        top = written(each.withColumn("rank", best).where(F.col("rank") <= k), "rank-found")
-        full = top.where(F.col("rank") == k).select("h") if level else top.select("h").distinct()
-        found = top.join(full, "h", "left_semi")
-        done = found if done is None else done.unionByName(found)
-        left = written(left.join(full, "h", "left_anti"), "rank-open")
-        if left.isEmpty():
-            break
-    return c.select("claim_id", "h").join(done, "h").select("claim_id", "work_id", "rank", "score")
+    found, lo, hi = None, 0, 1
+    while not left.isEmpty():
+        hits = probed(left, postings, lo, hi).join(left.select(F.col("h").alias("ha"), "n", "words"), "ha").join(w.withColumnRenamed("h", "hb"), "hb")
+        both = F.array_intersect("words", "tokens")  # in the order of ``words``
+        hits = hits.withColumn("_c", F.size(both)).where(F.array_position("words", both[0]) > lo)  # else made in an earlier round
+        each = hits.select(F.col("ha").alias("h"), (F.col("_c") / (F.col("n") + F.size("tokens") - F.col("_c"))).alias("score"), F.explode("ids").alias("work_id"))
+        every = each if found is None else each.unionByName(found)
+        found = written(every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "rank-found")
+        least = found.groupBy("h").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("least"))
+        after = left.drop("least").join(least, "h", "left").na.fill(0.0, ["least"])
+        more = written(after.where((F.size("words") > hi) & ((F.size("words") - hi) / F.col("n") >= F.col("least"))), "rank-open")
+        ready = found.join(more, "h", "left_anti")
+        done = ready if done is None else done.unionByName(ready)
+        found, left = found.join(more, "h", "left_semi"), more
+        lo, hi = hi, 2 * hi
+    if done is None:
+        done = sets.select("h", F.lit(0.0).alias("score")).limit(0).join(w.select("h", F.explode("ids").alias("work_id")), "h")
+    ranked = done.withColumn("rank", F.row_number().over(best))
+    return c.select("claim_id", "h").join(ranked, "h").select("claim_id", "work_id", "rank", "score")
 
 
 def claim_candidates(sentences: DataFrame, keys: list[str], most: int = 3) -> DataFrame:

@@ -58,6 +58,22 @@ def test_ranking_is_exact(spark):
         assert got.get(i, {}) == {k + 1: j for k, (_, j) in enumerate(order[:3])}
 
 
+def test_ranking_probes_few_pairs(spark, monkeypatch):
+    a, b = titles(60, 7), titles(120, 8)
+    frame = lambda t: spark.createDataFrame([(i, [*x.split(), "the"]) for i, x in enumerate(t)], "id long, tokens array<string>")
+    made, plain = [], review.probed
+
+    def counted(*args):
+        d = plain(*args)
+        made.append(d.count())
+        return d
+
+    monkeypatch.setattr(review, "probed", counted)
+    found = review.lexical_rank(frame(a), frame(b), 1).count()
+    assert found == 60 and sum(made) < 60 * 120 / 2  # all pairs share a word
+    assert review.lexical_rank(frame(a), frame([]), 1).count() == 0 and review.lexical_rank(frame([]), frame(b), 1).count() == 0
+
+
 def test_greedy_lists(spark):
     rows = []
     for q in range(30):
