@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from folioflow.sources.scratch import shared_dir
+from folioflow.sources.scratch import shared_dir, written
 
 DEGRADING = ["RATE_LIMITED", "TIMEOUT", "UNAVAILABLE"]
 FAILED = "FAILED"
@@ -45,31 +46,72 @@ def degradation_list(a: DataFrame) -> DataFrame:
 TTL_FOUND, TTL_EMPTY = 7 * 86_400, 6 * 3_600  # seconds
 
 
-def fresh_hit(a: DataFrame) -> DataFrame:
+HOT_ROWS = 1_000_000  # calls of a key that one task reads in order
+
+
+def fresh_hit(a: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Q05: whether a call (cache_key, ts, attempt_id, status) met a fresh answer of its key.
 
     A call that meets none fills the key and is fresh for others until its own time runs out;
-    hits do not renew it, so a key's calls are read in order.  They stream through sorted
-    partitions with one expiry kept per key, so a frequent key takes no more memory.
+    hits do not renew it.  Calls of most keys stream through sorted partitions, from fill to fill.  A key of
+    more than ``hot_rows`` calls is spread over slices of time instead (:func:`fills`).  Ids of attempts are unique.
     """
     life = F.when(F.col("status") == "OK", TTL_FOUND).otherwise(TTL_EMPTY).cast("long")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    d = a.select("cache_key", "attempt_id", micros.alias("at"), (micros + life * 1_000_000).alias("until"))
-    d = d.repartition("cache_key").sortWithinPartitions("cache_key", "at", "attempt_id")
+    key = F.coalesce(F.concat(F.lit("k"), "cache_key"), F.lit(""))
+    d = written(a.select(key.alias("key"), "attempt_id", micros.alias("at"), (micros + life * 1_000_000).alias("until")), "cache-calls")
+    hot = written(d.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("key"), "cache-hot")
+    if hot.isEmpty():
+        return _in_order(d)
+    spread = d.join(hot, "key", "left_semi")
+    filled = fills(spread).select("key", "at", "attempt_id", F.lit(True).alias("fills"))
+    hits = spread.join(filled, ["key", "at", "attempt_id"], "left").select("attempt_id", F.col("fills").isNull().alias("hit"))
+    return _in_order(d.join(hot, "key", "left_anti")).unionByName(hits)
+
+
+def _in_order(d: DataFrame) -> DataFrame:
+    """(attempt_id, hit) of calls (key, attempt_id, at, until), a key's calls in one task; the next fill is searched for, not stepped to."""
 
     def run(batches):
-        key, expiry = None, None
+        key, expiry = None, 0
         for b in batches:
-            hits = []
-            for k, at, until in zip(b["cache_key"].tolist(), b["at"].tolist(), b["until"].tolist()):
-                if expiry is None or k != key:
-                    key, expiry = k, at
-                hits.append(at < expiry)
-                if at >= expiry:
-                    expiry = until
+            keys, at, until = b["key"].to_numpy(), b["at"].to_numpy(), b["until"].to_numpy()
+            hits = np.ones(len(b), bool)
+            ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(b)]
+            for lo, hi in zip([0, *ends[:-1]], ends):
+                if hi > lo and keys[lo] != key:
+                    key, expiry = keys[lo], at[lo]
+                i = lo + np.searchsorted(at[lo:hi], expiry)
+                while i < hi:
+                    hits[i], expiry = False, until[i]
+                    i += np.searchsorted(at[i:hi], expiry)
             yield pd.DataFrame({"attempt_id": b["attempt_id"], "hit": hits})
 
-    return d.mapInPandas(run, "attempt_id long, hit boolean")
+    ordered = d.repartition("key").sortWithinPartitions("key", "at", "attempt_id")
+    return ordered.select("key", "attempt_id", "at", "until").mapInPandas(run, "attempt_id long, hit boolean")
+
+
+def fills(d: DataFrame) -> DataFrame:
+    """(key, at, attempt_id) of the calls that fill their key, for keys of any number of calls.
+
+    The call after a fill is the first one from its end on.  It is looked for within the slice of time where
+    that end lies, else in the next slice with calls: work is shared by (key, slice), and a key keeps one row a
+    slice.  The calls reached from a key's first one are then found by pointers that double their reach.
+    """
+    e = written(d.groupBy("key", "at").agg(F.min_by(F.struct("attempt_id", "until"), "attempt_id").alias("f")).select("key", "at", "f.attempt_id", "f.until"), "cache-first")
+    moments = e.select("key", F.col("at").alias("t"), F.col("at").alias("call")).unionByName(e.select("key", F.col("until").alias("t"), F.lit(None).cast("long").alias("call")).distinct())
+    moments = moments.withColumn("slice", F.floor(F.col("t") / (TTL_EMPTY * 1_000_000)))
+    back = W.partitionBy("key", "slice").orderBy(F.desc("t"), F.col("call").desc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    here = moments.withColumn("next", F.last("call", ignorenulls=True).over(back)).where("call is null")
+    slices = moments.groupBy("key", "slice").agg(F.min("call").alias("first"))
+    later = F.min("first").over(W.partitionBy("key").orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1))
+    ends = here.join(slices.withColumn("later", later).drop("first"), ["key", "slice"]).select("key", F.col("t").alias("until"), F.coalesce("next", "later").alias("next"))
+    links = written(e.join(ends.where("next is not null"), ["key", "until"]).select("key", "at", "next"), "cache-links")
+    reached = written(e.groupBy("key").agg(F.min("at").alias("at")), "cache-reached")
+    while not links.isEmpty():
+        reached = written(reached.unionByName(reached.join(links, ["key", "at"]).select("key", F.col("next").alias("at"))), "cache-reached")
+        links = written(links.join(links.select("key", F.col("at").alias("next"), F.col("next").alias("far")), ["key", "next"]).select("key", "at", F.col("far").alias("next")), "cache-links")
+    return e.join(reached, ["key", "at"]).select("key", "at", "attempt_id")
 
 
 def first_of_key(a: DataFrame, key: str) -> DataFrame:

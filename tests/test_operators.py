@@ -140,6 +140,21 @@ def test_hits_do_not_renew(spark):
     assert got == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True, 7: False, 8: False}
 
 
+def test_hits_of_spread_keys(spark):
+    rng = random.Random(4)
+    rows, ends, want = [], {}, {}
+    for i in range(3000):
+        rows.append((rng.choice(["a", "a", "a", "b", None]), rng.randrange(0, 60 * 24) * 1800 + rng.choice([0, 0, 1]), i, rng.choice(["OK", "EMPTY", "EMPTY", "EMPTY"])))
+    for key, at, i, status in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        want[i] = at < ends.get(key, -1)
+        if not want[i]:
+            ends[key] = at + (logs.TTL_FOUND if status == "OK" else logs.TTL_EMPTY)
+    d = spark.createDataFrame(rows, "cache_key string, s long, attempt_id long, status string").withColumn("ts", F.timestamp_seconds("s"))
+    for most in (10**6, 1000, 0):
+        assert {r["attempt_id"]: r["hit"] for r in logs.fresh_hit(d, most).collect()} == want
+    assert logs.fresh_hit(d.limit(0), 0).count() == 0
+
+
 def test_support_of_added_citations(spark):
     v = [(1, "SUPPORTED"), (2, "PARTIALLY_SUPPORTED"), (3, "EVIDENCE_UNAVAILABLE"), (4, "CONTRADICTED"), (4, "SUPPORTED"), (5, "SUPPORTED"), (5, "PARTIALLY_SUPPORTED")]
     got = {r["g"]: r["status"] for r in integrity.new_support_status(spark.createDataFrame(v, "g long, verdict string"), "g").collect()}
