@@ -122,6 +122,25 @@ def preflight(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", F.array_join(F.array_compact(block), ",").alias("blockers"), F.array_join(F.array_compact(warn), ",").alias("warnings"))
 
 
+def preflight_counts(papers: DataFrame, paragraphs: DataFrame, blocks: DataFrame, refs: DataFrame, items: DataFrame) -> DataFrame:
+    """What :func:`preflight` asks of each paper (paper_id, style), counted; a paper without rows counts none.
+
+    paragraphs and blocks (status) have paper_id, refs reference_id, status and added besides, items reference_id
+    and partial.  A reference is uncited if no item names it, and dropped if it was added and is uncited.
+    """
+    n = F.count(F.lit(1))
+    text = paragraphs.groupBy("paper_id").agg(n.alias("paragraphs"))
+    shown = blocks.groupBy("paper_id").agg(F.count_if(F.col("status") == "UNRENDERABLE").alias("unrenderable"), F.count_if(F.col("status") == "CONVERTED").alias("converted"))
+    cited = items.where("reference_id is not null").select("paper_id", "reference_id", F.lit(True).alias("_cited")).distinct()
+    r = refs.join(cited, ["paper_id", "reference_id"], "left").withColumn("_open", F.col("_cited").isNull())
+    listed = r.groupBy("paper_id").agg(F.count_if(F.col("status") == "RAW_ONLY").alias("raw_only"), F.count_if("_open").alias("uncited"), F.count_if(F.col("_open") & F.col("added")).alias("dropped"))
+    marked = items.groupBy("paper_id").agg(F.count_if("partial").alias("partial"))
+    out = papers
+    for d in (text, shown, listed, marked):
+        out = out.join(d, "paper_id", "left")
+    return out.na.fill(0, ["paragraphs", "unrenderable", "converted", "raw_only", "uncited", "dropped", "partial"])
+
+
 def render_set(refs: DataFrame, cited: DataFrame, original: DataFrame) -> DataFrame:
     """What an export lists and leaves out: cited, original but uncited, or added and uncited."""
     j = refs.join(cited.select("reference_id", F.lit(1).alias("_c")).distinct(), "reference_id", "left").join(original.select("reference_id", F.lit(1).alias("_o")).distinct(), "reference_id", "left")

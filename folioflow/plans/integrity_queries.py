@@ -8,6 +8,7 @@ from folioflow.functions import segmentation as seg
 from folioflow.functions.text import text_sha256
 from folioflow.operators import integrity as ig
 from folioflow.operators import markers as mk
+from folioflow.operators import resolution as rs
 from folioflow.operators import review as rw
 from folioflow.operators import revisions as rv
 from folioflow.sources import shredding as sh
@@ -103,16 +104,29 @@ add(
     lambda t: ig.hash_broken(t("v_paragraphs").withColumn("stored", text_sha256(F.when(F.col("par_no") % 9 == 0, F.concat("text", F.lit("!"))).otherwise(F.concat("text", F.lit("  "))))), "text", "stored").select("doc_id", "par_no"),
     "select doc_id, par_no from v_paragraphs where par_no % 9 = 0",
 )
+
+
+def _preflight_counts(t):
+    """Each order as a paper: its document's paragraphs, its page's lists (converted) and cut end (unrenderable), its references and citations."""
+    papers = t("v_papers").join(t("v_items").groupBy("paper_id").agg(F.max("family_kind").alias("style")), "paper_id", "left").select("paper_id", "style")
+    pages = t("pages").withColumn("paper_id", F.col("page_id"))
+    lists = pages.select("paper_id", F.explode(F.array_repeat(F.lit("CONVERTED"), F.regexp_count("html", F.lit("<ul>")))).alias("status"))
+    ends = pages.where("html not like '%</html>%'").select("paper_id", F.lit("UNRENDERABLE").alias("status"))
+    refs = t("v_refs").select("paper_id", "reference_id", rs.normalization_status(F.col("title"), F.lit(None).cast("string"), F.col("year")).alias("status"), F.col("year").isNull().alias("added"))
+    items = t("v_items").select("paper_id", "reference_id", F.col("marker_fragment").isin("see text", "ibid").alias("partial"))
+    return ig.preflight_counts(papers, t("v_paragraphs").select(F.col("doc_id").alias("paper_id")), lists.unionByName(ends), refs, items)
+
+
 add(
     "v18_export_preflight",
-    lambda t: ig.preflight(
-        t("orders").select(
-            F.col("o_orderkey").alias("paper_id"), F.when(F.col("o_orderkey") % 5 > 0, "IEEE").alias("style"), (F.col("o_orderkey") % 7).alias("paragraphs"), (F.col("o_orderkey") % 2).alias("unrenderable"),
-            (F.col("o_custkey") % 2).alias("partial"), (F.col("o_custkey") % 3).alias("raw_only"), (F.col("o_custkey") % 4).alias("converted"), (F.col("o_custkey") % 5).alias("uncited"), (F.col("o_custkey") % 6).alias("dropped"),
-        )
-    ),
-    """select o_orderkey as paper_id, array_to_string(list_filter([case when o_orderkey % 5 = 0 then 'NO_STYLE' end, case when o_orderkey % 7 = 0 then 'EMPTY_DOCUMENT' end, case when o_orderkey % 2 > 0 then 'UNRENDERABLE_BLOCK' end], lambda x: x is not null), ',') as blockers,
-    array_to_string(list_filter([case when o_custkey % 2 > 0 then 'PARTIAL_MODIFIERS' end, case when o_custkey % 3 > 0 then 'RAW_ONLY' end, case when o_custkey % 4 > 0 then 'CONVERTED_BLOCK' end, case when o_custkey % 5 > 0 then 'RETAINED_UNCITED' end, case when o_custkey % 6 > 0 then 'DROPPED_ADDED' end], lambda x: x is not null), ',') as warnings from orders""",
+    lambda t: ig.preflight(_preflight_counts(t)),
+    """with st as (select paper_id, max(family_kind) as style, count(*) filter (marker_fragment in ('see text', 'ibid')) as partial from v_items group by 1), tx as (select doc_id as paper_id, count(*) as n from v_paragraphs group by 1),
+    bl as (select page_id as paper_id, sum(len(regexp_extract_all(html, '<ul>'))) as converted, count(*) filter (html not like '%</html>%') as unrenderable from pages group by 1),
+    rf as (select paper_id, count(*) filter (title = '') as raw_only, count(*) filter (open) as uncited, count(*) filter (open and year is null) as dropped from (select *, not exists (select 1 from v_items i where i.reference_id = r.reference_id and i.paper_id = r.paper_id) as open from v_refs r) group by 1)
+    select paper_id, array_to_string(list_filter([case when style is null then 'NO_STYLE' end, case when tx.n is null then 'EMPTY_DOCUMENT' end, case when unrenderable > 0 then 'UNRENDERABLE_BLOCK' end], lambda x: x is not null), ',') as blockers,
+    array_to_string(list_filter([case when partial > 0 then 'PARTIAL_MODIFIERS' end, case when raw_only > 0 then 'RAW_ONLY' end, case when converted > 0 then 'CONVERTED_BLOCK' end, case when uncited > 0 then 'RETAINED_UNCITED' end, case when dropped > 0 then 'DROPPED_ADDED' end], lambda x: x is not null), ',') as warnings
+    from v_papers left join st using (paper_id) left join tx using (paper_id) left join bl using (paper_id) left join rf using (paper_id)""",
+    ("v_refs", "v_items"),
 )
 add(
     "v19_render_set",
