@@ -36,7 +36,8 @@ from .common import cut
 CAPACITY = 2048
 END_ID = 0
 CACHE_ENTRIES = 100_000
-SLICES_PER_LENGTH = 16
+SLICES_PER_LENGTH = 1024
+SLICE_ROWS = 1_000_000  # a length of more pieces than its slices hold of these gets more slices
 
 
 @lru_cache(maxsize=2)
@@ -171,9 +172,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list
         out.append((sorted(used.items(), reverse=True), bins))
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """Add ``rank``, from 0 among the pieces of one length, without gathering a length in one task."""
-    p = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES_PER_LENGTH * 64)))
+def ranked(pieces: DataFrame, slices: int = SLICES_PER_LENGTH) -> DataFrame:
+    """Add ``rank``, from 0 among the pieces of one length, dealt to ``slices`` by all a piece is known by, so that null or repeated ids do not meet in one task."""
+    p = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(slices)))
     counts = p.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy("length").orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")
     starts = counts.select(F.col("length").alias("_l"), F.col("_slice").alias("_s"), before.alias("_before"))
@@ -213,7 +214,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield b[columns].assign(sequence_id=seq, offset=off)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema) + ", sequence_id long, offset long"
-    return ranked(p).mapInPandas(place, schema)
+    slices = max(SLICES_PER_LENGTH, max(hist.values(), default=0) // SLICE_ROWS)
+    return ranked(p, slices).mapInPandas(place, schema)
 
 
 def default_tokenizer() -> str:
