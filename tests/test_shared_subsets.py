@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import integrity, resolution
+from folioflow.operators import integrity, resolution, review
 
 WORDS = [f"w{i}" for i in range(16)]
 
@@ -50,3 +50,22 @@ def test_a_group_of_similar_titles_is_not_expanded(spark):
     assert [tuple(r) for r in got] == [("0", n)]
     sets = works.select("external_id", resolution.title_tokens(F.col("title")).alias("tokens")).select(F.xxhash64("tokens").alias("h"), F.array_sort("tokens").alias("tokens"))
     assert resolution.similar_links(sets).count() == n - 1
+
+
+def test_ranks_of_short_and_long_titles(spark):
+    a, b = titles(50, 3), titles(90, 4)
+    frame = lambda t: spark.createDataFrame([(i, sorted(set(x.split()))) for i, x in enumerate(t)], "id long, tokens array<string>")
+    got = {}
+    for r in review.lexical_rank(frame(a), frame(b), 3).collect():
+        got.setdefault(r["claim_id"], {})[r["rank"]] = (r["work_id"], round(r["score"], 9))
+    for i, x in enumerate(a):
+        order = sorted((-jaccard(x, y), j) for j, y in enumerate(b) if jaccard(x, y) > 0)
+        assert got.get(i, {}) == {k + 1: (j, round(-s, 9)) for k, (s, j) in enumerate(order[:3])}
+
+
+def test_ranks_in_a_group_are_not_expanded(spark, monkeypatch):
+    sizes, plain = [], review.written
+    monkeypatch.setattr(review, "written", lambda df, name: (out := plain(df, name), sizes.append(out.count()))[0])
+    d = spark.range(1500).select("id", F.array(F.lit("big"), F.lit("brand"), F.format_string("k%d", "id"), F.lit("red"), F.lit("ring")).alias("tokens"))
+    got = review.lexical_rank(d, d, 3).where("claim_id = 700").orderBy("rank").collect()
+    assert [r["work_id"] for r in got] == [700, 0, 1] and max(sizes) <= 3 * 1500
