@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut
@@ -152,6 +153,27 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _starred(edges: DataFrame) -> DataFrame:
+    """Distinct edges (a, b) that connect the same ids: each ``b`` keeps its smallest ``a``, which is tied to the others in its place."""
+    ends = edges.select(F.min("a").over(W.partitionBy("b")).alias("m"), "a", "b")
+    own, ties = ends.select(F.col("m").alias("a"), "b"), ends.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    return own.unionByName(ties).distinct()
+
+
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, label) after the links ``found`` (a, b): only the components that they touch are joined, each as one id.
+
+    The members of a group of copies have many links to its pivots; they are reduced to stars before labels are passed.
+    """
+    end = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"_{c}"))
+    a, b = F.coalesce("_a", "a"), F.coalesce("_b", "b")
+    tops = found.join(end("a"), "a", "left").join(end("b"), "b", "left").select(a.alias("a"), b.alias("b")).where("a <> b")
+    joined = cut(components(_starred(_starred(tops))), "dedup-joined")
+    named = joined.select(F.col("id").alias("label"), F.col("label").alias("_top"))
+    old = labels.join(named, "label", "left").select("id", F.coalesce("_top", "label").alias("label"))
+    return cut(old.unionByName(joined.join(labels, "id", "left_anti").select("id", "label")), "dedup-labels")
+
+
 def _shared(classes: DataFrame) -> DataFrame:
     """(cid, n, x, y): the signatures of either collection, with their places, that another class has too; both not empty."""
     each = classes.select("cid", "n", F.posexplode("sig").alias("place", "v"))
@@ -223,7 +245,7 @@ def links(classes: DataFrame, tied: DataFrame, docs: DataFrame, width: int, perc
     least = diagonal.groupBy("key").agg(F.min("cid").alias("a"))
     first = diagonal.join(least, "key").where("cid > a").groupBy(F.col("cid").alias("b")).agg(F.min("a").alias("a"))
     edges = cut(verify(first), "dedup-links").unionByName(tied)
-    labels = components(edges)
+    labels = components(_starred(edges))
     active = cut(_mixed(_buckets(_labelled(shared, labels), "label")).drop("label"), "dedup-buckets")
     active = _shared_sizes(active, sets).where(100 * F.col("e") >= percent * F.col("n"))
     bits = [F.get("bits", F.lit(k)).alias(c) for k, c in enumerate(slots)]
@@ -246,8 +268,7 @@ def links(classes: DataFrame, tied: DataFrame, docs: DataFrame, width: int, perc
         found = cut(now.join(pivots, ["key", "part"]).where(pair).select("a", F.col("cid").alias("b")), "dedup-pairs")
         active = now.where(~F.col("pivot")).drop("pivot", "label", "parts", "part")
         if not found.isEmpty():
-            edges = edges.unionByName(cut(verify(found), "dedup-links"))
-            labels = components(edges)
+            labels = _merged(labels, cut(verify(found), "dedup-links"))
         seed += 1
 
 
