@@ -34,3 +34,16 @@ def test_patterns_are_matched_once(spark):
     assert [tuple(r) for r in found.collect()] == [("10.1000/p5", "1706.00001", None), (None, None, "1706.00001"), (None, None, None)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("10\\.\\d{4,9}") == 1 and plan.count("(?i)arxiv[:") == 1
+
+
+def test_records_are_joined_to_kinds(spark):
+    rows = [(1, "a", "Big red ring", 2000, "Lee", "doi:10.2/Y", None), (1, "b", None, None, None, None, "arXiv:1706.00001"), (2, "c", "unknown here", None, None, "10.2/y", None), (None, "d", "big red ring", None, None, None, None)]
+    refs, works = spark.createDataFrame(rows, REFS), spark.createDataFrame(WORK_ROWS, WORKS)
+    papers = spark.createDataFrame([(1, "own"), (2, None), (3, " ")], "paper_id long, title string")
+    found = rs.resolution_ladder(refs, works, "doi", "title", record=("doi", "title"))
+    got = lambda d: sorted(map(tuple, d.collect()), key=str)
+    for d, want in ((rs.resolved_keys(found), rs.bibliography_keys(refs, found, works)), (rs.resolved_titles(papers, found), rs.bibliography_titles(papers, refs, found, works))):
+        assert got(d) == got(want) and d.count() > 3
+    # the references meet the resolved kinds last, which met the records before
+    plan = rs.resolved_keys(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(kind#" in next(line for line in plan.splitlines() if "Join" in line)
