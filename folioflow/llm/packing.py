@@ -10,8 +10,8 @@ the counts allow.  Pieces then take their places by their rank among equal lengt
 ranked in slices so that no length gathers in one task.
 
 Ids are those of the ``tokenizers`` file.  A byte-level BPE works word by word, so ``tiktoken``
-encodes each distinct word once, with the file's own vocabulary as ranks; texts that hold a
-special token go to ``tokenizers`` itself.  Tests hold both against each other on odd strings.
+encodes whole texts with the file's own pattern and its vocabulary as ranks; texts that hold a
+special token or very long white space go to ``tokenizers`` itself.  Tests hold both against each other on odd strings.
 
 Handling: null text is empty and still packs its closing id; repeated rows are
 pieces of their own; an empty table gives an empty result; other columns are ignored,
@@ -21,6 +21,7 @@ whatever their names.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,7 +36,7 @@ from .common import cut
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_ENTRIES = 100_000
+LONG_BLANK = 50_000
 SLICES_PER_LENGTH = 1024
 SLICE_ROWS = 1_000_000  # a length of more pieces than its slices hold of these gets more slices
 
@@ -44,9 +45,8 @@ SLICE_ROWS = 1_000_000  # a length of more pieces than its slices hold of these
 def _encoder(path: str):
     """Function text -> little-endian uint32 bytes of its ids, the same ids as the tokenizer file gives.
 
-    A byte-level BPE works word by word, so each distinct word is encoded once and remembered.
+    A byte-level BPE works word by word; the words of whole texts are matched and encoded in one call.
     """
-    import regex
     import tiktoken
     from tokenizers import Tokenizer
 
@@ -59,30 +59,15 @@ def _encoder(path: str):
     ranks = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     import public_tokenizers
 
-    pattern = regex.compile(public_tokenizers.PATTERN)
     bpe = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole: list[Tokenizer] = []  # loaded for the rare text that holds a special token
-    cache: dict[str, bytes] = {}
+    whole: list[Tokenizer] = []  # loaded for the rare text that holds a special token, or white space too long for tiktoken's stack
 
     def encode(text: str) -> bytes:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or (len(text) > LONG_BLANK and re.search(rf"\s{{{LONG_BLANK}}}", text)):
             if not whole:
                 whole.append(Tokenizer.from_file(path))
             return np.asarray(whole[0].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found = pattern.findall(text)
-        try:
-            return b"".join([cache[w] for w in found])
-        except KeyError:
-            pass
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        out = []
-        for w in found:
-            ids = cache.get(w)
-            if ids is None:
-                ids = cache[w] = np.asarray(bpe.encode_ordinary(w), "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return np.asarray(bpe.encode_ordinary(text), "<u4").tobytes()
 
     return encode
 

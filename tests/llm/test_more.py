@@ -379,3 +379,12 @@ def test_stages_on_odd_rows(spark, odd, empty):
     assert packed.row_id.nunique() == len(ODD)
     kept = {r["doc_id"] for r in dict(cp.STAGES)["near_duplicates"](spark, plain, SF).collect()}
     assert kept == {None, 1, 2, 3, 4, 6, 7, 8}
+
+
+def test_tokens_of_odd_texts_are_those_of_the_file():
+    from tokenizers import Tokenizer
+
+    encode, whole = packing._encoder(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["", "a  b\n c's ’s\t.　é中_ x ", "\x1c a b", "Größe 12ab'll" * 9, " \n" * 30 + "z", " " * 2_000_000 + "a b"]
+    for text in texts:
+        assert encode(text) == np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
