@@ -51,3 +51,18 @@ def test_unresolved_references_are_found_once(spark):
     refs = spark.createDataFrame([("r1", "T", 2000, "F"), ("r2", "U", None, "G")], "reference_id string, title string, year long, family string")
     left = rs.unresolved(refs, refs.where("reference_id = 'r1'"))
     assert [r["reference_id"] for r in left.collect()] == ["r2"] and shape(left) == (0, 0)
+
+
+def test_findings_with_one_offer_share_it(spark):
+    rows = [("f1", 1, 1, "r1", [1, 2], ["why"]), ("f2", 1, 2, None, [1, 2], ["why"]), ("f3", None, 1, "r2", None, None), ("f4", 9, 9, "r9", [2], None), ("f5", 1, 1, "r1", [3, 1, None], ["a", None])]
+    f = spark.createDataFrame(rows, "finding_id string, doc_id long, par_no long, reference_id string, suggested array<long>, rationales array<string>")
+    p = spark.createDataFrame([(1, 1, "S", "claim"), (1, 2, None, "other")], "doc_id long, par_no long, section string, text string")
+    r = spark.createDataFrame([("r1", "T", None), ("r2", " ", "raw")], "reference_id string, title string, raw_text string")
+    w = spark.createDataFrame([(1, "A", None, "https://a"), (2, None, "10.1/b", None), (3, "C", None, None)], "record_id long, title string, doi string, url string")
+    d = rw.enrich_findings(f, p, r, w)
+    a, b = "A|https://a|", "Untitled|https://doi.org/10.1/b|"
+    want = [("f1", "S", "claim", "T", f"{a}why;{b}"), ("f2", "", "other", None, f"{a}why;{b}"), ("f3", "", "", "raw", ""), ("f4", "", "", None, b), ("f5", "S", "claim", "T", a)]
+    assert sorted(map(tuple, d.collect())) == want
+    # the claims meet the findings in the last join
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "(par_no#" in next(line for line in plan.splitlines() if "Join" in line)
